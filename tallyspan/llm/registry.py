@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from tallyspan.llm import exact_dedup
+from tallyspan.llm import exact_dedup, quality_rules
 
 
 def queries() -> dict:
-    return {"op2_exact_dedup": exact_dedup.op2_exact_dedup}
+    return {
+        "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+        "op7_quality_rules": quality_rules.op7_quality_rules,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
