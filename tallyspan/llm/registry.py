@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyspan.llm import bpe, exact_dedup, quality_rules
+from tallyspan.llm import bpe, exact_dedup, mixing, quality_rules
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
         "op4_bpe_encode_decode": bpe.op4_bpe_encode_decode,
         "op7_quality_rules": quality_rules.op7_quality_rules,
+        "op8_mixing": mixing.op8_mixing,
     }
 
 
