@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyspan.llm import bpe, exact_dedup, mixing, quality_rules
+from tallyspan.llm import bpe, exact_dedup, mixing, quality_rules, sstable
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op4_bpe_encode_decode": bpe.op4_bpe_encode_decode,
         "op7_quality_rules": quality_rules.op7_quality_rules,
         "op8_mixing": mixing.op8_mixing,
+        "op10_sstable": sstable.op10_sstable,
     }
 
 
