@@ -22,10 +22,13 @@ SYMBOL_PERCENT = 5
 FRAGMENT_WORDS = 4
 #: Percentage of a document's word characters that its remaining lines must hold.
 LEAST_LEFT_PERCENT = 50
-CLOSING = r"[.!?:;,…。！？\"'”’»)\]}|*#$%&]\s*$"
+#: What a line of prose ends with; the last ones end lines that other rules judge.
+CLOSING = list(".!?:;,…。！？\"'”’»)]}|*#$%&")
+#: A phrase of boilerplate condemns a line of at most so many characters.
+BOILERPLATE_CHARS = 300
 BOILERPLATE = (
-    r"(?i)(all rights reserved|cookie (policy|settings|notice)|we use cookies|accept (all )?cookies|privacy policy|terms (of|and) (use|service|conditions)"
-    r"|enable javascript|subscribe to our|sign up for our|follow us on|click here to|share this (page|article|on)|lorem ipsum|skip to (main )?content|back to top)"
+    r"all rights reserved|cookie (policy|settings|notice)|we use cookies|accept (all )?cookies|privacy policy|terms (of|and) (use|service|conditions)"
+    r"|enable javascript|subscribe to our|sign up for our|follow us on|click here to|share this (page|article|on)|lorem ipsum|skip to (main )?content|back to top"
 )
 
 
@@ -37,7 +40,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def words_of(text: Column) -> Column:
     """Words [^\\x20\\x09-\\x0D]+ of a text; an empty array for null."""
     spaced = F.translate(F.coalesce(text, F.lit("")), BLANKS, " " * len(BLANKS))
-    return F.filter(F.split(spaced, " +"), lambda w: w != "")
+    return F.filter(F.split(spaced, " "), lambda w: w != "")
 
 
 def count_of(text: Column, characters: str) -> Column:
@@ -61,10 +64,13 @@ def line_passes(line: Column) -> Column:
     n_words = F.size(words_of(line))
     chars = F.char_length(F.translate(line, BLANKS, ""))
     bars, shouts = count_of(line, "|"), (F.char_length(line) - F.char_length(F.replace(line, F.lit("!!"), F.lit("")))) / 2
-    navigation = (bars >= NAV_BARS) & (bars * NAV_WORDS_A_BAR >= n_words)
-    symbols = count_of(line, SYMBOLS) * 100 > chars * SYMBOL_PERCENT
-    fragment = (n_words < FRAGMENT_WORDS) & ~line.rlike(CLOSING)
-    return ~(navigation | symbols | (shouts * 2 >= n_words) & (shouts > 1) | fragment | line.rlike(BOILERPLATE))
+    # each rule begins with a test that is cheap and that most lines do not meet; & leaves off there
+    navigation = line.contains("|") & (bars >= NAV_BARS) & (bars * NAV_WORDS_A_BAR >= n_words)
+    symbols = line.rlike(f"[{SYMBOLS}]") & (count_of(line, SYMBOLS) * 100 > chars * SYMBOL_PERCENT)
+    shouting = line.contains("!!") & (shouts > 1) & (shouts * 2 >= n_words)
+    fragment = ~F.right(F.rtrim(line, F.lit(BLANKS)), F.lit(1)).isin(CLOSING) & (n_words < FRAGMENT_WORDS)
+    boilerplate = (F.char_length(line) <= BOILERPLATE_CHARS) & F.lower(line).rlike(BOILERPLATE)
+    return ~(navigation | symbols | shouting | fragment | boilerplate)
 
 
 def judged(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -85,7 +91,7 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = judged(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
     n = F.size("_words")
     rows = rows.select(
-        "doc_id", n.cast("long").alias("n_words"), F.char_length(F.translate("_text", BLANKS, "")).cast("long").alias("word_chars"),
+        "doc_id", n.cast("long").alias("n_words"), F.char_length(F.array_join("_words", "")).cast("long").alias("word_chars"),
         count_of(F.col("_text"), SYMBOLS).cast("long").alias("n_symbols"), (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         repeat_words(F.col("_words")).cast("long").alias("n_repeat_words"), F.array_join("_left", "\n").alias("clean_text"),
     )
