@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tallyspan.llm import bpe, exact_dedup, mixing, ngram_join, quality_rules, sstable
+from tallyspan.llm import bpe, exact_dedup, language_id, mixing, ngram_join, quality_rules, sstable
 
 
 def queries() -> dict:
     return {
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
         "op4_bpe_encode_decode": bpe.op4_bpe_encode_decode,
+        "op5_language_id": language_id.op5_language_id,
         "op6_ngram_join": ngram_join.op6_ngram_join,
         "op7_quality_rules": quality_rules.op7_quality_rules,
         "op8_mixing": mixing.op8_mixing,
