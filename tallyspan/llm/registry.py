@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyspan.llm import bpe, exact_dedup, language_id, mixing, ngram_join, quality_rules, sstable
+from tallyspan.llm import bpe, exact_dedup, html_text, language_id, mixing, ngram_join, quality_rules, sstable
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op6_ngram_join": ngram_join.op6_ngram_join,
         "op7_quality_rules": quality_rules.op7_quality_rules,
         "op8_mixing": mixing.op8_mixing,
+        "op9_html_text": html_text.op9_html_text,
         "op10_sstable": sstable.op10_sstable,
     }
 
