@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tallyspan.llm import bpe, exact_dedup, html_text, language_id, mixing, ngram_join, quality_rules, sstable
+from tallyspan.llm import bpe, exact_dedup, html_text, language_id, mixing, ngram_join, pii, quality_rules, sstable
 
 
 def queries() -> dict:
     return {
+        "op1_pii_surrogates": pii.op1_pii_surrogates,
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
         "op4_bpe_encode_decode": bpe.op4_bpe_encode_decode,
         "op5_language_id": language_id.op5_language_id,
