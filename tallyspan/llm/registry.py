@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tallyspan.llm import bpe, exact_dedup, html_text, language_id, mixing, ngram_join, pii, quality_rules, sstable
+from tallyspan.llm import bpe, exact_dedup, html_text, language_id, mixing, ngram_join, pii, quality_rules, recurrent_lm, sstable
 
 
 def queries() -> dict:
     return {
         "op1_pii_surrogates": pii.op1_pii_surrogates,
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+        "op3_recurrent_lm": recurrent_lm.op3_recurrent_lm,
         "op4_bpe_encode_decode": bpe.op4_bpe_encode_decode,
         "op5_language_id": language_id.op5_language_id,
         "op6_ngram_join": ngram_join.op6_ngram_join,
