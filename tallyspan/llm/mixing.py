@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyspan.llm.common import table, written
+from tallyspan.llm.common import table
 
 BLOCK_ROWS = 16
 BUCKET_ROWS = 2000
@@ -73,8 +73,9 @@ def phases(blocks: dict[str | None, int], weights: dict[str | None, int]) -> lis
     return out
 
 
-def mix(docs: DataFrame, weights: dict[str | None, int] | None = None, block_rows: int = BLOCK_ROWS, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str | None, int] | None = None, block_rows: int = BLOCK_ROWS, id_col: str = "doc_id", source_col: str = "source", carry: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, source, weight, block, phase, slot, position. Every row is placed once.
+    With carry, also row: a struct of all columns of docs.
 
     weights: positive integers by source (null is a source of its own); by default temperature_weights of the row
     counts. slot is the block's place in the mix and (slot, place in the block) gives position, from 0. Rows that
@@ -82,7 +83,8 @@ def mix(docs: DataFrame, weights: dict[str | None, int] | None = None, block_row
     Other columns are not read. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"))
+    more = ["row"] if carry else []
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), *([F.struct(*docs.columns).alias("row")] if carry else []))
     sized = rows.groupBy("source").count()
     found = sized.limit(MOST_SOURCES + 1).collect()
     if len(found) > MOST_SOURCES:
@@ -102,7 +104,7 @@ def mix(docs: DataFrame, weights: dict[str | None, int] | None = None, block_row
     first = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = keyed.groupBy("source", "bucket").count().select("source", "bucket", F.coalesce(F.sum("count").over(first), F.lit(0)).alias("offset"))
     rank = F.row_number().over(Window.partitionBy("source", "bucket").orderBy(order, "doc_id")) - 1
-    ranked = keyed.withColumn("rank", rank).join(offsets, ["source", "bucket"]).select("doc_id", "source", (F.col("rank") + F.col("offset")).alias("rank"))
+    ranked = keyed.withColumn("rank", rank).join(offsets, ["source", "bucket"]).select("doc_id", "source", (F.col("rank") + F.col("offset")).alias("rank"), *more)
     ranked = ranked.withColumns({"block": F.expr(f"rank div {block_rows}"), "within": F.col("rank") % block_rows})
 
     # two small tables, at most MOST_SLOTS rows a phase: when each phase takes over a source, and a period's places
@@ -114,7 +116,7 @@ def mix(docs: DataFrame, weights: dict[str | None, int] | None = None, block_row
     turn = F.col("turn")
     k = F.col("block") - turn["before"]
     slot = turn["start"] + F.expr("(block - turn.before) div turn.share") * turn["slots"] + F.get(turn["places"], (k % turn["share"]).cast("int"))
-    mixed = mixed.select("doc_id", F.col("source.source").alias("source"), turn["weight"].alias("weight"), "block", turn["phase"].alias("phase"), slot.alias("slot"), "within")
+    mixed = mixed.select("doc_id", F.col("source.source").alias("source"), turn["weight"].alias("weight"), "block", turn["phase"].alias("phase"), slot.alias("slot"), "within", *more)
     return _positions(mixed, block_rows, blocks, counts, plan)
 
 
@@ -134,13 +136,8 @@ def _positions(mixed: DataFrame, block_rows: int, blocks: dict, counts: dict, pl
 
 def mixed_documents(docs: DataFrame, weights: dict[str | None, int] | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """All rows of docs, their columns, in the order of the mix (ranges of positions, sorted inside each)."""
-    placed = written(mix(docs, weights, block_rows).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "position"), "mix")
-    # rows that repeat an id and a source are paired with its positions one to one
-    nth = lambda by, *order: F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    placed = placed.withColumn("_nth", nth(["_id", "_source"], "position"))
-    own = docs.withColumn("_nth", nth(["doc_id", "source"], F.lit(0)))
-    joined = own.join(placed, own["doc_id"].eqNullSafe(placed["_id"]) & own["source"].eqNullSafe(placed["_source"]) & (own["_nth"] == placed["_nth"]))
-    return joined.select(*(docs_col for docs_col in (own[c] for c in docs.columns)), "position").repartitionByRange("position").sortWithinPartitions("position").drop("position")
+    placed = mix(docs, weights, block_rows, carry=True).select("position", "row")
+    return placed.repartitionByRange("position").sortWithinPartitions("position").select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from tallyspan.llm import bpe, exact_dedup, html_text, language_id, mixing, ngram_join, pii, quality_rules, recurrent_lm, sstable
 
 
@@ -17,8 +18,10 @@ def queries() -> dict:
         "op8_mixing": mixing.op8_mixing,
         "op9_html_text": html_text.op9_html_text,
         "op10_sstable": sstable.op10_sstable,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": exact_dedup.SQL}
+    sql = {"op2_exact_dedup": exact_dedup.SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
+    return {name: text for name, text in sql.items() if text}
