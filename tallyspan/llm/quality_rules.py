@@ -107,10 +107,10 @@ def quality_filter(docs: DataFrame) -> DataFrame:
     fields = {c: F.col(f"doc_id.`{c}`") for c in docs.columns} | {"text": F.col("clean_text")}
     if "n_chars" in fields:
         fields["n_chars"] = F.char_length("clean_text").cast(docs.schema["n_chars"].dataType)
-    row = F.struct(F.col("kept"), *(v.alias(c) for c, v in fields.items()))
+    row = F.struct(F.col("kept"), F.struct(*(v.alias(c) for c, v in fields.items())).alias("row"))
     # a plain where() would be pushed below the projections and work out each array anew for each use of it
     left = measures(own, "_row", "_t").select(F.explode_outer(F.filter(F.array(row), lambda r: r["kept"])).alias("r"))
-    return left.where("r is not null").select(*(F.col(f"r.`{c}`").alias(c) for c in docs.columns))
+    return left.where("r is not null").select(*(F.col(f"r.row.`{c}`").alias(c) for c in docs.columns))
 
 
 def op7_quality_rules(spark, sf_dir: str) -> DataFrame:
