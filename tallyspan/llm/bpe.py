@@ -16,7 +16,6 @@ that size more unshared chunks take the path of the shared ones, with the same r
 from __future__ import annotations
 
 import hashlib
-import os
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -28,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspan.llm.common import table, written
+from tallyspan.llm.word_codec import WordIds, byte_letters, id_type, load_tokenizer
 
 #: A cut where the rolling hash has so many zero bits: chunks of some 2 ** CUT_BITS bytes, from LEAST to MOST.
 CUT_BITS, LEAST, MOST = 10, 128, 16384
@@ -80,17 +80,12 @@ class Codec:
     """A tokenizer file with its ids' bytes."""
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        self.tokenizer = load_tokenizer(path)
+        self.words, self.dtype = WordIds(self.tokenizer, lower=False), id_type(self.tokenizer)
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.has_special = re.compile("|".join(map(re.escape, self.special)) or r"(?!)")
-        letter = _byte_letters()
+        letter = byte_letters()
         self.bytes_of = [b""] * size
         for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
             self.bytes_of[i] = token.encode() if token in self.special else bytes(letter[c] for c in token)
@@ -98,7 +93,18 @@ class Codec:
         self.decimal = [str(i) for i in range(size)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        """The library's ids. Between two characters that aren't white space, a space always starts a word, so texts
+        without other spaces are encoded by such words, each distinct one once."""
+        out: list[bytes] = [b""] * len(texts)
+        plain = [n for n, text in enumerate(texts) if not _OTHER_SPACE.search(text) and not self.has_special.search(text)]
+        words = [texts[n].split(" ") for n in plain]
+        heads = self.words.library([ws[0] for ws in words])
+        for n, head, rest in zip(plain, heads, self.words.of([ws[1:] for ws in words])):
+            out[n] = head + rest
+        others = sorted(set(range(len(texts))) - set(plain))
+        for n, ids in zip(others, self.words.library([texts[n] for n in others])):
+            out[n] = ids
+        return [np.frombuffer(ids, self.dtype) for ids in out]
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
@@ -139,6 +145,8 @@ class Codec:
         return (len(ids) if at_end else 0) if all_of_it else None
 
 
+#: A space at an end or beside white space: it need not start a word.
+_OTHER_SPACE = re.compile(r"^ | $|\s | \s")
 _SURE = re.compile(rb"(?<=[\x21-\x7e]) (?=[\x21-\x7e])")
 
 
@@ -152,13 +160,6 @@ def _sure_start(data: bytes, last: bool) -> int:
     return found
 
 
-def _byte_letters() -> dict[str, int]:
-    """Byte-level BPE writes printable bytes as themselves and the others, in order, as the letters from U+0100."""
-    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in set(own)]
-    return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
-
-
 @lru_cache(maxsize=2)
 def codec(path: str) -> Codec:
     return Codec(path)
@@ -381,7 +382,9 @@ def encode_documents(docs: DataFrame, path: str, finish: Finish = ids_and_text,
     path: a byte-level BPE file whose pre-tokenizer starts a word at a space between two printable characters.
     """
     spark = docs.sparkSession
+    schema = ", ".join(f"out_{x}" for x in schema.split(", "))  # apart from the names used here
     names = [x.split()[0] for x in schema.split(", ")]
+    final = ["kept.*", *(F.col(x).alias(x[4:]) for x in names)]
     bloom = spark.sparkContext.broadcast(shared_filter(docs))
     # a row's number, what is kept of it and its pieces are written in one go: they fit whatever is computed again later
     keyed = docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*keep).alias("kept"), "text")
@@ -394,7 +397,7 @@ def encode_documents(docs: DataFrame, path: str, finish: Finish = ids_and_text,
     borrowed = place.where("digest is not null").join(found, "digest").select("rid", "seq", "kept", F.col("found").alias("ids"))
     pieces = place.where("digest is null").drop("digest").unionByName(borrowed)
     joined = pieces.repartition("rid").sortWithinPartitions("rid", "seq").mapInArrow(_assemble(path, finish, names), f"kept {kept_type}, {schema}")
-    return first.where("kind = 'done'").select("kept.*", *names).unionByName(joined.select("kept.*", *names))
+    return first.where("kind = 'done'").select(*final).unionByName(joined.select(*final))
 
 
 def op4_bpe_encode_decode(spark, sf_dir: str) -> DataFrame:
