@@ -22,7 +22,6 @@ import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +31,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyspan.llm.common import new_path, table, written
+from tallyspan.llm.word_codec import WordIds, id_type, load_tokenizer
 
 BLOCK_BYTES, SHARD_BYTES, BLOOM_BITS, BLOOM_HASHES = 1 << 15, 1 << 24, 10, 7
 KEY, MAGIC = 9, b"TSSTABL1"
 FOOTER = struct.Struct("<QQQQII8s")
-#: Distinct words whose ids a Python worker remembers.
-CACHED_WORDS = 400_000
 BATCH_CHARS = 1 << 21
 
 
@@ -168,31 +166,18 @@ class WordCodec:
     """Encodes by white-space words, each distinct word once: for tokenizers that drop white space before they split."""
 
     def __init__(self, path: str, end_id: int | None):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
+        tokenizer = load_tokenizer(path)
+        self.words, self.dtype = WordIds(tokenizer, lower=True), id_type(tokenizer)
         self.end = b"" if end_id is None else np.array([end_id], self.dtype).tobytes()
-        self.known: dict[str, bytes] = {}
-
-    def _plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as bytes, with the end id."""
-        words = [text.split() for text in texts]
         # Python also splits at these four, which the tokenizer keeps
         odd = [n for n, text in enumerate(texts) if any(c in text for c in "\x1c\x1d\x1e\x1f")]
-        distinct = set(chain.from_iterable(words))
-        if len(self.known) + len(new := list(distinct - self.known.keys())) > CACHED_WORDS:
-            self.known, new = {}, list(distinct)
-        self.known.update(zip(new, self._plain(new)))
-        whole = dict(zip(odd, self._plain([texts[n] for n in odd])))
-        look = self.known.__getitem__
-        return [(whole[n] if n in whole else b"".join(map(look, ws))) + self.end for n, ws in enumerate(words)]
+        out = self.words.of([text.split() for text in texts])
+        for n, ids in zip(odd, self.words.library([texts[n] for n in odd])):
+            out[n] = ids
+        return [ids + self.end for ids in out]
 
 
 @lru_cache(maxsize=2)
