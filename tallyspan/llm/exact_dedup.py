@@ -15,6 +15,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tallyspan.llm.common import BLANKS, table, written
 
@@ -89,10 +90,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, all columns. Rows that repeat both doc_id and text leave one row."""
+    """The rows of docs that stay, all columns; of rows that repeat both doc_id and text, the longest, then any one."""
     kept = exact_groups(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    keyed = docs.withColumn("_key", F.sha2(normalized(F.col("text")).cast("binary"), 256))
-    return keyed.join(kept, keyed["doc_id"].eqNullSafe(kept["_id"]) & (keyed["_key"] == kept["_sha"]), "left_semi").drop("_key")
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", F.char_length("text").alias("n"), F.sha2(normalized(F.col("text")).cast("binary"), 256).alias("_key"))
+    stay = keyed.join(kept, keyed["doc_id"].eqNullSafe(kept["_id"]) & (keyed["_key"] == kept["_sha"]), "left_semi")
+    first = F.row_number().over(Window.partitionBy("doc_id", "_key").orderBy(F.desc("n")))
+    return stay.select("row", first.alias("nth")).where("nth = 1").select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def op2_exact_dedup(spark, sf_dir: str) -> DataFrame:
