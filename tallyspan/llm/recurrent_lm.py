@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -26,14 +27,15 @@ from pyspark.sql import functions as F
 
 from tallyspan.llm.common import ASCII_LOWER, fold_of, table, written
 
-HIDDEN, CLASSES, CLASS_SIZE, RARE = 16, 32, 64, 16
+HIDDEN, CLASSES, CLASS_SIZE, RARE = 12, 16, 48, 16
 WORDS = CLASSES * CLASS_SIZE
 COMMON = 60_000
-LANES, STEPS, SCORE_STEPS = 256, 16, 64
+LANES, STEPS, SCORE_STEPS = 512, 16, 64
 RATE, CLIP = 0.05, 2.0
 WARM_TOKENS = 400_000
-#: Documents scored side by side, distinct words a task counts before it sends them on, parameters in one row.
-GROUP_DOCS, COUNTED, BLOCK = 4_000, 300_000, 8_192
+#: Documents scored side by side, distinct words a task counts before it sends them on, parameters in one row, and
+#: words whose outputs are worked out together.
+GROUP_DOCS, COUNTED, BLOCK, ROWS = 4_000, 500_000, 8_192, 8_192
 FOLDS, HELD_OUT = 7, 2
 #: The end of a document: no word is empty.
 END = b""
@@ -46,11 +48,17 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(ASCII_LOWER).split()
 
 
+#: 8 for the bytes of ASCII marks, 0 for letters, digits and bytes beyond ASCII.
+_MARK = [0 if b >= 0x80 or chr(b).isalnum() else 8 for b in range(256)]
+
+
 def rare_class(word: bytes) -> int:
     """0 to RARE - 1, from a word's own letters: whether it ends in a mark, and its first letters beyond ASCII."""
-    mark = 8 if word and not (word[-1] >= 0x80 or word[-1:].isalnum()) else 0
-    found = BEYOND_ASCII.search(word)
-    return mark + (1 + found[0][1 if len(found[0]) > 1 else 0] % 7 if found else 0)
+    mark = _MARK[word[-1]] if word else 0
+    if word.isascii():
+        return mark
+    found = BEYOND_ASCII.search(word)[0]
+    return mark + 1 + found[1 if len(found) > 1 else 0] % 7
 
 
 def _count_words(batches):
@@ -89,13 +97,12 @@ class Vocabulary:
         self.rare_log10 = np.log10(np.maximum(totals, 0).sum(axis=1) + 1)  # of what a rare word's count + 1 is divided by
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
-        get = self.number.get
-        return np.fromiter((get(w, -1) for w in words), np.int32, len(words))
+        return np.fromiter(map(self.number.get, words, repeat(-1)), np.int32, len(words))
 
     def symbols(self, words: list[bytes], numbers: np.ndarray) -> np.ndarray:
         out = self.symbol[numbers]
-        for k in np.flatnonzero(numbers < 0).tolist():
-            out[k] = WORDS + rare_class(words[k])
+        unknown = np.flatnonzero(numbers < 0)
+        out[unknown] = np.fromiter((WORDS + rare_class(words[k]) for k in unknown.tolist()), np.int32, len(unknown))
         return out
 
 
@@ -116,9 +123,10 @@ class Model:
         p["U"] += random.normal(0, HIDDEN**-0.5, p["U"].shape).astype(np.float32)
         known = np.zeros(WORDS)
         known[: min(WORDS, len(vocabulary.counts))] = vocabulary.counts[:WORDS]
-        p["w"][:] = np.log(known + 0.5).reshape(CLASSES, CLASS_SIZE)
-        p["c"][:CLASSES] = np.log(known.reshape(CLASSES, CLASS_SIZE).sum(axis=1) + 0.5)
-        p["c"][CLASSES:] = np.log(np.maximum(vocabulary.rare_tokens, 0) + 0.5)
+        known = known.reshape(CLASSES, CLASS_SIZE) + 0.5
+        p["w"][:] = np.log(known / known.sum(axis=1, keepdims=True))
+        kinds = np.concatenate([known.sum(axis=1), np.maximum(vocabulary.rare_tokens, 0) + 0.5])
+        p["c"][:] = np.log(kinds / kinds.sum())
         return cls(p)
 
     def flat(self) -> np.ndarray:
@@ -144,8 +152,7 @@ class Model:
         """Natural log probability of each target symbol (its class alone, for a rare one); with grads, also d/d states."""
         p = self.p
         kind = np.where(targets < WORDS, targets // CLASS_SIZE, targets - WORDS + CLASSES)
-        logits = states @ p["C"] + p["c"]
-        logits -= logits.max(axis=1, keepdims=True)
+        logits = _safe(states @ p["C"] + p["c"])
         share = np.exp(logits)
         total = share.sum(axis=1, keepdims=True)
         rows = np.arange(len(targets))
@@ -164,8 +171,7 @@ class Model:
             if not len(own):
                 continue
             s, word = states[own], targets[own] - c * CLASS_SIZE
-            logits = s @ p["W"][c] + p["w"][c]
-            logits -= logits.max(axis=1, keepdims=True)
+            logits = _safe(s @ p["W"][c] + p["w"][c])
             share = np.exp(logits)
             total = share.sum(axis=1, keepdims=True)
             rows = np.arange(len(own))
@@ -179,6 +185,11 @@ class Model:
         return out, back
 
 
+def _safe(logits: np.ndarray) -> np.ndarray:
+    """Logits whose exponentials stay within range: rows are shifted only if one could overflow or vanish."""
+    return logits if -60 < logits.max() < 60 and logits.min() > -80 else logits - logits.max(axis=1, keepdims=True)
+
+
 class Trainer:
     """Adagrad over windows of lanes of text."""
 
@@ -307,8 +318,15 @@ def fit(training: DataFrame) -> LanguageModel:
     counted = training.mapInArrow(_count_words, "word binary, rare int, n long")
     counts = written(counted.groupBy("word").agg(F.first("rare").alias("rare"), F.sum("n").alias("n")), "lm-counts")
     per_class = {r.rare: (r.n, r.v) for r in counts.groupBy("rare").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
+    # words by the power of two in their count: a few dozen rows say which counts the most frequent words have
+    powers = counts.groupBy(F.floor(F.log2("n")).cast("int").alias("power")).agg(F.count("*").alias("words")).orderBy(F.desc("power")).collect()
+    least, so_far = 0, 0
+    for r in powers:
+        least, so_far = 2**r.power, so_far + r.words
+        if so_far >= COMMON:
+            break
     # the end is word 0
-    top = counts.orderBy(F.col("word") != F.lit(END), F.desc("n"), "word").limit(COMMON).collect()
+    top = counts.where((F.col("n") >= least) | (F.col("word") == F.lit(END))).orderBy(F.col("word") != F.lit(END), F.desc("n"), "word").limit(COMMON).collect()
     vocabulary = Vocabulary([(bytes(r.word), r.n) for r in top], sum(n for n, _ in per_class.values()), sum(v for _, v in per_class.values()), per_class)
     shared = spark.sparkContext.broadcast(vocabulary)
     start = Model.first(vocabulary).flat()
@@ -340,7 +358,8 @@ def _log10(model: Model, symbols: list[np.ndarray]) -> np.ndarray:
             states.append(h[:m].copy())
             last[:m] = target[t, :m]
         alive = np.arange(steps)[:, None] < live[None, :]
-        found, _ = model.outputs(np.concatenate(states), target[alive])
+        flat, wanted = np.concatenate(states), target[alive]
+        found = np.concatenate([model.outputs(flat[k : k + ROWS], wanted[k : k + ROWS])[0] for k in range(0, len(wanted), ROWS)])
         out[:n] += np.bincount(np.nonzero(alive)[1], weights=found, minlength=n) / LOG10
     back = np.zeros(len(order))
     back[order] = out
@@ -357,25 +376,30 @@ def _score(vocabulary, parameters):
         for batch in batches:
             for at in range(0, batch.num_rows, GROUP_DOCS):
                 part = batch.slice(at, GROUP_DOCS)
-                symbols, base, score, known, sizes, others, times = [], [], [], [], [], [], []
+                words, starts = [], []
                 for text in part.column("text"):
-                    words = [*words_of(text.as_py()), END]
-                    numbers = v.numbers(words)
-                    own = v.symbols(words, numbers)
-                    common = numbers[numbers >= 0]
-                    counts = log_count[common] * (v.counts[common] > 0)
-                    rare = own[own >= WORDS] - WORDS
-                    unknown = Counter(words[k] for k in np.flatnonzero(numbers < 0).tolist())
-                    symbols.append(own)
-                    sizes.append(len(words))
-                    known.append(int((v.counts[common] > 0).sum()))
-                    base.append(float(counts.sum()) - len(words) * base_total)
-                    score.append(float(log_count[common[v.symbol[common] >= WORDS]].sum() - v.rare_log10[rare].sum()))
-                    others.append(list(unknown))
-                    times.append(list(unknown.values()))
-                total = _log10(model, symbols) + np.array(score)
+                    starts.append(len(words))
+                    words += words_of(text.as_py())
+                    words.append(END)
+                numbers = v.numbers(words)
+                own = v.symbols(words, numbers)
+                common = numbers >= 0
+                in_training = common & (v.counts[numbers] > 0)
+                log = np.where(in_training, log_count[numbers], 0.0)  # what is still to come for the others is 0 here
+                rare = own >= WORDS
+                fixed = np.where(rare, log - v.rare_log10[np.where(rare, own - WORDS, 0)], 0.0)
+                sums = lambda x: np.add.reduceat(x, starts)
+                sizes = np.diff([*starts, len(words)])
+                base = sums(log) - sizes * base_total
+                known = sums(in_training.astype(np.int64))
+                unknown: list[Counter] = [Counter() for _ in starts]
+                places = np.flatnonzero(~common)
+                for doc, k in zip((np.searchsorted(starts, places, "right") - 1).tolist(), places.tolist()):
+                    unknown[doc][words[k]] += 1
+                others, times = [list(c) for c in unknown], [list(c.values()) for c in unknown]
+                total = _log10(model, np.split(own, starts[1:])) + sums(fixed)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("rid"), part.column("kept"), pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(total.tolist()), pa.array(others, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))],
+                    [part.column("rid"), part.column("kept"), pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(total), pa.array(others, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))],
                     ["rid", "kept", "n_tokens", "known", "base", "total", "words", "times"],
                 )
 
