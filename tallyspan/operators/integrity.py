@@ -118,7 +118,7 @@ def detail_task_issues(records: DataFrame, tasks: DataFrame) -> DataFrame:
 
 
 def ledger_issues(records: DataFrame, snapshot_tasks: DataFrame, detail_tasks: DataFrame) -> DataFrame:
-    """(entity_id, issues) of the records that have any, in a fixed order."""
+    """(entity_id, issues) of the records that have any, in a fixed order; the texts are fixed values."""
     own = records.join(history_task_issues(records, snapshot_tasks), "entity_id", "left").join(detail_task_issues(records, detail_tasks), "entity_id", "left")
     when = lambda test, text: F.when(test, F.lit(text))
     status = F.when(F.coalesce("detail_status", F.lit("None")) != "success", F.concat(F.lit("mastery_status: "), F.coalesce("detail_status", F.lit("None"))))

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from tallyspan.functions.expressions import latest_of
 
+#: The messages of swept and cleaned-up work.
 STALLED = "Run stalled or silent cancelled"
 CANCELLED = "Run failed or cancelled"
 
