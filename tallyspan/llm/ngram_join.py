@@ -239,10 +239,15 @@ def _fits(n: Column, m: Column, percent: int) -> Column:
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
-def _reaches(n: Column, m: Column, so_far: Column, percent: int) -> Column:
-    """Whether the overlap so far (of the prefixes) and all shingles after the prefixes can reach the bound."""
+def _reaches(n: Column, n_last: Column, m: Column, m_last: Column, so_far: Column, percent: int) -> Column:
+    """Whether the overlap so far (of the prefixes) and all that may follow can reach the bound.
+
+    n_last and m_last are the prefixes' last shingles. Nothing that the other side lists after the prefix that ends
+    first is in that prefix, so only what its own set has left can still be shared; the other's prefix limits nothing.
+    """
     rest = lambda x: F.ceil(x * percent / 100).cast("long") - 1
-    return (so_far + F.least(rest(n), rest(m))) * (100 + percent) >= percent * (n + m)
+    left = F.when(n_last < m_last, rest(n)).when(n_last > m_last, rest(m)).otherwise(F.least(rest(n), rest(m)))
+    return F.least(so_far + left, n, m) * (100 + percent) >= percent * (n + m)
 
 
 def _several(postings: DataFrame, labels: DataFrame) -> DataFrame:
@@ -267,7 +272,9 @@ def near_components(docs: DataFrame, size: int = WORDS_A_SHINGLE, percent: int =
     classes = rows.where("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("min_id"), F.count("*").alias("class_size"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "join-classes")
 
-    postings = classes.select(F.explode("prefix").alias("gram"), "node", "n")
+    # shingles are unsigned: with the top bit turned over they compare as such
+    last = F.element_at("prefix", -1).bitwiseXOR(F.lit(-(2**63)))
+    postings = classes.select(F.explode("prefix").alias("gram"), "node", "n", last.alias("last"))
     shared = postings.groupBy("gram").count().where("count > 1").select("gram")
     postings = written(postings.join(shared, "gram", "left_semi"), "join-postings")
 
@@ -276,11 +283,11 @@ def near_components(docs: DataFrame, size: int = WORDS_A_SHINGLE, percent: int =
     for turn in range(HUB_ROUNDS):
         block = _several(postings, labels).withColumn("band", F.floor(F.log(F.col("n").cast("double")) / float(-np.log(percent / 100))))
         pick, by = (F.max, F.max_by) if turn % 2 else (F.min, F.min_by)
-        hubs = block.groupBy("gram", "band").agg(pick("node").alias("b"), by("n", "node").alias("m"), by("comp", "node").alias("other"))
+        hubs = block.groupBy("gram", "band").agg(pick("node").alias("b"), by("n", "node").alias("m"), by("last", "node").alias("m_last"), by("comp", "node").alias("other"))
         met = block.join(hubs, ["gram", "band"]).where((F.col("comp") != F.col("other")) & _fits(F.col("n"), F.col("m"), percent))
-        met = met.groupBy("node", "n", "b", "m").count()
+        met = met.groupBy("node", "n", "last", "b", "m", "m_last").count()
         # what is left out here, as it may share more than it shares as the hub's, is met in the last product
-        met = met.where(_reaches(F.col("n"), F.col("m"), F.col("count"), percent))
+        met = met.where(_reaches(F.col("n"), F.col("last"), F.col("m"), F.col("m_last"), F.col("count"), percent))
         pairs = met.groupBy(F.col("node").alias("a")).agg(F.max_by("b", F.struct("count", "b")).alias("b"))
         found = _checked(docs, classes, written(pairs, "join-pairs"), sketch, size, percent)
         links = written(links.unionByName(found), "join-links")
@@ -290,8 +297,10 @@ def near_components(docs: DataFrame, size: int = WORDS_A_SHINGLE, percent: int =
     one, two = left.alias("one"), left.alias("two")
     across = (F.col("one.node") < F.col("two.node")) & (F.col("one.comp") != F.col("two.comp")) & _fits(F.col("one.n"), F.col("two.n"), percent)
     pairs = one.join(two, (F.col("one.gram") == F.col("two.gram")) & across)
-    pairs = pairs.groupBy(F.col("one.node").alias("a"), F.col("two.node").alias("b")).agg(F.count("*").alias("so_far"), F.first("one.n").alias("n"), F.first("two.n").alias("m"))
-    pairs = written(pairs.where(_reaches(F.col("n"), F.col("m"), F.col("so_far"), percent)).select("a", "b"), "join-pairs")
+    sides = [F.first(f"{side}.{c}").alias(name) for side, c, name in (("one", "n", "n"), ("one", "last", "n_last"), ("two", "n", "m"), ("two", "last", "m_last"))]
+    pairs = pairs.groupBy(F.col("one.node").alias("a"), F.col("two.node").alias("b")).agg(F.count("*").alias("so_far"), *sides)
+    reach = _reaches(F.col("n"), F.col("n_last"), F.col("m"), F.col("m_last"), F.col("so_far"), percent)
+    pairs = written(pairs.where(reach).select("a", "b"), "join-pairs")
     if not pairs.isEmpty():
         labels = components(links.unionByName(_checked(docs, classes, pairs, sketch, size, percent)))
 

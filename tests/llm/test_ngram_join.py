@@ -54,6 +54,22 @@ def test_near_copies_chains_and_edges(docs, clashing):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in near) == brute(pairs, 5, 80)
 
 
+def test_sets_of_different_size_whose_shared_shingles_are_rare_or_common(docs):
+    random.seed(5)
+    rows = []
+    for k in range(80):
+        short = [f"x{k}y{n}" for n in range(random.randint(84, 95))]
+        longer = short + [f"x{k}z{n}" for n in range(100 - len(short))]
+        rows += [" ".join(short), " ".join(longer)]  # one set holds the other
+    for k in range(12):
+        # what two texts share, 40 more that are no near copies have too: their own shingles come first
+        shared = [f"b{k}y{n}" for n in range(88)]
+        rows += [" ".join(shared + [f"b{k}own{n}" for n in range(12)]), " ".join(shared + [f"b{k}two{n}" for n in range(2)])]
+        rows += [" ".join(shared + [f"b{k}far{d}x{n}" for n in range(90)]) for d in range(40)]
+    pairs = list(enumerate(rows))
+    check(docs(*pairs), pairs)
+
+
 def test_repeated_rows_and_empty_table(docs):
     pairs = [(4, "x y z w"), (4, "x y z w"), (9, "x y z w"), (9, "other words are here now")]
     check(docs(*pairs), pairs)
