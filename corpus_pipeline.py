@@ -4,13 +4,16 @@ quality rules     documents that fail go, lines that fail go from those that sta
 exact dedup       of equal texts one stays
 n-gram join       of each group of near duplicates the one with the smallest doc_id stays
 mixing            the order of the rows becomes the mix of the sources by their target weights
-BPE               one row per document: doc_id, lang, source, n_tokens, ids_sha256, decoded_sha256
+BPE               one row per document: doc_id, lang, source, n_tokens, ids_sha256, decoded_sha256, position: its
+                  place in the mix, from 0; the rows are written in that order
 """
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tallyspan.llm import bpe, exact_dedup, mixing, ngram_join, quality_rules
 from tallyspan.llm.common import table, written
@@ -34,7 +37,22 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
-    return bpe.encode_documents(docs, path, bpe.digests, bpe.DIGESTS, keep=("doc_id", "lang", "source"))
+    # where a row stands in the files of the mix goes along with it; the files' first positions come in at the end
+    placed = docs.withColumns({"file": F.col("_metadata.file_name"), "row_index": F.col("_metadata.row_index")})
+    out = bpe.encode_documents(placed, path, bpe.digests, bpe.DIGESTS, keep=("doc_id", "lang", "source", "file", "row_index"))
+    out = out.join(first_positions(docs), "file").withColumn("position", F.col("first") + F.col("row_index")).drop("file", "row_index", "first")
+    return out.repartitionByRange("position").sortWithinPartitions("position")
+
+
+def first_positions(docs: DataFrame) -> DataFrame:
+    """Rows (file, first) for a table just read: the rows in the files before it, in the order of the writing tasks.
+
+    One row per file: the window is over the table's files, not its rows.
+    """
+    files = docs.groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count("*").alias("rows"))
+    task = F.regexp_extract("file", r"^part-(\d+)", 1).cast("int")
+    before = Window.orderBy(task, "file").rowsBetween(Window.unboundedPreceding, -1)
+    return files.select("file", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("first"))
 
 
 STAGES = [("quality rules", quality_stage), ("exact dedup", exact_stage), ("n-gram Jaccard join", near_stage), ("mixing", mixing_stage), ("BPE", bpe_stage)]

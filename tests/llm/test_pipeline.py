@@ -1,4 +1,5 @@
 import hashlib
+from collections import Counter
 
 import corpus_pipeline
 import public_tokenizers
@@ -6,6 +7,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from tallyspan.llm import registry
+from tallyspan.llm.mixing import BLOCK_ROWS, period, temperature_weights
 from tests.llm.test_ngram_join import shingle_set
 from tests.llm.test_quality_rules import brute as measures_of
 
@@ -55,6 +57,39 @@ def test_stages_keep_what_they_should(stages):
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
 
 
+def schedule(counts):
+    """The source of every position, block after block, by the Pfair schedule of the sources that are left."""
+    weights, left, out = temperature_weights(counts), dict(counts), []
+    while left:
+        slots, n, live = period({s: weights[s] for s in left}), 0, len(left)
+        while len(left) == live:
+            source, n = slots[n % len(slots)], n + 1
+            take = min(BLOCK_ROWS, left[source])
+            out += [source] * take
+            left[source] -= take
+            if not left[source]:
+                del left[source]
+    return out
+
+
+def test_the_result_has_the_order_of_the_mix(stages):
+    got = sorted(stages[-1][2], key=lambda r: r.position)
+    assert [r.position for r in got] == list(range(len(got)))
+    assert [r.source for r in got] == schedule(Counter(r.source for r in got))
+
+
+def test_the_order_comes_from_the_mixing_stage(spark, docs):
+    rows = docs(*[f"some text number {n}" for n in range(200)])
+    near = corpus_pipeline.written(rows, "test")
+    mixed = corpus_pipeline.written(corpus_pipeline.mixing_stage(spark, near, SF), "test")
+    out = corpus_pipeline.written(corpus_pipeline.bpe_stage(spark, mixed, SF), "test")
+    got = {r.doc_id: r.position for r in out.collect()}
+    assert got == {r.doc_id: r.position for r in corpus_pipeline.mixing.mix(near).collect()}
+    assert got != {r.doc_id: r.position for r in corpus_pipeline.bpe_stage(spark, near, SF).collect()}
+    written = out.select("position", "_metadata.file_name", "_metadata.row_index").collect()
+    assert [r.position for r in sorted(written, key=lambda r: (r.file_name, r.row_index))] == list(range(200))
+
+
 def test_columns(stages):
     assert all(columns == ["doc_id", "text", "lang", "source", "n_chars"] for _, _, _, columns in stages[:-1])
 
