@@ -27,10 +27,10 @@ from pyspark.sql import functions as F
 
 from tallyspan.llm.common import ASCII_LOWER, fold_of, table, written
 
-HIDDEN, CLASSES, CLASS_SIZE, RARE = 12, 16, 48, 16
+HIDDEN, CLASSES, CLASS_SIZE, RARE = 16, 32, 64, 16
 WORDS = CLASSES * CLASS_SIZE
 COMMON = 60_000
-LANES, STEPS, SCORE_STEPS = 512, 16, 64
+LANES, STEPS, SCORE_STEPS = 256, 16, 64
 RATE, CLIP = 0.05, 2.0
 WARM_TOKENS = 400_000
 #: Documents scored side by side, distinct words a task counts before it sends them on, parameters in one row, and
@@ -198,24 +198,28 @@ class Trainer:
         self.squares = {k: np.full(v.shape, 1e-3, np.float32) for k, v in model.p.items()}
 
     def fit(self, symbols: np.ndarray, starts: np.ndarray) -> None:
-        """One pass over documents laid end to end (each with its end); starts marks their first words."""
+        """One pass over documents laid end to end (each with its end); starts marks their first words.
+
+        The last lanes are filled up with what is no text: it has no part in gradients and counts.
+        """
         lanes = min(LANES, max(1, len(symbols) // STEPS))
-        length = len(symbols) // lanes
-        target = symbols[: lanes * length].reshape(lanes, length).T
-        fresh = starts[: lanes * length].reshape(lanes, length).T.copy()
+        length = -(-len(symbols) // lanes)
+        lay = lambda x: np.concatenate([x, np.zeros(lanes * length - len(x), x.dtype)]).reshape(lanes, length).T
+        target, fresh, live = lay(symbols), lay(starts).copy(), lay(np.ones(len(symbols), bool))
         fresh[0] = True
         given = np.zeros_like(target)
         given[1:] = target[:-1]
         given[fresh] = 0  # a document begins as if after an end
         h = np.zeros((lanes, HIDDEN), np.float32)
         for at in range(0, length, STEPS):
-            h = self._window(given[at : at + STEPS], target[at : at + STEPS], fresh[at : at + STEPS], h)
-        self.tokens += lanes * length
+            h = self._window(given[at : at + STEPS], target[at : at + STEPS], fresh[at : at + STEPS], h, live[at : at + STEPS])
+        self.tokens += len(symbols)
 
-    def _window(self, given, target, fresh, h):
+    def _window(self, given, target, fresh, h, live=None):
         model, p = self.model, self.model.p
         grads = {k: np.zeros_like(v) for k, v in p.items() if k != "G"}
         steps, lanes = given.shape
+        live = np.ones(given.shape, bool) if live is None else live
         keep = (~fresh).astype(np.float32)[:, :, None]
         states, saved = np.empty((steps, lanes, HIDDEN), np.float32), []
         for t in range(steps):
@@ -223,8 +227,8 @@ class Trainer:
             new, z, r, n, inner = model.step(given[t], h)
             saved.append((h, z, r, n, inner))
             states[t] = h = new
-        _, back = model.outputs(states.reshape(-1, HIDDEN), target.ravel(), grads)
-        back = back.reshape(steps, lanes, HIDDEN)
+        back = np.zeros_like(states)
+        back[live] = model.outputs(states[live], target[live], grads)[1]
         gates = np.empty((steps, lanes, 3 * HIDDEN), np.float32)
         recurrent = np.empty_like(gates)
         before = np.empty_like(states)
@@ -246,7 +250,7 @@ class Trainer:
         order = np.argsort(flat, kind="stable")
         used, first = np.unique(flat[order], return_index=True)
         rows = np.add.reduceat(gates.reshape(-1, 3 * HIDDEN)[order], first)
-        scale = 1.0 / max(1, flat.size)
+        scale = 1.0 / max(1, int(live.sum()))
         self._update(p["G"], self.squares["G"], rows * scale, used)
         for k, g in grads.items():
             self._update(p[k], self.squares[k], g * scale)

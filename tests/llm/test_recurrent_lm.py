@@ -47,6 +47,34 @@ def test_gradients_by_differences():
             assert abs(full[place] - (up - down) / 2e-5) < 1e-4 * max(1, abs(full[place]))
 
 
+def test_every_token_is_trained_on():
+    """Also those that do not fill the lanes; what fills the last lanes up changes nothing."""
+    random = np.random.default_rng(4)
+    symbols = random.integers(0, R.WORDS, 16 * R.LANES + R.LANES - 1).astype(np.int32)
+    starts = np.zeros(len(symbols), bool)
+    starts[0] = True
+
+    def after(last):
+        trainer = R.Trainer(R.Model.first(vocabulary()))
+        trainer.fit(np.concatenate([symbols[:-1], np.array([last], np.int32)]), starts)
+        assert trainer.tokens == len(symbols)
+        return trainer.model.flat()
+
+    assert not np.array_equal(after(5), after(6))
+
+    given, target = random.integers(0, R.WORDS, (2, R.STEPS, 3)).astype(np.int32)
+    zero, live = np.zeros((R.STEPS, 3), bool), np.ones((R.STEPS, 3), bool)
+    live[:, 2] = False
+    two, three = (R.Trainer(R.Model.first(vocabulary())) for _ in range(2))
+    two._window(given[:, :2], target[:, :2], zero[:, :2], np.zeros((2, R.HIDDEN), np.float32))
+    three._window(given, target, zero, np.zeros((3, R.HIDDEN), np.float32), live)
+    assert np.allclose(two.model.flat(), three.model.flat(), atol=1e-5)
+
+
+def test_the_model_keeps_its_size():
+    assert (R.WORDS, R.HIDDEN, R.LANES) == (2048, 16, 256)
+
+
 def test_outputs_are_a_distribution():
     model = R.Model.first(vocabulary())
     states = np.random.default_rng(2).normal(0, 1, (1, R.HIDDEN)).astype(np.float32)
