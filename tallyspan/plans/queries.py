@@ -243,10 +243,12 @@ def partition_roundtrip(r: Roles) -> DataFrame:
 
 
 def landed_documents(r: Roles) -> str:
-    """Conversations as pretty-printed JSON files by kind, in two folders."""
+    """Conversations as pretty-printed JSON files by last digit; of 1000 ids in a row, the hundred of a digit at most share a file."""
     path = scratch(r.spark, "documents")
-    docs = r.conversation_docs().select(F.to_json("doc", {"pretty": "true"}).alias("value"), F.substring("path", -1, 1).alias("shard"))
-    docs.repartition("shard").groupBy("shard").agg(F.concat(F.lit('{"turns": ['), F.array_join(F.collect_list("value"), ",\n"), F.lit("]}")).alias("value")).write.partitionBy("shard").text(path)
+    batch = F.floor(F.substring_index("path", "/", -1).cast("long") / 1000)
+    docs = r.conversation_docs().select(F.to_json("doc", {"pretty": "true"}).alias("value"), F.substring("path", -1, 1).alias("shard"), batch.alias("batch"))
+    files = docs.groupBy("shard", "batch").agg(F.concat(F.lit('{"turns": ['), F.array_join(F.collect_list("value"), ",\n"), F.lit("]}")).alias("value"))
+    files.drop("batch").write.option("maxRecordsPerFile", 1).partitionBy("shard").text(path)
     return path
 
 
