@@ -5,9 +5,11 @@ its n-grams as a sorted array of 64-bit hashes with what the recursion needs bes
 bisection. A text goes to the language with the lowest cross-entropy per character.
 
 Fitting uses a bounded sample, as documented: of each language, the documents that come first in the order of a
-hash of their id, up to SAMPLE_CHARS characters, and the LANGUAGES most frequent languages. The last tenth of the
-sample is left out of the counts and sets the calibration: the temperature that turns differences of entropy into
-a probability, and per language the entropy beyond which a text is rejected as unlike all of its training text.
+hash of their id and text, up to SAMPLE_CHARS characters; a text longer than DOC_CHARS gives that many characters in
+a row, from a place drawn by the hash. Every language with a labelled text has a model, whatever their number. The
+last tenth of the documents in a language's sample is left out of the counts; the first HELD_ROWS of them set the
+calibration: the temperature that turns differences of entropy into a probability, and per language the entropy
+beyond which a text is rejected as unlike all of its training text. A language of fewer than ten documents trains on all.
 """
 
 from __future__ import annotations
@@ -20,10 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyspan.llm.common import fold_of, table
+from tallyspan.llm.common import fold_of, table, written
 
 ORDER = 4
-SAMPLE_CHARS, LANGUAGES = 1_500_000, 64
+SAMPLE_CHARS, DOC_CHARS, HELD_ROWS = 1_500_000, 150_000, 100
+#: Ranges of the hash whose characters are summed up to see where a language's sample ends.
+BUCKETS = 1 << 16
 #: Kept n-grams of each order and language; the rarest beyond are left out and count as unseen.
 MOST_NGRAMS = 400_000
 FOLDS, HELD_OUT = 3, 1
@@ -187,26 +191,34 @@ def _run_counts(batches):
 
 def fit(labelled: DataFrame) -> Identifier:
     """An Identifier from rows (doc_id, text, lang): those without text or lang are left out."""
-    rows = labelled.where("text is not null and lang is not null").select("doc_id", "text", "lang", F.xxhash64("doc_id").alias("h"))
-    sizes = rows.groupBy("lang").agg(F.sum(F.char_length("text")).alias("chars")).orderBy(F.desc("chars"), "lang").limit(LANGUAGES).collect()
-    # a band of the hash that holds about the sample: its width is known from the language's characters
-    share = {r.lang: min(1.0, 1.1 * SAMPLE_CHARS / max(r.chars, 1)) for r in sizes}
-    if not share:
+    rows = labelled.where("text is not null and lang is not null").select("doc_id", "text", "lang", F.xxhash64("doc_id", "text").alias("h"))
+    length = F.char_length("text")
+    rows = rows.withColumns({"bucket": F.pmod("h", F.lit(BUCKETS)), "size": F.least(length, F.lit(DOC_CHARS)).cast("long")})
+    # the bucket of each language in which its sample ends: at most BUCKETS rows a language, then one
+    earlier = Window.partitionBy("lang").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("lang", "bucket").agg(F.sum("size").alias("size")).withColumn("before", F.coalesce(F.sum("size").over(earlier), F.lit(0)))
+    sizes = sums.where(F.col("before") < SAMPLE_CHARS).groupBy("lang").agg(F.max("bucket").alias("last")).collect()
+    if not sizes:
         return Identifier([], [])
-    limit = F.coalesce(*(F.when(F.col("lang") == lang, F.lit(s)) for lang, s in share.items()), F.lit(-1.0))
-    position = (F.col("h").cast("double") / float(2**64)) + 0.5
-    banded = rows.withColumn("at", position / limit).where((limit > 0) & (position < limit))
-    counted = banded.where("at < 0.9").select("text", "lang").mapInArrow(_run_counts, "lang string, run binary, n long")
+    by_lang = lambda values: F.map_from_arrays(F.array(*(F.lit(r.lang) for r in sizes)), F.array(*(F.lit(v).cast("long") for v in values)))[F.col("lang")]
+    near = rows.where(F.col("bucket") <= by_lang(r["last"] for r in sizes))
+    start = F.pmod("h", F.greatest(length - DOC_CHARS, F.lit(0)) + 1).cast("int") + 1
+    near = near.withColumn("text", F.substr("text", start, F.lit(DOC_CHARS)))
+    order = Window.partitionBy("lang").orderBy("bucket", "h", "doc_id")
+    before = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sample = near.withColumn("before", before).where(F.col("before") < SAMPLE_CHARS).withColumns({"turn": F.row_number().over(order), "docs": F.count("*").over(Window.partitionBy("lang"))})
+    sample = written(sample.select("text", "lang", (F.col("turn") - F.ceil(F.col("docs") * 9 / 10)).alias("held")), "lid-sample")
+    counted = sample.where("held <= 0").select("text", "lang").mapInArrow(_run_counts, "lang string, run binary, n long")
     totals = counted.groupBy("lang", "run").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "run"))
-    kept = totals.withColumn("rank", rank).where(F.col("rank") <= MOST_NGRAMS).drop("rank").toPandas()  # at most LANGUAGES * MOST_NGRAMS rows
+    kept = totals.withColumn("rank", rank).where(F.col("rank") <= MOST_NGRAMS).drop("rank").toPandas()  # at most MOST_NGRAMS rows a language
     languages = sorted(kept["lang"].unique())
     models = []
     for lang in languages:
         own = kept[kept["lang"] == lang]
         models.append(KneserNey(np.frombuffer(b"".join(own["run"]), "<u4").reshape(-1, ORDER), own["n"].to_numpy()))
     found = Identifier(languages, models)
-    held = banded.where("at >= 0.9").select("text", "lang").limit(100 * len(languages)).collect()
+    held = sample.where(f"held between 1 and {HELD_ROWS}").select("text", "lang").collect()  # at most HELD_ROWS texts and SAMPLE_CHARS a language
     _calibrate(found, [(r.text, r.lang) for r in held if LETTER.search(r.text) and r.lang in languages])
     return found
 

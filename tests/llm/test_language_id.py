@@ -45,6 +45,18 @@ def test_rows(docs, clashing, found):
     assert L.identify(rows.where("false"), found).count() == 0
 
 
+def test_no_language_is_lost(spark):
+    """However many there are, with one document each, or with one text that is longer than all others together."""
+    single = [(n, f"only text of language number {n}", f"l{n:03}") for n in range(80)]
+    uneven = [(1000 + n, "die " * 600_000 if n % 6 == 0 else text("de", 20, n), f"u{n // 6}") for n in range(30)]
+    found = L.fit(spark.createDataFrame(single + uneven, "doc_id long, text string, lang string").repartition(8))
+    assert found.languages == sorted({lang for _, _, lang in single + uneven})
+    grün = L.symbols("grün")
+    for model in found.models[-5:]:  # the short texts train too, and the long one does not fill the sample
+        assert L.codes(grün, 4)[0] in model.levels[0][0].keys
+        assert model.levels[0][0].values.sum() <= 5 * 150 + L.DOC_CHARS + 10
+
+
 def test_without_training_text(docs):
     none = L.fit(docs("x").where("false"))
     assert [r.lang_pred for r in L.identify(docs("some text"), none).collect()] == ["und"]
