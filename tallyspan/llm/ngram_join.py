@@ -2,23 +2,29 @@
 
 Sets are sorted arrays of 64-bit shingle numbers: 5 bits of a commonness level from a count sketch over all
 documents, then 59 hash bits, so that every set lists its rare shingles first. Two sets of n and m shingles with
-Jaccard t or more overlap in a = ceil(t (n + m) / (1 + t)) shingles, and so share one of the first n - ceil(t n) + 1
-of each: only these columns of the matrix are multiplied (the prefixes), whose product gives candidate pairs with
-their overlap so far; pairs that cannot reach a with all that is left are discarded; the rest are counted in full.
+Jaccard t or more overlap in a = ceil(t (n + m) / (1 + t)) shingles, and so share one that is among the first
+n - a + 1 of the one and the first m - a + 1 of the other: only these places of the matrix are multiplied (the
+prefixes), and the smaller side needs no more than its first m - ceil(2 t m / (1 + t)) + 1. The product gives
+candidate pairs with their overlap so far and where it ended; pairs that cannot reach a with what both sides have
+left after that are discarded, and so are pairs whose parities (of the shingles in each of some n hash cells) differ
+in more cells than two linked sets can differ in shingles; the rest are counted in full.
 
 Components need no pair whose two sides are already joined, so the product is taken in blocks:
  - documents with equal sets are one row (their class), however many they are;
- - hub rounds: in each column and size band every class meets only the column's hub, and each class is checked
-   against the hub it shares most with; columns whose classes have all become one component drop out;
- - last, the columns that still hold several components are multiplied in full across components.
-No column or pair is capped. A class is checked against its hub in blocks of a hub's classes, so that a hub of a
-third of all rows is spread over tasks.
+ - hub rounds: in each column and size band every class meets only the column's hub, the class that has fewest rarer
+   shingles of its own, and is checked against the hub it shares most with; each round takes hubs that were none
+   before, until a round finds no link or HUB_ROUNDS are over; what they find is contracted to components;
+ - last, the blocks of a column are the components in it: each is multiplied with the others, never with itself,
+   and only where a size band says that the places can be in both prefixes.
+No column or pair is capped. Pairs are checked in blocks of a hub's classes, so that a hub of a third of all rows is
+spread over tasks; a task passes over pairs that its earlier links already connect.
 """
 
 from __future__ import annotations
 
 import hashlib
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +41,19 @@ NEAR_WORDS, NEAR_PERCENT = 5, 80
 SKETCH, SKETCH_PAGE = 1 << 20, 1 << 14
 LEVEL_SHIFT = 59
 HUB_ROUNDS = 2
+#: 64-bit words of parities that a set has at least, a power of 2; larger sets have a word for each 64 shingles.
+PARITY_WORDS = 8
+#: Words of them (a power of 2) that go along in the last product, which is tested against the others after it.
+CROSS_WORDS = 2
+#: Size bands of the last product between the smallest and the largest size that a set can link with.
+BANDS = 4
 #: Classes checked against one hub in one block.
 BLOCK_ROWS = 64
-#: Bits of the filter that tells a scan which documents' sets are wanted (its size, whatever the input).
-WANTED_BITS = 1 << 24
+#: Bits for each id, and in all at most, of the filter that tells a scan which documents' sets are wanted. It only
+#: saves work: beyond that size more sets pass, and the join that follows drops them.
+WANTED_BITS_A_ROW, MOST_WANTED_BITS, WANTED_PAGE = 16, 1 << 27, 1 << 19
+#: Characters of text whose sets a task holds at a time, and bytes of sets that it compares at a time.
+SLICE_CHARS, SLICE_BYTES = 1 << 21, 1 << 22
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -70,13 +85,24 @@ def levels_of(sketch: np.ndarray) -> np.ndarray:
     return np.minimum(np.frexp((sketch // usual).astype(np.float64))[1], 31).astype(np.uint8)
 
 
+def _slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about so many characters or bytes in a column, one row at least."""
+    sizes = np.cumsum([len(x.as_py() or "") for x in batch.column(column)]) if batch.num_rows else []
+    start = 0
+    while start < batch.num_rows:
+        before = sizes[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(sizes, before + most, "right")))
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def _sketch_rows(size: int):
     def run(batches):
-        total = np.zeros(SKETCH, np.int64)
+        total = np.zeros(SKETCH, np.uint32)
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                h = np.concatenate([shingles(t.as_py(), size) for t in batch.column(0).slice(at, 2000)])
-                total += np.bincount((h & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
+            for part in _slices(batch, 0, SLICE_CHARS):
+                cells, n = np.unique(np.concatenate([shingles(t.as_py(), size) for t in part.column(0)]) & np.uint64(SKETCH - 1), return_counts=True)
+                total[cells.astype(np.int64)] += n.astype(np.uint32)
         pages = [(n, total[n * SKETCH_PAGE : (n + 1) * SKETCH_PAGE]) for n in range(SKETCH // SKETCH_PAGE)]
         used = [(n, p) for n, p in pages if p.any()]
         yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in used], pa.int32()), pa.array([p.astype("<u4").tobytes() for _, p in used], pa.binary())], ["page", "counts"])
@@ -107,6 +133,24 @@ def _key(ranked_set: np.ndarray) -> bytes:
     return hashlib.blake2b(ranked_set.tobytes(), digest_size=16).digest()
 
 
+def parity(ranked_set: np.ndarray) -> np.ndarray:
+    """For each hash cell whether the set has an odd number of shingles in it, as bits of signed 64-bit words."""
+    words = max(PARITY_WORDS, 1 << (len(ranked_set) // 64).bit_length())
+    odd = np.bincount((ranked_set & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def folded(parity: Column, words: Column) -> Column:
+    """The parities in so many words (a power of 2) of a set's own, which are as many or more."""
+    word = lambda k: F.aggregate(F.sequence(k, F.size(parity) - 1, words), F.lit(0).cast("long"), lambda a, at: a.bitwiseXOR(F.get(parity, at)))
+    return F.transform(F.sequence(F.lit(0), words - 1), word)
+
+
+def _can_link(n: Column, m: Column, differ: Column, percent: int) -> Column:
+    """Whether sets of n and m shingles that differ in so many at least can overlap in a."""
+    return (100 + percent) * differ <= (100 - percent) * (n + m)
+
+
 def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1
 
@@ -115,46 +159,49 @@ def _prefixes(sketch, size: int, percent: int):
     def run(batches):
         counts = sketch.value
         for batch in batches:
-            sets = [ranked(t.as_py(), counts, size) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_key(s) for s in sets], pa.binary()),
-                 pa.array([s[: prefix_length(len(s), percent)].view(np.int64) if len(s) else [] for s in sets], pa.list_(pa.int64()))],
-                ["doc_id", "n", "set_key", "prefix"],
-            )
+            for part in _slices(batch, 1, SLICE_CHARS):
+                sets = [ranked(t.as_py(), counts, size) for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_key(s) for s in sets], pa.binary()),
+                     pa.array([s[: prefix_length(len(s), percent)].view(np.int64) if len(s) else [] for s in sets], pa.list_(pa.int64())),
+                     pa.array([parity(s) for s in sets], pa.list_(pa.int64()))],
+                    ["doc_id", "n", "set_key", "prefix", "parity"],
+                )
 
     return run
 
 
-def _place(doc_id: int | None) -> int:
-    return zlib.crc32(repr(doc_id).encode()) % WANTED_BITS
+def _place(doc_id: int | None, bits: int) -> int:
+    return zlib.crc32(repr(doc_id).encode()) % bits
 
 
 def _wanted_sets(sketch, wanted, size: int):
-    """The sets of documents that the filter lets through, each set once a batch."""
+    """The sets of documents that the filter lets through."""
 
     def run(batches):
         counts, bits = sketch.value, wanted.value
         for batch in batches:
-            keys, sets = [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                p = _place(doc_id)
-                if bits[p >> 3] >> (p & 7) & 1:
-                    sets.append(ranked(text.as_py(), counts, size))
-                    keys.append(_key(sets[-1]))
-            first = {k: n for n, k in reversed(list(enumerate(keys)))}
-            yield pa.RecordBatch.from_arrays([pa.array(list(first), pa.binary()), pa.array([sets[n].tobytes() for n in first.values()], pa.binary())], ["set_key", "set"])
+            places = [_place(doc_id, 8 * len(bits)) for doc_id in batch.column(0).to_pylist()]
+            let_through = pa.array([bool(bits[p >> 3] >> (p & 7) & 1) for p in places], pa.bool_())
+            for part in _slices(batch.select([1]).filter(let_through), 0, SLICE_CHARS):
+                sets = [ranked(t.as_py(), counts, size) for t in part.column(0)]
+                yield pa.RecordBatch.from_arrays([pa.array([_key(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["set_key", "set"])
 
     return run
 
 
-def _filter_pages(batches):
-    page = 1 << 19
-    pages: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for doc_id in batch.column(0).to_pylist():
-            p = _place(doc_id)
-            pages.setdefault(p // page, np.zeros(page // 8, np.uint8))[p % page // 8] |= 1 << (p & 7)
-    yield pa.RecordBatch.from_arrays([pa.array(list(pages), pa.int32()), pa.array([x.tobytes() for x in pages.values()], pa.binary())], ["page", "bits"])
+def _filter_pages(bits: int):
+    page = min(WANTED_PAGE, bits)
+
+    def run(batches):
+        pages: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for doc_id in batch.column(0).to_pylist():
+                p = _place(doc_id, bits)
+                pages.setdefault(p // page, np.zeros(page // 8, np.uint8))[p % page // 8] |= 1 << (p & 7)
+        yield pa.RecordBatch.from_arrays([pa.array(list(pages), pa.int32()), pa.array([x.tobytes() for x in pages.values()], pa.binary())], ["page", "bits"])
+
+    return run
 
 
 def _or_pages(rows: pa.Table) -> pa.Table:
@@ -162,47 +209,71 @@ def _or_pages(rows: pa.Table) -> pa.Table:
     return pa.table({"page": rows.column("page")[:1], "bits": pa.array([total.tobytes()], pa.binary())})
 
 
-def _wanted_filter(ids: DataFrame) -> np.ndarray:
-    out, page = np.zeros(WANTED_BITS // 8, np.uint8), (1 << 19) // 8
-    pages = ids.mapInArrow(_filter_pages, "page int, bits binary").groupBy("page").applyInArrow(_or_pages, "page int, bits binary")
+def _wanted_filter(ids: DataFrame, n: int) -> np.ndarray:
+    bits = min(MOST_WANTED_BITS, 1 << max(16, (WANTED_BITS_A_ROW * n - 1).bit_length()))
+    out, page = np.zeros(bits // 8, np.uint8), min(WANTED_PAGE, bits) // 8
+    pages = ids.mapInArrow(_filter_pages(bits), "page int, bits binary").groupBy("page").applyInArrow(_or_pages, "page int, bits binary")
     for row in pages.toLocalIterator():
         out[row.page * page : (row.page + 1) * page] = np.frombuffer(row.bits, np.uint8)
     return out
 
 
+class _Joined:
+    """Which nodes the links of a task connect."""
+
+    def __init__(self):
+        self.above: dict[int, int] = {}
+
+    def top(self, node: int) -> int:
+        while (up := self.above.get(node, node)) != node:
+            self.above[node] = self.above.get(up, up)
+            node = up
+        return node
+
+    def join(self, a: int, b: int) -> None:
+        self.above[self.top(a)] = self.top(b)
+
+
 def _overlaps(percent: int):
-    """Rows (hub, block, a, set) sorted by hub and block, each block led by the hub's own set (a is null): links."""
+    """Rows (hub, block, a, set) sorted by hub and block, each block led by the hub's own set (a is null): links.
+
+    A link between two nodes that earlier links of the task already connect is left out.
+    """
 
     def run(batches):
         hub = block = hub_set = None
+        joined = _Joined()
         for batch in batches:
-            found_a, found_hub = [], []
-            for h, b, a, raw in zip(*(batch.column(n).to_pylist() for n in range(4))):
-                values = np.frombuffer(raw, np.uint64)
-                if a is None:
-                    hub, block, hub_set = h, b, values
-                    continue
-                assert (hub, block) == (h, b), "a hub's set leads each of its blocks"
-                at = np.searchsorted(hub_set, values)
-                at[at == len(hub_set)] = 0
-                both = int((hub_set[at] == values).sum())
-                if 100 * both >= percent * (len(values) + len(hub_set) - both):
-                    found_a.append(a)
-                    found_hub.append(h)
-            yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_hub, pa.int64())], ["a", "b"])
+            for part in _slices(batch, 3, SLICE_BYTES):
+                found = []
+                for h, b, a, raw in zip(*(part.column(n).to_pylist() for n in range(4))):
+                    if a is None:
+                        hub, block, hub_set = h, b, np.frombuffer(raw, np.uint64)
+                        continue
+                    assert (hub, block) == (h, b), "a hub's set leads each of its blocks"
+                    if joined.top(a) == joined.top(h):
+                        continue
+                    values = np.frombuffer(raw, np.uint64)
+                    at = np.searchsorted(hub_set, values)
+                    at[at == len(hub_set)] = 0
+                    both = int((hub_set[at] == values).sum())
+                    if 100 * both >= percent * (len(values) + len(hub_set) - both):
+                        joined.join(a, h)
+                        found.append((a, h))
+                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([h for _, h in found], pa.int64())], ["a", "b"])
 
     return run
 
 
 def _checked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, sketch, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that are links; written."""
+    """The pairs (a, b) of classes that are links, enough of them to connect what all of them connect; written."""
     spark = docs.sparkSession
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    known = classes.join(nodes, "node", "left_semi").select("node", "set_key", "min_id")
-    wanted = spark.sparkContext.broadcast(_wanted_filter(known.select("min_id")))
+    known = written(classes.join(nodes, "node", "left_semi").select("node", "set_key", "min_id"), "join-known")
+    wanted = spark.sparkContext.broadcast(_wanted_filter(known.select("min_id"), known.count()))
     sets = docs.select("doc_id", "text").mapInArrow(_wanted_sets(sketch, wanted, size), "set_key binary, set binary")
-    # several tasks may have met the same set
-    sets = written(known.join(sets.dropDuplicates(["set_key"]), "set_key").select("node", "set"), "join-sets")
+    # several rows may have had the same set
+    sets = written(known.join(sets, "set_key").dropDuplicates(["node"]).select("node", "set"), "join-sets")
     # the block of a pair is drawn by its own side: about BLOCK_ROWS rows for a hub of any size
     sizes = pairs.groupBy("b").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
     sized = pairs.join(sizes, "b").withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")))
@@ -234,20 +305,18 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.drop("old")
 
 
-def _fits(n: Column, m: Column, percent: int) -> Column:
-    """Sizes whose sets can reach the bound at all."""
-    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
+def _near_in_size(n: Column, i: Column, m: Column, percent: int) -> Column:
+    """Whether place i (from 0) of a set of n is in its prefix for sets of m: a <= n - i."""
+    return percent * (n + m) <= (100 + percent) * (n - i)
 
 
-def _reaches(n: Column, n_last: Column, m: Column, m_last: Column, so_far: Column, percent: int) -> Column:
-    """Whether the overlap so far (of the prefixes) and all that may follow can reach the bound.
+def _reaches(n: Column, i: Column, m: Column, j: Column, so_far: Column, percent: int) -> Column:
+    """Whether the overlap so far and all that may follow can reach the bound.
 
-    n_last and m_last are the prefixes' last shingles. Nothing that the other side lists after the prefix that ends
-    first is in that prefix, so only what its own set has left can still be shared; the other's prefix limits nothing.
+    i and j are the places of the last shingle that both prefixes hold. Whatever else the sets share stands after it in
+    both: before it, it would be in both prefixes and counted.
     """
-    rest = lambda x: F.ceil(x * percent / 100).cast("long") - 1
-    left = F.when(n_last < m_last, rest(n)).when(n_last > m_last, rest(m)).otherwise(F.least(rest(n), rest(m)))
-    return F.least(so_far + left, n, m) * (100 + percent) >= percent * (n + m)
+    return percent * (n + m) <= (100 + percent) * (so_far + F.least(n - i, m - j) - 1)
 
 
 def _several(postings: DataFrame, labels: DataFrame) -> DataFrame:
@@ -257,6 +326,54 @@ def _several(postings: DataFrame, labels: DataFrame) -> DataFrame:
     return own.join(many, "gram", "left_semi")
 
 
+def _hub_pairs(block: DataFrame, used: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b): each class and the hub it shares most with, of those that it may link with."""
+    free = block.join(used, block["node"] == used["hub"], "left_anti")
+    rank = F.struct("i", "node")
+    hubs = free.groupBy("gram", "band").agg(F.min(rank)["node"].alias("b"), F.min_by("n", rank).alias("m"), F.min("i").alias("j"), F.min_by("comp", rank).alias("other"))
+    n, i, m, j = (F.col(c) for c in "nimj")
+    met = block.join(hubs, ["gram", "band"]).where((F.col("comp") != F.col("other")) & _near_in_size(n, i, m, percent) & _near_in_size(m, j, n, percent))
+    met = met.groupBy("node", "b").agg(F.count("*").alias("count"), *(F.max(c).alias(c) for c in "nimj"))
+    # what is left out here, as it may share more than it shares as the hub's, is met in the last product
+    met = met.where(_reaches(n, i, m, j, F.col("count"), percent))
+    return met.groupBy(F.col("node").alias("a")).agg(F.max_by("b", F.struct("count", "b")).alias("b"))
+
+
+def _alike(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose parities let them link."""
+    side = lambda node, size, own: classes.select(F.col("node").alias(node), F.col("n").alias(size), F.col("parity").alias(own))
+    both = pairs.join(side("a", "n", "pa"), "a").join(side("b", "m", "pb"), "b")
+    words = F.least(F.size("pa"), F.size("pb"))
+    short = lambda c: F.when(F.size(c) == words, F.col(c)).otherwise(folded(F.col(c), words))
+    differ = F.aggregate(F.zip_with(short("pa"), short("pb"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+    return both.where(_can_link(F.col("n"), F.col("m"), differ, percent)).select("a", "b")
+
+
+def _pairs_across(block: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes of different components that may link: a is the smaller set."""
+    n, i, m, j = (F.col(c) for c in "nimj")
+    step = -np.log(percent / 100) / BANDS
+    band = lambda size: F.floor(F.log(size.cast("double")) / float(step))
+    small = block.select("gram", F.col("comp").alias("one"), F.col("node").alias("a"), F.col("n").alias("m"), F.col("i").alias("j"))
+    small = small.where(_near_in_size(m, j, m, percent)).withColumn("band", band(m))
+    least, most = F.ceil(n * percent / 100), F.least(n, F.floor((100 + percent) * (n - i) / percent) - n)
+    large = block.select("gram", F.col("comp").alias("two"), F.col("node").alias("b"), "n", "i").where(least <= most)
+    large = large.withColumn("band", F.explode(F.sequence(band(least), band(most))))
+    blocks = small.select("gram", "band", "one").distinct().join(large.select("gram", "band", "two").distinct(), ["gram", "band"])
+    blocks = written(blocks.where("one != two"), "join-blocks")
+    # parities go only with what is multiplied
+    words = range(CROSS_WORDS)
+    parities = classes.select("node", folded(F.col("parity"), F.lit(CROSS_WORDS)).alias("parity"))
+    with_parity = lambda rows, node, name: rows.join(parities, rows[node] == parities["node"]).select(*rows.columns, *(F.get("parity", F.lit(k)).alias(f"{name}{k}") for k in words))
+    small = with_parity(small.join(blocks, ["gram", "band", "one"], "left_semi"), "a", "p")
+    large = with_parity(large.join(blocks, ["gram", "band", "two"], "left_semi"), "b", "q")
+    differ = sum((F.bit_count(F.col(f"p{k}").bitwiseXOR(F.col(f"q{k}"))) for k in words), F.lit(0))
+    met = blocks.join(small, ["gram", "band", "one"]).join(large, ["gram", "band", "two"])
+    met = met.where(_can_link(n, m, differ, percent) & _near_in_size(n, i, m, percent) & _near_in_size(m, j, n, percent) & ((m < n) | (m == n) & (F.col("a") < F.col("b"))))
+    met = met.groupBy("a", "b").agg(F.count("*").alias("count"), *(F.max(c).alias(c) for c in "nimj"))
+    return met.where(_reaches(n, i, m, j, F.col("count"), percent)).select("a", "b")
+
+
 def near_components(docs: DataFrame, size: int = WORDS_A_SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_shingles, class_size, component_id.
 
@@ -268,44 +385,36 @@ def near_components(docs: DataFrame, size: int = WORDS_A_SHINGLE, percent: int =
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = spark.sparkContext.broadcast(levels_of(count_sketch(docs, size)))
-    rows = written(docs.mapInArrow(_prefixes(sketch, size, percent), "doc_id long, n long, set_key binary, prefix array<long>"), "join-rows")
-    classes = rows.where("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("min_id"), F.count("*").alias("class_size"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    rows = written(docs.mapInArrow(_prefixes(sketch, size, percent), "doc_id long, n long, set_key binary, prefix array<long>, parity array<long>"), "join-rows")
+    classes = rows.where("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("min_id"), F.count("*").alias("class_size"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("parity").alias("parity"))
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "join-classes")
 
-    # shingles are unsigned: with the top bit turned over they compare as such
-    last = F.element_at("prefix", -1).bitwiseXOR(F.lit(-(2**63)))
-    postings = classes.select(F.explode("prefix").alias("gram"), "node", "n", last.alias("last"))
+    band = F.floor(F.log(F.col("n").cast("double")) / float(-np.log(percent / 100)))
+    postings = classes.select(F.posexplode("prefix").alias("i", "gram"), "node", "n", band.alias("band")).withColumn("i", F.col("i").cast("long"))
     shared = postings.groupBy("gram").count().where("count > 1").select("gram")
     postings = written(postings.join(shared, "gram", "left_semi"), "join-postings")
 
     links = spark.createDataFrame([], "a long, b long")
     labels = spark.createDataFrame([], "node long, label long")
-    for turn in range(HUB_ROUNDS):
-        block = _several(postings, labels).withColumn("band", F.floor(F.log(F.col("n").cast("double")) / float(-np.log(percent / 100))))
-        pick, by = (F.max, F.max_by) if turn % 2 else (F.min, F.min_by)
-        hubs = block.groupBy("gram", "band").agg(pick("node").alias("b"), by("n", "node").alias("m"), by("last", "node").alias("m_last"), by("comp", "node").alias("other"))
-        met = block.join(hubs, ["gram", "band"]).where((F.col("comp") != F.col("other")) & _fits(F.col("n"), F.col("m"), percent))
-        met = met.groupBy("node", "n", "last", "b", "m", "m_last").count()
-        # what is left out here, as it may share more than it shares as the hub's, is met in the last product
-        met = met.where(_reaches(F.col("n"), F.col("last"), F.col("m"), F.col("m_last"), F.col("count"), percent))
-        pairs = met.groupBy(F.col("node").alias("a")).agg(F.max_by("b", F.struct("count", "b")).alias("b"))
-        found = _checked(docs, classes, written(pairs, "join-pairs"), sketch, size, percent)
+    used = spark.createDataFrame([], "hub long")
+    for _ in range(HUB_ROUNDS):
+        pairs = written(_alike(_hub_pairs(_several(postings, labels), used, percent), classes, percent), "join-pairs")
+        if pairs.isEmpty():
+            break
+        used = written(used.union(pairs.select("b")).distinct(), "join-used")
+        found = _checked(docs, classes, pairs, sketch, size, percent)
+        if found.isEmpty():
+            break
         links = written(links.unionByName(found), "join-links")
         labels = components(links)
 
-    left = _several(postings, labels)
-    one, two = left.alias("one"), left.alias("two")
-    across = (F.col("one.node") < F.col("two.node")) & (F.col("one.comp") != F.col("two.comp")) & _fits(F.col("one.n"), F.col("two.n"), percent)
-    pairs = one.join(two, (F.col("one.gram") == F.col("two.gram")) & across)
-    sides = [F.first(f"{side}.{c}").alias(name) for side, c, name in (("one", "n", "n"), ("one", "last", "n_last"), ("two", "n", "m"), ("two", "last", "m_last"))]
-    pairs = pairs.groupBy(F.col("one.node").alias("a"), F.col("two.node").alias("b")).agg(F.count("*").alias("so_far"), *sides)
-    reach = _reaches(F.col("n"), F.col("n_last"), F.col("m"), F.col("m_last"), F.col("so_far"), percent)
-    pairs = written(pairs.where(reach).select("a", "b"), "join-pairs")
+    pairs = written(_alike(_pairs_across(_several(postings, labels), classes, percent), classes, percent), "join-pairs")
     if not pairs.isEmpty():
         labels = components(links.unionByName(_checked(docs, classes, pairs, sketch, size, percent)))
 
     joined = classes.join(labels, "node", "left").select("set_key", "min_id", "class_size", F.coalesce("label", "node").alias("label"))
-    least = joined.groupBy("label").agg(F.min("min_id").alias("component_id"))
+    # written, so that the join below has a plain shuffle on both sides and a large component can be split
+    least = written(joined.groupBy("label").agg(F.min("min_id").alias("component_id")), "join-least")
     by_key = joined.join(least, "label").select("set_key", "class_size", "component_id")
     return rows.join(by_key, "set_key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_size", F.lit(1)).alias("class_size"), F.coalesce("component_id", "doc_id").alias("component_id"))
 

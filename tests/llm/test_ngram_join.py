@@ -1,5 +1,9 @@
 import random
 
+import numpy as np
+from pyspark.sql import functions as F
+
+from tallyspan.llm import ngram_join
 from tallyspan.llm.ngram_join import near_components, one_of_each, prefix_length
 
 
@@ -91,3 +95,64 @@ def test_prefixes_hold_a_common_shingle():
                 least = -(-85 * (n + m) // 185)
                 assert prefix_length(n) > n - least
                 assert prefix_length(m) > m - least
+
+
+def near_group(n):
+    """Copies of a text that is not among them, with two edits each: most are no near copies of one another."""
+    base = [f"w{random.randrange(10**6)}" for _ in range(100)]
+    return [(k, edited(base, 2)) for k in range(n)]
+
+
+def test_a_large_group_of_borderline_copies(docs, monkeypatch):
+    """Exact, and what is multiplied grows with the group, not with its square."""
+    made, checked = [], ngram_join._checked
+
+    def counted(documents, classes, pairs, *rest):
+        made.append(pairs.count())
+        return checked(documents, classes, pairs, *rest)
+
+    monkeypatch.setattr(ngram_join, "_checked", counted)
+    sums = []
+    for n in (200, 400):
+        random.seed(23)
+        pairs = near_group(n)
+        made.clear()
+        check(docs(*pairs), pairs)
+        sums.append(sum(made))
+        assert sum(made) < 2 * n
+    print("pairs", sums)
+
+
+def test_components_are_multiplied_with_others_only(docs, monkeypatch):
+    """Hundreds of copies of one text link with it; what is left to the last product are few pairs."""
+    random.seed(29)
+    base = [f"w{random.randrange(10**6)}" for _ in range(120)]
+    pairs = [(k, edited(base, random.choice([0, 1, 1, 2, 3, 4, 5]))) for k in range(300)]
+    across = ngram_join._pairs_across
+    made = []
+
+    def counted(*args):
+        made.append(across(*args).count())
+        return across(*args)
+
+    monkeypatch.setattr(ngram_join, "_pairs_across", counted)
+    check(docs(*pairs), pairs)
+    assert made[0] < 300
+
+
+def test_parities_never_differ_more_than_the_sets(spark):
+    random.seed(3)
+    rows = []
+    for _ in range(60):
+        n = random.choice([5, 90, 600, 1500])
+        one = np.array(sorted(random.sample(range(2**60), n)), np.uint64)
+        two = np.array(sorted({*one[: random.randrange(n)].tolist(), *random.sample(range(2**60), random.randrange(1, 3 * n))}), np.uint64)
+        least = len(set(one.tolist()) ^ set(two.tolist()))
+        rows.append((ngram_join.parity(one).tolist(), ngram_join.parity(two).tolist(), least))
+    frame = spark.createDataFrame(rows, "x array<long>, y array<long>, least int")
+    words = F.least(F.size("x"), F.size("y"))
+    folded = frame.select("x", "y", "least", ngram_join.folded(F.col("x"), words).alias("fx"), ngram_join.folded(F.col("y"), words).alias("fy")).collect()
+    for r in folded:
+        assert len(r.fx) == len(r.fy) and (r.fx == r.x or len(r.x) > len(r.y))
+        differ = sum((a ^ b).bit_count() if a ^ b >= 0 else ((a ^ b) + 2**64).bit_count() for a, b in zip(r.fx, r.fy))
+        assert differ <= r.least and (differ - r.least) % 2 == 0
