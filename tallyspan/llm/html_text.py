@@ -1,11 +1,14 @@
 """Main text of web pages by the maximum-scoring run of words and tags.
 
-A page is a sequence of words, which score above zero, and tags, which score below. The scores are log odds of
-being inside the content, learned from labelled pages: those that mark it themselves with one article or main
-element. One scan finds the contiguous run with the highest sum; inside it, elements that are never article text
-(menus, forms, adverts, comments and so on, by element name or by words of class, id and role) are left out.
-
-Where a page marks its content, words outside the mark score below zero like tags.
+A page is a sequence of words, which score above zero, and tags, which score below. All scores are log odds of being
+inside the content, learned from labelled pages: those that mark it themselves with one article or main element.
+Words inside an element that is no content (a menu, a footer, an advert, a notice) are items of the sequence with a
+score below zero. Which elements those are is learned too: each landmark element and each word of a class, id or role
+is a context with log odds of its own. A list of usual names is only where the counts of a context start from, and
+the page's own mark, where it has one, is a context like the others (UNMARKED).
+
+One linear scan finds the contiguous run with the highest sum. Words of negative contexts inside it, such as an
+advert between two paragraphs, are left out of the text like the tags.
 """
 
 from __future__ import annotations
@@ -22,21 +25,25 @@ from pyspark.sql import functions as F
 
 from tallyspan.llm.common import table
 
-#: Labelled pages that the weights are learned from, and the most tag names that have a weight of their own.
-LABELLED_PAGES, TAG_NAMES = 5_000, 300
-#: Words score at least LEAST and tags at most -LEAST; a learned weight is at most MOST in size, INLINE_MOST for
-#: tags inside a line of text.
-LEAST, MOST, INLINE_MOST = 0.05, 4.0, 1.5
-WORD, LINKED, OTHER = "#word", "#linked", "#tag"
+#: Labelled pages that the weights are learned from.
+LABELLED_PAGES = 5_000
+#: Words score at least LEAST and at most WORD_MOST, tags between -TAG_MOST and -LEAST, contexts within MOST; a context
+#: of TELLING or less makes its words negative, and a run of words in it weighs as much as ITEM_WORDS words at most.
+LEAST, WORD_MOST, TAG_MOST, MOST, TELLING, ITEM_WORDS = 0.05, 1.0, 1.0, 4.0, -1.0, 4
+#: Words outside the content that a usual name is taken to have been seen with before any page.
+PRIOR_WORDS = 30
+WORD, LINKED, OTHER, UNMARKED = "#word", "#linked", "#tag", "#unmarked"
 CONTENT = {"article", "main"}
 RAW = ("script", "style", "noscript", "template", "iframe", "svg", "math", "object", "canvas", "video", "audio", "title", "textarea", "select", "head")
-NEVER = {"nav", "footer", "aside", "form", "button", "menu", "dialog", "label", "fieldset", "datalist", *RAW}
+#: Elements that are contexts by their name.
+LANDMARKS = {"nav", "header", "footer", "aside", "form", "button", "menu", "dialog", "label", "fieldset", "datalist", "section", "figure", "figcaption", "details", "address"}
+USUAL = {"@nav", "@header", "@footer", "@aside", "@form", "@button", "@menu", "@dialog", "@label", "@fieldset", "@datalist", UNMARKED}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "rp", "rt", "ruby",
     "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr",
 }
-#: Names in class, id or role that mark what is not article text, as whole words of the name.
+#: Usual names in class, id or role of what is not article text, as whole words of the name.
 NAMES = re.compile(
     r"^(ads?|adverts?|advertisements?|advertising|adsense|adbox|adunit|sponsors?|sponsored|promos?|promotions?|banners?|sidebars?|side|aside|complementary|navs?|navbars?|navigation|menus?|breadcrumbs?"
     r"|headers?|masthead|topbar|footers?|contentinfo|cookies?|consent|gdpr|notices?|notifications?|alerts?|popups?|modals?|overlays?|comments?|disqus|respond|replies|reply|discussion|share|sharing|social"
@@ -69,83 +76,117 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
         yield "text", page[at:], ""
 
 
-def unwanted(name: str, attributes: str, in_content: bool) -> bool:
-    if name in NEVER or name == "header" and not in_content:
-        return True
-    if name in CONTENT or name in ("html", "body") or not attributes:
-        return False
+def contexts_of(name: str, attributes: str, in_content: bool) -> tuple[list[str], bool]:
+    """What an element says of the words in it, and whether it is hidden."""
+    found = [f"@{name}"] if name in LANDMARKS and not (name == "header" and in_content) else []
+    if not attributes or name in CONTENT or name in ("html", "body"):
+        return found, False
     for key, value in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-        if key in ("class", "id", "role") and any(NAMES.match(word) for word in re.split(r"[\s_-]+", value)):
-            return True
-    return False
+            return found, True
+        if key in ("class", "id", "role"):
+            found += [f".{word}" for word in re.split(r"[\s_-]+", value) if word]
+    return found, False
+
+
+def is_usual(context: str) -> bool:
+    return context in USUAL or bool(NAMES.match(context[1:]) if context[0] == "." else False)
 
 
 class Item:
-    """A run of words or a tag, with where it stands."""
+    """A run of words or a tag, with where it stands: frame is the innermost open element's number."""
+
+    __slots__ = ("frame", "kind", "linked", "marked", "name", "words")
+
+    def __init__(self, kind, name, words, marked, linked, frame):
+        self.kind, self.name, self.words, self.marked, self.linked, self.frame = kind, name, words, marked, linked, frame
 
-    __slots__ = ("kind", "linked", "marked", "name", "skipped", "words")
 
-    def __init__(self, kind, name, words, marked, skipped, linked):
-        self.kind, self.name, self.words, self.marked, self.skipped, self.linked = kind, name, words, marked, skipped, linked
+#: What ends an open paragraph, and items that end one of their own kind.
+BLOCKS = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
+SELF_ENDING = {"p", "li", "dd", "dt"}
 
 
-def items(page: str) -> list[Item]:
-    """The page's sequence; text keeps its character references decoded. skipped: inside an unwanted element."""
+def items(page: str) -> tuple[list[Item], list[tuple[int, list[str]]]]:
+    """The page's sequence, references decoded, raw and hidden elements left out; and the frames: (parent, contexts)."""
     out: list[Item] = []
-    marks = links = depth = 0
-    skip = ""  # the unwanted element's name, open so many times
-    opened: list[str] = []
-    listed = list(tokens(page))
-    closes = Counter(name for kind, name, _ in listed if kind == "close")
-    for kind, name, attributes in listed:
+    frames: list[tuple[int, list[str]]] = [(-1, [])]
+    opened: list[tuple[str, int, bool]] = []  # name, frame, hidden
+    blocks: list[int] = []  # places in opened of what is not inline
+    open_of: Counter = Counter()
+    hidden = 0
+
+    def close_to(place: int):
+        nonlocal hidden
+        for name, _, hides in opened[place:]:
+            open_of[name] -= 1
+            hidden -= hides
+        del opened[place:]
+        while blocks and blocks[-1] >= place:
+            blocks.pop()
+
+    def add(kind, name, words=0):
+        if not hidden:
+            marked = any(open_of[c] > 0 for c in CONTENT)
+            out.append(Item(kind, name, words, marked, open_of["a"] > 0, opened[-1][1] if opened else 0))
+
+    for kind, name, attributes in tokens(page):
         if kind == "text":
             text = html.unescape(name)
-            out.append(Item("text", text, len(text.split()), marks > 0, bool(skip), links > 0))
-            continue
-        if kind == "open":
-            void = name in VOID or attributes.endswith("/")
-            if skip and name == skip and name in ("p", "li", "dd", "dt"):
-                skip = ""  # the next one ends it
-            if skip:
-                depth += name == skip and not void
-            elif not void and unwanted(name, attributes, marks > 0) and (closes[name] or name in ("p", "li", "dd", "dt")):
-                skip, depth = name, 1
-            if not skip:
-                marks += name in CONTENT
-                links += name == "a"
-        else:
-            closes[name] -= 1
-            if skip:
-                depth -= name == skip
-                if depth <= 0:
-                    out.append(Item("tag", name, 0, marks > 0, True, False))
-                    skip = ""
-                    continue
-            else:
-                marks = max(0, marks - (name in CONTENT))
-                links = max(0, links - (name == "a"))
-        out.append(Item("tag", name, 0, marks > 0, bool(skip), False))
+            add("text", text, len(text.split()))
+        elif kind == "open":
+            if name in RAW:
+                continue
+            if blocks and (opened[blocks[-1]][0] == "p" and name in BLOCKS or opened[blocks[-1]][0] == name and name in SELF_ENDING):
+                close_to(blocks[-1])
+            add("tag", name)
+            if name in VOID or attributes.endswith("/"):
+                continue
+            found, hides = contexts_of(name, attributes, any(open_of[c] > 0 for c in CONTENT))
+            frame = opened[-1][1] if opened else 0
+            if found:
+                frames.append((frame, found))
+                frame = len(frames) - 1
+            if name not in INLINE:
+                blocks.append(len(opened))
+            opened.append((name, frame, hides))
+            open_of[name] += 1
+            hidden += hides
+        elif name not in RAW:
+            if open_of[name]:
+                close_to(next(k for k in range(len(opened) - 1, -1, -1) if opened[k][0] == name))
+            add("tag", name)
+    return out, frames
+
+
+def has_mark(sequence: list[Item]) -> bool:
+    return any(x.marked and x.words for x in sequence)
+
+
+def lows(frames: list[tuple[int, list[str]]], weights: dict[str, float]) -> list[float]:
+    """For each frame the most negative weight of a context that its words are in; 0 if none is telling."""
+    out: list[float] = []
+    for parent, found in frames:
+        least = min((w for c in found if (w := weights.get(c, -MOST if is_usual(c) else 0.0)) <= TELLING), default=0.0)
+        out.append(min(least, out[parent] if parent >= 0 else 0.0))
     return out
 
 
-def feature(item: Item) -> str:
-    return (LINKED if item.linked else WORD) if item.kind == "text" else item.name
-
-
-def scores(page_items: list[Item], weights: dict[str, float]) -> list[float]:
-    has_mark = any(x.marked and x.words and not x.skipped for x in page_items)
-    out = []
-    for x in page_items:
-        w = weights.get(feature(x), weights.get(OTHER, -1.0))
-        if x.skipped or x.kind == "tag" and has_mark and x.marked:
-            w = -LEAST  # left out of the text anyway; or the page's own mark says more than a tag's name
-        elif x.kind == "text":
-            w = x.words * (-abs(w) if has_mark and not x.marked else abs(w))
-        out.append(w)
-    return out
+def scores(sequence: list[Item], frames: list[tuple[int, list[str]]], weights: dict[str, float]) -> tuple[list[float], list[bool]]:
+    """Each item's score, and whether its words are in a negative context."""
+    low, unmarked = lows(frames, weights), weights.get(UNMARKED, -MOST) if has_mark(sequence) else 0.0
+    out, negative = [], []
+    for x in sequence:
+        context = min(low[x.frame], 0.0 if x.marked else unmarked)
+        if x.kind == "tag":
+            out.append(weights.get(x.name, weights.get(OTHER, -0.5)))
+        elif context <= TELLING:
+            out.append(context / MOST * min(x.words, ITEM_WORDS))
+        else:
+            out.append(x.words * weights.get(LINKED if x.linked else WORD, WORD_MOST))
+        negative.append(context <= TELLING)
+    return out, negative
 
 
 def best_run(values: list[float]) -> tuple[int, int]:
@@ -162,54 +203,98 @@ def best_run(values: list[float]) -> tuple[int, int]:
 
 def main_text(page: str | None, weights: dict[str, float]) -> str:
     """The blocks of the best run, white space as one space, joined by one space."""
-    sequence = items(page or "")
-    start, end = best_run(scores(sequence, weights))
+    sequence, frames = items(page or "")
+    values, negative = scores(sequence, frames, weights)
+    start, end = best_run(values)
     parts: list[str] = []
-    for x in sequence[start:end]:
+    for x, left_out in zip(sequence[start:end], negative[start:end]):
         if x.kind == "tag":
             if x.name not in INLINE:
                 parts.append(" ")
-        elif not x.skipped:
+        elif not left_out:
             parts.append(x.name)
     return " ".join("".join(parts).split())
 
 
-def _evidence(batches):
-    """Per task: how often each feature is inside and outside the content of labelled pages."""
-    inside, outside = Counter(), Counter()
-    for batch in batches:
-        for page in batch.column(0):
-            sequence = items(page.as_py() or "")
-            if sum(x.name in CONTENT and x.kind == "tag" for x in sequence) in (1, 2):  # one element
-                for x in sequence:
-                    if not (x.kind == "tag" and x.name in CONTENT):
-                        (inside if x.marked and not x.skipped else outside)[feature(x)] += x.words if x.kind == "text" else 1
-    names = list(inside | outside)
-    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([inside[n] for n in names], pa.int64()), pa.array([outside[n] for n in names], pa.int64())], ["feature", "inside", "outside"])
+def _evidence(contexts: dict[str, float] | None):
+    """Per task: how often each context (or, once these are known, each kind of word and tag in no negative one) is
+    inside and outside the content of labelled pages."""
 
-
-def learn_weights(pages: DataFrame, id_col: str = "page_id") -> dict[str, float]:
-    """Scores of words, linked words and tag names, from LABELLED_PAGES pages (those first in the order of a hash)."""
+    def run(batches):
+        inside, outside = Counter(), Counter()
+        for batch in batches:
+            for page in batch.column(0):
+                sequence, frames = items(page.as_py() or "")
+                if sum(x.name in CONTENT and x.kind == "tag" for x in sequence) not in (1, 2):  # one element
+                    continue
+                if contexts is None:
+                    _count_contexts(sequence, frames, inside, outside)
+                else:
+                    low = lows(frames, contexts)
+                    for x in sequence:
+                        if low[x.frame] > TELLING and not (x.kind == "tag" and x.name in CONTENT):
+                            feature = x.name if x.kind == "tag" else LINKED if x.linked else WORD
+                            (inside if x.marked else outside)[feature] += x.words if x.kind == "text" else 1
+        names = list(inside | outside)
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([inside[n] for n in names], pa.int64()), pa.array([outside[n] for n in names], pa.int64())], ["feature", "inside", "outside"])
+
+    return run
+
+
+def _count_contexts(sequence, frames, inside: Counter, outside: Counter) -> None:
+    words = [[0, 0] for _ in frames]
+    for x in sequence:
+        words[x.frame][x.marked] += x.words
+    outside[UNMARKED] += sum(w[0] for w in words)
+    inside[WORD] += sum(w[1] for w in words)
+    outside[WORD] += sum(w[0] for w in words)
+    for k in range(len(frames) - 1, 0, -1):  # inner frames come after outer ones
+        parent, found = frames[k]
+        for c in set(found):
+            outside[c] += words[k][0]
+            inside[c] += words[k][1]
+        words[parent][0] += words[k][0]
+        words[parent][1] += words[k][1]
+
+
+def learn_weights(pages: DataFrame, id_col: str = "page_id", usual: bool = True) -> dict[str, float]:
+    """Scores of words, linked words, tags and contexts, from LABELLED_PAGES pages (those first in the order of a hash).
+
+    usual: whether usual names begin with PRIOR_WORDS words outside the content; without it a context that no page has
+    is none. The driver gets the features of those pages alone.
+    """
     n = pages.count()
     share = min(1.0, LABELLED_PAGES / max(1, n))
     band = (F.xxhash64(id_col).cast("double") / float(2**64) + 0.5) < share
-    found = pages.where(F.coalesce(band, F.lit(True))).select("html").mapInArrow(_evidence, "feature string, inside long, outside long")
-    rows = found.groupBy("feature").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside")).orderBy(F.desc(F.col("inside") + F.col("outside")), "feature").limit(TAG_NAMES).collect()
-    words = lambda r: r.feature in (WORD, LINKED)
-    totals = {kind: [1 + sum(r[side] for r in rows if words(r) == kind) for side in ("inside", "outside")] for kind in (True, False)}
-    weights = {OTHER: -1.0, WORD: 1.0, LINKED: 0.2}
-    for r in rows:
-        i, o = totals[words(r)]
-        odds = max(-MOST, min(MOST, math.log((r.inside + 0.5) / i) - math.log((r.outside + 0.5) / o)))
-        if r.feature == WORD:
-            weights[WORD] = max(LEAST, odds, 1.0)
-        elif r.feature == LINKED:
-            weights[LINKED] = max(LEAST, min(odds, weights[WORD]))
+    sample = pages.where(F.coalesce(band, F.lit(True))).select("html")
+
+    def counted(contexts: dict[str, float] | None) -> dict[str, tuple[int, int]]:
+        found = sample.mapInArrow(_evidence(contexts), "feature string, inside long, outside long")
+        return {r.feature: (r.i, r.o) for r in found.groupBy("feature").agg(F.sum("inside").alias("i"), F.sum("outside").alias("o")).collect()}
+
+    def odds(inside: float, outside: float, most: float) -> float:
+        return max(-most, min(most, math.log((inside + 0.5) / (outside + 0.5))))
+
+    seen = counted(None)
+    total_in, total_out = (1 + v for v in seen.pop(WORD, (0, 0)))
+    weights = {} if usual else dict.fromkeys(filter(is_usual, _every_name()), 0.0)
+    for c, (i, o) in seen.items():
+        # as if pages had as many words outside as inside
+        weights[c] = odds(i / total_in * 1000, (o + PRIOR_WORDS * (usual and is_usual(c))) / total_out * 1000, MOST)
+    for feature, (i, o) in counted(weights).items():
+        if feature in (WORD, LINKED):
+            weights[feature] = max(LEAST, odds(i, o, WORD_MOST))
         else:
-            weights[r.feature] = min(-LEAST, max(odds, -INLINE_MOST) if r.feature in INLINE else odds)
+            weights[feature] = -LEAST - (TAG_MOST - LEAST) * (o + 0.5) / (i + o + 1)
     return weights
 
 
+def _every_name() -> set[str]:
+    """All usual names, as contexts."""
+    words = re.findall(r"[a-z]+\??", NAMES.pattern)
+    return USUAL - {UNMARKED} | {f".{w.rstrip('?')}" for w in words} | {f".{w[:-2]}" for w in words if w.endswith("?")}
+
+
 def extract(pages: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """Per row of pages (page_id, url, html): page_id, url, text, n_chars.
 

@@ -1,5 +1,9 @@
+import html
+import re
+
 import pytest
 
+from tallyspan.llm import html_text
 from tallyspan.llm.html_text import best_run, extract, learn_weights, main_text
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/a">One</a></li><li><a>Two</a></li></ul></nav>
@@ -44,3 +48,44 @@ def test_rows(spark, weights):
     got = extract(spark.createDataFrame(rows, schema), weights).collect()
     assert sorted(r.n_chars for r in got) == sorted([0, len(main_text(PAGE, weights)), len(main_text(PAGE, weights)), 499_999])
     assert extract(spark.createDataFrame([], schema)).count() == 0
+
+
+def marked_text(page):
+    """By hand: what is between the tags of the page's article element."""
+    body = re.sub(r"</?b>", "", re.search(r"<article>(.*?)</article>", page, re.DOTALL)[1])
+    return " ".join(html.unescape(re.sub(r"<[^>]*>", " ", body)).split())
+
+
+def in_common(a, b):
+    a, b = a.split(), b.split()
+    return len(set(a) & set(b)) / max(1, len(set(a) | set(b)))
+
+
+def test_given_pages_without_mark_and_without_usual_names(spark, monkeypatch):
+    """The scan over learned scores alone finds what the mark says; without the scan it does not."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    known = learn_weights(pages, usual=False)
+    monkeypatch.setattr(html_text, "is_usual", lambda context: False)
+    rows = [r.html for r in pages.collect()]
+    bare = [re.sub(r"</?article>", "", x) for x in rows]
+    assert all(main_text(x, known) == marked_text(x) for x in rows)
+    assert sum(in_common(main_text(b, known), marked_text(x)) for b, x in zip(bare, rows)) >= 0.95 * len(rows)
+    # a line over the menu, shorter than the content, is cut off by the scan alone
+    lines = [(b.replace("<nav>", "<p>A line over the menu.</p><nav>"), marked_text(x)) for b, x in zip(bare, rows) if len(marked_text(x).split()) > 20]
+    assert len(lines) > 20
+    assert all(main_text(b, known) == text for b, text in lines)
+    monkeypatch.setattr(html_text, "best_run", lambda values: (0, len(values)))
+    assert not any(main_text(b, known) == text for b, text in lines)
+
+
+def test_contexts_that_no_list_names_are_learned(spark):
+    page = "<body><div class=zork>Words of a box that has an odd name here.</div><article><p>Text of the page with some more words in it.</p></article></body>"
+    known = learn_weights(spark.createDataFrame([(n, page) for n in range(20)], "page_id long, html string"))
+    other = "<body><p>The first part of another page, which has no mark.</p><div class='a zork'>Words of such a box.</div><p>The second part ends the page, also with words.</p></body>"
+    assert main_text(other, known) == "The first part of another page, which has no mark. The second part ends the page, also with words."
+
+
+def test_deep_and_unclosed_pages_take_linear_time(weights):
+    assert main_text("<div class=x>" * 50_000 + "end of it", weights) == "end of it"
+    assert main_text("<p><b>word" * 50_000, weights).count("word") == 50_000
+    assert main_text("</div>" * 50_000 + "<p>end of it", weights) == "end of it"
