@@ -28,8 +28,6 @@ ORDER = 4
 SAMPLE_CHARS, DOC_CHARS, HELD_ROWS = 1_500_000, 150_000, 100
 #: Ranges of the hash whose characters are summed up to see where a language's sample ends.
 BUCKETS = 1 << 16
-#: Kept n-grams of each order and language; the rarest beyond are left out and count as unseen.
-MOST_NGRAMS = 400_000
 FOLDS, HELD_OUT = 3, 1
 REJECT_QUANTILE, REJECT_MARGIN = 0.999, 1.25
 UNDETERMINED = "und"
@@ -84,8 +82,7 @@ class KneserNey:
             names, where = np.unique(contexts, return_inverse=True)
             total = np.bincount(where, weights=use)
             kinds = np.bincount(where)
-            top = np.argsort(-use, kind="stable")[:MOST_NGRAMS]
-            self.levels.append((Counts(keys[top], use[top]), Counts(names, total), Counts(names, kinds * discount), discount))
+            self.levels.append((Counts(keys, use), Counts(names, total), Counts(names, kinds * discount), discount))
             if order > 1:
                 lower, use = np.unique(runs[:, 1:], axis=0, return_counts=True)
                 runs, use = lower, use.astype(np.float64)
@@ -209,9 +206,7 @@ def fit(labelled: DataFrame) -> Identifier:
     sample = near.withColumn("before", before).where(F.col("before") < SAMPLE_CHARS).withColumns({"turn": F.row_number().over(order), "docs": F.count("*").over(Window.partitionBy("lang"))})
     sample = written(sample.select("text", "lang", (F.col("turn") - F.ceil(F.col("docs") * 9 / 10)).alias("held")), "lid-sample")
     counted = sample.where("held <= 0").select("text", "lang").mapInArrow(_run_counts, "lang string, run binary, n long")
-    totals = counted.groupBy("lang", "run").agg(F.sum("n").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "run"))
-    kept = totals.withColumn("rank", rank).where(F.col("rank") <= MOST_NGRAMS).drop("rank").toPandas()  # at most MOST_NGRAMS rows a language
+    kept = counted.groupBy("lang", "run").agg(F.sum("n").alias("n")).toPandas()  # at most SAMPLE_CHARS runs a language
     languages = sorted(kept["lang"].unique())
     models = []
     for lang in languages:

@@ -37,6 +37,51 @@ def test_probabilities_sum_to_one(found):
         assert (p > 0).all()
 
 
+def plain_kneser_ney(texts, order=L.ORDER):
+    """log2 P(character | those before it) from dictionaries, by the book."""
+    from collections import Counter, defaultdict
+
+    runs = Counter()
+    for t in texts:
+        c = "".join(chr(x) for x in L.symbols(t))
+        c = " " * (order - 1) + c
+        runs.update(c[k : k + order] for k in range(len(c) - order + 1))
+    levels = {order: runs}
+    for n in range(order - 1, 0, -1):
+        levels[n] = Counter(x[1:] for x in levels[n + 1])
+    discount, total, kinds = {}, defaultdict(Counter), defaultdict(Counter)
+    for n, counts in levels.items():
+        ones, twos = sum(v == 1 for v in counts.values()), sum(v == 2 for v in counts.values())
+        discount[n] = ones / (ones + 2 * twos) if ones and twos else 0.5
+        for x, v in counts.items():
+            total[n][x[:-1]] += v
+            kinds[n][x[:-1]] += 1
+
+    def p(run):
+        n = len(run)
+        if n == 0:
+            return 1 / (len(levels[1]) + 1000)
+        lower, context = p(run[1:]), run[:-1]
+        if not total[n][context]:
+            return lower
+        return (max(levels[n][run] - discount[n], 0) + discount[n] * kinds[n][context] * lower) / total[n][context]
+
+    return lambda run: np.log2(p(run))
+
+
+def test_models_equal_plain_dictionaries(spark):
+    texts = [text("fr", 50, n) for n in range(9)]  # fewer than ten documents: all train
+    found = L.fit(spark.createDataFrame([(n, t, "fr") for n, t in enumerate(texts)], "doc_id long, text string, lang string"))
+    plain = plain_kneser_ney(texts)
+    unseen = text("fr", 40, 99) + " quelque chose d’autre: été, jamais vu"
+    chars = "   " + "".join(chr(x) for x in L.symbols(unseen))
+    runs = [chars[k : k + 4] for k in range(len(chars) - 3)]
+    want = [plain(r) for r in runs]
+    got = found.models[0].log2(np.array([[ord(c) for c in r] for r in runs], np.uint32))
+    assert np.allclose(got, want)
+    assert np.allclose(found.entropies([unseen])[0, 0], -np.mean(want))
+
+
 def test_rows(docs, clashing, found):
     rows = clashing(docs((1, None), (2, ""), (3, "12 !?"), (4, "the house"), (4, "the house"), (None, "das haus"), (6, "la maison " * 30_000)))
     got = L.identify(rows, found).collect()
