@@ -6,6 +6,10 @@ hash and written in the form of the place it replaces: punctuation, letter case,
 network, a valid check digit, the gender and script of a name stay. Two people of one surname, or "Mr. Lund" after
 "Mr. Nils Lund", keep that in common.
 
+An address's host is an entity of its own, so that colleagues stay colleagues and two hosts stay two. A phone number
+that begins with + keeps its country code. People are found behind titles, and by their names alone behind the phrases
+of INTRODUCTIONS.
+
 Collision checks: the surrogates of all distinct entities are compared, with each other and with all entities that
 occur; those that meet are drawn again (attempt 1, 2, ...) until none does. Documents then only need the attempts
 that are above 0, joined by entity; everything else follows from key, entity and place.
@@ -20,10 +24,15 @@ from tallyspan.llm.common import table, written
 from tallyspan.llm.quality_rules import let
 
 KEY = "surrogate-key"
-MOST_ATTEMPTS = 64
+#: Draws of an entity until it is given up, and those after which letters are added to a form that may be full.
+MOST_ATTEMPTS, ROOMY_FROM = 64, 8
+#: Country codes: of one digit, of two, else of three (fixed values).
+COUNTRY_CODE = r"^(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 MALE = ("Mr", "Herr", "Señor", "Sr", "Monsieur", "г-н")
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Madame", "Mme", "г-жа")
 NEUTRAL = ("Dr", "Prof")
+#: What a person's name without a title follows, in four languages.
+INTRODUCTIONS = ("my name is ", "My name is ", "ich heiße ", "Ich heiße ", "mein Name ist ", "Mein Name ist ", "je m'appelle ", "Je m'appelle ", "mon nom est ", "Mon nom est ", "me llamo ", "Me llamo ", "mi nombre es ", "Mi nombre es ")
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: Type and pattern, in the order in which they are tried at a place.
 PATTERNS = {
@@ -37,12 +46,13 @@ PATTERNS = {
     "ssn": r"\d{3}-\d{2}-\d{4}(?!\d)",
     "phone": r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)|\(\d{3}\) ?\d{3}[-. ]\d{4}(?!\d)|\d{3}[-. ]\d{3}[-. ]\d{4}(?!\d)",
     "person": rf"(?:{'|'.join(MALE + FEMALE + NEUTRAL)})\.? \p{{Lu}}[\p{{L}}'’-]+(?: \p{{Lu}}[\p{{L}}'’-]+)?",
+    "name": rf"(?<={'|'.join(INTRODUCTIONS)})\p{{Lu}}[\p{{L}}'’-]+(?: \p{{Lu}}[\p{{L}}'’-]+)?",
 }
-BEFORE = r"(?<![\p{L}0-9_.%+-])"
+TITLED = rf"^(?:{'|'.join(MALE + FEMALE + NEUTRAL)})\.? "
 #: An address may follow a dot or another mark; the other types begin where no letter or digit stands before.
 ANY = rf"(?:{PATTERNS['email']}|(?<![\p{{L}}0-9_+])(?:{'|'.join(f'(?:{p})' for n, p in PATTERNS.items() if n != 'email')}))"
 #: What any entity holds: most texts are passed over by this alone.
-HINT = rf"@|\d[\d ().+-]{{5,}}\d|[0-9A-Za-z+/_=-]{{12,}}|(?:{'|'.join(MALE + FEMALE + NEUTRAL)})\.? \p{{Lu}}"
+HINT = rf"@|\d[\d ().+-]{{5,}}\d|[0-9A-Za-z+/_=-]{{12,}}|(?:{'|'.join(MALE + FEMALE + NEUTRAL)})\.? \p{{Lu}}|{'|'.join(INTRODUCTIONS)}"
 VOWELS, CYRILLIC_VOWELS = "aeiou", "аеиоу"
 CONSONANTS, CYRILLIC_CONSONANTS = "bdfgklmnprstvz", "бвгдзклмнпрст"
 SEP = "\x1f"
@@ -53,9 +63,11 @@ def matches(text: Column) -> Column:
 
 
 def type_of(entity: Column) -> Column:
-    """The type of an entity, by the patterns in their order."""
-    out = F.lit("secret")
+    """The type of an entity, by the patterns in their order; letters alone that no other pattern takes are a name."""
+    out = F.when(entity.rlike(r"^\p{Lu}[\p{L}'’-]+(?: \p{Lu}[\p{L}'’-]+)?$"), F.lit("person")).otherwise(F.lit("secret"))
     for name, pattern in reversed(PATTERNS.items()):
+        if name == "name":
+            continue  # what comes before it is not in the entity
         out = F.when(entity.rlike(rf"^(?:{pattern})$"), F.lit(name)).otherwise(out)
     return out
 
@@ -65,17 +77,29 @@ def _digits(c: Column) -> Column:
 
 
 def units(entity: Column) -> Column:
-    """An entity's units as "type US canonical form": one, but for a name one per word."""
+    """An entity's units as "type US canonical form": one, but for a name one per word, for an address also its host."""
     kind = type_of(entity)
-    words = F.split(entity, " ")
-    script = F.when(entity.rlike(r" .*\p{IsCyrillic}"), F.lit("c")).otherwise(F.lit("l"))
-    title = F.regexp_replace(F.get(words, F.lit(0)), r"\.$", "")
+    titled = entity.rlike(TITLED)
+    title = F.regexp_replace(F.when(titled, F.substring_index(entity, " ", 1)).otherwise(F.lit("")), r"\.$", "")
+    words = _name_words(entity)
+    script = F.when(entity.rlike(r"\p{IsCyrillic}[^ ]*$"), F.lit("c")).otherwise(F.lit("l"))
     gender = F.when(title.isin(*FEMALE), F.lit("f")).when(title.isin(*MALE), F.lit("m")).otherwise(F.lit("n"))
     family = F.concat(F.lit("family-"), script, F.lit(SEP), F.lower(F.element_at(words, -1)))
-    given = F.concat(F.lit("given-"), script, F.lit("-"), gender, F.lit(SEP), F.lower(F.get(words, F.lit(1))))
-    canonical = F.when(kind.isin("card", "ssn", "phone"), _digits(entity)).when(kind == "iban", F.replace(entity, F.lit(" "), F.lit(""))).when(kind == "email", F.lower(entity)).otherwise(entity)
-    person = F.when(F.size(words) > 2, F.array(given, family)).otherwise(F.array(family))
-    return F.when(kind == "person", person).otherwise(F.array(F.concat(kind, F.lit(SEP), canonical)))
+    given = F.concat(F.lit("given-"), script, F.lit("-"), gender, F.lit(SEP), F.lower(F.get(words, F.lit(0))))
+    plus = F.when(entity.startswith("+"), F.lit("+")).otherwise(F.lit(""))
+    canonical = F.when(kind == "phone", F.concat(plus, _digits(entity))).when(kind.isin("card", "ssn"), _digits(entity)).when(kind == "iban", F.replace(entity, F.lit(" "), F.lit(""))).when(kind == "email", F.lower(entity)).otherwise(entity)
+    person = F.when(F.size(words) > 1, F.array(given, family)).otherwise(F.array(F.when(titled, family).otherwise(given)))
+    own = F.concat(kind, F.lit(SEP), canonical)
+    return F.when(kind == "person", person).when(kind == "email", F.array(own, _host_unit(entity))).otherwise(F.array(own))
+
+
+def _name_words(entity: Column) -> Column:
+    """The words of a person's name, without the title."""
+    return F.split(F.regexp_replace(entity, TITLED, ""), " ")
+
+
+def _host_unit(address: Column) -> Column:
+    return F.concat(F.lit(f"host{SEP}"), F.lower(F.substring_index(address, "@", -1)))
 
 
 def _stream(key: str, unit: Column, attempt: Column) -> Column:
@@ -137,22 +161,33 @@ def surrogate(entity: Column, attempt_of, key: str = KEY) -> Column:
     kind = F.substring_index(first, SEP, 1)
 
     def single(unit: Column) -> Column:
-        return let(_stream(key, unit, attempt_of(unit)), lambda stream: _rendered(entity, kind, unit, stream, key, attempt_of))
+        return let(_stream(key, unit, attempt_of(unit)), lambda stream: _rendered(entity, kind, stream, attempt_of(unit)))
+
+    def address(unit: Column) -> Column:
+        host = _host_unit(entity)
+        new_host = let(_stream(key, host, attempt_of(host)), lambda s: _host(F.substring_index(entity, "@", -1), s, attempt_of(host)))
+        return F.concat(F.substring_index(single(unit), "@", 1), F.lit("@"), new_host)
 
-    words = F.split(entity, " ")
-    title = F.get(words, F.lit(0))
+    title = F.regexp_extract(entity, TITLED, 0)
     names = F.transform(own, lambda u: let(_stream(key, u, attempt_of(u)), lambda s: _name(u, s)))
     person = kind.startswith("family") | kind.startswith("given")
-    return F.when(person, F.concat_ws(" ", title, F.array_join(names, " "))).otherwise(single(first))
+    return F.when(person, F.concat(title, F.array_join(names, " "))).when(kind == "email", address(first)).otherwise(single(first))
+
 
+def _roomy(form: Column, attempt: Column) -> Column:
+    """form, from attempt ROOMY_FROM on with four more letters: few other values may have its length."""
+    return F.concat(form, F.when(attempt >= ROOMY_FROM, F.lit("aaaa")).otherwise(F.lit("")))
 
-def _rendered(entity: Column, kind: Column, unit: Column, stream: Column, key: str, attempt_of) -> Column:
-    code = F.regexp_extract(entity, r"^\+(\d{1,3})[ .(-]", 1)  # a country code that is set off
-    host = F.substring_index(entity, "@", -1)
-    domain = F.regexp_extract(host, r"^(.*)\.[^.]+$", 1)
-    top = F.substring_index(host, ".", -1)
-    # an address's domain is drawn from the domain alone, so that colleagues stay colleagues
-    address = F.concat(_redrawn(F.substring_index(entity, "@", 1), stream, F.lit(0)), F.lit("@"), let(_stream(key, F.concat(F.lit(f"domain{SEP}"), F.lower(domain)), F.lit(0)), lambda s: _redrawn(domain, s, F.lit(0))), F.lit("."), top)
+
+def _host(host: Column, stream: Column, attempt: Column) -> Column:
+    """A host with all before its top level drawn anew."""
+    return F.concat(_redrawn(_roomy(F.regexp_extract(host, r"^(.*)\.[^.]+$", 1), attempt), stream, F.lit(0)), F.lit("."), F.substring_index(host, ".", -1))
+
+
+def _rendered(entity: Column, kind: Column, stream: Column, attempt: Column) -> Column:
+    """The surrogate of an entity that is one unit; of an address, the local part's, at the old host."""
+    code = F.when(entity.startswith("+"), F.regexp_extract(_digits(entity), COUNTRY_CODE, 1)).otherwise(F.lit(""))
+    address = F.concat(_redrawn(_roomy(F.substring_index(entity, "@", 1), attempt), stream, F.lit(0)), F.lit("@"), F.substring_index(entity, "@", -1))
     octets = F.split(entity, r"\.")
     private = F.when(entity.startswith("10."), 1).when(entity.startswith("192.168."), 2).when(entity.rlike(r"^172\.(1[6-9]|2\d|3[01])\."), 2).when(entity.startswith("127."), 1).otherwise(0)
     drawn = F.transform(octets, lambda o, i: F.when(i < private, o).otherwise((F.when(i == 0, F.lit(11) + _byte(stream, i) % 89).otherwise(_byte(stream, i) % 254 + 1)).cast("string")))
@@ -173,18 +208,19 @@ def _with_check_digit(number: Column) -> Column:
 
 
 def canonical_surrogate(unit: Column, attempt: Column, key: str) -> Column:
-    """What collision checks compare: the unit form of a unit's surrogate, written in its canonical form."""
+    """What collision checks compare: the unit form of a unit's surrogate, written in its canonical form.
+
+    Its letters and digits are those that are written into the text, the country code kept as there. An address keeps
+    its host here: hosts are units, no two of which become one or a real one, so addresses differ if they do here.
+    """
     kind, form = F.substring_index(unit, SEP, 1), F.substring_index(unit, SEP, -1)
     named = kind.startswith("family") | kind.startswith("given")
-    drawn = let(_stream(key, unit, attempt), lambda s: F.when(named, F.lower(_name(unit, s))).otherwise(_rendered(form, kind, unit, s, key, None)))
+    drawn = let(_stream(key, unit, attempt), lambda s: F.when(named, F.lower(_name(unit, s))).when(kind == "host", _host(form, s, attempt)).otherwise(_rendered(form, kind, s, attempt)))
     return F.concat(kind, F.lit(SEP), drawn)
 
 
 def attempts(found: DataFrame, key: str = KEY) -> DataFrame:
-    """Rows (unit, attempt) of the units whose first surrogate met another unit or surrogate; from a column unit, distinct.
-
-    A phone number's country code is not part of its canonical form, so two forms of a number share all its digits.
-    """
+    """Rows (unit, attempt) of the units whose first surrogate met another unit or surrogate; from a column unit, distinct."""
     now = written(found.select("unit", F.lit(0).alias("attempt")).withColumn("new", canonical_surrogate(F.col("unit"), F.col("attempt"), key)), "pii-units")
     for _ in range(MOST_ATTEMPTS):
         first = now.groupBy("new").agg(F.min(F.struct("attempt", "unit")).alias("owner"), F.count("*").alias("n")).where("n > 1").select("new", F.col("owner.unit").alias("owner"))

@@ -79,3 +79,39 @@ def test_repeats_clashing_names_and_empty_table(docs, clashing):
     assert len({r.text for r in got if r.doc_id != 3}) == 1
     assert len(got) == 4
     assert pii.replace_entities(docs("x").where("false")).count() == 0
+
+
+def test_numbers_of_one_form_stay_distinct(spark):
+    """3,000 phone numbers that keep their country code: as many surrogates, none of them a number of the input."""
+    numbers = [f"+999 {n // 1000} {n // 10 % 100:02d} {n % 10}{n % 7}" for n in range(3000)]
+    rows = spark.createDataFrame([(n, f"call {x} now") for n, x in enumerate(numbers)], "doc_id long, text string").repartition(4)
+    new = [r.text[5:-4] for r in pii.replace_entities(rows).collect()]
+    assert all(re.fullmatch(r"\+999 \d \d\d \d\d", x) for x in new)
+    assert len(set(new)) == len(set(numbers))
+    assert not set(new) & set(numbers)
+
+
+def test_hosts_and_addresses_stay_distinct(docs):
+    """26 users at each of 26 hosts of one letter: nothing is free in their form, so the surrogates get longer."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    addresses = [f"{a}@{b}.org" for a in letters for b in letters]
+    new = [r.text for r in pii.replace_entities(docs(*addresses)).orderBy("doc_id").collect()]
+    assert len(set(new)) == len(addresses)
+    assert not set(new) & set(addresses)
+    hosts = {}
+    for old, got in zip(addresses, new):
+        hosts.setdefault(old.split("@")[1], set()).add(got.split("@")[1])
+    assert all(len(x) == 1 for x in hosts.values())
+    assert len(set.union(*hosts.values())) == 26
+    assert not set.union(*hosts.values()) & set(hosts)
+
+
+def test_names_without_a_title(docs):
+    texts = ["Hello, my name is Anna Lund and I write.", "Ich heiße Jörg Berg, und Sie?", "Je m'appelle Anne Petit.", "Me llamo José Núñez y vivo aquí.", "My name is not given here.", "Anna Lund met Nils"]
+    got = replaced(docs, *texts)
+    for n, name in enumerate(["Anna Lund", "Jörg Berg", "Anne Petit", "José Núñez"]):
+        assert name.split()[0] not in got[n].text
+        assert name.split()[1] not in got[n].text
+        assert got[n].entity_types == "person"
+        assert re.search(r"(?:is|heiße|appelle|llamo) [A-Z][a-z]+ [A-Z][a-z]+", got[n].text)
+    assert [got[n].text for n in (4, 5)] == texts[4:]
