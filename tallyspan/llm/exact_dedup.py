@@ -15,7 +15,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tallyspan.llm.common import BLANKS, table, written
 
@@ -41,24 +40,27 @@ def _head(text: Column) -> Column:
     return F.substring(F.when(enough, short).otherwise(normalized(text).cast("binary")), 1, FIRST)
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when they are identical after their white space is deleted; a null text is empty, and all
     empty texts are one group. The row with the most code points in its own text stays, then the smallest
     doc_id (null last). Rows that repeat a doc_id are rows of their own: exactly one row of a group stays.
-    Other columns are not read, whatever their names. An empty table gives no rows.
+    Other columns are not read, whatever their names. An empty table gives no rows. row_col: a column of docs with a
+    number for each row, which then comes along as rid.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = rows.withColumn("head", _head(F.col("text")))
-    company = rows.groupBy("head").count().where("count > 1").select("head", F.lit(True).alias("company"))
+    number = F.monotonically_increasing_id() if row_col is None else F.col("rid")
+    own = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *([] if row_col is None else [F.col(row_col).alias("rid")])]
+    rows = docs.select(*own).withColumn("head", _head(F.col("text")))
+    # written, so that the join below has a plain shuffle on both sides and rows of a common head can be split
+    company = written(rows.groupBy("head").count().where("count > 1").select("head", F.lit(True).alias("company")), "radix-heads")
     norm = normalized(F.col("text"))
     levels = F.filter(F.sequence(F.lit(1), F.lit(20)), lambda n: _start(n) <= F.octet_length("bytes"))
     runs = F.transform(levels, lambda n: F.struct(n.alias("level"), F.substring(F.col("bytes"), (_start(n) + 1).cast("int"), (3 * _start(n)).cast("int")).alias("run")))
     own = F.array(F.struct(F.lit(0).alias("level"), F.col("head").alias("run")))
     table_0 = (
         rows.join(company, "head", "left")
-        .select("doc_id", "head", "company", F.monotonically_increasing_id().alias("rid"), F.char_length(F.coalesce("text", F.lit(""))).alias("chars"), norm.alias("norm"))
+        .select("doc_id", "head", "company", number.alias("rid"), F.char_length(F.coalesce("text", F.lit(""))).alias("chars"), norm.alias("norm"))
         .withColumn("bytes", F.col("norm").cast("binary"))
         .withColumn("text_sha256", F.sha2("bytes", 256))
         .withColumn("piece", F.explode(F.concat(own, F.when(F.col("company"), runs).otherwise(F.slice(own, 1, 0)))))
@@ -85,17 +87,20 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return (
         info.join(grouped.join(best, "gid"), "rid", "left")
         .select("doc_id", F.when(F.col("gid").isNull(), F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
-                F.coalesce(F.col("best.rid") == F.col("rid"), F.lit(True)).alias("kept"), "text_sha256")
+                F.coalesce(F.col("best.rid") == F.col("rid"), F.lit(True)).alias("kept"), "text_sha256", *([] if row_col is None else ["rid"]))
     )
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, all columns; of rows that repeat both doc_id and text, the longest, then any one."""
-    kept = exact_groups(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    keyed = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", F.char_length("text").alias("n"), F.sha2(normalized(F.col("text")).cast("binary"), 256).alias("_key"))
-    stay = keyed.join(kept, keyed["doc_id"].eqNullSafe(kept["_id"]) & (keyed["_key"] == kept["_sha"]), "left_semi")
-    first = F.row_number().over(Window.partitionBy("doc_id", "_key").orderBy(F.desc("n")))
-    return stay.select("row", first.alias("nth")).where("nth = 1").select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+    """The rows of docs that stay, all columns: of each group of equal texts the one that exact_groups keeps.
+
+    Null and empty texts are one group, of which one row stays; rows that repeat an id, or all their columns, are told
+    apart by their number. Columns of any name are carried along unread. An empty table gives no rows.
+    """
+    numbered = written(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("number")), "radix-rows")
+    texts = numbered.select("number", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"))
+    kept = exact_groups(texts, row_col="number").where("kept").select(F.col("rid").alias("number"))
+    return numbered.join(kept, "number", "left_semi").select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def op2_exact_dedup(spark, sf_dir: str) -> DataFrame:

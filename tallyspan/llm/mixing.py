@@ -9,6 +9,7 @@ begins with the weights of those that remain, so that every row is placed exactl
 
 A row's place among its source's rows is its rank in hash order: counts by (source, bucket) give each bucket's
 first rank, and ranks inside a bucket (some BUCKET_ROWS rows, whatever the source's size) are numbered by a window.
+The first ranks are prefix sums in two steps, of STRIDE buckets and of the strides.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql.window import Window
 from tallyspan.llm.common import table
 
 BLOCK_ROWS = 16
-BUCKET_ROWS = 2000
+BUCKET_ROWS, STRIDE = 500, 1000
 #: Bounds of the period and of the number of sources; more is refused, as they are held on the driver.
 MOST_SLOTS, MOST_SOURCES = 10_000, 1_000
 #: Sum of the weights that temperature_weights gives, and its exponent.
@@ -98,11 +99,14 @@ def mix(docs: DataFrame, weights: dict[str | None, int] | None = None, block_row
     blocks = {s: -(-n // block_rows) for s, n in counts.items()}
     plan = phases(blocks, weights)
 
-    n_buckets = max(1, -(-sum(counts.values()) // BUCKET_ROWS))
     order = F.xxhash64("doc_id")
-    keyed = rows.withColumns({"bucket": F.pmod(order, F.lit(n_buckets)), "source": F.struct("source")})
-    first = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = keyed.groupBy("source", "bucket").count().select("source", "bucket", F.coalesce(F.sum("count").over(first), F.lit(0)).alias("offset"))
+    # a source's number of buckets goes by its size: at most MOST_SOURCES literals
+    sizes = F.coalesce(*(F.when(F.col("source").eqNullSafe(F.lit(s)), F.lit(max(1, -(-n // BUCKET_ROWS)))) for s, n in counts.items()), F.lit(1)).cast("long")
+    keyed = rows.withColumns({"bucket": F.pmod(order, sizes), "source": F.struct("source")})
+    strides = keyed.groupBy("source", "bucket").count().withColumn("stride", F.expr(f"bucket div {STRIDE}"))
+    earlier = lambda *by: F.coalesce(F.sum("count").over(Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = strides.groupBy("source", "stride").agg(F.sum("count").alias("count")).select("source", "stride", earlier("source", "stride").alias("before"))
+    offsets = strides.withColumn("inside", earlier("source", "stride", "bucket")).join(before, ["source", "stride"]).select("source", "bucket", (F.col("before") + F.col("inside")).alias("offset"))
     rank = F.row_number().over(Window.partitionBy("source", "bucket").orderBy(order, "doc_id")) - 1
     ranked = keyed.withColumn("rank", rank).join(offsets, ["source", "bucket"]).select("doc_id", "source", (F.col("rank") + F.col("offset")).alias("rank"), *more)
     ranked = ranked.withColumns({"block": F.expr(f"rank div {block_rows}"), "within": F.col("rank") % block_rows})

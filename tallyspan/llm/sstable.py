@@ -17,6 +17,7 @@ which Spark commits, are read: what a lost or repeated task has left is ignored.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -247,13 +248,16 @@ def write_sstables(docs: DataFrame, path: str, end_id: int | None = 1, folder: s
     """
     spark = docs.sparkSession
     folder = folder or new_path(spark, "sst")
-    folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+    folder = re.sub(r"^(file:)?/+", "file:///", folder)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     dealt = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     manifest = written(dealt.mapInArrow(_write_shards(folder, path, end_id), MANIFEST), "sst-manifest")
-    before = Window.orderBy(F.col("first_id").asc_nulls_first(), "part", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    # tasks hold ranges of ids in their order: a sum over the tasks, then one over each task's shards
+    earlier = lambda window: F.coalesce(F.sum("ids").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    tasks = manifest.groupBy("part").agg(F.sum("ids").alias("ids")).select("part", earlier(Window.orderBy("part")).alias("_before"))
+    start = F.col("_before") + earlier(Window.partitionBy("part").orderBy("seq"))
     root = F.lit(folder[: folder.index("/", folder.index("://") + 3)])  # scheme and authority
-    return manifest.withColumns({"start": F.coalesce(F.sum("ids").over(before), F.lit(0)), "uri": F.concat(root, "path")})
+    return manifest.join(tasks, "part").withColumns({"start": start, "uri": F.concat(root, "path")}).drop("_before")
 
 
 def read_sstables(manifest: DataFrame, derive: Callable[[np.ndarray], list], schema: str) -> DataFrame:

@@ -47,3 +47,11 @@ def test_empty_table(docs):
     empty = docs("x").where("false")
     assert exact_groups(empty).count() == 0
     assert exact_dedup(empty).columns == empty.columns
+
+
+def test_the_stage_keeps_one_row_of_each_group(docs, clashing):
+    rows = clashing(docs((1, "a b"), (1, "a b"), (2, "ab"), (3, None), (4, ""), (5, "x" * 300_000), (6, "x" * 300_000 + " "), (None, "q"), (None, "q"), (7, "a  b")))
+    got = exact_dedup(rows)
+    assert got.columns == rows.columns
+    assert sorted(((r.doc_id, len(r.text or "")) for r in got.collect()), key=str) == sorted([(7, 4), (3, 0), (6, 300_001), (None, 1)], key=str)
+    assert exact_dedup(rows.where("false")).count() == 0

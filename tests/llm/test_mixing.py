@@ -59,3 +59,34 @@ def test_null_sources_empty_tables_and_bad_weights(spark, docs):
     with pytest.raises(ValueError, match="without a positive weight"):
         mix(rows, {"a": 1})
     assert temperature_weights({"a": 1, "b": 10**9}) == {"a": 1, "b": 1000}
+
+
+def plain_schedule(counts, weights, block_rows):
+    """The source of every position: slot by slot the released block with the earliest deadline, by fractions."""
+    out, left = [], {s: n for s, n in counts.items() if n}
+    while left:
+        total, k, slot, live = sum(weights[s] for s in left), dict.fromkeys(left, 0), 0, len(left)
+        while len(left) == live:
+            released = [s for s in left if slot >= Fraction(k[s] * total, weights[s]) // 1]
+            source = min(released, key=lambda s: (-(-Fraction((k[s] + 1) * total, weights[s]) // 1), s))
+            k[source] += 1
+            take = min(block_rows, left[source])
+            out += [source] * take
+            left[source] -= take
+            if not left[source]:
+                del left[source]
+            slot += 1
+    return out
+
+
+def test_rows_follow_the_plain_schedule(spark, monkeypatch):
+    """Sources of very different size, many buckets and strides: the source at each position, and each row once."""
+    monkeypatch.setattr("tallyspan.llm.mixing.BUCKET_ROWS", 7)
+    monkeypatch.setattr("tallyspan.llm.mixing.STRIDE", 3)
+    counts = {"a": 901, "b": 77, "c": 5, "d": 16}
+    weights = {"a": 5, "b": 3, "c": 1, "d": 2}
+    rows = [(n, s) for n, s in enumerate(s for s, c in counts.items() for _ in range(c))]
+    got = sorted(mix(spark.createDataFrame(rows, "doc_id long, source string").repartition(5), weights, 8).collect(), key=lambda r: r.position)
+    assert [r.position for r in got] == list(range(len(rows)))
+    assert sorted((r.doc_id, r.source) for r in got) == rows
+    assert [r.source for r in got] == plain_schedule(counts, weights, 8)
