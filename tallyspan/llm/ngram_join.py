@@ -45,8 +45,8 @@ HUB_ROUNDS = 2
 PARITY_WORDS = 8
 #: Words of them (a power of 2) that go along in the last product, which is tested against the others after it.
 CROSS_WORDS = 2
-#: Size bands of the last product between the smallest and the largest size that a set can link with.
-BANDS = 4
+#: Size bands of the last product to each range from the smallest to the largest size that a set can link with.
+BANDS = 1
 #: Classes checked against one hub in one block.
 BLOCK_ROWS = 64
 #: Bits for each id, and in all at most, of the filter that tells a scan which documents' sets are wanted. It only
@@ -339,9 +339,9 @@ def _hub_pairs(block: DataFrame, used: DataFrame, percent: int) -> DataFrame:
     return met.groupBy(F.col("node").alias("a")).agg(F.max_by("b", F.struct("count", "b")).alias("b"))
 
 
-def _alike(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose parities let them link."""
-    side = lambda node, size, own: classes.select(F.col("node").alias(node), F.col("n").alias(size), F.col("parity").alias(own))
+def _alike(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose parities let them link. marks: (node, n, parity)."""
+    side = lambda node, size, own: marks.select(F.col("node").alias(node), F.col("n").alias(size), F.col("parity").alias(own))
     both = pairs.join(side("a", "n", "pa"), "a").join(side("b", "m", "pb"), "b")
     words = F.least(F.size("pa"), F.size("pb"))
     short = lambda c: F.when(F.size(c) == words, F.col(c)).otherwise(folded(F.col(c), words))
@@ -349,8 +349,8 @@ def _alike(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return both.where(_can_link(F.col("n"), F.col("m"), differ, percent)).select("a", "b")
 
 
-def _pairs_across(block: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes of different components that may link: a is the smaller set."""
+def _pairs_across(block: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes of different components that may link: a is the smaller set. marks: (node, n, parity)."""
     n, i, m, j = (F.col(c) for c in "nimj")
     step = -np.log(percent / 100) / BANDS
     band = lambda size: F.floor(F.log(size.cast("double")) / float(step))
@@ -363,7 +363,7 @@ def _pairs_across(block: DataFrame, classes: DataFrame, percent: int) -> DataFra
     blocks = written(blocks.where("one != two"), "join-blocks")
     # parities go only with what is multiplied
     words = range(CROSS_WORDS)
-    parities = classes.select("node", folded(F.col("parity"), F.lit(CROSS_WORDS)).alias("parity"))
+    parities = marks.select("node", folded(F.col("parity"), F.lit(CROSS_WORDS)).alias("parity"))
     with_parity = lambda rows, node, name: rows.join(parities, rows[node] == parities["node"]).select(*rows.columns, *(F.get("parity", F.lit(k)).alias(f"{name}{k}") for k in words))
     small = with_parity(small.join(blocks, ["gram", "band", "one"], "left_semi"), "a", "p")
     large = with_parity(large.join(blocks, ["gram", "band", "two"], "left_semi"), "b", "q")
@@ -385,20 +385,25 @@ def near_components(docs: DataFrame, size: int = WORDS_A_SHINGLE, percent: int =
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = spark.sparkContext.broadcast(levels_of(count_sketch(docs, size)))
-    rows = written(docs.mapInArrow(_prefixes(sketch, size, percent), "doc_id long, n long, set_key binary, prefix array<long>, parity array<long>"), "join-rows")
-    classes = rows.where("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("min_id"), F.count("*").alias("class_size"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("parity").alias("parity"))
-    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "join-classes")
-
+    found = docs.mapInArrow(_prefixes(sketch, size, percent), "doc_id long, n long, set_key binary, prefix array<long>, parity array<long>")
+    rows = written(found.withColumn("rid", F.monotonically_increasing_id()), "join-rows")
+    # a class is known by the number of one of its rows, which has its prefix and parities
+    classes = rows.where("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("min_id"), F.count("*").alias("class_size"), F.min("rid").alias("node"))
+    classes = written(classes, "join-classes")
+    marks = rows.select(F.col("rid").alias("node"), "n", "parity")
+
+    first = rows.where("n > 0").select(F.col("rid").alias("node"), "prefix").join(classes.select("node"), "node", "left_semi")
+    places = first.select(F.posexplode("prefix").alias("i", "gram"), "node")
+    shared = places.groupBy("gram").count().where("count > 1").select("gram")
     band = F.floor(F.log(F.col("n").cast("double")) / float(-np.log(percent / 100)))
-    postings = classes.select(F.posexplode("prefix").alias("i", "gram"), "node", "n", band.alias("band")).withColumn("i", F.col("i").cast("long"))
-    shared = postings.groupBy("gram").count().where("count > 1").select("gram")
-    postings = written(postings.join(shared, "gram", "left_semi"), "join-postings")
+    postings = places.join(shared, "gram", "left_semi").join(marks.select("node", "n"), "node")
+    postings = written(postings.select("gram", "node", "n", F.col("i").cast("long").alias("i"), band.alias("band")), "join-postings")
 
     links = spark.createDataFrame([], "a long, b long")
     labels = spark.createDataFrame([], "node long, label long")
     used = spark.createDataFrame([], "hub long")
     for _ in range(HUB_ROUNDS):
-        pairs = written(_alike(_hub_pairs(_several(postings, labels), used, percent), classes, percent), "join-pairs")
+        pairs = written(_alike(_hub_pairs(_several(postings, labels), used, percent), marks, percent), "join-pairs")
         if pairs.isEmpty():
             break
         used = written(used.union(pairs.select("b")).distinct(), "join-used")
@@ -408,7 +413,9 @@ def near_components(docs: DataFrame, size: int = WORDS_A_SHINGLE, percent: int =
         links = written(links.unionByName(found), "join-links")
         labels = components(links)
 
-    pairs = written(_alike(_pairs_across(_several(postings, labels), classes, percent), classes, percent), "join-pairs")
+    block = written(_several(postings, labels).select("gram", "comp", "node", "n", "i"), "join-block")
+    pairs = written(_alike(_pairs_across(block, marks, percent), marks, percent), "join-pairs")
+    delete_path(spark, block.inputFiles()[0].rpartition("/")[0]) if block.inputFiles() else None
     if not pairs.isEmpty():
         labels = components(links.unionByName(_checked(docs, classes, pairs, sketch, size, percent)))
 
