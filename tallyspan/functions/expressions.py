@@ -27,7 +27,7 @@ def partition_keys(ts: Column) -> list[Column]:
 
 def parse_limits(header: Column) -> Column:
     """ "20:1,100:120" as array<struct<limit, period>>; parts that aren't numbers are null."""
-    part = lambda p, n: F.try_to_number(F.trim(F.get(F.split(p, ":"), F.lit(n))), F.lit("999999999")).cast("long")
+    part = lambda p, n: F.trim(F.get(F.split(p, ":"), F.lit(n))).try_cast("long")
     return F.transform(F.split(header, ","), lambda p: F.struct(part(p, 0).alias("limit"), part(p, 1).alias("period")))
 
 

@@ -112,19 +112,26 @@ def history_task_issues(records: DataFrame, tasks: DataFrame) -> DataFrame:
 
 def detail_task_issues(records: DataFrame, tasks: DataFrame) -> DataFrame:
     """(entity_id, detail_issue): no detail task, or one that is known and unsuccessful."""
+    return _with_detail_issue(records.select("entity_id", "detail_task_id"), tasks).select("entity_id", "detail_issue")
+
+
+def _with_detail_issue(records: DataFrame, tasks: DataFrame) -> DataFrame:
     state = tasks.select(F.col("task_id").alias("detail_task_id"), F.col("status").alias("_task"))
     issue = F.when(F.coalesce("detail_task_id", F.lit(0)) == 0, F.lit("no_mastery_task_id")).when(F.col("_task") != "success", F.format_string("mastery_task_%d_not_success", "detail_task_id"))
-    return records.select("entity_id", "detail_task_id").join(state, "detail_task_id", "left").select("entity_id", issue.alias("detail_issue"))
+    return records.join(state, "detail_task_id", "left").withColumn("detail_issue", issue).drop("_task")
 
 
 def ledger_issues(records: DataFrame, snapshot_tasks: DataFrame, detail_tasks: DataFrame) -> DataFrame:
-    """(entity_id, issues) of the records that have any, in a fixed order; the texts are fixed values."""
-    own = records.join(history_task_issues(records, snapshot_tasks), "entity_id", "left").join(detail_task_issues(records, detail_tasks), "entity_id", "left")
+    """(entity_id, issues) of the records that have any, in a fixed order; the texts are fixed values.
+
+    A history holds paths and task ids in one array, so both are missing or empty together.
+    """
+    own = _with_detail_issue(records.join(history_task_issues(records, snapshot_tasks), "entity_id", "left"), detail_tasks)
     when = lambda test, text: F.when(test, F.lit(text))
     status = F.when(F.coalesce("detail_status", F.lit("None")) != "success", F.concat(F.lit("mastery_status: "), F.coalesce("detail_status", F.lit("None"))))
     history = F.col("history")
     missing = reduce(lambda a, b: a | b, (is_blank(F.col(c)) for c in ("region", "queue", "tier", "division")))
-    head = F.array(status, when(history.isNull(), "no_paths"), when(F.size(history) == 0, "empty_paths"), when(history.isNull(), "no_player_task_ids"))
+    head = F.array(status, when(history.isNull(), "no_paths"), when(F.size(history) == 0, "empty_paths"), when(history.isNull(), "no_player_task_ids"), when(F.size(history) == 0, "empty_player_task_ids"))
     none = F.array().cast("array<string>")
     issues = F.concat(not_null(head), F.coalesce("history_issues", none), not_null(F.array(F.col("detail_issue"), when(missing, "missing_rank_info"))))
     return own.select("entity_id", issues.alias("issues")).where("size(issues) > 0")

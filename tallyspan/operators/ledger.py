@@ -51,14 +51,13 @@ def mirror_detail_status(records: DataFrame, task_events: DataFrame, claims: Dat
     claims (entity_id, ts, seq, status) touch the status alone.
     """
     group = F.struct(F.when(F.col("status") != "in_progress", F.col("file_path")).alias("path"), "task_id", "ts", "patch")
-    last = task_events.groupBy("entity_id").agg(_last(group).alias("last"))
-    status = task_events.select("entity_id", "ts", "seq", "status")
-    status = status if claims is None else status.unionByName(claims.select("entity_id", "ts", "seq", "status"))
-    status = status.groupBy("entity_id").agg(_last(F.col("status")).alias("_status"))
+    steps = task_events.select("entity_id", "ts", "seq", "status", group.alias("group"))
+    steps = steps if claims is None else steps.unionByName(claims.select("entity_id", "ts", "seq", "status"), allowMissingColumns=True)
+    last = steps.groupBy("entity_id").agg(_last(F.col("group"), F.col("group").isNotNull()).alias("last"), _last(F.col("status")).alias("_status"))
     names = ["detail_task_id", "detail_status", "detail_path", "detail_logged_at", "detail_patch"]
     base = records.drop(*names)
     return (
-        base.join(status, "entity_id", "left").join(last, "entity_id", "left")
+        base.join(last, "entity_id", "left")
         .select(*base.columns, F.col("last.task_id").alias(names[0]), F.coalesce("_status", F.lit("pending")).alias(names[1]), F.col("last.path").alias(names[2]), F.col("last.ts").alias(names[3]), F.col("last.patch").alias(names[4]))
     )
 
@@ -202,6 +201,7 @@ def record_detail_batch(details: DataFrame, claims: DataFrame, records: DataFram
     judged = details.groupBy("entity_id").agg(F.bool_and(F.size("errors") == 0).alias("valid"))
     complete = records.select("entity_id", F.forall(F.array(*(F.coalesce(F.col(k), F.lit("")) != "" for k in keys)), lambda x: x).alias("complete"))
     ends = claims.join(judged, "entity_id", "left").join(complete, "entity_id", "left")
+    # fixed values: the messages of failed detail tasks
     error = F.when(F.col("valid").isNull(), F.lit("Failed to fetch detail data.")).when(~F.col("valid"), F.lit("Invalid detail data.")).when(~F.coalesce("complete", F.lit(False)), F.lit("Failed to save mastery data."))
     ends = ends.select("entity_id", error.alias("error")).withColumn("status", F.when(F.col("error").isNull(), F.lit("success")).otherwise(F.lit("failed")))
     good = details.join(ends.where("status = 'success'").select("entity_id"), "entity_id", "left_semi").drop("errors")

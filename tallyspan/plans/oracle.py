@@ -19,8 +19,8 @@ CLEAN = f"""
 , both_tasks AS (SELECT 'snapshot' AS kind, * FROM snapshot_tasks UNION ALL SELECT 'detail', * FROM detail_tasks)
 """
 FILES = """
-, entries AS (SELECT strftime(ts, '%Y%m%d') AS path, CAST(entity_id AS VARCHAR) AS entity_id FROM tasks WHERE status = 'failed' AND entity_id % 3 <> 0)
-, detail_files AS (SELECT CAST(entity_id AS VARCHAR) AS entity_id, max('y' || year(ts)) AS path, count(DISTINCT year(ts)) AS files FROM snapshot_tasks WHERE entity_id % 4 <> 1 GROUP BY 1)
+, entries AS (SELECT strftime(ts, '%Y%m%d') AS path, CAST(entity_id AS VARCHAR) AS entity_id FROM tasks WHERE status = 'failed')
+, detail_files AS (SELECT CAST(entity_id AS VARCHAR) AS entity_id, max('y' || year(ts)) AS path, count(DISTINCT year(ts)) AS files FROM snapshot_tasks WHERE status = 'success' GROUP BY 1)
 , seen AS (SELECT entity_id, count(*) AS n, array_to_string(list(path ORDER BY path), ',') AS paths, min(path) AS first_path FROM entries GROUP BY 1)
 """
 FOLD = """

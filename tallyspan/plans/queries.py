@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,8 +19,12 @@ NAMES = [t for t in TYPES if t != "LARGE"]
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new folder that all executors share; a temporary one where spark.checkpoint.dir is unset, as in tests."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-tallyspan-")
+    """A new folder that all executors share; where spark.checkpoint.dir is unset, a temporary one, on one machine only."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="spark-tallyspan-")
     return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
@@ -41,7 +46,7 @@ def pivot_key_guard(r: Roles) -> DataFrame:
 
 def outer_merge(r: Roles) -> DataFrame:
     d = r.details()
-    return features.outer_merge(features.pivot_details(d.where("points >= 100"), TYPES[:3], {"": F.max("points")}, "none"), features.pivot_details(d.where("points < 100"), TYPES[:3], {"_small": F.max("points")}, "none"))
+    return features.outer_merge(features.pivot_details(d.where("points >= 100"), TYPES[:3], {"": "points"}, "none"), features.pivot_details(d.where("points < 100"), TYPES[:3], {"_small": "points"}, "none"))
 
 
 def upsert_records(r: Roles) -> DataFrame:
@@ -141,9 +146,9 @@ def record_snapshot_batch(r: Roles) -> DataFrame:
 
 
 def file_roles(r: Roles) -> tuple[DataFrame, DataFrame]:
-    """Snapshot entries: failed tasks' customers by day; details: urgent tasks' customers by year."""
-    entries = r.tasks().where("status = 'failed' and entity_id % 3 != 0").select(F.date_format("ts", "yyyyMMdd").alias("path"), F.col("entity_id").cast("string").alias("entity_id"))
-    details = r.snapshot_tasks().where("entity_id % 4 != 1").groupBy(F.col("entity_id").cast("string").alias("entity_id")).agg(F.max(F.concat(F.lit("y"), F.year("ts"))).alias("path"), F.count_distinct(F.year("ts")).alias("files"))
+    """Snapshot entries: failed tasks' customers by day; details: urgent successful tasks' customers by year."""
+    entries = r.tasks().where("status = 'failed'").select(F.date_format("ts", "yyyyMMdd").alias("path"), F.col("entity_id").cast("string").alias("entity_id"))
+    details = r.snapshot_tasks().where("status = 'success'").groupBy(F.col("entity_id").cast("string").alias("entity_id")).agg(F.max(F.concat(F.lit("y"), F.year("ts"))).alias("path"), F.count_distinct(F.year("ts")).alias("files"))
     return entries, details
 
 
@@ -278,7 +283,7 @@ def landed(df: DataFrame, by: str, label: str, bounds: tuple[int, ...]) -> str:
     path = scratch(df.sparkSession, label)
     part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: F.col(by) >= b))
     for n in range(len(bounds) + 1):
-        df.where(part == n).coalesce(1).write.mode("append").parquet(path)
+        df.where(part == n).write.mode("append").parquet(path)
     return path
 
 
@@ -290,7 +295,7 @@ def stream_ingest(r: Roles) -> DataFrame:
 
 
 def stream_cursor(r: Roles) -> DataFrame:
-    seen = r.page_observations()
+    seen = r.page_observations().coalesce(1)  # a row per kind and day of the month, whatever the input; they arrive in order
     sink = scratch(r.spark, "stream-out")
     rows = r.spark.readStream.schema(seen.schema).option("maxFilesPerTrigger", 1).parquet(landed(seen, "seq", "stream-in", (11, 21)))
     keep = lambda batch, n: batch.withColumn("batch_id", F.lit(n)).write.mode("overwrite").parquet(f"{sink}/n={n}")
@@ -304,12 +309,11 @@ def stream_stale_runs(r: Roles) -> DataFrame:
     events = r.run_events().select("run_id", F.col("ts").cast("timestamp").alias("ts"), "kind")
     mark = r.spark.createDataFrame([(-1, "mark"), (-2, "mark")], "run_id long, kind string").select("run_id", F.expr(f"cast('{TASKS_AS_OF}' as timestamp) - make_interval(0, 0, 0, run_id + 2)").alias("ts"), "kind")
     source, sink = scratch(r.spark, "stream-in"), scratch(r.spark, "stream-out")
-    events.coalesce(1).write.parquet(source)
-    for n in (-2, -1):
-        mark.where(F.col("run_id") == n).coalesce(1).write.mode("append").parquet(source)
-    rows = r.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    found = incremental.stream_stale_runs(rows, 10 * 86400)
-    found.writeStream.outputMode("append").format("parquet").option("path", sink).option("checkpointLocation", scratch(r.spark, "stream-checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    checkpoint = scratch(r.spark, "stream-checkpoint")
+    for arrival in (events, mark.where("run_id = -2"), mark.where("run_id = -1")):
+        arrival.write.mode("append").parquet(source)
+        found = incremental.stream_stale_runs(r.spark.readStream.schema(events.schema).parquet(source), 10 * 86400)
+        found.writeStream.outputMode("append").format("parquet").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return r.spark.read.schema("run_id long, last_heartbeat timestamp").parquet(sink).where("run_id >= 0").select("run_id", F.date_format("last_heartbeat", "yyyy-MM-dd").alias("last_heartbeat"))
 
 
