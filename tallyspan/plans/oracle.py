@@ -53,6 +53,32 @@ ISSUES = """
     CASE WHEN region IS NULL THEN 'missing_rank_info' END) AS issues
   FROM records r LEFT JOIN bad_history b ON r.entity_id = b.entity_id)
 """
+ENTRIES = """
+, keyed AS (SELECT *, c_custkey AS k, c_custkey // 25 AS page, (c_custkey // 25) % 3 = 0 AS odd FROM customer)
+, typed AS (
+  SELECT k AS entity_id, page, CASE WHEN odd AND k % 11 = 3 THEN NULL ELSE 'RANKED' END AS "queueType", CASE WHEN odd AND k % 13 = 5 THEN NULL ELSE c_mktsegment END AS tier, CASE WHEN odd AND k % 17 = 2 THEN NULL ELSE 'I' END AS rank,
+    c_name AS puuid, CASE WHEN odd AND c_acctbal < 0 THEN NULL ELSE CAST(floor(abs(c_acctbal)) AS BIGINT) END AS "leaguePoints",
+    CASE WHEN k % 6 IN (0, 1) THEN 12 WHEN k % 6 = 2 THEN 1 WHEN odd AND k % 6 IN (3, 4) THEN NULL ELSE k END AS wins, CAST(c_nationkey AS BIGINT) AS losses,
+    CASE WHEN odd AND k % 5 = 3 THEN NULL ELSE k % 5 IN (0, 1, 3) END AS veteran, false AS inactive, true AS "freshBlood", CASE WHEN odd AND k % 19 = 0 THEN NULL ELSE false END AS "hotStreak"
+  FROM keyed)
+, entries_checked AS (
+  SELECT *, concat_ws('; ', CASE WHEN "queueType" IS NULL THEN 'queueType: invalid' END, CASE WHEN tier IS NULL THEN 'tier: null' END, CASE WHEN rank IS NULL THEN 'rank: missing' END, CASE WHEN "leaguePoints" IS NULL THEN 'leaguePoints: invalid' END,
+    CASE WHEN wins IS NULL THEN 'wins: invalid' END, CASE WHEN veteran IS NULL THEN 'veteran: invalid' END, CASE WHEN "hotStreak" IS NULL THEN 'hotStreak: null' END) AS errors
+  FROM typed)
+"""
+PAGES = """
+, pages AS (SELECT task_id // 64 AS page, coalesce(list(entity_id ORDER BY task_id) FILTER (WHERE status = 'failed'), []) AS seen FROM tasks GROUP BY 1)
+, page_entries AS (SELECT '/s/' || page AS path, CAST(unnest(CASE WHEN page % 10 = 3 THEN seen[1:2] ELSE seen END) AS VARCHAR) AS entity_id FROM pages WHERE page % 10 < 5)
+, files AS (SELECT DISTINCT entity_id, year(ts) AS year, '/d/' || entity_id || '/' || year(ts) AS path FROM snapshot_tasks WHERE status = 'success')
+, file_entities AS (SELECT CAST(entity_id AS VARCHAR) AS entity_id, max(path) AS path, count(*) AS files FROM files WHERE entity_id % 9 <> 0 GROUP BY 1)
+, faulty AS (
+  SELECT '/s/' || page AS path, 'snapshot' AS kind FROM pages WHERE page % 10 IN (5, 6, 7) OR (page % 10 IN (0, 1, 2, 4) AND len(seen) = 0)
+  UNION ALL SELECT path, 'detail' FROM files WHERE entity_id % 9 = 0)
+, page_seen AS (SELECT entity_id, count(*) AS n FROM page_entries GROUP BY 1)
+, page_both AS (SELECT s.n, d.files FROM page_seen s FULL JOIN file_entities d ON s.entity_id = d.entity_id)
+, page_totals AS (SELECT count(n) AS entities, count(files) AS detail_entities, count(*) FILTER (WHERE files IS NULL) AS missing_details, count(*) FILTER (WHERE n IS NULL) AS missing_entities,
+  count(*) FILTER (WHERE n > 1) AS duplicated, count(*) FILTER (WHERE files > 1) AS duplicated_details, avg(n) AS mean_n, (SELECT count(*) FROM faulty) AS broken FROM page_both)
+"""
 HISTORY = "SELECT avg(len(h)) * 100 - 100 AS growth_percent, count(*) FILTER (WHERE len(h) > 1) AS repeated FROM records"
 
 
@@ -180,6 +206,44 @@ UNION ALL SELECT unnest({NAMES}), 1, 'items'""",
     "stream_ingest": "SELECT event_type, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events WHERE value >= 5 AND event_type IN ('click', 'view') GROUP BY 1",
     "stream_cursor": FOLD.format(where="") + "SELECT * FROM folded",
     "stream_stale_runs": f"SELECT run_id, strftime(last_heartbeat, '%Y-%m-%d') AS last_heartbeat FROM runs WHERE run_id % 5 <> 0 AND last_heartbeat < {AS_OF} - INTERVAL 10 DAY",
+    "stale_run_count": f"SELECT count(*) AS n FROM runs WHERE last_heartbeat < {AS_OF} - INTERVAL 10 DAY",
+    "next_bracket_overall": STATS + f"SELECT * FROM stats ORDER BY loop_count, entity_count, list_position({SEGMENTS}, tier), list_position(['I', 'II', 'III', 'IV'], division) LIMIT 1",
+    "bucket_usage": 'SELECT l.a AS "limit", l.b AS period, epoch_us(ts) // 1000000 // l.b AS bucket, count(*) AS n, round(count(*) / l.a, 6) AS used FROM events, (VALUES (20, 3600), (500, 86400)) l(a, b) GROUP BY 1, 2, 3',
+    "item_dimension": "SELECT entity_id, CAST(item_id AS VARCHAR) AS item_id, CASE WHEN true_name <> 'LARGE' THEN true_name END AS item_name, points FROM numbered",
+    "require_keys": ENTRIES + "SELECT entity_id, tier FROM entries_checked WHERE tier IS NOT NULL AND rank IS NOT NULL",
+    "validate_snapshot_rows": ENTRIES + "SELECT * EXCLUDE (page) FROM entries_checked",
+    "validate_detail_rows": """
+SELECT entity_id, item_id, CAST(entity_id AS VARCHAR) AS puuid, item_id AS "championId", CASE WHEN points % 4 > 0 THEN points % 4 END AS "championLevel", points AS "championPoints", item_id * 1000 AS "lastPlayTime",
+  -5 AS "championPointsSinceLastLevel", CASE WHEN entity_id % 7 <> 0 THEN 10 END AS "championPointsUntilNextLevel", CASE item_id WHEN 1 THEN 'A,S-' WHEN 2 THEN NULL WHEN 3 THEN NULL ELSE '' END AS grades,
+  concat_ws('; ', CASE WHEN points % 4 = 0 THEN 'championLevel: invalid' END, CASE WHEN entity_id % 7 = 0 THEN 'championPointsUntilNextLevel: missing' END, CASE item_id WHEN 2 THEN 'milestoneGrades: null' WHEN 3 THEN 'milestoneGrades: invalid' END) AS error_text
+FROM numbered""",
+    "file_integrity": PAGES + """
+SELECT entities + detail_entities AS total_evaluated, entities, detail_entities, missing_details, missing_entities, broken, missing_details + missing_entities + broken AS total_errors,
+  (missing_details + missing_entities + broken) / (entities + detail_entities) AS error_rate, round(mean_n, 3) AS mean_appearances, duplicated / entities AS duplicate_rate, duplicated_details / detail_entities AS duplicate_detail_rate
+FROM page_totals""",
+    "faulty_files": PAGES + "SELECT path, kind FROM faulty",
+    "first_detail_entity": PAGES + "SELECT entity_id, path, files FROM file_entities",
+    "integrity_check": ISSUES + PAGES + """
+SELECT 'ledger_summary' AS part, 2 AS n UNION ALL SELECT 'ledger_issues', count(*) FROM issues WHERE issues <> ''
+UNION ALL SELECT 'ledger_errors', count(DISTINCT (priority, error_message)) FROM tasks WHERE status = 'failed' AND priority IN ('1-URGENT', '2-HIGH')
+UNION ALL SELECT 'files_summary', 1 UNION ALL SELECT 'files_duplicated', duplicated FROM page_totals UNION ALL SELECT 'files_missing_details', missing_details FROM page_totals
+UNION ALL SELECT 'files_missing_entities', missing_entities FROM page_totals UNION ALL SELECT 'files_faulty', broken FROM page_totals""",
+    "write_snapshots": """
+SELECT region, queue, tier, patch || '0' AS patch, strftime(logged_at, '%y%m%d') AS date, count(*) AS n, CAST(sum(seq) AS BIGINT) AS seqs, min(strftime(logged_at, '%H%M%S')) AS first_time,
+  strftime(max(logged_at), '%y%m%d') AS loose_date, max(logged_at) AS fetched_at FROM sightings GROUP BY 1, 2, 3, 4, 5""",
+    "write_details": """
+SELECT region, queue, tier, '15.10' AS patch, strftime(latest_logged_at, '%y') || '0701' AS date, '090807' AS time, count(*) AS n, CAST(sum(points) AS BIGINT) AS points
+FROM details d JOIN records r ON d.entity_id = r.entity_id GROUP BY 1, 2, 3, 5""",
+    "write_bundle": f"""
+SELECT 'api' AS source, {AS_OF} AS fetched_at, part, n FROM (
+  SELECT 'entities' AS part, count(*) AS n FROM entities UNION ALL SELECT 'details', count(*) FROM details UNION ALL SELECT 'items', {len(NAMES)})""",
+    "write_report": f"""
+SELECT r.kind, total, failed, printf('%.2f%%', error_rate * 100) AS error_rate, m.messages
+FROM ({rate("snapshot", "snapshot_tasks")} UNION ALL {rate("detail", "detail_tasks")}) r
+LEFT JOIN (SELECT CASE priority WHEN '1-URGENT' THEN 'snapshot' ELSE 'detail' END AS kind, count(DISTINCT error_message) AS messages FROM tasks WHERE status = 'failed' AND priority IN ('1-URGENT', '2-HIGH') GROUP BY 1) m ON r.kind = m.kind""",
+    "stream_documents": ENTRIES + """
+, judged AS (SELECT *, bool_and(errors = '') OVER (PARTITION BY page) AS whole FROM entries_checked)
+SELECT CASE WHEN whole THEN 'accepted' ELSE 'quarantine' END AS verdict, tier, count(*) AS n, CAST(sum("leaguePoints") AS BIGINT) AS points FROM judged GROUP BY 1, 2""",
 }
 
 

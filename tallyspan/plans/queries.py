@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from tallyspan.functions import expressions as X
 from tallyspan.operators import features, integrity, ledger, lookups, usage, validation
 from tallyspan.plans.roles import BRACKET, SEGMENTS, TASKS_AS_OF, TYPES, Roles
-from tallyspan.sources import documents
+from tallyspan.sources import documents, schemas, sinks
 from tallyspan.streaming import incremental
 
 NAMES = [t for t in TYPES if t != "LARGE"]
@@ -317,6 +318,106 @@ def stream_stale_runs(r: Roles) -> DataFrame:
     return r.spark.read.schema("run_id long, last_heartbeat timestamp").parquet(sink).where("run_id >= 0").select("run_id", F.date_format("last_heartbeat", "yyyy-MM-dd").alias("last_heartbeat"))
 
 
+def write_snapshots(r: Roles) -> DataFrame:
+    """Written by bracket, patch and day of the sighting, and read back."""
+    path = scratch(r.spark, "snapshots")
+    sinks.write_snapshots(r.sightings().withColumn("patch", F.concat(F.col("patch"), F.lit("0"))), path, F.col("logged_at"))
+    with documents.text_partitions(r.spark):
+        rows = r.spark.read.parquet(path)
+        return rows.groupBy(*sinks.PARTITIONS).agg(F.count("*").alias("n"), F.sum("seq").alias("seqs"), F.min("time").alias("first_time"), F.max("loose_date").alias("loose_date"), F.max("fetched_at").alias("fetched_at"))
+
+
+def write_details(r: Roles) -> DataFrame:
+    """Details below the year of their entity's latest sighting; entities without a record are left out."""
+    path = scratch(r.spark, "details")
+    info = r.records().withColumn("latest_logged_at", F.make_timestamp_ntz(F.year("latest_logged_at"), F.lit(7), F.lit(1), F.lit(9), F.lit(8), F.lit(7)))
+    sinks.write_details(r.details().withColumn("patch", F.lit("15.10")), info, path)
+    with documents.text_partitions(r.spark):
+        return r.spark.read.parquet(path).groupBy(*sinks.PARTITIONS, "time").agg(F.count("*").alias("n"), F.sum("points").alias("points"))
+
+
+def write_bundle(r: Roles) -> DataFrame:
+    path, tables = scratch(r.spark, "bundle"), {"entities": r.entities(), "details": r.details(), "items": r.items()}
+    sinks.write_bundle(tables, path, "api", at(TASKS_AS_OF))
+    parts = [r.spark.read.parquet(f"{path}/{name}").groupBy("source", "fetched_at").agg(F.count("*").alias("n")).withColumn("part", F.lit(name)) for name in tables]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def write_report(r: Roles) -> DataFrame:
+    path = scratch(r.spark, "report")
+    report = integrity.ledger_integrity(r.records(), r.snapshot_tasks(), r.detail_tasks())
+    sinks.write_report(report["summary"].select("kind", "total", "failed", "error_rate"), {"errors": report["errors"]}, path, ("error_rate",))
+    summary = r.spark.read.schema("kind string, total long, failed long, error_rate string").json(f"{path}/summary")
+    errors = r.spark.read.schema("kind string, error_message string, n long").json(f"{path}/errors").groupBy("kind").agg(F.count("*").alias("messages"))
+    return summary.join(errors, "kind", "left")
+
+
+def validated_entries(r: Roles) -> DataFrame:
+    return validation.validate(r.entry_rows().withColumn("value", F.try_parse_json("entry")).drop("entry"), schemas.SNAPSHOT_FIELDS)
+
+
+def validate_snapshot_rows(r: Roles) -> DataFrame:
+    return validated_entries(r).withColumn("errors", F.array_join("errors", "; ")).drop("page")
+
+
+def validate_detail_rows(r: Roles) -> DataFrame:
+    rows = validation.validate(r.detail_rows().withColumn("value", F.try_parse_json("detail")).drop("detail"), schemas.DETAIL_FIELDS)
+    grades = F.array_join(F.transform("milestoneGrades", lambda g: F.try_variant_get(g, "$", "string")), ",")
+    return rows.select("*", grades.alias("grades"), F.array_join("errors", "; ").alias("error_text")).drop("milestoneGrades", "errors")
+
+
+def require_keys(r: Roles) -> DataFrame:
+    return validation.require_keys(validated_entries(r), ["tier", "rank"]).select("entity_id", "tier")
+
+
+def file_reports(r: Roles) -> dict[str, DataFrame]:
+    pages, files = (df.select("path", F.try_parse_json("value").alias("doc")) for df in r.file_docs())
+    return integrity.integrity_check(r.records(), r.snapshot_tasks(), r.detail_tasks(), pages, files, full=True)
+
+
+def first_detail_entity(r: Roles) -> DataFrame:
+    files = r.file_docs()[1].select("path", F.try_parse_json("value").alias("doc"))
+    return integrity.first_detail_entity(files, "masteries", "puuid")
+
+
+def integrity_check(r: Roles) -> DataFrame:
+    """The number of rows of each part of the full report."""
+    parts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "n") for name, df in file_reports(r).items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def item_dimension(r: Roles) -> DataFrame:
+    """Details named by a dictionary document of the part types, LARGE left out, that is landed and read back."""
+    path = scratch(r.spark, "dictionary")
+    number = (F.array_position(F.array(*map(F.lit, TYPES)), F.col("p_type")) - 1).cast("string")
+    kinds = r.table("part").where("p_type != 'LARGE'").select("p_type", number.alias("number")).distinct()
+    entry = F.struct("p_type", F.struct(F.col("p_type").alias("id"), F.col("number").alias("key")))
+    doc = kinds.agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(entry)).alias("data"))).alias("value"))  # six types at most
+    doc.write.text(path)
+    items = documents.item_dimension(documents.scan_documents(r.spark, path))
+    return features.item_lookup(r.numbered_details(), items).select("entity_id", "item_id", "item_name", "points")
+
+
+def bucket_usage(r: Roles) -> DataFrame:
+    limits = r.spark.createDataFrame([(20, 3600), (500, 86400)], "limit long, period long")
+    return usage.bucket_usage(r.table("events").select("ts"), limits).withColumn("used", F.round("used", 6))
+
+
+def stale_run_count(r: Roles) -> DataFrame:
+    swept, _ = ledger.sweep_stale_runs(r.runs(), at(TASKS_AS_OF), F.expr("INTERVAL 10 DAY"))
+    return swept.agg(F.count("*").alias("n"))
+
+
+def stream_documents(r: Roles) -> DataFrame:
+    """Pages of 25 entries, a file each, validated as they arrive; one bad entry keeps its page out."""
+    source, sink = scratch(r.spark, "pages"), scratch(r.spark, "stream-out")
+    pages = r.entry_rows().groupBy("page").agg(F.concat(F.lit('{"players": ['), F.array_join(F.collect_list("entry"), ",\n"), F.lit("]}")).alias("value"))
+    pages.select("value").write.option("maxRecordsPerFile", 1).text(source)
+    incremental.stream_documents(r.spark, source, "players", schemas.SNAPSHOT_FIELDS, sink, scratch(r.spark, "stream-checkpoint"), 500).awaitTermination()
+    parts = [r.spark.read.parquet(f"{sink}/{verdict}").select(F.lit(verdict).alias("verdict"), "tier", "leaguePoints") for verdict in ("accepted", "quarantine")]
+    return parts[0].unionByName(parts[1]).groupBy("verdict", "tier").agg(F.count("*").alias("n"), F.sum("leaguePoints").alias("points"))
+
+
 QUERIES = {
     "feature_matrix": feature_matrix,
     "pivot_points": lambda r: features.pivot_points(r.details(), TYPES),
@@ -376,6 +477,22 @@ QUERIES = {
     "stream_ingest": stream_ingest,
     "stream_cursor": stream_cursor,
     "stream_stale_runs": stream_stale_runs,
+    "stale_run_count": stale_run_count,
+    "next_bracket_overall": lambda r: lookups.next_bracket(bracket_stats(r), tiers=SEGMENTS),
+    "bucket_usage": bucket_usage,
+    "item_dimension": item_dimension,
+    "require_keys": require_keys,
+    "validate_snapshot_rows": validate_snapshot_rows,
+    "validate_detail_rows": validate_detail_rows,
+    "file_integrity": lambda r: file_reports(r)["files_summary"],
+    "faulty_files": lambda r: file_reports(r)["files_faulty"],
+    "first_detail_entity": first_detail_entity,
+    "integrity_check": integrity_check,
+    "write_snapshots": write_snapshots,
+    "write_details": write_details,
+    "write_bundle": write_bundle,
+    "write_report": write_report,
+    "stream_documents": stream_documents,
 }
 
 

@@ -123,6 +123,58 @@ class Roles:
         turns = self.table("conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
         return turns.select(F.concat(F.lit("/c/"), F.col("conv_id")).alias("path"), F.try_parse_json(F.to_json(F.struct("conv_id", "turns"))).alias("doc"))
 
+    def entry_rows(self) -> DataFrame:
+        """A snapshot entry per customer as JSON text; in every third page of 25 some fields are missing, null or of another kind."""
+        odd = "c_custkey div 25 % 3 = 0"
+        fields = [
+            f"""'"queueType": ' || if({odd} and c_custkey % 11 = 3, '7', '"RANKED"')""",
+            f"""'"tier": ' || if({odd} and c_custkey % 13 = 5, 'null', '"' || c_mktsegment || '"')""",
+            f"""if({odd} and c_custkey % 17 = 2, null, '"rank": "I"')""",
+            """'"puuid": "' || c_name || '"'""",
+            f"""'"leaguePoints": ' || if({odd}, cast(floor(c_acctbal) as string), cast(floor(abs(c_acctbal)) as string) || '.0')""",
+            f"""'"wins": ' || case when c_custkey % 6 = 0 then '"12"' when c_custkey % 6 = 1 then '12.0' when c_custkey % 6 = 2 then 'true' when {odd} and c_custkey % 6 = 3 then '12.5' when {odd} and c_custkey % 6 = 4 then '"x"' else cast(c_custkey as string) end""",
+            """'"losses": ' || c_nationkey""",
+            f"""'"veteran": ' || case c_custkey % 5 when 0 then 'true' when 1 then '"yes"' when 2 then '0' when 3 then if({odd}, '"maybe"', '"on"') else 'false' end""",
+            """'"inactive": false'""",
+            """'"freshBlood": 1'""",
+            f"""'"hotStreak": ' || if({odd} and c_custkey % 19 = 0, 'null', '"off"')""",
+            """'"extra": {"a": 1}'""",
+        ]
+        text = F.concat(F.lit("{"), F.concat_ws(", ", *map(F.expr, fields)), F.lit("}"))
+        return self.table("customer").select(F.col("c_custkey").alias("entity_id"), F.expr("c_custkey div 25").alias("page"), text.alias("entry"))
+
+    def detail_rows(self) -> DataFrame:
+        """A detail of each entity and item as JSON text, some of them invalid."""
+        fields = [
+            """'"puuid": "' || entity_id || '"'""",
+            """'"championId": ' || item_id""",
+            """'"championLevel": "' || points % 4 || '"'""",
+            """'"championPoints": ' || points""",
+            """'"lastPlayTime": ' || item_id * 1000""",
+            """'"championPointsSinceLastLevel": -5'""",
+            """if(entity_id % 7 = 0, null, '"championPointsUntilNextLevel": 10')""",
+            """case item_id when 1 then '"milestoneGrades": ["A", "S-"]' when 2 then '"milestoneGrades": null' when 3 then '"milestoneGrades": "A"' when 4 then '"milestoneGrades": []' end""",
+        ]
+        text = F.concat(F.lit("{"), F.concat_ws(", ", *map(F.expr, fields)), F.lit("}"))
+        return self.numbered_details().select("entity_id", "item_id", text.alias("detail"))
+
+    def file_docs(self) -> tuple[DataFrame, DataFrame]:
+        """(path, value) of snapshot pages, 64 order keys each, and of detail files, one per entity and year; some of them faulty."""
+        page = F.expr("task_id div 64")
+        person = lambda c: F.concat(F.lit('{"puuid": "'), c, F.lit('"}'))
+        seen = F.transform(F.array_sort(F.collect_list(F.when(F.col("status") == "failed", F.struct("task_id", "entity_id")))), lambda e: person(e["entity_id"]))
+        listed = lambda entries: F.concat(F.lit('{"players": ['), F.array_join(entries, ", "), F.lit("]}"))
+        kind = F.col("page") % 10
+        broken_off = F.concat(F.slice("seen", 1, 2), F.array(F.lit("5")), F.slice("seen", F.lit(3), F.greatest(F.size("seen") - 2, F.lit(0))))
+        value = (
+            F.when(kind == 3, listed(broken_off)).when(kind == 5, '{"players": []}').when(kind == 6, '{"pages": 1}').when(kind == 7, '{"players": "none"}')
+            .when(kind == 8, '[{"puuid": "1"}]').when(kind == 9, "{no json").otherwise(listed(F.col("seen")))
+        )
+        pages = self.tasks().groupBy(page.alias("page")).agg(seen.alias("seen")).select(F.concat(F.lit("/s/"), "page").alias("path"), value.alias("value"))
+        files = self.snapshot_tasks().where("status = 'success'").select("entity_id", F.year("ts").alias("year")).distinct()
+        own = F.when(F.col("entity_id") % 9 == 0, F.lit("")).otherwise(F.concat(person(F.col("entity_id")), F.lit(', {"puuid": "other"}')))
+        return pages, files.select(F.concat_ws("/", F.lit("/d"), "entity_id", "year").alias("path"), F.concat(F.lit('{"masteries": ['), own, F.lit("]}")).alias("value"))
+
 
 ROLES = """
 WITH tasks AS (

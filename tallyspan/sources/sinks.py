@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspan.functions.expressions import partition_keys
+from tallyspan.functions.expressions import partition_keys, percent
 
 PARTITIONS = ["region", "queue", "tier", "patch", "date"]
 
@@ -14,18 +14,18 @@ def write_snapshots(df: DataFrame, root: str, fetched_at: Column, fmt: str = "pa
     """Snapshot rows (with the bracket columns and patch) below region=/queue=/tier=/patch=/date=.
 
     Adds loose_date, time and fetched_at. Rows of one partition are brought together first, so that each task
-    writes few files.
+    writes few files; a large partition is split among tasks by adaptive execution.
     """
     date, time = partition_keys(fetched_at)
     rows = df.withColumns({"fetched_at": fetched_at, "date": date, "loose_date": date, "time": time})
-    rows.repartition(*PARTITIONS).write.mode(mode).partitionBy(*PARTITIONS).format(fmt).save(root)
+    rows.hint("rebalance", *PARTITIONS).write.mode(mode).partitionBy(*PARTITIONS).format(fmt).save(root)
 
 
 def write_details(details: DataFrame, info: DataFrame, root: str, fmt: str = "parquet", mode: str = "append") -> None:
     """Details with their entity's bracket; date and time come from the entity's latest sighting, not from the fetch."""
     date, time = partition_keys(F.col("latest_logged_at"))
     rows = details.join(info.select("entity_id", "region", "queue", "tier", "division", "latest_logged_at"), "entity_id")
-    rows.withColumns({"date": date, "time": time}).repartition(*PARTITIONS).write.mode(mode).partitionBy(*PARTITIONS).format(fmt).save(root)
+    rows.withColumns({"date": date, "time": time}).hint("rebalance", *PARTITIONS).write.mode(mode).partitionBy(*PARTITIONS).format(fmt).save(root)
 
 
 def write_bundle(tables: dict[str, DataFrame], root: str, source: str, fetched_at: Column) -> None:
@@ -33,6 +33,8 @@ def write_bundle(tables: dict[str, DataFrame], root: str, source: str, fetched_a
         df.withColumns({"source": F.lit(source), "fetched_at": fetched_at}).write.mode("overwrite").parquet(f"{root}/{name}")
 
 
-def write_report(summary: DataFrame, details: dict[str, DataFrame], root: str) -> None:
-    for name, df in {"summary": summary, **details}.items():
+def write_report(summary: DataFrame, details: dict[str, DataFrame], root: str, percents: tuple[str, ...] = ()) -> None:
+    """A JSON table each below root; the named shares of the summary become text such as 12.50%."""
+    shown = summary.withColumns({c: percent(F.col(c)) for c in percents})
+    for name, df in {"summary": shown, **details}.items():
         df.write.mode("overwrite").json(f"{root}/{name}")

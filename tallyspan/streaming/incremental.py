@@ -11,6 +11,8 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
+from tallyspan.operators import validation
+
 
 def stream_ingest(spark: SparkSession, source: str, schema: StructType, sink: str, checkpoint: str, keep: str = "true", files_per_batch: int = 100) -> StreamingQuery:
     """Appends the valid rows of newly landed files to sink, a folder per micro-batch.
@@ -25,6 +27,25 @@ def stream_ingest(spark: SparkSession, source: str, schema: StructType, sink: st
     return rows.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def stream_documents(spark: SparkSession, root: str, list_field: str, fields: dict[str, tuple[str, int | None, bool]], sink: str, checkpoint: str, files_per_batch: int = 100) -> StreamingQuery:
+    """Validates newly landed JSON documents (a file each): rows of documents without an error are appended below
+    sink/accepted, all rows of the others below sink/quarantine, with their path and errors.
+
+    A micro-batch has a folder of its own, replaced when it is replayed, so nothing is written twice. Documents that
+    are no JSON or have no such list give no rows.
+    """
+
+    def append(batch: DataFrame, batch_id: int) -> None:
+        objects = validation.explode_objects(batch.select("path", F.try_parse_json("value").alias("doc")), list_field)
+        good, bad = validation.batch_gate(validation.validate(objects, fields), ["path"])
+        good.write.mode("overwrite").parquet(f"{sink}/accepted/batch_id={batch_id}")
+        bad.write.mode("overwrite").parquet(f"{sink}/quarantine/batch_id={batch_id}")
+
+    texts = spark.readStream.format("text").option("wholetext", True).option("maxFilesPerTrigger", files_per_batch).load(root)
+    rows = texts.select(F.col("_metadata.file_path").alias("path"), "value")
+    return rows.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def stream_cursor(observations: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, page, loop_count, last_count) of each key after each micro-batch; observations: keys, seq, player_count.
 
