@@ -20,15 +20,23 @@ NAV_BARS, NAV_WORDS_A_BAR = 2, 4
 SYMBOL_PERCENT = 5
 #: A line without closing punctuation is a fragment when it has fewer words than this.
 FRAGMENT_WORDS = 4
+#: A line that breaks off with an ellipsis is a teaser when it has fewer words than this.
+TEASER_WORDS = 8
+#: A line in capitals is a heading or shouting from so many words on.
+CAPITAL_WORDS = 4
 #: Percentage of a document's word characters that its remaining lines must hold.
 LEAST_LEFT_PERCENT = 50
 #: What a line of prose ends with; the last ones end lines that other rules judge.
 CLOSING = list(".!?:;,…。！？\"'”’»)]}|*#$%&")
 #: A phrase of boilerplate condemns a line of at most so many characters.
 BOILERPLATE_CHARS = 300
+#: English, German, French and Spanish.
 BOILERPLATE = (
     r"all rights reserved|cookie (policy|settings|notice)|we use cookies|accept (all )?cookies|privacy policy|terms (of|and) (use|service|conditions)"
     r"|enable javascript|subscribe to our|sign up for our|follow us on|click here to|share this (page|article|on)|lorem ipsum|skip to (main )?content|back to top"
+    r"|alle rechte vorbehalten|datenschutzerklärung|wir verwenden cookies|cookies akzeptieren|nach oben|zum inhalt springen|newsletter abonnieren"
+    r"|tous droits réservés|politique de confidentialité|nous utilisons des cookies|accepter les cookies|mentions légales|aller au contenu|retour en haut"
+    r"|todos los derechos reservados|política de privacidad|utilizamos cookies|aceptar (las )?cookies|aviso legal|saltar al contenido|volver arriba"
 )
 
 
@@ -60,17 +68,23 @@ def repeat_words(words: Column) -> Column:
 
 
 def line_passes(line: Column) -> Column:
-    """Whether a line that has a word is text: no navigation, symbols, shouting, boilerplate or stray fragment."""
-    n_words = F.size(words_of(line))
+    """Whether a line that has a word is text: no navigation, links, symbols, shouting, capitals, teaser, boilerplate or stray fragment.
+
+    Scripts without letter case have no capitals; a short list item without closing punctuation is a fragment.
+    """
+    n_words, end = F.size(words_of(line)), F.rtrim(line, F.lit(BLANKS))
     chars = F.char_length(F.translate(line, BLANKS, ""))
     bars, shouts = count_of(line, "|"), (F.char_length(line) - F.char_length(F.replace(line, F.lit("!!"), F.lit("")))) / 2
     # each rule begins with a test that is cheap and that most lines do not meet; & leaves off there
     navigation = line.contains("|") & (bars >= NAV_BARS) & (bars * NAV_WORDS_A_BAR >= n_words)
     symbols = line.rlike(f"[{SYMBOLS}]") & (count_of(line, SYMBOLS) * 100 > chars * SYMBOL_PERCENT)
     shouting = line.contains("!!") & (shouts > 1) & (shouts * 2 >= n_words)
-    fragment = ~F.right(F.rtrim(line, F.lit(BLANKS)), F.lit(1)).isin(CLOSING) & (n_words < FRAGMENT_WORDS)
+    fragment = ~F.right(end, F.lit(1)).isin(CLOSING) & (n_words < FRAGMENT_WORDS)
+    links = (line.contains("://") | line.contains("www.")) & (F.regexp_count(line, F.lit(r"(?:https?://|www\.)[^\x20\x09-\x0D]+")) * 2 >= n_words)
+    capitals = ~line.rlike(r"\p{Ll}") & line.rlike(r"\p{Lu}{2}[^\n]*\p{Lu}{2}") & (n_words >= CAPITAL_WORDS)
+    teaser = (end.endswith("...") | end.endswith("…")) & (n_words < TEASER_WORDS)
     boilerplate = (F.char_length(line) <= BOILERPLATE_CHARS) & F.lower(line).rlike(BOILERPLATE)
-    return ~(navigation | symbols | shouting | fragment | boilerplate)
+    return ~(navigation | links | symbols | shouting | capitals | teaser | fragment | boilerplate)
 
 
 def judged(docs: DataFrame, text_col: str = "text") -> DataFrame:
