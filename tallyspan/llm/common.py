@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 BLANKS = " \t\n\x0b\x0c\r"
 BLANK_CLASS = r"[\x20\x09-\x0D]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Spark's setting for removing shuffle files as soon as the execution they belong to has ended.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: bytes.translate table for A-Z only: other letters stay as they are.
 ASCII_LOWER = bytes(range(256)).translate(bytes.maketrans(UPPER.encode(), LOWER.encode()))
 
@@ -37,13 +39,27 @@ def new_path(spark: SparkSession, label: str) -> str:
 
 
 def written(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage, survives lost executors."""
-    path = new_path(df.sparkSession, label)
+    """df as a Parquet table in the shared folder: cuts the lineage, survives lost executors.
+
+    Nothing reads the shuffles behind it again, so Spark removes their files with the end of the write.
+    """
+    conf, path = df.sparkSession.conf, new_path(df.sparkSession, label)
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-    writer.parquet(path)
+    before = conf.get(SHUFFLE_CLEANUP, "false")
+    conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        writer.parquet(path)
+    finally:
+        conf.set(SHUFFLE_CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Removes a table that written() made and no later step reads."""
+    if files := table.inputFiles():
+        delete_path(table.sparkSession, files[0].rpartition("/")[0])
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Removes a scratch table through Hadoop's file system, whatever store it is in."""
     jvm = spark.sparkContext._jvm

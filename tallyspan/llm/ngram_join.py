@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspan.llm.common import ASCII_LOWER, delete_path, table, written
+from tallyspan.llm.common import ASCII_LOWER, discard, table, written
 
 WORDS_A_SHINGLE, PERCENT = 4, 85
 #: What near duplicates are for the pipeline.
@@ -274,6 +274,7 @@ def _checked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, sketch, size
     sets = docs.select("doc_id", "text").mapInArrow(_wanted_sets(sketch, wanted, size), "set_key binary, set binary")
     # several rows may have had the same set
     sets = written(known.join(sets, "set_key").dropDuplicates(["node"]).select("node", "set"), "join-sets")
+    discard(known)
     # the block of a pair is drawn by its own side: about BLOCK_ROWS rows for a hub of any size
     sizes = pairs.groupBy("b").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
     sized = pairs.join(sizes, "b").withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")))
@@ -281,7 +282,7 @@ def _checked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, sketch, size
     hubs = sized.select("b", "block").distinct().join(sets, F.col("b") == sets["node"]).select("b", "block", F.lit(None).cast("long").alias("a"), "set")
     rows = members.unionByName(hubs).repartition("b", "block").sortWithinPartitions("b", "block", F.col("a").asc_nulls_first())
     links = written(rows.mapInArrow(_overlaps(percent), "a long, b long"), "join-links")
-    delete_path(spark, sets.inputFiles()[0].rpartition("/")[0]) if sets.inputFiles() else None
+    discard(sets)
     wanted.destroy()
     return links
 
@@ -300,7 +301,9 @@ def components(links: DataFrame) -> DataFrame:
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
         new = lower.join(jump, "label", "left").select("node", "old", F.least("label", "further").alias("label"))
         new = written(new, "join-labels")
+        discard(labels)
         if new.where("label != old").isEmpty():
+            discard(edges)
             return new.drop("old")
         labels = new.drop("old")
 
@@ -350,7 +353,7 @@ def _alike(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
 
 
 def _pairs_across(block: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes of different components that may link: a is the smaller set. marks: (node, n, parity)."""
+    """Pairs (a, b) of classes of different components that may link: a is the smaller set; written. marks: (node, n, parity)."""
     n, i, m, j = (F.col(c) for c in "nimj")
     step = -np.log(percent / 100) / BANDS
     band = lambda size: F.floor(F.log(size.cast("double")) / float(step))
@@ -371,7 +374,9 @@ def _pairs_across(block: DataFrame, marks: DataFrame, percent: int) -> DataFrame
     met = blocks.join(small, ["gram", "band", "one"]).join(large, ["gram", "band", "two"])
     met = met.where(_can_link(n, m, differ, percent) & _near_in_size(n, i, m, percent) & _near_in_size(m, j, n, percent) & ((m < n) | (m == n) & (F.col("a") < F.col("b"))))
     met = met.groupBy("a", "b").agg(F.count("*").alias("count"), *(F.max(c).alias(c) for c in "nimj"))
-    return met.where(_reaches(n, i, m, j, F.col("count"), percent)).select("a", "b")
+    pairs = written(_alike(met.where(_reaches(n, i, m, j, F.col("count"), percent)).select("a", "b"), marks, percent), "join-pairs")
+    discard(blocks)
+    return pairs
 
 
 def near_components(docs: DataFrame, size: int = WORDS_A_SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -408,14 +413,16 @@ def near_components(docs: DataFrame, size: int = WORDS_A_SHINGLE, percent: int =
             break
         used = written(used.union(pairs.select("b")).distinct(), "join-used")
         found = _checked(docs, classes, pairs, sketch, size, percent)
+        discard(pairs)
         if found.isEmpty():
             break
         links = written(links.unionByName(found), "join-links")
         labels = components(links)
 
     block = written(_several(postings, labels).select("gram", "comp", "node", "n", "i"), "join-block")
-    pairs = written(_alike(_pairs_across(block, marks, percent), marks, percent), "join-pairs")
-    delete_path(spark, block.inputFiles()[0].rpartition("/")[0]) if block.inputFiles() else None
+    discard(postings)
+    pairs = _pairs_across(block, marks, percent)
+    discard(block)
     if not pairs.isEmpty():
         labels = components(links.unionByName(_checked(docs, classes, pairs, sketch, size, percent)))
 
