@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tallyspan.llm import bpe, exact_dedup, html_text, language_id, mixing, ngram_join, pii, quality_rules, recurrent_lm, sstable
+from tallyspan.llm import bpe, chat, collocations, exact_dedup, hard_negatives, html_text, language_id, mixing, ngram_join, pii, quality_rules, recurrent_lm, sstable
 
 
 def queries() -> dict:
@@ -18,10 +18,13 @@ def queries() -> dict:
         "op8_mixing": mixing.op8_mixing,
         "op9_html_text": html_text.op9_html_text,
         "op10_sstable": sstable.op10_sstable,
+        "op11_collocations": collocations.op11_collocations,
+        "op12_hard_negatives": hard_negatives.op12_hard_negatives,
+        "op13_chat_format": chat.op13_chat_format,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    sql = {"op2_exact_dedup": exact_dedup.SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
+    sql = {"op2_exact_dedup": exact_dedup.SQL, "op11_collocations": collocations.SQL, "op12_hard_negatives": hard_negatives.SQL, "op13_chat_format": chat.SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
     return {name: text for name, text in sql.items() if text}
