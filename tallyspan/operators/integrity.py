@@ -27,11 +27,15 @@ def snapshot_entries(docs: DataFrame, list_field: str, id_field: str) -> DataFra
     return rows.select("path", F.try_variant_get("e", f"$.{id_field}", "string").alias("entity_id")).where(~is_blank(F.col("entity_id")))
 
 
-def first_detail_entity(docs: DataFrame, list_field: str, id_field: str) -> DataFrame:
-    """(entity_id, path, files): the entity of each detail document is that of its first element; one path of each is kept."""
+def first_entities(docs: DataFrame, list_field: str, id_field: str) -> DataFrame:
+    """(path, entity_id): the entity of a detail document is that of its first element."""
     first = F.try_element_at(F.try_variant_get("doc", f"$.{list_field}", "array<variant>"), F.lit(1))
-    rows = docs.select("path", F.try_variant_get(first, f"$.{id_field}", "string").alias("entity_id")).where(~is_blank(F.col("entity_id")))
-    return rows.groupBy("entity_id").agg(F.max("path").alias("path"), F.count("*").alias("files"))
+    return docs.select("path", F.try_variant_get(first, f"$.{id_field}", "string").alias("entity_id")).where(~is_blank(F.col("entity_id")))
+
+
+def first_detail_entity(docs: DataFrame, list_field: str, id_field: str) -> DataFrame:
+    """(entity_id, path, files) of the entities of detail documents; one path of each is kept."""
+    return first_entities(docs, list_field, id_field).groupBy("entity_id").agg(F.max("path").alias("path"), F.count("*").alias("files"))
 
 
 def appearances(entries: DataFrame) -> DataFrame:
@@ -39,6 +43,11 @@ def appearances(entries: DataFrame) -> DataFrame:
     return entries.groupBy("entity_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("path")).alias("paths"))
 
 
+def distinct_paths(rows: DataFrame, *by: str) -> DataFrame:
+    """The different file paths that rows name, of each group; rows without a path name none."""
+    return rows.where(~is_blank(F.col("path"))).select(*by, "path").distinct()
+
+
 def duplicate_entities(entries: DataFrame) -> DataFrame:
     return appearances(entries).where("n > 1")
 
@@ -70,21 +79,31 @@ def file_summary(entries: DataFrame, details: DataFrame, n_broken: DataFrame) ->
     )
 
 
-def file_integrity(snapshot_docs: DataFrame, detail_docs: DataFrame, snapshot_list: str = "players", detail_list: str = "masteries", id_field: str = "puuid") -> dict[str, DataFrame]:
-    """summary, duplicated, missing_details, missing_entities and faulty files of two sets of documents (path, doc)."""
-    entries = snapshot_entries(snapshot_docs, snapshot_list, id_field)
-    details = first_detail_entity(detail_docs, detail_list, id_field)
-    faulty = broken_documents(snapshot_docs, snapshot_list).select("path", F.lit("snapshot").alias("kind")).unionByName(broken_documents(detail_docs, detail_list).select("path", F.lit("detail").alias("kind")))
-    seen = appearances(entries)
+def file_parts(entries: DataFrame, details: DataFrame, faulty: DataFrame) -> dict[str, DataFrame]:
+    """summary, duplicated (entity_id, n) with a row per path in duplicated_paths, missing_details, missing_entities and faulty files.
+
+    From entries (path, entity_id), details (entity_id, path, files) and faulty (path, kind). No row holds all paths of
+    an entity.
+    """
+    seen = entries.groupBy("entity_id").agg(F.count("*").alias("n"), F.min("path").alias("path"))
+    more = seen.where("n > 1").select("entity_id", "n")
     return {
         "summary": file_summary(entries, details, faulty.agg(F.count("*").alias("broken"))),
-        "duplicated": seen.where("n > 1"),
-        "missing_details": entities_without_details(seen.select("entity_id", F.get("paths", F.lit(0)).alias("path")), details),
+        "duplicated": more,
+        "duplicated_paths": entries.join(more.select("entity_id"), "entity_id", "left_semi").select("entity_id", "path"),
+        "missing_details": entities_without_details(seen.select("entity_id", "path"), details),
         "missing_entities": details_without_entities(details.select("entity_id", "path"), seen),
         "faulty": faulty,
     }
 
 
+def file_integrity(snapshot_docs: DataFrame, detail_docs: DataFrame, snapshot_list: str = "players", detail_list: str = "masteries", id_field: str = "puuid") -> dict[str, DataFrame]:
+    """The parts of file_parts for two sets of documents (path, doc)."""
+    broken = lambda docs, field, kind: broken_documents(docs, field).select("path", F.lit(kind).alias("kind"))
+    faulty = broken(snapshot_docs, snapshot_list, "snapshot").unionByName(broken(detail_docs, detail_list, "detail"))
+    return file_parts(snapshot_entries(snapshot_docs, snapshot_list, id_field), first_detail_entity(detail_docs, detail_list, id_field), faulty)
+
+
 def task_error_rate(tasks: DataFrame, kind: str) -> DataFrame:
     """(kind, total, failed, discarded, error_rate): a task without a file path is discarded, whatever its status."""
     counts = tasks.agg(F.count("*").alias("total"), F.count_if(F.col("status") == "failed").alias("failed"), F.count_if(is_blank(F.col("file_path"))).alias("discarded"))

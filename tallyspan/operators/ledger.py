@@ -1,20 +1,24 @@
 """Ledger state folded from append-only logs: runs, tasks, records with histories, claims, sweeps, page cursors.
 
 Each operator is DataFrame in, DataFrame out. Ties in time are broken by seq, so results don't depend on row order;
-folds are aggregations with partial steps on the mappers, and only the page cursor needs a window.
+folds are aggregations with partial steps on the mappers; the page cursor joins summaries of ranges, in order.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tallyspan.functions.expressions import latest_of
+from tallyspan.sources.versions import Versions
 
 #: The messages of swept and cleaned-up work.
 STALLED = "Run stalled or silent cancelled"
 CANCELLED = "Run failed or cancelled"
+#: A group of the cursor fold takes so many observations, or ranges of them, as a power of two.
+FOLD_BITS = 12
+#: Rows of a range in which the last claimed id is looked for.
+CLAIM_RANGE = 1_000_000
 
 
 def _last(value: Column, when: Column | None = None) -> Column:
@@ -95,16 +99,67 @@ def claimable(as_of: Column, stale: bool, sighting_within: Column, detail_older_
     return seen & (F.size("history") > 0) & old & (F.col("detail_status") != "in_progress")
 
 
+def smallest(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """The n rows with the smallest keys (unique, not null), whatever n: no sort of all of them in one task.
+
+    Rows are counted by ranges of the key; the ranges below the one with the n-th key are taken whole, and only in that
+    one, of some CLAIM_RANGE rows, keys are sorted to find the last.
+    """
+    total = rows.count()
+    if n >= total:
+        return rows
+    if n <= 0:
+        return rows.limit(0)
+    ranges = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // CLAIM_RANGE))
+    dealt = rows.select(key).repartitionByRange(ranges, key).groupBy(F.spark_partition_id().alias("range"))
+    counted = dealt.agg(F.count("*").alias("n"), F.max(key).alias("top")).orderBy("range").collect()  # a row per range
+    before, below = 0, None
+    for r in counted:
+        if before + r.n >= n:
+            break
+        before, below = before + r.n, r.top
+    rest = rows.select(key) if below is None else rows.select(key).where(F.col(key) > F.lit(below))
+    last = rest.where(F.col(key) <= F.lit(r.top)).orderBy(key).limit(n - before).agg(F.max(key)).first()[0]
+    return rows.where(F.col(key) <= F.lit(last))
+
+
 def claim(records: DataFrame, as_of: Column, stale: bool = False, limit: int | None = None, sighting_within: Column | None = None, detail_older_than: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """(claimed entity_id, records with those in progress): the first limit eligible entities in id order."""
     day = F.expr("INTERVAL 1 DAY")
     eligible = records.where(claimable(as_of, stale, day if sighting_within is None else sighting_within, 7 * day if detail_older_than is None else detail_older_than)).select("entity_id")
-    claimed = eligible if limit is None else eligible.orderBy("entity_id").limit(limit)
+    claimed = eligible if limit is None else smallest(eligible, "entity_id", limit)
     marked = records.join(claimed.withColumn("_claimed", F.lit(True)), "entity_id", "left")
     state = F.when(F.col("_claimed"), F.lit("in_progress")).otherwise(F.col("detail_status"))
     return claimed, marked.withColumn("detail_status", state).drop("_claimed")
 
 
+def open_claims(log: DataFrame, ends: DataFrame | None = None) -> DataFrame:
+    """Distinct entity_id of claims (entity_id, claimed_at) after which their entity's work has not ended (entity_id, ts)."""
+    last = log.groupBy("entity_id").agg(F.max("claimed_at").alias("claimed_at"))
+    if ends is None:
+        return last.select("entity_id")
+    done = ends.groupBy("entity_id").agg(F.max("ts").alias("ts"))
+    return last.join(done, "entity_id", "left").where(F.col("ts").isNull() | (F.col("ts") < F.col("claimed_at"))).select("entity_id")
+
+
+def claim_step(log: Versions, step: int, records: DataFrame, as_of: Column, limit: int | None = None, ends: DataFrame | None = None, **how) -> DataFrame:
+    """The entities (entity_id, claimed_at) that a numbered step claims, written to the append-only log before they are given out.
+
+    A step that is in the log already gives the same entities again and claims nothing: it can be replayed. Entities
+    of an earlier step are in progress until their work ends, so steps one after the other are disjoint. how: as in
+    claim. One writer makes the steps.
+    """
+    if not log.has(step):
+        earlier = log.read(before=step)
+        if earlier is not None:
+            taken = open_claims(earlier, ends).withColumn("_taken", F.lit(True))
+            state = F.when(F.col("_taken"), F.lit("in_progress")).otherwise(F.col("detail_status"))
+            records = records.join(taken, "entity_id", "left").withColumn("detail_status", state).drop("_taken")
+        claimed, _ = claim(records, as_of, limit=limit, **how)
+        log.write(claimed.withColumn("claimed_at", as_of), step)
+    return log.read_version(step)
+
+
 def sweep_stale_runs(runs: DataFrame, as_of: Column, horizon: Column) -> tuple[DataFrame, DataFrame]:
     """(swept run_id, runs with those failed): running, with a heartbeat before as_of - horizon; a null heartbeat is never swept."""
     stale = F.coalesce((F.col("status") == "running") & (F.col("last_heartbeat") < as_of - horizon), F.lit(False))
@@ -135,30 +190,75 @@ def cleanup_runs(run_ids: DataFrame, records: DataFrame, snapshot_tasks: DataFra
     return left, failed(snapshot_tasks, lost), failed(detail_tasks, broken)
 
 
+def sweep(runs: DataFrame, records: DataFrame, snapshot_tasks: DataFrame, detail_tasks: DataFrame, as_of: Column, horizon: Column) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(runs, records, snapshot_tasks, detail_tasks) after the silent runs are failed and their work is cleaned up.
+
+    Sweeping what is swept changes nothing more: a failed run is not running.
+    """
+    swept, left = sweep_stale_runs(runs, as_of, horizon)
+    return left, *cleanup_runs(swept, records, snapshot_tasks, detail_tasks, as_of)
+
+
 def failed_task_records(records: DataFrame, tasks: DataFrame, runs: DataFrame) -> DataFrame:
     """Records whose detail task is an unsuccessful task of the given runs."""
     ids = tasks.where("status != 'success'").join(runs.select("run_id"), "run_id", "left_semi").select(F.col("task_id").alias("detail_task_id"))
     return records.join(ids, "detail_task_id", "left_semi")
 
 
+def _one_run(a: Column, b: Column) -> Column:
+    """The summary of a stretch of observations from those of its two halves, in order.
+
+    first and last are the outer counts, resets the turns back to page 1 inside, head and tail how many observations come
+    before the first and from the last of them on (all of them where there is none).
+    """
+    turned = b["first"] < a["last"]
+    head = F.when(a["resets"] > 0, a["head"]).when(turned, a["head"]).otherwise(a["head"] + b["head"])
+    tail = F.when(b["resets"] > 0, b["tail"]).when(turned, b["tail"]).otherwise(a["tail"] + b["tail"])
+    resets = a["resets"] + b["resets"] + turned.cast("long")
+    return F.struct(a["first"].alias("first"), b["last"].alias("last"), resets.alias("resets"), head.alias("head"), tail.alias("tail"))
+
+
+def cursor_summaries(observations: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, first, last, resets, head, tail) of each key's observations (seq, player_count), in the order of seq.
+
+    Joining summaries is associative, so ranges of 2 ** FOLD_BITS seq are summed up side by side, then as many ranges
+    at a time, until one summary per key is left: a key that holds all rows is folded in many tasks, and no group has more
+    than one range's rows. Rows of a key with the same seq are one range, in the order of their counts; a null count is
+    0, a null seq comes first.
+    """
+    parts = ["first", "last", "resets", "head", "tail"]
+    count, one, none = F.coalesce(F.col("player_count").cast("long"), F.lit(0).cast("long")), F.lit(1).cast("long"), F.lit(0).cast("long")
+    lowest, highest = observations.agg(F.min("seq"), F.max("seq")).first()
+    place = F.coalesce(F.col("seq").cast("long"), F.lit(lowest or 0).cast("long") - 1)
+    rows = observations.select(*keys, place.alias("_at"), count.alias("first"), count.alias("last"), none.alias("resets"), one.alias("head"), one.alias("tail"))
+    plain = F.transform("_all", lambda s: F.struct(*(s[p].alias(p) for p in parts)))
+    folded = F.aggregate(F.slice("_plain", F.lit(2), F.size("_plain")), F.get("_plain", F.lit(0)), _one_run)
+    shift, more = 0, True
+    while more:
+        more = highest is not None and (highest >> shift) - ((lowest - 1) >> shift) > 1 << FOLD_BITS
+        shift += FOLD_BITS
+        by = [F.shiftright("_at", FOLD_BITS).alias("_at")] if more else []
+        rows = rows.groupBy(*keys, *by).agg(F.array_sort(F.collect_list(F.struct("_at", *parts))).alias("_all"))
+        rows = rows.withColumn("_plain", plain).withColumn("_s", folded).select(*keys, *(["_at"] if more else []), "_s.*")
+    return rows
+
+
+def cursor_apply(summaries: DataFrame, keys: list[str], initial: DataFrame | None = None) -> DataFrame:
+    """(keys, page, loop_count, last_count) after the summed up observations, from page 1, loop 0 or the initial state."""
+    number = lambda c, otherwise: F.coalesce(F.col(c) if initial is not None else F.lit(None), F.lit(otherwise)).cast("long")
+    if initial is not None:
+        summaries = summaries.join(initial.select(*keys, F.col("page").alias("_page"), F.col("loop_count").alias("_loop"), F.col("last_count").alias("_last")), keys, "left")
+    turned = F.col("first") < number("_last", 0)
+    page = F.when((F.col("resets") == 0) & ~turned, number("_page", 1) + F.col("tail")).otherwise(F.col("tail"))
+    return summaries.select(*keys, page.alias("page"), (number("_loop", 0) + F.col("resets") + turned.cast("long")).alias("loop_count"), F.col("last").alias("last_count"))
+
+
 def cursor_fold(observations: DataFrame, keys: list[str], initial: DataFrame | None = None) -> DataFrame:
     """The page cursor of each key after its observations (seq, player_count), from page 1, loop 0 or the initial state.
 
     A count below the one before (0 at first) goes back to page 1 and adds a loop; another turns the page.
     """
-    if initial is None:
-        rows = observations.select(*keys, "seq", "player_count", F.lit(0).cast("long").alias("_last"), F.lit(1).cast("long").alias("_page"), F.lit(0).cast("long").alias("_loop"))
-    else:
-        state = initial.select(*keys, F.col("last_count").alias("_last"), F.col("page").alias("_page"), F.col("loop_count").alias("_loop"))
-        rows = observations.join(state, keys, "left").withColumns({"_last": F.coalesce("_last", F.lit(0)), "_page": F.coalesce("_page", F.lit(1)), "_loop": F.coalesce("_loop", F.lit(0))})
-    order = Window.partitionBy(*keys).orderBy("seq")
-    rows = rows.withColumn("_before", F.coalesce(F.lag("player_count").over(order), F.col("_last")))
-    rows = rows.withColumn("_turns", F.sum(F.when(F.col("player_count") < F.col("_before"), 1).otherwise(0)).over(order))
-    # the last turn-back's rows: their number is the page after it; before any, the page goes on from the state
-    last = rows.groupBy(*keys, "_turns").agg(F.count("*").alias("n"), F.max_by("player_count", "seq").alias("last_count"), F.first("_page").alias("_page"), F.first("_loop").alias("_loop"))
-    top = last.groupBy(*keys).agg(F.max_by(F.struct("n", "last_count", "_page", "_loop", "_turns"), "_turns").alias("s"))
-    page = F.when(F.col("s._turns") == 0, F.col("s._page") + F.col("s.n")).otherwise(F.col("s.n"))
-    return top.select(*keys, page.alias("page"), (F.col("s._loop") + F.col("s._turns")).alias("loop_count"), F.col("s.last_count").alias("last_count"))
+    return cursor_apply(cursor_summaries(observations, keys), keys, initial)
 
 
 def cursor_get_or_create(cursors: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
@@ -186,10 +286,20 @@ def novelty_counts(snapshots: DataFrame, records: DataFrame, keys: list[str]) ->
 
 
 def record_snapshot_batch(snapshots: DataFrame, records: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(accepted rows, discarded batches, sightings): a batch without a new entity is dropped, else all its entities are sighted."""
+    """(accepted rows, discarded batches, sightings): a batch without a new entity is dropped, else all its entities are sighted.
+
+    An entity that a batch names twice is sighted once, with its row of the greatest seq where rows have one.
+    """
     counts = novelty_counts(snapshots, records, keys)
     accepted = snapshots.join(counts.where("unique_new > 0").select("batch_id"), "batch_id", "left_semi")
-    return accepted, counts.where("unique_new = 0"), accepted.dropDuplicates(["batch_id", "entity_id"])
+    return accepted, counts.where("unique_new = 0"), _one_sighting(accepted)
+
+
+def _one_sighting(rows: DataFrame) -> DataFrame:
+    if "seq" not in rows.columns:
+        return rows.dropDuplicates(["batch_id", "entity_id"])
+    last = rows.groupBy("batch_id", "entity_id").agg(F.max_by(F.struct(*(c for c in rows.columns if c not in ("batch_id", "entity_id"))), "seq").alias("_row"))
+    return last.select("batch_id", "entity_id", "_row.*").select(*rows.columns)
 
 
 def record_detail_batch(details: DataFrame, claims: DataFrame, records: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:

@@ -86,6 +86,41 @@ def rate(kind: str, source: str) -> str:
     return f"SELECT '{kind}' AS kind, count(*) AS total, count(*) FILTER (WHERE status = 'failed') AS failed, count(*) FILTER (WHERE file_path IS NULL) AS discarded, count(*) FILTER (WHERE status = 'failed') / count(*) AS error_rate FROM {source}"
 
 
+ONE_KEY = ", one_key AS (SELECT 'all' AS tier, event_id AS seq, user_id AS player_count FROM events)" + FOLD.format(where="").replace("pages_seen", "one_key") + "SELECT * FROM folded"
+
+
+def swept(where: str = "true") -> str:
+    """Silent runs and what cleaning up after them leaves of records and tasks."""
+    return f"""
+, swept AS (SELECT run_id FROM runs WHERE last_heartbeat < {AS_OF} - INTERVAL 10 DAY AND {where})
+, lost AS (SELECT task_id FROM snapshot_tasks WHERE run_id IN (SELECT run_id FROM swept) AND status <> 'success')
+, broken AS (SELECT task_id FROM detail_tasks WHERE run_id IN (SELECT run_id FROM swept) AND status <> 'success')
+, both_tasks AS (SELECT 'snapshot' AS part, * FROM snapshot_tasks UNION ALL SELECT 'detail', * FROM detail_tasks)
+, hit AS (SELECT *, run_id IN (SELECT run_id FROM swept) AND status <> 'success' AS bad FROM both_tasks)
+, judged AS (SELECT run_id, run_id IN (SELECT run_id FROM swept) AS bad FROM runs)
+SELECT 'run' AS part, run_id AS id, CASE WHEN bad THEN 'failed' ELSE 'running' END AS status, CASE WHEN bad THEN 'Run stalled or silent cancelled' END AS error_message, CASE WHEN bad THEN {AS_OF} END AS finished_at FROM judged
+UNION ALL SELECT part, task_id, CASE WHEN bad THEN 'failed' ELSE status END, CASE WHEN bad THEN 'Run failed or cancelled' ELSE error_message END, CASE WHEN bad THEN {AS_OF} ELSE ts END FROM hit
+UNION ALL SELECT 'record', entity_id, CASE WHEN detail_task_id IN (SELECT task_id FROM broken) THEN 'failed' ELSE detail_status END, NULL, NULL
+FROM records WHERE NOT (len(h) = 1 AND h[1] IN (SELECT task_id FROM lost))"""
+
+
+#: Pages of two events in three groups; those of a later group without a new (entity, tier) are dropped.
+RECORDED = """
+, cuts AS (SELECT max(event_id) // 2 // 3 AS c1, max(event_id) // 2 * 2 // 3 AS c2 FROM events)
+, paged AS (SELECT s.*, seq // 2 AS page, CASE WHEN seq // 2 < c1 THEN 0 WHEN seq // 2 < {second} THEN 1 ELSE 2 END AS g FROM sightings s, cuts)
+, one AS (SELECT * FROM paged QUALIFY row_number() OVER (PARTITION BY page, entity_id ORDER BY seq DESC) = 1)
+, state0 AS (SELECT entity_id, tier FROM one WHERE g = 0 QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY logged_at DESC, seq DESC) = 1)
+, new1 AS (SELECT DISTINCT page FROM paged p WHERE g = 1 AND NOT EXISTS (SELECT 1 FROM state0 s WHERE s.entity_id = p.entity_id AND s.tier = p.tier))
+, first_two AS (SELECT * FROM one WHERE g = 0 OR (g = 1 AND page IN (SELECT page FROM new1)))
+, state1 AS (SELECT entity_id, tier FROM first_two QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY g DESC, logged_at DESC, seq DESC) = 1)
+, new2 AS (SELECT DISTINCT page FROM paged p WHERE g = 2 AND NOT EXISTS (SELECT 1 FROM state1 s WHERE s.entity_id = p.entity_id AND s.tier = p.tier))
+, recorded AS (SELECT * FROM first_two UNION ALL SELECT * FROM one WHERE g = 2 AND page IN (SELECT page FROM new2))
+"""
+HISTORIES = """
+SELECT entity_id, arg_max(region, place) AS region, arg_max(queue, place) AS queue, arg_max(tier, place) AS tier, arg_max(division, place) AS division, count(*) AS n_history,
+  array_to_string(list(task_id ORDER BY place), ',') AS task_ids, arg_max(logged_at, place) AS latest_logged_at, 'pending' AS detail_status
+FROM (SELECT *, row_number() OVER (ORDER BY {order}) AS place FROM {source}) GROUP BY entity_id"""
+
 CURSORS = FOLD.format(where="WHERE seq <= 15")
 
 SQL = {
@@ -142,6 +177,56 @@ SELECT entity_id, len(h) AS n_history, detail_task_id, CASE WHEN detail_task_id
 FROM records WHERE NOT (len(h) = 1 AND h[1] IN (SELECT task_id FROM lost))""",
     "failed_task_records": CLEAN + "SELECT entity_id, detail_task_id FROM records WHERE detail_task_id IN (SELECT task_id FROM broken)",
     "cursor_fold": FOLD.format(where="") + "SELECT * FROM folded",
+    "cursor_fold_one_key": ONE_KEY,
+    "cursor_fold_in_steps": ONE_KEY,
+    "claim_steps": f"""
+, eligible AS (SELECT entity_id, row_number() OVER (ORDER BY entity_id) - 1 AS place FROM records
+  WHERE latest_logged_at > {AS_OF} - INTERVAL 2000 DAY AND (detail_logged_at IS NULL OR detail_logged_at < {AS_OF} - INTERVAL 365 DAY) AND detail_status <> 'in_progress')
+SELECT entity_id, CAST(place // 150 AS INTEGER) AS step, CASE WHEN place // 150 = 1 THEN 2 ELSE 1 END AS given FROM eligible WHERE place < 450""",
+    "claim_large": """
+, claimed AS (SELECT entity_id FROM records WHERE detail_status IN ('pending', 'failed') ORDER BY entity_id LIMIT (SELECT count(*) // 4 FROM customer))
+SELECT r.entity_id, CASE WHEN c.entity_id IS NOT NULL THEN 'in_progress' ELSE detail_status END AS detail_status, c.entity_id IS NOT NULL AS claimed FROM records r LEFT JOIN claimed c ON r.entity_id = c.entity_id""",
+    "sweep_cascade": swept(),
+    "stream_sweep": swept("run_id % 5 <> 0"),
+    "stream_records": RECORDED.format(second="c2") + HISTORIES.format(order="g, logged_at, seq", source="recorded"),
+    "record_store": HISTORIES.format(order="logged_at, seq", source="sightings"),
+    "upsert_chunks": """
+, placed AS (SELECT *, row_number() OVER (ORDER BY logged_at, seq) AS place FROM sightings)
+SELECT entity_id, count(*) AS n_history, arg_min(task_id, place) AS first_task_id, arg_max(task_id, place) AS latest_task_id, arg_max(patch, place) AS latest_patch, max(logged_at) AS latest_logged_at,
+  arg_max(region, place) AS region, arg_max(queue, place) AS queue, arg_max(tier, place) AS tier, arg_max(division, place) AS division FROM placed GROUP BY entity_id""",
+    "history_stats_chunked": HISTORY,
+    "ledger_issues_chunked": """
+, places AS (SELECT entity_id, unnest(h) AS task_id FROM records)
+SELECT entity_id, 'mastery_status: ' || detail_status AS issue FROM records WHERE detail_status <> 'success'
+UNION ALL SELECT p.entity_id, 'player_task_' || p.task_id || '_not_success' FROM places p JOIN snapshot_tasks t ON p.task_id = t.task_id WHERE t.status <> 'success'
+UNION ALL SELECT entity_id, 'no_mastery_task_id' FROM records WHERE detail_task_id IS NULL
+UNION ALL SELECT entity_id, 'mastery_task_' || detail_task_id || '_not_success' FROM records WHERE detail_task_id IS NOT NULL AND detail_status <> 'success'
+UNION ALL SELECT entity_id, 'missing_rank_info' FROM records WHERE region IS NULL""",
+    "unmapped_items": "SELECT CAST(item_id AS VARCHAR) AS item_id, count(*) AS n, count(DISTINCT entity_id) AS entities, CAST(sum(points) AS BIGINT) AS points FROM numbered WHERE true_name = 'LARGE' GROUP BY 1",
+    "feature_rejects": """
+SELECT count(DISTINCT entity_id) AS rows, CAST(sum(points) AS BIGINT) AS total_points, count(*) FILTER (WHERE true_name = 'LARGE') AS rejected, CAST(sum(points) FILTER (WHERE true_name = 'LARGE') AS BIGINT) AS rejected_points,
+  count(*) AS details, count(*) FILTER (WHERE true_name = 'LARGE') AS unmapped, CAST(sum(points) FILTER (WHERE true_name = 'LARGE') AS BIGINT) AS unmapped_points FROM numbered""",
+    "write_twice": "SELECT tier, patch, CAST(seq % 2 AS INTEGER) AS batch, count(*) AS n, CAST(sum(seq) AS BIGINT) AS seqs FROM sightings GROUP BY 1, 2, 3",
+    "record_snapshots": RECORDED.format(second="1000000000000") + """
+, pages_in AS (SELECT DISTINCT page, g = 0 OR page IN (SELECT page FROM new1) AS taken FROM paged)
+SELECT CASE WHEN taken THEN 'recorded' ELSE 'dropped' END AS part, count(*) AS n, CAST(sum(page) AS BIGINT) AS ids FROM pages_in GROUP BY 1
+UNION ALL SELECT 'landed', count(*), CAST(sum(seq) AS BIGINT) FROM paged JOIN pages_in USING (page) WHERE taken
+UNION ALL SELECT 'sighted', count(*), CAST(sum(page) AS BIGINT) FROM recorded""",
+    "record_details": """
+, claims AS (SELECT r.entity_id, max(t.task_id) AS task_id FROM records r JOIN tasks t ON r.entity_id = t.entity_id WHERE detail_status IN ('pending', 'failed') GROUP BY 1)
+, rows_of AS (SELECT entity_id, points, points > 49 AND c_acctbal < 0 AS bad FROM raw_details JOIN customer ON entity_id = c_custkey)
+, sums AS (SELECT entity_id, bool_or(bad) AS bad, CAST(sum(points) AS BIGINT) AS points FROM rows_of GROUP BY 1)
+, done AS (SELECT c.entity_id, c.task_id, coalesce(NOT s.bad, false) AS good, s.points FROM claims c LEFT JOIN sums s ON c.entity_id = s.entity_id)
+SELECT r.entity_id, coalesce(d.task_id, r.detail_task_id) AS detail_task_id, CASE WHEN d.task_id IS NULL THEN detail_status WHEN good THEN 'success' ELSE 'failed' END AS detail_status,
+  CASE WHEN d.task_id IS NULL THEN detail_patch ELSE '15.10' END AS detail_patch, CASE WHEN d.task_id IS NULL THEN detail_path IS NOT NULL ELSE good END AS landed, CASE WHEN good THEN d.points END AS points
+FROM records r LEFT JOIN done d ON r.entity_id = d.entity_id""",
+    "incremental_audit": PAGES + """
+SELECT entities + detail_entities AS total_evaluated, entities, detail_entities, missing_details, missing_entities, broken, missing_details + missing_entities + broken AS total_errors,
+  (missing_details + missing_entities + broken) / (entities + detail_entities) AS error_rate, round(mean_n, 3) AS mean_appearances, duplicated / entities AS duplicate_rate, duplicated_details / detail_entities AS duplicate_detail_rate
+FROM page_totals""",
+    "ledger_tables": """
+SELECT r.run_id, 'main' AS pipeline_name, 'running' AS status, t.tasks, t.paths
+FROM runs r LEFT JOIN (SELECT run_id, count(*) AS tasks, nullif(count(DISTINCT file_path), 0) AS paths FROM snapshot_tasks GROUP BY 1) t ON r.run_id = t.run_id""",
     "cursor_get_or_create": CURSORS + """
 SELECT w.tier, coalesce(page, 1) AS page, coalesce(loop_count, 0) AS loop_count
 FROM (SELECT DISTINCT event_type AS tier FROM events UNION ALL SELECT 'unknown') w LEFT JOIN (SELECT * FROM folded WHERE tier <> 'click') f ON w.tier = f.tier""",
@@ -226,7 +311,7 @@ FROM page_totals""",
     "integrity_check": ISSUES + PAGES + """
 SELECT 'ledger_summary' AS part, 2 AS n UNION ALL SELECT 'ledger_issues', count(*) FROM issues WHERE issues <> ''
 UNION ALL SELECT 'ledger_errors', count(DISTINCT (priority, error_message)) FROM tasks WHERE status = 'failed' AND priority IN ('1-URGENT', '2-HIGH')
-UNION ALL SELECT 'files_summary', 1 UNION ALL SELECT 'files_duplicated', duplicated FROM page_totals UNION ALL SELECT 'files_missing_details', missing_details FROM page_totals
+UNION ALL SELECT 'files_summary', 1 UNION ALL SELECT 'files_duplicated', duplicated FROM page_totals UNION ALL SELECT 'files_duplicated_paths', CAST(coalesce(sum(n), 0) AS BIGINT) FROM page_seen WHERE n > 1 UNION ALL SELECT 'files_missing_details', missing_details FROM page_totals
 UNION ALL SELECT 'files_missing_entities', missing_entities FROM page_totals UNION ALL SELECT 'files_faulty', broken FROM page_totals""",
     "write_snapshots": """
 SELECT region, queue, tier, patch || '0' AS patch, strftime(logged_at, '%y%m%d') AS date, count(*) AS n, CAST(sum(seq) AS BIGINT) AS seqs, min(strftime(logged_at, '%H%M%S')) AS first_time,

@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspan.functions import expressions as X
-from tallyspan.operators import features, integrity, ledger, lookups, usage, validation
+from tallyspan.operators import audit, features, histories, integrity, ledger, lookups, recording, usage, validation
 from tallyspan.plans.roles import BRACKET, SEGMENTS, TASKS_AS_OF, TYPES, Roles
 from tallyspan.sources import documents, schemas, sinks
+from tallyspan.sources.versions import Versions
 from tallyspan.streaming import incremental
 
 NAMES = [t for t in TYPES if t != "LARGE"]
@@ -418,6 +419,198 @@ def stream_documents(r: Roles) -> DataFrame:
     return parts[0].unionByName(parts[1]).groupBy("verdict", "tier").agg(F.count("*").alias("n"), F.sum("leaguePoints").alias("points"))
 
 
+def all_observations(r: Roles) -> DataFrame:
+    """Every event as a page of one key: its user's number is the count."""
+    return r.table("events").select(F.lit("all").alias("tier"), F.col("event_id").alias("seq"), F.col("user_id").alias("player_count"))
+
+
+def cursor_fold_in_steps(r: Roles) -> DataFrame:
+    """One key with all rows: what a first part leaves is where the second one goes on."""
+    rows = all_observations(r)
+    middle = F.lit(rows.agg(F.expr("max(seq) div 3")).first()[0])
+    return ledger.cursor_fold(rows.where(F.col("seq") > middle), ["tier"], ledger.cursor_fold(rows.where(F.col("seq") <= middle), ["tier"]))
+
+
+def claim_steps(r: Roles) -> DataFrame:
+    """Three steps of 150 claims each; the second one is repeated and gives the same entities."""
+    log = Versions(r.spark, scratch(r.spark, "claims"))
+    records, stale = r.records(), {"stale": True, "sighting_within": F.expr("INTERVAL 2000 DAY"), "detail_older_than": F.expr("INTERVAL 365 DAY")}
+    steps = [ledger.claim_step(log, n, records, at(TASKS_AS_OF), limit=150, **stale).withColumn("step", F.lit(n)) for n in (0, 1, 2, 1)]
+    return reduce(DataFrame.unionByName, steps).groupBy("entity_id", "step").agg(F.count("*").alias("given")).select("entity_id", "step", "given")
+
+
+def sweep_cascade(r: Roles) -> DataFrame:
+    """Silent runs failed, and what that leaves of records and both kinds of tasks."""
+    runs, records, snapshots, details = ledger.sweep(r.runs(), r.records(), r.task_rows(r.snapshot_tasks()), r.task_rows(r.detail_tasks()), at(TASKS_AS_OF), F.expr("INTERVAL 10 DAY"))
+    return swept_rows(runs, records, snapshots, details)
+
+
+def swept_rows(runs: DataFrame, records: DataFrame, snapshots: DataFrame, details: DataFrame) -> DataFrame:
+    tasks = [df.select(F.lit(kind).alias("part"), F.col("task_id").alias("id"), "status", "error_message", "finished_at") for kind, df in (("snapshot", snapshots), ("detail", details))]
+    none = lambda kind: F.lit(None).cast(kind)
+    own = records.select(F.lit("record").alias("part"), F.col("entity_id").alias("id"), F.col("detail_status").alias("status"), none("string").alias("error_message"), none("timestamp_ntz").alias("finished_at"))
+    return runs.select(F.lit("run").alias("part"), F.col("run_id").alias("id"), "status", "error_message", "finished_at").unionByName(tasks[0]).unionByName(tasks[1]).unionByName(own)
+
+
+def stream_sweep(r: Roles) -> DataFrame:
+    """The same from a stream of heartbeats, the tables kept in buckets; the last micro-batch is done twice."""
+    tables = [Versions(r.spark, scratch(r.spark, f"sweep-{n}"), 8) for n in ("runs", "snapshots", "details")]
+    runs, snapshots, details = tables
+    for table, rows in zip(tables, (r.runs(), r.task_rows(r.snapshot_tasks()), r.task_rows(r.detail_tasks()))):
+        recording.replace_buckets(table, rows, "run_id", 0, list(range(8)))
+    store = recording.RecordStore(r.spark, scratch(r.spark, "sweep-records"), 16)
+    store.replace(r.records(), 0, list(range(16)))
+    events = r.run_events().where("run_id % 5 != 0").select("run_id", F.col("ts").cast("timestamp").alias("ts"), "kind")
+    mark = r.spark.createDataFrame([(-1, "mark"), (-2, "mark")], "run_id long, kind string").select("run_id", F.expr(f"cast('{TASKS_AS_OF}' as timestamp) - make_interval(0, 0, 0, run_id + 2)").alias("ts"), "kind")
+    source, checkpoint = scratch(r.spark, "stream-in"), scratch(r.spark, "stream-checkpoint")
+    for arrival in (events, mark.where("run_id = -2"), mark.where("run_id = -1")):
+        arrival.write.mode("append").parquet(source)
+        rows = r.spark.readStream.schema(events.schema).parquet(source)
+        incremental.stream_sweep(rows, 10 * 86400, runs, store, snapshots, details, at(TASKS_AS_OF), checkpoint, 1).awaitTermination()
+    newest = runs.commits().agg(F.max("version")).first()[0]
+    swept = runs.read_version(newest).where("status = 'failed'").select("run_id")
+    recording.sweep_batch(swept, runs, store, snapshots, details, newest, at(TASKS_AS_OF))
+    return swept_rows(*(t.read() for t in (runs, store, snapshots, details)))
+
+
+def snapshot_pages(r: Roles) -> DataFrame:
+    """Sightings in pages of two events."""
+    return r.sightings().withColumn("batch_id", F.expr("seq div 2"))
+
+
+def record_rows(records: DataFrame) -> DataFrame:
+    return records.select("entity_id", *BRACKET, F.size("history").cast("long").alias("n_history"), ids_text().alias("task_ids"), "latest_logged_at", "detail_status")
+
+
+def stream_records(r: Roles) -> DataFrame:
+    """Pages land in three steps and are recorded as they come; the last micro-batch is recorded twice."""
+    pages, (second, third) = snapshot_pages(r), third_cuts(r)
+    source, checkpoint = scratch(r.spark, "stream-in"), scratch(r.spark, "stream-checkpoint")
+    store = recording.RecordStore(r.spark, scratch(r.spark, "stream-records"), 8)
+    landings = [pages.where(F.col("batch_id") < second), pages.where((F.col("batch_id") >= second) & (F.col("batch_id") < third)), pages.where(F.col("batch_id") >= third)]
+    for rows in landings:
+        rows.write.mode("append").parquet(source)
+        incremental.stream_records(r.spark, source, pages.schema, store, ["tier"], checkpoint, 10**6).awaitTermination()
+    recording.record_sightings(landings[2], store, store.versions.commits().agg(F.max("version")).first()[0], ["tier"])
+    return record_rows(store.read())
+
+
+def third_cuts(r: Roles) -> tuple[int, int]:
+    """Where the second and the last third of the pages begin."""
+    top = r.table("events").agg(F.expr("max(event_id) div 2")).first()[0]
+    return top // 3, top * 2 // 3
+
+
+def record_store(r: Roles) -> DataFrame:
+    """The upsert in four batches onto a store in buckets, a batch of them twice."""
+    store = recording.RecordStore(r.spark, scratch(r.spark, "records"), 16)
+    s = r.sightings().withColumn("day", F.dayofmonth("logged_at"))
+    for version in (0, 1, 2, 2, 3):
+        store.upsert(s.where(F.least(F.expr("(day - 1) div 8"), F.lit(3)) == version), version)
+    return record_rows(store.read())
+
+
+def chunked(r: Roles) -> DataFrame:
+    """Histories in chunks of a day: odd events first, then even ones, so that chunks are merged."""
+    s = r.sightings()
+    return histories.merge_chunks(histories.history_chunks(s.where("seq % 2 = 1")), histories.history_chunks(s.where("seq % 2 = 0")))
+
+
+def upsert_chunks(r: Roles) -> DataFrame:
+    return histories.history_totals(chunked(r)).drop("latest_path")
+
+
+def task_chunks(r: Roles) -> DataFrame:
+    """The records' histories, in chunks of a year or so."""
+    sightings = r.snapshot_tasks().select("entity_id", F.col("ts").alias("logged_at"), F.col("task_id").alias("seq"), "task_id", F.col("file_path").alias("path"), F.concat(F.lit("p"), F.year("ts")).alias("patch"))
+    return histories.history_chunks(sightings.join(r.brackets(), "entity_id", "left"), 365 * 86400)
+
+
+def ledger_issues_chunked(r: Roles) -> DataFrame:
+    found = histories.ledger_issues(r.records().drop("history"), task_chunks(r), r.snapshot_tasks(), r.detail_tasks())
+    return found.select("entity_id", F.explode("issues").alias("issue"))
+
+
+def feature_rejects(r: Roles) -> DataFrame:
+    """What the write of the feature matrix counted, beside the sums of the reject frame and of the table written."""
+    path = scratch(r.spark, "features")
+    details, items = r.numbered_details(), r.items()
+    seen = features.write_features(r.entities(), details, items, NAMES, path)
+    rejects = features.unmapped_items(details, items).agg(F.sum("n").alias("rejected"), F.sum("points").alias("rejected_points"))
+    rows = r.spark.read.parquet(path).agg(F.count("*").alias("rows"), F.sum("total_points").alias("total_points"))
+    return rows.crossJoin(rejects).select("*", *(F.lit(v).cast("long").alias(k) for k, v in seen.items()))  # single rows
+
+
+def write_twice(r: Roles) -> DataFrame:
+    """Snapshots of two batches, the first one written again: it replaces itself."""
+    path, rows = scratch(r.spark, "batches"), r.sightings()
+    for batch in (0, 1, 0):
+        sinks.write_snapshots(rows.where(F.col("seq") % 2 == batch), path, F.col("logged_at"), batch=batch)
+    with documents.text_partitions(r.spark):
+        return r.spark.read.parquet(path).groupBy("tier", "patch", F.col("batch").cast("int").alias("batch")).agg(F.count("*").alias("n"), F.sum("seq").alias("seqs"))
+
+
+def record_snapshots(r: Roles) -> DataFrame:
+    """Pages of two events in two batches through to files, tasks and records; the second batch is recorded twice."""
+    store, path = recording.RecordStore(r.spark, scratch(r.spark, "records"), 8), scratch(r.spark, "snapshots")
+    pages, (cut, _) = snapshot_pages(r).withColumn("task_id", F.col("batch_id")), third_cuts(r)
+    parts = pages.where(F.col("batch_id") < cut), pages.where(F.col("batch_id") >= cut)
+    ends = [recording.record_snapshots(parts[n], store, path, n, ["tier"], F.col("logged_at")) for n in (0, 1, 1)]
+    tasks = ends[0].unionByName(ends[2]).groupBy((F.col("file_path").isNull()).alias("dropped")).agg(F.count("*").alias("n"), F.sum("task_id").alias("ids"))
+    with documents.text_partitions(r.spark):
+        files = r.spark.read.parquet(path).agg(F.count("*").alias("n"), F.sum("seq").alias("ids"))
+    history = store.read().select(F.explode("history").alias("h")).agg(F.count("*").alias("n"), F.sum("h.task_id").alias("ids"))
+    parts = [tasks.select(F.when(F.col("dropped"), "dropped").otherwise("recorded").alias("part"), "n", "ids"), files.select(F.lit("landed").alias("part"), "n", "ids"), history.select(F.lit("sighted").alias("part"), "n", "ids")]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def record_details(r: Roles) -> DataFrame:
+    """The details of claims through to files and records, twice: invalid above 49 pieces for customers in debt."""
+    store, path = recording.RecordStore(r.spark, scratch(r.spark, "records"), 8), scratch(r.spark, "details")
+    store.replace(r.records(), 0, list(range(8)))
+    claimed, _ = ledger.claim(r.records(), at(TASKS_AS_OF))
+    claims = claimed.join(r.tasks().groupBy("entity_id").agg(F.max("task_id").alias("task_id")), "entity_id")
+    debt = r.table("customer").select(F.col("c_custkey").alias("entity_id"), (F.col("c_acctbal") < 0).alias("debt"))
+    bad = (F.col("points") > 49) & F.col("debt")
+    details = r.raw_details().join(debt, "entity_id").withColumn("errors", F.when(bad, F.array(F.lit("points: invalid"))).otherwise(F.array().cast("array<string>"))).drop("debt")
+    for _ in range(2):
+        recording.record_details(details, claims, store, path, 1, at(TASKS_AS_OF), F.lit("15.10"), BRACKET)
+    with documents.text_partitions(r.spark):
+        files = r.spark.read.parquet(path).groupBy("entity_id").agg(F.sum("points").alias("points"))
+    rows = store.read().select("entity_id", "detail_task_id", "detail_status", "detail_patch", F.col("detail_path").isNotNull().alias("landed"))
+    return rows.join(files, "entity_id", "left")
+
+
+def incremental_audit(r: Roles) -> DataFrame:
+    """The report after a second landing; the first landing's files are not parsed again."""
+    roots = [scratch(r.spark, "audit-pages"), scratch(r.spark, "audit-details")]
+    log = Versions(r.spark, scratch(r.spark, "audit"))
+    pages, files = r.file_docs()
+    for step in (0, 1):
+        for root, rows, group in zip(roots, (pages, files), (F.expr("cast(split(path, '/')[2] as long) div 8"), F.expr("xxhash64(path) % 40"))):
+            own = rows.withColumn("file", group).where(F.pmod("file", F.lit(2)) == step)
+            land_files(own, f"{root}/landing={step}")
+        rows = audit.audit(r.spark, log, step, *roots)
+    return audit.report(rows)["summary"]
+
+
+def land_files(rows: DataFrame, root: str) -> None:
+    """Each value as a file of its own."""
+    rows.select("value").repartition(4).write.option("maxRecordsPerFile", 1).text(root)
+
+
+def ledger_tables(r: Roles) -> DataFrame:
+    """The ledger's runs and tasks written, read back by their schemas, and their distinct paths."""
+    path = scratch(r.spark, "ledger")
+    r.runs().withColumn("pipeline_name", F.lit("main")).select(*(F.col(f.name).cast(f.dataType) for f in schemas.RUNS)).write.parquet(f"{path}/runs")
+    tasks = r.snapshot_tasks().withColumns({"attempts": F.lit(1), "started_at": F.col("ts"), "finished_at": F.col("ts")})
+    tasks.select(*(F.col(f.name).cast(f.dataType) for f in schemas.SNAPSHOT_TASKS)).write.parquet(f"{path}/snapshot_tasks")
+    runs, tasks = (documents.read_ledger(r.spark, path, t) for t in ("runs", "snapshot_tasks"))
+    counts = tasks.groupBy("run_id").agg(F.count("*").alias("tasks"))
+    paths = integrity.distinct_paths(tasks.select("run_id", F.col("file_path").alias("path")), "run_id").groupBy("run_id").agg(F.count("*").alias("paths"))
+    return runs.join(counts, "run_id", "left").join(paths, "run_id", "left").select("run_id", "pipeline_name", "status", "tasks", "paths")
+
+
 QUERIES = {
     "feature_matrix": feature_matrix,
     "pivot_points": lambda r: features.pivot_points(r.details(), TYPES),
@@ -439,6 +632,24 @@ QUERIES = {
     "cleanup_run_records": cleanup_run_records,
     "failed_task_records": lambda r: ledger.failed_task_records(r.records(), r.detail_tasks(), r.runs().where("run_id < 10")).select("entity_id", "detail_task_id"),
     "cursor_fold": lambda r: ledger.cursor_fold(r.page_observations(), ["tier"]),
+    "cursor_fold_one_key": lambda r: ledger.cursor_fold(all_observations(r), ["tier"]),
+    "cursor_fold_in_steps": cursor_fold_in_steps,
+    "claim_steps": claim_steps,
+    "claim_large": lambda r: claim(r, limit=r.table("customer").count() // 4),
+    "sweep_cascade": sweep_cascade,
+    "stream_sweep": stream_sweep,
+    "stream_records": stream_records,
+    "record_store": record_store,
+    "upsert_chunks": upsert_chunks,
+    "history_stats_chunked": lambda r: histories.history_length_stats(histories.history_totals(task_chunks(r))),
+    "ledger_issues_chunked": ledger_issues_chunked,
+    "unmapped_items": lambda r: features.unmapped_items(r.numbered_details(), r.items()),
+    "feature_rejects": feature_rejects,
+    "write_twice": write_twice,
+    "record_snapshots": record_snapshots,
+    "record_details": record_details,
+    "incremental_audit": incremental_audit,
+    "ledger_tables": ledger_tables,
     "cursor_get_or_create": cursor_get_or_create,
     "cursor_update": cursor_update,
     "bracket_stats": bracket_stats,

@@ -26,10 +26,14 @@ def text_partitions(spark: SparkSession):
         spark.conf.set(INFERENCE, before)
 
 
-def scan_documents(spark: SparkSession, root: str) -> DataFrame:
-    """One row per file below root: partition columns, path, modified, doc (variant; null if it isn't JSON)."""
+def scan_documents(spark: SparkSession, root: str, since: str | None = None) -> DataFrame:
+    """One row per file below root: partition columns, path, modified, doc (variant; null if it isn't JSON).
+
+    since (yyyy-MM-ddTHH:mm:ss in session time): only files modified later are read, chosen where files are listed.
+    """
     with text_partitions(spark):
-        raw = spark.read.text(root, wholetext=True)
+        after = {} if since is None else {"modifiedAfter": since}
+        raw = spark.read.options(**after).text(root, wholetext=True)
         return raw.select(
             *[c for c in raw.columns if c != "value"], F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified"), F.try_parse_json("value").alias("doc")
         )

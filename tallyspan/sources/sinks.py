@@ -10,22 +10,32 @@ from tallyspan.functions.expressions import partition_keys, percent
 PARTITIONS = ["region", "queue", "tier", "patch", "date"]
 
 
-def write_snapshots(df: DataFrame, root: str, fetched_at: Column, fmt: str = "parquet", mode: str = "append") -> None:
-    """Snapshot rows (with the bracket columns and patch) below region=/queue=/tier=/patch=/date=.
+def _append(rows: DataFrame, root: str, fmt: str, mode: str, batch: int | None) -> None:
+    """Rows of one partition are brought together first; a large partition is split among tasks by adaptive execution.
 
-    Adds loose_date, time and fetched_at. Rows of one partition are brought together first, so that each task
-    writes few files; a large partition is split among tasks by adaptive execution.
+    A batch has a partition level of its own, of which only what it writes itself is replaced when it is repeated.
+    """
+    by, writer = PARTITIONS, None
+    if batch is not None:
+        rows, by, mode = rows.withColumn("batch", F.lit(batch)), [*PARTITIONS, "batch"], "overwrite"
+    writer = rows.hint("rebalance", *PARTITIONS).write.mode(mode).partitionBy(*by).format(fmt)
+    (writer if batch is None else writer.option("partitionOverwriteMode", "dynamic")).save(root)
+
+
+def write_snapshots(df: DataFrame, root: str, fetched_at: Column, fmt: str = "parquet", mode: str = "append", batch: int | None = None) -> None:
+    """Snapshot rows (with the bracket columns and patch) below region=/queue=/tier=/patch=/date=[/batch=].
+
+    Adds loose_date, time and fetched_at. With a batch number the same batch can be written again and leaves the same rows.
     """
     date, time = partition_keys(fetched_at)
-    rows = df.withColumns({"fetched_at": fetched_at, "date": date, "loose_date": date, "time": time})
-    rows.hint("rebalance", *PARTITIONS).write.mode(mode).partitionBy(*PARTITIONS).format(fmt).save(root)
+    _append(df.withColumns({"fetched_at": fetched_at, "date": date, "loose_date": date, "time": time}), root, fmt, mode, batch)
 
 
-def write_details(details: DataFrame, info: DataFrame, root: str, fmt: str = "parquet", mode: str = "append") -> None:
+def write_details(details: DataFrame, info: DataFrame, root: str, fmt: str = "parquet", mode: str = "append", batch: int | None = None) -> None:
     """Details with their entity's bracket; date and time come from the entity's latest sighting, not from the fetch."""
     date, time = partition_keys(F.col("latest_logged_at"))
     rows = details.join(info.select("entity_id", "region", "queue", "tier", "division", "latest_logged_at"), "entity_id")
-    rows.withColumns({"date": date, "time": time}).hint("rebalance", *PARTITIONS).write.mode(mode).partitionBy(*PARTITIONS).format(fmt).save(root)
+    _append(rows.withColumns({"date": date, "time": time}), root, fmt, mode, batch)
 
 
 def write_bundle(tables: dict[str, DataFrame], root: str, source: str, fetched_at: Column) -> None:
