@@ -46,6 +46,11 @@ def as_flag(c: Column) -> Column:
     return F.lower(F.trim(c)) == "true"
 
 
+def iso_to_ts(text: Column) -> Column:
+    """A time from ISO text, with or without offset; null if it is none."""
+    return text.try_cast("timestamp")
+
+
 def whole_seconds(c: Column) -> Column:
     """A timestamp (or its text) cut to seconds; null if it is none."""
     return F.date_trunc("second", c.try_cast("timestamp"))

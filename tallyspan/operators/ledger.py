@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspan.functions.expressions import latest_of
+from tallyspan.functions.expressions import latest_of, whole_seconds
 from tallyspan.sources.versions import Versions
 
 #: The messages of swept and cleaned-up work.
@@ -91,11 +91,11 @@ def upsert_records(sightings: DataFrame, prior: DataFrame | None = None) -> Data
 
 
 def claimable(as_of: Column, stale: bool, sighting_within: Column, detail_older_than: Column) -> Column:
-    """The predicate of a claim on records; null where a needed time is unknown."""
+    """The predicate of a claim on records; null where a needed time is unknown. Times, or their ISO texts, count by whole seconds."""
     if not stale:
         return F.col("detail_status").isin("failed", "pending")
-    seen = F.col("latest_logged_at") > as_of - sighting_within
-    old = F.col("detail_logged_at").isNull() | (F.col("detail_logged_at") < as_of - detail_older_than)
+    seen = whole_seconds(F.col("latest_logged_at")) > whole_seconds(as_of - sighting_within)
+    old = F.col("detail_logged_at").isNull() | (whole_seconds(F.col("detail_logged_at")) < whole_seconds(as_of - detail_older_than))
     return seen & (F.size("history") > 0) & old & (F.col("detail_status") != "in_progress")
 
 
@@ -162,7 +162,7 @@ def claim_step(log: Versions, step: int, records: DataFrame, as_of: Column, limi
 
 def sweep_stale_runs(runs: DataFrame, as_of: Column, horizon: Column) -> tuple[DataFrame, DataFrame]:
     """(swept run_id, runs with those failed): running, with a heartbeat before as_of - horizon; a null heartbeat is never swept."""
-    stale = F.coalesce((F.col("status") == "running") & (F.col("last_heartbeat") < as_of - horizon), F.lit(False))
+    stale = F.coalesce((F.col("status") == "running") & (whole_seconds(F.col("last_heartbeat")) < whole_seconds(as_of - horizon)), F.lit(False))
     changed = {"status": F.when(stale, "failed").otherwise(F.col("status")), "error_message": F.when(stale, STALLED).otherwise(F.col("error_message")), "finished_at": F.when(stale, as_of).otherwise(F.col("finished_at"))}
     return runs.where(stale).select("run_id"), runs.withColumn("_stale", stale).withColumns({k: v for k, v in changed.items()}).drop("_stale")
 

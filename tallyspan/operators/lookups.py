@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tallyspan.functions.expressions import iso_to_ts, whole_seconds
 from tallyspan.operators.validation import optional_filters, ordinal
 from tallyspan.sources.schemas import DIVISIONS, TIERS
 
@@ -16,13 +17,16 @@ def detail_status(records: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def entity_info(records: DataFrame, ids: DataFrame) -> DataFrame:
-    """Bracket and latest sighting of each asked entity; nulls for an unknown one."""
-    return ids.select("entity_id").join(records.select("entity_id", "region", "queue", "tier", "division", "latest_logged_at"), "entity_id", "left")
+    """Bracket and latest sighting of each asked entity; nulls for an unknown one. A time kept as ISO text comes out as a time."""
+    known = records.select("entity_id", "region", "queue", "tier", "division", "latest_logged_at")
+    if known.schema["latest_logged_at"].dataType.typeName() == "string":
+        known = known.withColumn("latest_logged_at", iso_to_ts(F.col("latest_logged_at")))
+    return ids.select("entity_id").join(known, "entity_id", "left")
 
 
 def entities_in_timespan(records: DataFrame, as_of: Column, days: int, **equals: str | None) -> DataFrame:
     """Entities last seen strictly later than so many days before as_of."""
-    return optional_filters(records, **equals).where(F.col("latest_logged_at") > as_of - F.make_dt_interval(F.lit(days))).select("entity_id")
+    return optional_filters(records, **equals).where(whole_seconds(F.col("latest_logged_at")) > whole_seconds(as_of - F.make_dt_interval(F.lit(days)))).select("entity_id")
 
 
 def entities_in_period(records: DataFrame, period: str, **equals: str | None) -> DataFrame:

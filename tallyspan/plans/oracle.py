@@ -147,9 +147,10 @@ FROM sightings GROUP BY entity_id""",
     "mirror_detail_status": """
 , ordered AS (SELECT *, task_id * 10 + seq AS place FROM steps)
 , last_step AS (SELECT * FROM ordered QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY ts DESC, place DESC) = 1)
-SELECT r.entity_id, l.task_id AS detail_task_id, CASE WHEN r.entity_id % 7 = 0 THEN 'in_progress' ELSE l.status END AS detail_status, CASE WHEN l.status <> 'in_progress' THEN l.file_path END AS detail_path,
+, claimed AS (SELECT entity_id, max(ts) AS ts FROM steps WHERE status = 'failed' GROUP BY 1)
+SELECT r.entity_id, l.task_id AS detail_task_id, CASE WHEN c.ts >= l.ts THEN 'in_progress' ELSE l.status END AS detail_status, CASE WHEN l.status <> 'in_progress' THEN l.file_path END AS detail_path,
   l.ts AS detail_logged_at, 'p' || year(l.ts) AS detail_patch
-FROM records r LEFT JOIN last_step l ON r.entity_id = l.entity_id""",
+FROM records r LEFT JOIN last_step l ON r.entity_id = l.entity_id LEFT JOIN claimed c ON r.entity_id = c.entity_id""",
     "run_state": """
 , beats AS (SELECT run_id, ts FROM tasks UNION ALL SELECT run_id, ts FROM steps WHERE status = 'pending')
 , own AS (SELECT run_id, min(ts) AS started_at, max(ts) AS last FROM tasks GROUP BY 1)
@@ -179,6 +180,9 @@ FROM records WHERE NOT (len(h) = 1 AND h[1] IN (SELECT task_id FROM lost))""",
     "cursor_fold": FOLD.format(where="") + "SELECT * FROM folded",
     "cursor_fold_one_key": ONE_KEY,
     "cursor_fold_in_steps": ONE_KEY,
+    "claim_by_text_times": f"""
+SELECT entity_id, tier, epoch_ms(latest_logged_at) + 500 AS seen_ms FROM records
+WHERE latest_logged_at > {AS_OF} - INTERVAL 180 DAY AND (detail_logged_at IS NULL OR detail_logged_at < {AS_OF} - INTERVAL 365 DAY) AND detail_status <> 'in_progress'""",
     "claim_steps": f"""
 , eligible AS (SELECT entity_id, row_number() OVER (ORDER BY entity_id) - 1 AS place FROM records
   WHERE latest_logged_at > {AS_OF} - INTERVAL 2000 DAY AND (detail_logged_at IS NULL OR detail_logged_at < {AS_OF} - INTERVAL 365 DAY) AND detail_status <> 'in_progress')
@@ -278,7 +282,7 @@ SELECT event_type, round(max(n * 1000000 / us / (l.a / l.b) * 100), 6) AS effici
 SELECT c.batch_id, coalesce(unique_new, 0) AS unique_new, total, CASE WHEN unique_new > 0 THEN total ELSE 0 END AS sightings, coalesce(unique_new, 0) = 0 AS discarded FROM counted c LEFT JOIN fresh f ON c.batch_id = f.batch_id""",
     "record_detail_batch": """
 , claimed AS (SELECT entity_id FROM records WHERE detail_status IN ('pending', 'failed'))
-, rows_of AS (SELECT entity_id, points, points > 49 AND entity_id % 2 = 0 AS bad FROM raw_details WHERE entity_id % 5 <> 0)
+, rows_of AS (SELECT o_custkey AS entity_id, CAST(l_quantity AS BIGINT) AS points, l_quantity > 49 AND o_custkey % 2 = 0 AS bad FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey WHERE p_brand = 'Brand#11')
 , judged AS (SELECT entity_id, bool_or(bad) AS bad, CAST(sum(points) AS BIGINT) AS points FROM rows_of GROUP BY 1)
 , ends AS (SELECT c.entity_id, CASE WHEN j.bad IS NULL THEN 'Failed to fetch detail data.' WHEN j.bad THEN 'Invalid detail data.' WHEN c.entity_id % 11 = 0 THEN 'Failed to save mastery data.' END AS error, j.points FROM claimed c LEFT JOIN judged j ON c.entity_id = j.entity_id)
 SELECT entity_id, CASE WHEN error IS NULL THEN 'success' ELSE 'failed' END AS status, error, CASE WHEN error IS NULL THEN points END AS points FROM ends""",

@@ -66,7 +66,7 @@ def latest_state(r: Roles) -> DataFrame:
 
 def mirror_detail_status(r: Roles) -> DataFrame:
     events = r.task_events().withColumn("seq", F.col("task_id") * 10 + F.col("seq"))
-    claims = events.where("entity_id % 7 = 0").groupBy("entity_id").agg(F.max("ts").alias("ts"), F.lit(2**50).alias("seq"), F.lit("in_progress").alias("status"))
+    claims = events.where("status = 'failed'").groupBy("entity_id").agg(F.max("ts").alias("ts"), F.lit(2**50).alias("seq"), F.lit("in_progress").alias("status"))
     out = ledger.mirror_detail_status(r.records(), events, claims)
     return out.select("entity_id", "detail_task_id", "detail_status", "detail_path", "detail_logged_at", "detail_patch")
 
@@ -81,6 +81,19 @@ def claim_stale(r: Roles) -> DataFrame:
     return claim(r, stale=True, sighting_within=F.expr("INTERVAL 180 DAY"), detail_older_than=F.expr("INTERVAL 365 DAY"))
 
 
+def text_times(r: Roles) -> DataFrame:
+    """Records whose last sighting is ISO text, half a second later and in another zone."""
+    text = F.concat(F.date_format(F.col("latest_logged_at") + F.expr("INTERVAL 2 HOUR"), "yyyy-MM-dd'T'HH:mm:ss"), F.lit(".500+02:00"))
+    return r.records().withColumn("latest_logged_at", text)
+
+
+def claim_by_text_times(r: Roles) -> DataFrame:
+    """Claims by whole seconds, with the time that Q2 gives."""
+    claimed, _ = ledger.claim(text_times(r), at(TASKS_AS_OF), stale=True, sighting_within=F.expr("INTERVAL 180 DAY"), detail_older_than=F.expr("INTERVAL 365 DAY"))
+    seen = lookups.entity_info(text_times(r), claimed)
+    return seen.select("entity_id", "tier", F.unix_millis("latest_logged_at").alias("seen_ms"))
+
+
 def sweep_stale_runs(r: Roles) -> DataFrame:
     _, runs = ledger.sweep_stale_runs(r.runs(), at(TASKS_AS_OF), F.expr("INTERVAL 10 DAY"))
     return runs.select("run_id", "status", "error_message", "finished_at", "last_heartbeat")
@@ -232,9 +245,9 @@ def throughput_efficiency(r: Roles) -> DataFrame:
 
 
 def record_detail_batch(r: Roles) -> DataFrame:
-    """Claims: urgent tasks' customers with pending or failed details; details of each, invalid above 49 pieces."""
+    """Claims: urgent tasks' customers with pending or failed details; details of each that bought one brand, invalid above 49 pieces."""
     claimed, _ = ledger.claim(r.records(), at(TASKS_AS_OF))
-    details = r.raw_details().where("entity_id % 5 != 0").withColumn("errors", F.when((F.col("points") > 49) & (F.col("entity_id") % 2 == 0), F.array(F.lit("points: invalid"))).otherwise(F.array().cast("array<string>")))
+    details = r.raw_details("p_brand").where("item_name = 'Brand#11'").withColumn("errors", F.when((F.col("points") > 49) & (F.col("entity_id") % 2 == 0), F.array(F.lit("points: invalid"))).otherwise(F.array().cast("array<string>")))
     records = r.records().withColumn("tier", F.when(F.col("entity_id") % 11 != 0, F.col("tier")))
     good, ends = ledger.record_detail_batch(details, claimed, records, BRACKET)
     sums = good.groupBy("entity_id").agg(F.sum("points").alias("points"))
@@ -634,6 +647,7 @@ QUERIES = {
     "cursor_fold": lambda r: ledger.cursor_fold(r.page_observations(), ["tier"]),
     "cursor_fold_one_key": lambda r: ledger.cursor_fold(all_observations(r), ["tier"]),
     "cursor_fold_in_steps": cursor_fold_in_steps,
+    "claim_by_text_times": claim_by_text_times,
     "claim_steps": claim_steps,
     "claim_large": lambda r: claim(r, limit=r.table("customer").count() // 4),
     "sweep_cascade": sweep_cascade,
