@@ -28,7 +28,7 @@ from tallyspan.llm.common import LOWER, UPPER, table, written
 
 MAX_WORDS, THRESHOLD, TOP, ABSORBED = 3, 10, 2000, 50
 SEGMENT_WORDS, BLOCK_BYTES = 1 << 20, 1 << 22
-PART_BYTES, LEAST_PARTS = 1 << 25, 16
+PART_BYTES, LEAST_PARTS = 1 << 23, 16
 FILTER_BITS, PAGE_BITS, PROBES = 1 << 27, 1 << 19, 4
 ROWS = 1 << 14
 #: What a piece ends at; a byte that UTF-8 never has stands for it.
@@ -216,7 +216,7 @@ def _survivors(threshold: int):
                     yield pa.RecordBatch.from_arrays([pa.array([len(own)], pa.int64()), pa.array([own.tobytes()], pa.binary())], ["n", "keys"])
 
         for batch in batches:
-            for own, kind, more, keys, counts in zip(*(c.to_pylist() for c in batch.columns)):
+            for own, kind, more, keys, counts in ([x.as_py() for x in row] for row in zip(*batch.columns)):
                 if own != part:
                     yield from finished()
                     part, mass, summary = own, 0, None
