@@ -27,10 +27,10 @@ from pyspark.sql.window import Window
 from tallyspan.llm.common import LOWER, UPPER, table, written
 
 MAX_WORDS, THRESHOLD, TOP, ABSORBED = 3, 10, 2000, 50
-SEGMENT_WORDS, BLOCK_BYTES = 1 << 20, 1 << 22
+SEGMENT_WORDS, BLOCK_BYTES = 1 << 19, 1 << 21
 PART_BYTES, LEAST_PARTS = 1 << 23, 16
 FILTER_BITS, PAGE_BITS, PROBES = 1 << 27, 1 << 19, 4
-ROWS = 1 << 14
+ROWS, RANKED = 1 << 14, 16
 #: What a piece ends at; a byte that UTF-8 never has stands for it.
 ENDS, EDGE = b".,;:!?\n\x0b\x0c\r", b"\xff"
 _TABLE = bytes.maketrans(UPPER.encode() + b"\t" + ENDS, LOWER.encode() + b" " + EDGE * len(ENDS))
@@ -310,7 +310,7 @@ def frequent_ngrams(docs: DataFrame, max_words: int = MAX_WORDS, threshold: int
     size = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = max(LEAST_PARTS, -(-size // PART_BYTES))
     small = own.mapInArrow(_summaries(max_words, parts), "part long, kind int, mass long, keys binary, counts binary")
-    dealt = small.repartition(parts, "part").sortWithinPartitions("part", "kind")
+    dealt = small.repartitionById(parts, F.col("part").cast("int")).sortWithinPartitions("part", "kind")
     survivors = written(dealt.mapInArrow(_survivors(threshold), "n long, keys binary"), "collocation-survivors")
     bloom = docs.sparkSession.sparkContext.broadcast(survivor_filter(survivors))
     counted = own.mapInArrow(_exact(bloom, max_words), "lang string, words int, phrase string, n long")
@@ -346,8 +346,11 @@ def collocations(docs: DataFrame, max_words: int = MAX_WORDS, threshold: int = T
     inner = inner.withColumn("first", F.explode(F.sequence(F.lit(1), F.col("words") - F.col("length") + 1)))
     longer = inner.select("lang", _part(F.col("first"), F.col("length")).alias("phrase"), "a").groupBy("lang", "phrase").agg(F.max("a").alias("longer"))
     kept = lowest.join(longer, ["lang", "phrase"], "left").where(F.coalesce(100 * F.col("longer") < absorbed * F.col("a"), F.lit(True)))
-    order = Window.partitionBy("lang").orderBy(F.col("cut.score").desc(), F.col("a").desc(), "phrase")
-    best = kept.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top)  # limited before the shuffle
+    # the best of each of some parts of a language, then of those: no task ranks more than RANKED * top rows
+    order = [F.col("cut.score").desc(), F.col("a").desc(), "phrase"]
+    part = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(RANKED))).orderBy(*order)
+    best = kept.withColumn("rank", F.row_number().over(part)).where(F.col("rank") <= top)
+    best = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
     words = counts.where("words = 0").select("lang", "n")
     return best.join(words, "lang").select("lang", "rank", "phrase", "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"), "n", F.col("cut.score").alias("score"))
 
