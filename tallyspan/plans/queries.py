@@ -558,7 +558,7 @@ def write_twice(r: Roles) -> DataFrame:
     """Snapshots of two batches, the first one written again: it replaces itself."""
     path, rows = scratch(r.spark, "batches"), r.sightings()
     for batch in (0, 1, 0):
-        sinks.write_snapshots(rows.where(F.col("seq") % 2 == batch), path, F.col("logged_at"), batch=batch)
+        sinks.write_snapshots(rows.where(F.col("seq") % 2 == batch), path, F.date_trunc("month", "logged_at"), batch=batch)
     with documents.text_partitions(r.spark):
         return r.spark.read.parquet(path).groupBy("tier", "patch", F.col("batch").cast("int").alias("batch")).agg(F.count("*").alias("n"), F.sum("seq").alias("seqs"))
 
@@ -568,7 +568,7 @@ def record_snapshots(r: Roles) -> DataFrame:
     store, path = recording.RecordStore(r.spark, scratch(r.spark, "records"), 8), scratch(r.spark, "snapshots")
     pages, (cut, _) = snapshot_pages(r).withColumn("task_id", F.col("batch_id")), third_cuts(r)
     parts = pages.where(F.col("batch_id") < cut), pages.where(F.col("batch_id") >= cut)
-    ends = [recording.record_snapshots(parts[n], store, path, n, ["tier"], F.col("logged_at")) for n in (0, 1, 1)]
+    ends = [recording.record_snapshots(parts[n], store, path, n, ["tier"], F.date_trunc("month", "logged_at")) for n in (0, 1, 1)]
     tasks = ends[0].unionByName(ends[2]).groupBy((F.col("file_path").isNull()).alias("dropped")).agg(F.count("*").alias("n"), F.sum("task_id").alias("ids"))
     with documents.text_partitions(r.spark):
         files = r.spark.read.parquet(path).agg(F.count("*").alias("n"), F.sum("seq").alias("ids"))
