@@ -4,7 +4,8 @@ DataFrame functions only. Each distinct entity (its canonical form: the digits o
 letters of an e-mail address, each single word of a name) has one surrogate in all documents, drawn from a keyed
 hash and written in the form of the place it replaces: punctuation, letter case, lengths, a country code, a private
 network, a valid check digit, the gender and script of a name stay. Two people of one surname, or "Mr. Lund" after
-"Mr. Nils Lund", keep that in common.
+"Mr. Nils Lund", keep that in common. The gender that a title gives a full name anywhere is that of the name where
+no title says one.
 
 An address's host is an entity of its own, so that colleagues stay colleagues and two hosts stay two. A phone number
 that begins with + keeps its country code. People are found behind titles, and by their names alone behind the phrases
@@ -33,10 +34,13 @@ FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Madame", "Mme", "г-ж
 NEUTRAL = ("Dr", "Prof")
 #: What a person's name without a title follows, in four languages.
 INTRODUCTIONS = ("my name is ", "My name is ", "ich heiße ", "Ich heiße ", "mein Name ist ", "Mein Name ist ", "je m'appelle ", "Je m'appelle ", "mon nom est ", "Mon nom est ", "me llamo ", "Me llamo ", "mi nombre es ", "Mi nombre es ")
+#: Labels of a host: as many as its name in 253 characters can have.
+MOST_LABELS = 127
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: Type and pattern, in the order in which they are tried at a place.
 PATTERNS = {
-    "email": r"[\p{L}0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    # from where a run of its characters begins (or the last entity ended): each run is read once
+    "email": rf"(?:\G|(?<![\p{{L}}0-9._%+-]))[\p{{L}}0-9._%+-]++@(?:[A-Za-z0-9-]++\.){{1,{MOST_LABELS - 1}}}[A-Za-z]{{2,}}",
     "secret": r"(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9_-]{20,}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]+"
     r"|(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![A-Za-z0-9])"
     r"|(?<=(?:token|secret|passwd|password|api_key|api-key|apikey|access_key)\s{0,3}[=:]\s{0,3}[\"']{0,1})[A-Za-z0-9+/_=-]{12,}",
@@ -51,10 +55,12 @@ PATTERNS = {
 TITLED = rf"^(?:{'|'.join(MALE + FEMALE + NEUTRAL)})\.? "
 #: An address may follow a dot or another mark; the other types begin where no letter or digit stands before.
 ANY = rf"(?:{PATTERNS['email']}|(?<![\p{{L}}0-9_+])(?:{'|'.join(f'(?:{p})' for n, p in PATTERNS.items() if n != 'email')}))"
-#: What any entity holds: most texts are passed over by this alone.
-HINT = rf"@|\d[\d ().+-]{{5,}}\d|[0-9A-Za-z+/_=-]{{12,}}|(?:{'|'.join(MALE + FEMALE + NEUTRAL)})\.? \p{{Lu}}|{'|'.join(INTRODUCTIONS)}"
-VOWELS, CYRILLIC_VOWELS = "aeiou", "аеиоу"
-CONSONANTS, CYRILLIC_CONSONANTS = "bdfgklmnprstvz", "бвгдзклмнпрст"
+#: What any entity holds: most texts are passed over by this alone. Tests hold it against ANY.
+HINT = rf"@|\d[\d ().+-]{{3,}}\d|[A-Z]{{2}}\d{{2}}[A-Z0-9 ]{{12}}|[0-9A-Za-z+/_=-]{{12,}}|(?:{'|'.join(MALE + FEMALE + NEUTRAL)})\.? \p{{Lu}}|{'|'.join(INTRODUCTIONS)}"
+VOWELS, CYRILLIC_VOWELS, GREEK_VOWELS = "aeiou", "аеиоу", "αειου"
+CONSONANTS, CYRILLIC_CONSONANTS, GREEK_CONSONANTS = "bdfgklmnprstvz", "бвгдзклмнпрст", "βγδκλμνπρστφ"
+#: Letters that others of their script become.
+CYRILLIC, GREEK = CYRILLIC_VOWELS + CYRILLIC_CONSONANTS, GREEK_VOWELS + GREEK_CONSONANTS
 SEP = "\x1f"
 
 
@@ -76,14 +82,29 @@ def _digits(c: Column) -> Column:
     return F.regexp_replace(c, r"\D", "")
 
 
-def units(entity: Column) -> Column:
-    """An entity's units as "type US canonical form": one, but for a name one per word, for an address also its host."""
+def gender_of(entity: Column) -> Column:
+    """f or m by a person's title, null without one that says so."""
+    title = F.regexp_replace(F.when(entity.rlike(TITLED), F.substring_index(entity, " ", 1)).otherwise(F.lit("")), r"\.$", "")
+    return F.when(title.isin(*FEMALE), F.lit("f")).when(title.isin(*MALE), F.lit("m"))
+
+
+def full_name(entity: Column) -> Column:
+    """"full US name" of a person named in full; null for others. Its attempt says the gender that titles elsewhere give it."""
+    words = _name_words(entity)
+    return F.when((type_of(entity) == "person") & (F.size(words) > 1), F.concat(F.lit(f"full{SEP}"), F.lower(F.array_join(words, " "))))
+
+
+def units(entity: Column, known: Column | None = None) -> Column:
+    """An entity's units as "type US canonical form": one, but for a name one per word, for an address also its host.
+
+    known: the gender of a person whose title says none (f, m or null).
+    """
     kind = type_of(entity)
     titled = entity.rlike(TITLED)
-    title = F.regexp_replace(F.when(titled, F.substring_index(entity, " ", 1)).otherwise(F.lit("")), r"\.$", "")
     words = _name_words(entity)
-    script = F.when(entity.rlike(r"\p{IsCyrillic}[^ ]*$"), F.lit("c")).otherwise(F.lit("l"))
-    gender = F.when(title.isin(*FEMALE), F.lit("f")).when(title.isin(*MALE), F.lit("m")).otherwise(F.lit("n"))
+    last = F.element_at(F.split(entity, " "), -1)
+    script = F.when(last.rlike(r"\p{IsCyrillic}"), F.lit("c")).when(last.rlike(r"\p{IsGreek}"), F.lit("g")).otherwise(F.lit("l"))
+    gender = F.coalesce(gender_of(entity), F.lit(None).cast("string") if known is None else known, F.lit("n"))
     family = F.concat(F.lit("family-"), script, F.lit(SEP), F.lower(F.element_at(words, -1)))
     given = F.concat(F.lit("given-"), script, F.lit("-"), gender, F.lit(SEP), F.lower(F.get(words, F.lit(0))))
     plus = F.when(entity.startswith("+"), F.lit("+")).otherwise(F.lit(""))
@@ -109,7 +130,9 @@ def _stream(key: str, unit: Column, attempt: Column) -> Column:
 
 
 def _byte(stream: Column, n: Column) -> Column:
-    return F.conv(F.substring(stream, (n % 128) * 2 + 1, F.lit(2)), 16, 10).cast("int")
+    """Byte n of a stream of 128; each turn through them is shifted by another number."""
+    turn = F.floor(n / 128).cast("int")
+    return F.conv(F.substring(stream, (n % 128) * 2 + 1, F.lit(2)), 16, 10).cast("int") + turn % 251 * 7
 
 
 def _pick(alphabet: str, n: Column) -> Column:
@@ -117,18 +140,31 @@ def _pick(alphabet: str, n: Column) -> Column:
 
 
 def _redrawn(form: Column, stream: Column, first: Column) -> Column:
-    """form with each letter and digit from place first on (counted without other characters) drawn anew in its class."""
+    """form with each letter and digit from place first on (counted without other characters) drawn anew in its class.
+
+    Letters stay in their script (Latin, Greek, Cyrillic; others become Latin ones) and case. The places are those in the
+    form without other characters, which are woven in again: one pass each, whatever the length.
+    """
     hexa = form.rlike(r"^[0-9a-fA-F]+$")
-    character = lambda c, b: (
-        F.when(c.rlike(r"\d"), _pick("0123456789", b))
-        .when(c.rlike(r"[a-z]"), F.when(hexa, _pick("abcdef", b)).otherwise(_pick("abcdefghijklmnopqrstuvwxyz", b)))
-        .when(c.rlike(r"[A-Z]"), F.when(hexa, _pick("ABCDEF", b)).otherwise(_pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", b)))
-        .when(c.rlike(r"\p{L}"), _pick("abcdefghijklmnopqrstuvwxyz", b))
-        .otherwise(c)
-    )
-    place = lambda i: F.char_length(F.regexp_replace(F.substring(form, F.lit(1), i), r"[^\p{L}0-9]", ""))
-    drawn = F.transform(F.split(form, ""), lambda c, i: F.when(place(i) < first, c).otherwise(character(c, _byte(stream, place(i)))))
-    return F.array_join(drawn, "")
+    small = "abcdefghijklmnopqrstuvwxyz"
+
+    def character(c: Column, b: Column) -> Column:
+        capital = c.rlike(r"\p{Lu}")
+        case = lambda drawn: F.when(capital, F.upper(drawn)).otherwise(drawn)
+        return (
+            F.when(c.rlike(r"\d"), _pick("0123456789", b))
+            .when(c.rlike(r"[a-z]"), F.when(hexa, _pick("abcdef", b)).otherwise(_pick(small, b)))
+            .when(c.rlike(r"[A-Z]"), F.when(hexa, _pick("ABCDEF", b)).otherwise(_pick(small.upper(), b)))
+            .when(c.rlike(r"\p{IsCyrillic}"), case(_pick(CYRILLIC, b)))
+            .when(c.rlike(r"\p{IsGreek}"), case(_pick(GREEK, b)))
+            .when(c.rlike(r"\p{L}"), _pick(small, b))
+            .otherwise(c)
+        )
+
+    plain = F.regexp_replace(form, r"[^\p{L}0-9]", "")
+    drawn = F.transform(F.split(plain, ""), lambda c, i: F.when(i < first, c).otherwise(character(c, _byte(stream, i))))
+    between = F.split(form, r"[\p{L}0-9]")
+    return let(drawn, lambda letters: F.array_join(F.transform(between, lambda s, i: F.concat(s, F.coalesce(F.get(letters, i), F.lit("")))), ""))
 
 
 def _luhn(digits: Column) -> Column:
@@ -141,22 +177,21 @@ def _luhn(digits: Column) -> Column:
 def _name(unit: Column, stream: Column) -> Column:
     """A made-up name word in the unit's script: syllables, and for a given name an ending of its gender."""
     kind = F.substring_index(unit, SEP, 1)
-    cyrillic = kind.contains("-c")
-    syllable = lambda n: F.when(
-        cyrillic, F.concat(_pick(CYRILLIC_CONSONANTS, _byte(stream, F.lit(2 * n))), _pick(CYRILLIC_VOWELS, _byte(stream, F.lit(2 * n + 1))))
-    ).otherwise(F.concat(_pick(CONSONANTS, _byte(stream, F.lit(2 * n))), _pick(VOWELS, _byte(stream, F.lit(2 * n + 1)))))
-    ending = (
-        F.when(kind.endswith("-f"), F.when(cyrillic, F.lit("на")).otherwise(F.lit("na")))
-        .when(kind.endswith("-m"), F.when(cyrillic, F.lit("н")).otherwise(F.lit("n")))
-        .when(kind.startswith("family"), F.when(cyrillic, F.lit("ко")).otherwise(F.lit("son")))
-        .otherwise(F.when(cyrillic, F.lit("и")).otherwise(F.lit("el")))
+    cyrillic, greek = kind.contains("-c"), kind.contains("-g")
+    script = lambda c, g, latin: F.when(cyrillic, c).when(greek, g).otherwise(latin)
+    pick = lambda letters, n: _pick(letters, _byte(stream, F.lit(n)))
+    syllable = lambda n: script(
+        *(F.concat(pick(c, 2 * n), pick(v, 2 * n + 1)) for c, v in ((CYRILLIC_CONSONANTS, CYRILLIC_VOWELS), (GREEK_CONSONANTS, GREEK_VOWELS), (CONSONANTS, VOWELS)))
     )
+    word = lambda c, g, latin: script(F.lit(c), F.lit(g), F.lit(latin))
+    ending = F.when(kind.endswith("-f"), word("на", "να", "na")).when(kind.endswith("-m"), word("н", "νος", "n")).when(kind.startswith("family"), word("ко", "ιδης", "son")).otherwise(word("и", "ι", "el"))
     return F.initcap(F.concat(syllable(0), syllable(1), syllable(2), syllable(3), ending))
 
 
 def surrogate(entity: Column, attempt_of, key: str = KEY) -> Column:
-    """The surrogate for an entity as written; attempt_of(unit) gives the unit's attempt."""
-    own = units(entity)
+    """The surrogate for an entity as written; attempt_of(unit) gives the unit's attempt, that of a full name its gender."""
+    code = attempt_of(full_name(entity))
+    own = units(entity, F.when(code == 1, F.lit("f")).when(code == 2, F.lit("m")))
     first = F.get(own, F.lit(0))
     kind = F.substring_index(first, SEP, 1)
 
@@ -244,10 +279,19 @@ def replace_entities(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", te
     may = F.col("text").rlike(HINT)
     found = rows.where(may).withColumn("found", matches(F.col("text")))
     held = written(found.withColumn("rid", F.monotonically_increasing_id()), "pii-found")
-    mentions = held.where("size(found) > 0").select("rid", F.explode(F.array_distinct("found")).alias("entity")).select("rid", F.explode(units(F.col("entity"))).alias("unit"))
+    entities = held.where("size(found) > 0").select("rid", F.explode(F.array_distinct("found")).alias("entity"))
+    entities = written(entities.withColumns({"full": full_name(F.col("entity")), "gender": gender_of(F.col("entity"))}), "pii-entities")
+    # what titles say of a person holds for all mentions of the full name
+    told = entities.where("full is not null and gender is not null").groupBy("full").agg(F.min("gender").alias("told"))
+    told = written(told, "pii-genders")
+    silent = entities.where("full is not null and gender is null").join(told, "full")
+    genders = silent.select("rid", F.col("full").alias("unit"), F.when(F.col("told") == "f", 1).otherwise(2).alias("attempt"))
+    known = silent.select("rid", "entity", "told").unionByName(entities.join(silent.select("rid", "entity"), ["rid", "entity"], "left_anti").select("rid", "entity", F.lit(None).cast("string").alias("told")))
+    mentions = written(known.select("rid", F.explode(units(F.col("entity"), F.col("told"))).alias("unit")).distinct(), "pii-mentions")
     redrawn = written(attempts(mentions.select("unit").distinct(), key), "pii-redrawn")
-    extra = mentions.distinct().join(redrawn, "unit").groupBy("rid").agg(F.map_from_entries(F.collect_list(F.struct("unit", "attempt"))).alias("attempts"))
-    of = lambda unit: F.coalesce(F.element_at(F.col("attempts"), unit), F.lit(0))
+    extra = mentions.join(redrawn, "unit").select("rid", "unit", "attempt").unionByName(genders).distinct()
+    extra = extra.groupBy("rid").agg(F.map_from_entries(F.collect_list(F.struct("unit", "attempt"))).alias("attempts"))
+    of = lambda unit: F.coalesce(F.element_at(F.col("attempts"), F.coalesce(unit, F.lit(""))), F.lit(0))
     pieces = F.split(F.col("text"), ANY)
     woven = F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(F.get(F.col("new"), i), F.lit(""))))
     done = held.join(extra, "rid", "left").withColumn("new", F.transform("found", lambda e: surrogate(e, of, key)))

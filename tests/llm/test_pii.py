@@ -115,3 +115,55 @@ def test_names_without_a_title(docs):
         assert got[n].entity_types == "person"
         assert re.search(r"(?:is|heiße|appelle|llamo) [A-Z][a-z]+ [A-Z][a-z]+", got[n].text)
     assert [got[n].text for n in (4, 5)] == texts[4:]
+
+
+#: A repeated part of each pattern, of which 100 kB must neither overflow a stack nor take long.
+REPEATED = ["a.", "x@a.", "a@b.co ", "x@", "eyJabcdefghijk.", "eyJ", "sk-aaaaaaaaaaaaaaaaaaaaa", "AKIA", "ghp_", "deadbeef", "token=", "DE89 3704 ", "DE89", "1.2.3.4.", "255.", "4111 1111 ", "1-", "123-45-6789", "+1 23 45 ", "(123) 456-", "Mr. Nils Lund ", "Mr. ", "Aa'", "my name is ", "my name is Anna "]
+
+
+def test_no_pattern_overflows_on_100_kb_of_its_own_parts(docs):
+    import time
+
+    texts = [(x * (100_000 // len(x) + 1))[:100_000] for x in REPEATED] + ["x@" + "a." * 5000 + "com", "x@" + "a." * 50_000 + "com", "u" * 100_000 + "@b.com"]
+    start = time.time()
+    got = docs(*texts).select(F.size(pii.matches(F.col("text"))).alias("n"), F.col("text").rlike(pii.HINT)).collect()
+    assert len(got) == len(texts)
+    assert time.time() - start < 60
+    assert replaced(docs, "x@" + "a." * 50_000 + "com", "mail a@" + "b." * 100 + "com")[1].entity_types == "email"
+
+
+def test_a_long_secret_is_redrawn_in_one_pass(docs):
+    secret = "token=" + "aB3" * 20_000
+    got = replaced(docs, secret)[0].text
+    assert len(got) == len(secret)
+    body = got[6:]
+    assert re.fullmatch(r"(?:[a-z][A-Z][0-9])+", body)
+    assert len({body[n : n + 384] for n in range(0, 60_000 - 384, 384)}) > 15
+
+
+def test_the_hint_covers_all_entities(docs):
+    """Texts made of pieces of entities: whatever the patterns find, the hint lets through."""
+    import random
+
+    random.seed(8)
+    parts = ["+11", "22", "2", "(123)", "456", "-", " ", ".", "7890", "DE89", "ABCD", "EFGH", "IJKL", "AKIA" + "A" * 16, "a@b.co", "1.2.3.4", "Mr. ", "Nils", "my name is ", "token=", "abcdefghijkl", "4111", "1111", "ghp_" + "a" * 36, "eyJ" + "a" * 10, "\"", "x"]
+    texts = ["".join(random.choices(parts, k=random.randrange(1, 9))) for _ in range(4000)] + ["Call +112222 now", "DE12 ABCD EFGH IJKL", "1.1.1.1"]
+    rows = docs(*texts).select("text", F.col("text").rlike(pii.ANY).alias("any"), F.col("text").rlike(pii.HINT).alias("hint")).collect()
+    assert sum(r.any for r in rows) > 500
+    assert not [r.text for r in rows if r.any and not r.hint]
+
+
+def test_one_person_has_one_name_and_one_gender(docs):
+    got = replaced(docs, "Mr. Nils Lund spoke.", "My name is Nils Lund.", "Dr. Nils Lund and Mrs. Kim Lee left; Dr. Kim Lee and Dr. Kim Park stayed.")
+    name = re.match(r"Mr\. (\w+n \w+) spoke", got[0].text)[1]
+    assert got[1].text == f"My name is {name}."
+    doctor, mrs, same, other = re.match(r"Dr\. (\w+ \w+) and Mrs\. (\w+na \w+) left; Dr\. (\w+ \w+) and Dr\. (\w+el \w+) stayed", got[2].text).groups()
+    assert doctor == name
+    assert mrs == same != other
+
+
+def test_scripts_stay(docs):
+    got = replaced(docs, "Mr. Γιώργος Παπάς met Mrs. Ελένη Παπά.", "г-н Иван Петров, почта иван.петров@mail.com", "write to γιώργος@mail.gr")
+    assert re.fullmatch(r"Mr\. [Α-Ω][α-ωά-ώς]+ [Α-Ω][α-ως]+ met Mrs\. [Α-Ω][α-ως]+να [Α-Ω][α-ως]+\.", got[0].text)
+    assert re.fullmatch(r"г-н [А-Я][а-я]+н [А-Я][а-я]+, почта [а-я]{4}\.[а-я]{6}@[a-z]{4}\.com", got[1].text)
+    assert re.fullmatch(r"write to [α-ω]{7}@[a-z]{4}\.gr", got[2].text)
