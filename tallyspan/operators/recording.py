@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspan.operators import ledger
+from tallyspan.operators import histories, ledger
 from tallyspan.sources import sinks
 from tallyspan.sources.versions import Versions
 
@@ -60,6 +60,30 @@ class RecordStore:
         return touched
 
 
+class HistoryStore:
+    """Histories in chunks, kept by span of time: a batch reads and writes the spans it has sightings in, and no other.
+
+    An entity with most of the sightings is spread over spans, and its earlier ones are not touched again.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, span: int = histories.SPAN):
+        self.versions, self.span = Versions(spark, root, 1), span
+
+    def read(self, before: int | None = None, only: list[int] | None = None) -> DataFrame | None:
+        rows = self.versions.read(before, only)
+        return None if rows is None else rows.drop("bucket")
+
+    def upsert(self, sightings: DataFrame, version: int) -> list[int]:
+        """Adds a batch of sightings; gives the touched spans. A version that is repeated starts from the state before it."""
+        chunk = histories.chunk_of(F.col("logged_at"), self.span)
+        touched = sorted(r.chunk for r in sightings.select(chunk.alias("chunk")).distinct().collect())  # the spans of a batch
+        if touched:
+            new, prior = histories.history_chunks(sightings, self.span), self.read(version, touched)
+            merged = new if prior is None else histories.merge_chunks(prior, new)
+            self.versions.write(merged.withColumn("bucket", F.col("chunk")), version, touched)
+        return touched
+
+
 def replace_buckets(table: Versions, rows: DataFrame, key: str, version: int, touched: list[int]) -> None:
     table.write(rows.drop("bucket").withColumn("bucket", table.bucket_of(key)), version, touched)
 
@@ -122,8 +146,8 @@ def record_snapshots(snapshots: DataFrame, store: RecordStore, root: str, batch:
     return landed.unionByName(dropped)
 
 
-def record_details(details: DataFrame, claims: DataFrame, store: RecordStore, root: str, batch: int, as_of: Column, patch: Column, keys: list[str], fmt: str = "parquet") -> DataFrame:
-    """Lands the details of a batch of claims and mirrors the ends of their tasks into the records; gives those ends.
+def record_details(details: DataFrame, claims: DataFrame, store: RecordStore, root: str, batch: int, as_of: Column, patch: Column, keys: list[str], fmt: str = "parquet", log: Versions | None = None) -> DataFrame:
+    """Lands the details of a batch of claims and mirrors the ends of their tasks into the records; gives those ends, which also go to the log.
 
     claims: entity_id, task_id. details: entity_id, errors and fields; an entity with an invalid row, without rows, or whose
     record lacks a bracket value fails, and none of its rows is written.
@@ -137,5 +161,8 @@ def record_details(details: DataFrame, claims: DataFrame, store: RecordStore, ro
     sinks.write_details(good.withColumn("patch", patch), info, root, fmt, batch=batch)
     path = F.when(F.col("status") == "success", F.concat(F.lit(f"{root}/batch={batch}/"), "entity_id"))
     events = ends.join(claims.select("entity_id", "task_id"), "entity_id").select("entity_id", "task_id", as_of.alias("ts"), F.lit(batch).cast("long").alias("seq"), "status", path.alias("file_path"), "error", patch.alias("patch"))
+    if log is not None:
+        log.write(events, batch)
+        events = log.read_version(batch)
     store.mirror(events, batch)
     return events

@@ -121,6 +121,11 @@ SELECT entity_id, arg_max(region, place) AS region, arg_max(queue, place) AS que
   array_to_string(list(task_id ORDER BY place), ',') AS task_ids, arg_max(logged_at, place) AS latest_logged_at, 'pending' AS detail_status
 FROM (SELECT *, row_number() OVER (ORDER BY {order}) AS place FROM {source}) GROUP BY entity_id"""
 
+CHUNKS = """
+, placed AS (SELECT *, row_number() OVER (ORDER BY logged_at, seq) AS place FROM sightings)
+SELECT entity_id, count(*) AS n_history, arg_min(task_id, place) AS first_task_id, arg_max(task_id, place) AS latest_task_id, arg_max(patch, place) AS latest_patch, max(logged_at) AS latest_logged_at,
+  arg_max(region, place) AS region, arg_max(queue, place) AS queue, arg_max(tier, place) AS tier, arg_max(division, place) AS division FROM placed GROUP BY entity_id"""
+
 CURSORS = FOLD.format(where="WHERE seq <= 15")
 
 SQL = {
@@ -194,10 +199,15 @@ SELECT r.entity_id, CASE WHEN c.entity_id IS NOT NULL THEN 'in_progress' ELSE de
     "stream_sweep": swept("run_id % 5 <> 0"),
     "stream_records": RECORDED.format(second="c2") + HISTORIES.format(order="g, logged_at, seq", source="recorded"),
     "record_store": HISTORIES.format(order="logged_at, seq", source="sightings"),
-    "upsert_chunks": """
-, placed AS (SELECT *, row_number() OVER (ORDER BY logged_at, seq) AS place FROM sightings)
-SELECT entity_id, count(*) AS n_history, arg_min(task_id, place) AS first_task_id, arg_max(task_id, place) AS latest_task_id, arg_max(patch, place) AS latest_patch, max(logged_at) AS latest_logged_at,
-  arg_max(region, place) AS region, arg_max(queue, place) AS queue, arg_max(tier, place) AS tier, arg_max(division, place) AS division FROM placed GROUP BY entity_id""",
+    "upsert_chunks": CHUNKS,
+    "history_store": CHUNKS,
+    "feature_matrix_many_items": """
+, cells AS (
+  SELECT o_custkey AS entity_id, p_brand || ' ' || p_type AS item, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS points, max(l_shipdate) AS last_played
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)
+SELECT c.entity_id, any_value(e.tier) AS tier, CAST(sum(points) AS BIGINT) AS total_points, count(*) FILTER (WHERE item NOT LIKE '%SMALL' AND regexp_matches(item, '^Brand#([1-9]|1[0-9]|2[0-5]) ')) AS filled,
+  max(points) FILTER (WHERE item = 'Brand#1 PROMO') AS c0, max(points) FILTER (WHERE item = 'Brand#13 LARGE') AS c1, max(last_played) FILTER (WHERE item = 'Brand#25 STANDARD') AS c2
+FROM cells c LEFT JOIN entities e ON c.entity_id = e.entity_id GROUP BY 1""",
     "history_stats_chunked": HISTORY,
     "ledger_issues_chunked": """
 , places AS (SELECT entity_id, unnest(h) AS task_id FROM records)

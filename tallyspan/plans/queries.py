@@ -533,6 +533,29 @@ def upsert_chunks(r: Roles) -> DataFrame:
     return histories.history_totals(chunked(r)).drop("latest_path")
 
 
+def history_store(r: Roles) -> DataFrame:
+    """Histories kept by spans of three days: the month in four batches, one of them twice, then late rows of its middle."""
+    store = recording.HistoryStore(r.spark, scratch(r.spark, "histories"), 3 * 86400)
+    s = r.sightings().withColumn("day", F.dayofmonth("logged_at"))
+    late = (F.col("day").between(10, 12)) & (F.col("tier") == "error")
+    for version in (0, 1, 2, 2, 3):
+        store.upsert(s.where((F.least(F.expr("(day - 1) div 8"), F.lit(3)) == version) & ~late), version)
+    store.upsert(s.where(late), 4)
+    return histories.history_totals(store.read()).drop("latest_path")
+
+
+def many_items(r: Roles) -> DataFrame:
+    """The feature matrix over brands and types together: some 150 items."""
+    details = r.raw_details("concat(p_brand, ' ', p_type)")
+    cells = details.groupBy("entity_id", "item_name").agg(F.sum("points").alias("points"), F.max("last_played").alias("last_played"))
+    names = [f"Brand#{n} {t}" for n in range(1, 26) for t in TYPES]
+    items = r.spark.createDataFrame([(n, n) for n in names if not n.endswith("SMALL")], "item_id string, item_name string")
+    wide = features.feature_matrix(r.entities(), cells.withColumnRenamed("item_name", "item_id"), items, [n for n in names if not n.endswith("SMALL")])
+    some = [f"Brand#{n} {t}{suffix}" for n, t, suffix in ((1, "PROMO", ""), (13, "LARGE", ""), (25, "STANDARD", "_lastPlayed"))]
+    filled = sum((F.col(f"`{n}`").isNotNull().cast("long") for n in names if not n.endswith("SMALL")), F.lit(0).cast("long"))
+    return wide.select("entity_id", "tier", "total_points", filled.alias("filled"), *(F.col(f"`{c}`").alias(f"c{n}") for n, c in enumerate(some)))
+
+
 def task_chunks(r: Roles) -> DataFrame:
     """The records' histories, in chunks of a year or so."""
     sightings = r.snapshot_tasks().select("entity_id", F.col("ts").alias("logged_at"), F.col("task_id").alias("seq"), "task_id", F.col("file_path").alias("path"), F.concat(F.lit("p"), F.year("ts")).alias("patch"))
@@ -655,6 +678,8 @@ QUERIES = {
     "stream_records": stream_records,
     "record_store": record_store,
     "upsert_chunks": upsert_chunks,
+    "history_store": history_store,
+    "feature_matrix_many_items": many_items,
     "history_stats_chunked": lambda r: histories.history_length_stats(histories.history_totals(task_chunks(r))),
     "ledger_issues_chunked": ledger_issues_chunked,
     "unmapped_items": lambda r: features.unmapped_items(r.numbered_details(), r.items()),

@@ -98,7 +98,7 @@ class Roles:
 
     def raw_details(self, item: str = "p_type") -> DataFrame:
         lines = self.table("lineitem").join(self.table("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(self.table("part"), F.col("l_partkey") == F.col("p_partkey"))
-        return lines.select(F.col("o_custkey").alias("entity_id"), F.col(item).alias("item_name"), F.col("l_quantity").cast("long").alias("points"), F.col("l_shipdate").alias("last_played"))
+        return lines.select(F.col("o_custkey").alias("entity_id"), F.expr(item).alias("item_name"), F.col("l_quantity").cast("long").alias("points"), F.col("l_shipdate").alias("last_played"))
 
     def details(self, item: str = "p_type") -> DataFrame:
         return self.raw_details(item).groupBy("entity_id", "item_name").agg(F.sum("points").alias("points"), F.max("last_played").alias("last_played"))

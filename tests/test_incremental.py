@@ -188,6 +188,22 @@ def test_chunks_hold_the_histories_in_order(spark):
     assert totals == {r.entity_id: (len(r.history), r.history[0].task_id, r.history[-1].task_id, r.latest_logged_at, r.tier) for r in whole.collect()}
 
 
+def test_a_batch_of_sightings_rewrites_its_spans_only(spark, tmp_path):
+    store = recording.HistoryStore(spark, str(tmp_path / "h"), 10 * 3600)
+    rows = [("hot" if n % 3 else f"p{n}", n, "A") for n in range(100)]
+    assert len(store.upsert(sightings(spark, *rows), 0)) == 11
+    before = files_below(tmp_path)
+    late = [("hot", 41, "B"), ("new", 42, "B")]
+    for _ in range(2):
+        touched = store.upsert(sightings(spark, *late), 1)
+    assert len(touched) == 1
+    after = files_below(tmp_path)
+    assert {k: after[k] for k in before} == before
+    assert {k.split("bucket=")[1].split("/")[0] for k in after if k not in before and "/data/" in k} == {str(touched[0])}
+    want = histories.history_totals(histories.history_chunks(sightings(spark, *rows, *late), 10 * 3600))
+    assert sorted(histories.history_totals(store.read()).collect()) == sorted(want.collect())
+
+
 def test_lengths_are_read_without_the_entries(spark, tmp_path):
     histories.history_chunks(sightings(spark, ("a", 1, "A"), ("a", 2, "B"), ("b", 3, "A"))).write.parquet(str(tmp_path / "chunks"))
     totals = histories.history_totals(spark.read.parquet(str(tmp_path / "chunks")))
@@ -268,6 +284,26 @@ def test_rejects_are_counted_with_the_write(spark, tmp_path):
     assert {(r.entity_id, r.One, r.total_points) for r in spark.read.parquet(str(tmp_path / "f")).collect()} == {("a", 5, 12), ("b", None, 3)}
 
 
+@pytest.mark.parametrize("how", ["none", "latest", "error"])
+def test_many_items_give_the_same_pivot(spark, monkeypatch, how):
+    random.seed(6)
+    items = ["One", "Two", "a b", "x.y"]
+    rows = [(f"p{random.randrange(30)}", random.choice([*items, "Other", None]), random.randrange(9), T0 + H * n) for n in range(300)]
+    frame = spark.createDataFrame(rows, "entity_id string, item_name string, points long, last_played timestamp")
+    if how == "error":
+        frame = frame.groupBy("entity_id", "item_name").agg(F.max("points").alias("points"), F.max("last_played").alias("last_played"))
+    measures, sums = {"": "points", "_lastPlayed": "last_played"}, {"total": "points"}
+    one = [features.pivot_details(frame, items, measures, how).collect(), features._wide(frame, items, measures, totals=sums).collect()]
+    monkeypatch.setattr(features, "MANY_ITEMS", 1)
+    many = features.pivot_details(frame, items, measures, how)
+    assert many.columns == ["entity_id", *items, *(f"{i}_lastPlayed" for i in items)]
+    assert sorted(many.collect()) == sorted(one[0])
+    assert sorted(features._wide(frame, items, measures, totals=sums).collect()) == sorted(one[1])
+    if how == "error":
+        with pytest.raises(Exception, match="more than once"):
+            features.pivot_details(frame.union(frame), items, measures).collect()
+
+
 # streams
 
 
