@@ -26,9 +26,13 @@ class Versions:
     def bucket_of(self, key: str):
         return F.pmod(F.xxhash64(key), F.lit(max(1, self.buckets)).cast("long"))
 
-    def _exists(self, path: str) -> bool:
+    def _files(self, path: str):
         where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+        return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), where
+
+    def _exists(self, path: str) -> bool:
+        files, where = self._files(path)
+        return files.exists(where)
 
     def has(self, version: int) -> bool:
         return self._exists(f"{self.root}/commits/version={version}/_SUCCESS")
@@ -71,3 +75,19 @@ class Versions:
         else:  # a row per version
             places = [f"{self.root}/data/version={r.version}" for r in known.select("version").distinct().collect()]
         return self.spark.read.parquet(*places) if places else None
+
+    def trim(self, keep_from: int) -> int:
+        """Removes bucket folders that a later version below keep_from replaces; gives their number.
+
+        Every state from keep_from on, and the one before it, can still be read and its version repeated.
+        """
+        known = self.commits(keep_from) if self.buckets else None
+        if known is None:
+            return 0
+        last = known.groupBy("bucket").agg(F.max("version").alias("last"))
+        old = known.join(last, "bucket").where((F.col("version") < F.col("last")) & (F.col("rows") > 0)).select("version", "bucket")
+        gone = 0
+        for r in old.toLocalIterator():  # a row per folder
+            files, where = self._files(f"{self.root}/data/version={r.version}/bucket={r.bucket}")
+            gone += bool(files.delete(where, True))
+        return gone

@@ -135,6 +135,18 @@ def test_a_version_that_is_repeated_replaces_itself(spark, tmp_path):
     assert store.upsert(sightings(spark).limit(0), 3) == []
 
 
+def test_replaced_versions_can_be_removed(spark, tmp_path):
+    store = recording.RecordStore(spark, str(tmp_path / "records"), 4)
+    for n in range(4):
+        store.upsert(sightings(spark, ("a", n, "A"), (f"only{n}", 10 + n, "B")), n)
+    states = [sorted(store.read(before=n).collect()) for n in (3, 4)]
+    assert store.versions.trim(3) >= 2  # "a" was in versions 0 and 1
+    assert [sorted(store.read(before=n).collect()) for n in (3, 4)] == states
+    assert store.versions.trim(3) == 0
+    store.upsert(sightings(spark, ("a", 3, "A"), ("only3", 13, "B")), 3)  # repeated
+    assert sorted(store.read().collect()) == states[1]
+
+
 def test_ends_of_details_reach_the_records_of_their_entities(spark, tmp_path):
     store = recording.RecordStore(spark, str(tmp_path / "records"), 4)
     store.upsert(sightings(spark, ("a", 1, "A"), ("b", 2, "A"), ("c", 3, "")), 0)
