@@ -20,22 +20,27 @@ from tallyspan.llm.common import table, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A null or empty text fails; rows that repeat an id are judged each on its own account. Columns of any name stay. An empty table gives no rows."""
     return quality_rules.quality_filter(docs)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Null and empty texts are one group, of which one row stays; of rows that repeat a text the longest as written, then the smallest id. Columns of any name stay. An empty table gives no rows."""
     return exact_dedup.exact_dedup(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows without words all stay, a null id is the last of its group; rows that repeat id and text are one row. Columns of any name stay. An empty table gives no rows."""
     return ngram_join.one_of_each(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row stays, a null source is a source of its own; rows that repeat an id are rows of their own. Columns of any name stay. An empty table gives no rows."""
     return mixing.mixed_documents(docs)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A null text has no tokens; every row is encoded, repeated ids and rows too. Other columns than doc_id, lang and source are left. An empty table gives no rows."""
     path = public_tokenizers.path("byte_bpe_50k.json")
     # where a row stands in the files of the mix goes along with it; the files' first positions come in at the end
     placed = docs.withColumns({"file": F.col("_metadata.file_name"), "row_index": F.col("_metadata.row_index")})
