@@ -51,6 +51,11 @@ def delete_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def all_columns(df: DataFrame) -> Column:
+    """All columns as one struct, whatever their names."""
+    return F.struct(*("`" + c.replace("`", "``") + "`" for c in df.columns))
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only."""
     return F.translate(text, UPPER, LOWER)

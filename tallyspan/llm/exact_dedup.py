@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspan.llm.common import BLANKS, table, written
+from tallyspan.llm.common import BLANKS, all_columns, table, written
 
 FIRST = 64
 #: Code points from which the first run is taken, where they hold enough that isn't white space.
@@ -73,7 +73,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     while True:
         width = FIRST if level == 0 else 3 * _start(level)
         here = active.join(pieces.where(F.col("level") == level).select("rid", "run"), "rid")
-        split = here.groupBy("gid", "run").agg(F.count("*").alias("n"), F.min("rid").alias("new")).where("n > 1").drop("n")
+        # written like company: the rows of a hot run are then dealt by a plain shuffle, which can be split
+        split = written(here.groupBy("gid", "run").agg(F.count("*").alias("n"), F.min("rid").alias("new")).where("n > 1").drop("n"), f"radix-split-{level}")
         found = written(here.join(split, ["gid", "run"]).select("rid", F.col("new").alias("gid"), (F.octet_length("run") < width).alias("ended")), f"radix-{level}")
         members.append(found.where("ended").select("rid", "gid"))
         active, level = found.where("not ended").select("rid", "gid"), level + 1
@@ -83,7 +84,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     grouped = reduce(DataFrame.unionByName, members)
     # the largest text, then the smallest id: ~id falls as id grows and cannot overflow, and a null is least of all
     order = F.struct(F.col("chars"), F.bitwise_not("doc_id"), F.bitwise_not("rid"))
-    best = grouped.join(info, "rid").groupBy("gid").agg(F.max_by(F.struct("doc_id", "rid"), order).alias("best"), F.count("*").alias("group_size"))
+    best = written(grouped.join(info, "rid").groupBy("gid").agg(F.max_by(F.struct("doc_id", "rid"), order).alias("best"), F.count("*").alias("group_size")), "radix-best")
     return (
         info.join(grouped.join(best, "gid"), "rid", "left")
         .select("doc_id", F.when(F.col("gid").isNull(), F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
@@ -97,7 +98,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     Null and empty texts are one group, of which one row stays; rows that repeat an id, or all their columns, are told
     apart by their number. Columns of any name are carried along unread. An empty table gives no rows.
     """
-    numbered = written(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("number")), "radix-rows")
+    numbered = written(docs.select(all_columns(docs).alias("row"), F.monotonically_increasing_id().alias("number")), "radix-rows")
     texts = numbered.select("number", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"))
     kept = exact_groups(texts, row_col="number").where("kept").select(F.col("rid").alias("number"))
     return numbered.join(kept, "number", "left_semi").select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyspan.llm.common import table
+from tallyspan.llm.common import all_columns, table
 
 BLOCK_ROWS = 16
 BUCKET_ROWS, STRIDE = 500, 1000
@@ -85,7 +85,7 @@ def mix(docs: DataFrame, weights: dict[str | None, int] | None = None, block_row
     """
     spark = docs.sparkSession
     more = ["row"] if carry else []
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), *([F.struct(*docs.columns).alias("row")] if carry else []))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), *([all_columns(docs).alias("row")] if carry else []))
     sized = rows.groupBy("source").count()
     found = sized.limit(MOST_SOURCES + 1).collect()
     if len(found) > MOST_SOURCES:

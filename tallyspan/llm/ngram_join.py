@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspan.llm.common import ASCII_LOWER, delete_path, table, written
+from tallyspan.llm.common import ASCII_LOWER, all_columns, delete_path, table, written
 
 WORDS_A_SHINGLE, PERCENT = 4, 85
 #: What near duplicates are for the pipeline.
@@ -164,8 +164,8 @@ def _prefixes(sketch, size: int, percent: int):
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_key(s) for s in sets], pa.binary()),
                      pa.array([s[: prefix_length(len(s), percent)].view(np.int64) if len(s) else [] for s in sets], pa.list_(pa.int64())),
-                     pa.array([parity(s) for s in sets], pa.list_(pa.int64()))],
-                    ["doc_id", "n", "set_key", "prefix", "parity"],
+                     pa.array([parity(s) for s in sets], pa.list_(pa.int64())), part.column(2)],
+                    ["doc_id", "n", "set_key", "prefix", "parity", "text_key"],
                 )
 
     return run
@@ -374,18 +374,19 @@ def _pairs_across(block: DataFrame, marks: DataFrame, percent: int) -> DataFrame
     return met.where(_reaches(n, i, m, j, F.col("count"), percent)).select("a", "b")
 
 
-def near_components(docs: DataFrame, size: int = WORDS_A_SHINGLE, percent: int = PERCENT) -> DataFrame:
+def near_components(docs: DataFrame, size: int = WORDS_A_SHINGLE, percent: int = PERCENT, text_key: bool = False) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_shingles, class_size, component_id.
 
     Documents link when the Jaccard similarity of their sets of size-word shingles is percent or more; component_id is the smallest
     doc_id reachable by links, itself included. A text without words, or null, has an empty set and links with
     nothing. Rows that repeat an id are rows of their own. A null doc_id counts as no id: its row's component is
-    that of the rows it links with. Other columns are not read. An empty table gives no rows.
+    that of the rows it links with. Other columns are not read. An empty table gives no rows. text_key: also text_key,
+    a 64-bit hash of the row's text, and label, a number of the row's component (null without words).
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (F.xxhash64("text") if text_key else F.lit(None).cast("long")).alias("text_key"))
     sketch = spark.sparkContext.broadcast(levels_of(count_sketch(docs, size)))
-    found = docs.mapInArrow(_prefixes(sketch, size, percent), "doc_id long, n long, set_key binary, prefix array<long>, parity array<long>")
+    found = docs.mapInArrow(_prefixes(sketch, size, percent), "doc_id long, n long, set_key binary, prefix array<long>, parity array<long>, text_key long")
     rows = written(found.withColumn("rid", F.monotonically_increasing_id()), "join-rows")
     # a class is known by the number of one of its rows, which has its prefix and parities
     classes = rows.where("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("min_id"), F.count("*").alias("class_size"), F.min("rid").alias("node"))
@@ -422,14 +423,31 @@ def near_components(docs: DataFrame, size: int = WORDS_A_SHINGLE, percent: int =
     joined = classes.join(labels, "node", "left").select("set_key", "min_id", "class_size", F.coalesce("label", "node").alias("label"))
     # written, so that the join below has a plain shuffle on both sides and a large component can be split
     least = written(joined.groupBy("label").agg(F.min("min_id").alias("component_id")), "join-least")
-    by_key = joined.join(least, "label").select("set_key", "class_size", "component_id")
-    return rows.join(by_key, "set_key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_size", F.lit(1)).alias("class_size"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    by_key = joined.join(least, "label").select("set_key", "class_size", "component_id", "label")
+    found = rows.join(by_key, "set_key", "left")
+    out = [F.col("n").alias("n_shingles"), F.coalesce("class_size", F.lit(1)).alias("class_size"), F.coalesce("component_id", "doc_id").alias("component_id")]
+    return found.select("doc_id", *out, *(["text_key", "label"] if text_key else []))
 
 
 def one_of_each(docs: DataFrame, size: int = NEAR_WORDS, percent: int = NEAR_PERCENT) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component; all columns."""
-    kept = near_components(docs, size, percent).where("doc_id = component_id or component_id is null").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
+    """Of each component of docs the row with the smallest doc_id (a null last), then the smallest hash of its text; all columns.
+
+    Rows without words, which link with nothing, all stay. Rows that repeat both id and text are one row, of which one
+    stays; rows that repeat an id alone are rows of their own. An empty table gives no rows.
+    """
+    found = near_components(docs, size, percent, text_key=True)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
+    best = found.where("label is not null").groupBy("label").agg(F.min(order).alias("b"), F.count("*").alias("n")).select("b.doc_id", "b.text_key")
+    kept = best.unionByName(found.where("label is null").select("doc_id", "text_key"))
+    kept = kept.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.count("*")).select("_id", "_key")
+    rows = docs.select(all_columns(docs).alias("row"))
+    key = [F.col("row.doc_id").alias("id"), F.xxhash64("row.text").alias("key")]
+    same = lambda other: F.col("row.doc_id").eqNullSafe(other[other.columns[0]]) & (F.xxhash64("row.text") == other[other.columns[1]])
+    # keys of rows that repeat id and text: seldom any; written, so that their number is known when they are joined
+    often = written(rows.groupBy(*key).count().where("count > 1").select("id", "key"), "join-repeated")
+    single = rows.join(often, same(often), "left_anti").join(kept, same(kept), "left_semi")
+    repeated = rows.join(often, same(often), "left_semi").join(kept, same(kept), "left_semi").groupBy(*key).agg(F.first("row").alias("row")).select("row")
+    return single.unionByName(repeated).select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def op6_ngram_join(spark, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspan.llm.common import BLANKS, table
+from tallyspan.llm.common import BLANKS, all_columns, table
 
 SYMBOLS = "#*$%&|<>"
 #: A line with at least so many bars, and a bar for every so many words, is navigation.
@@ -117,7 +117,7 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def quality_filter(docs: DataFrame) -> DataFrame:
     """The documents that are kept, with the lines that passed as their text; the columns of docs."""
-    own = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text").alias("_t"))
+    own = docs.select(all_columns(docs).alias("_row"), F.col("text").alias("_t"))
     fields = {c: F.col(f"doc_id.`{c}`") for c in docs.columns} | {"text": F.col("clean_text")}
     if "n_chars" in fields:
         fields["n_chars"] = F.char_length("clean_text").cast(docs.schema["n_chars"].dataType)

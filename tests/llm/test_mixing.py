@@ -25,7 +25,13 @@ def test_phases_place_every_block_once():
         blocks = {s: random.randint(0, 50) for s in weights}
         plan = phases(blocks, weights)
         assert [p["start"] for p in plan] == sorted(p["start"] for p in plan)
-        assert not plan or min(p["before"][s] for p in plan for s in p["before"]) == 0
+        slots = []
+        for s, n in blocks.items():
+            for k in range(n):
+                p = max((p for p in plan if s in p["places"] and p["before"][s] <= k), key=lambda p: (p["before"][s], p["start"]))
+                turn, place = divmod(k - p["before"][s], len(p["places"][s]))
+                slots.append(p["start"] + turn * p["slots"] + p["places"][s][place])
+        assert sorted(slots) == list(range(sum(blocks.values())))
 
 
 def test_rows_take_all_positions_and_keep_their_share(docs, clashing):

@@ -156,3 +156,13 @@ def test_parities_never_differ_more_than_the_sets(spark):
         assert len(r.fx) == len(r.fy) and (r.fx == r.x or len(r.x) > len(r.y))
         differ = sum((a ^ b).bit_count() if a ^ b >= 0 else ((a ^ b) + 2**64).bit_count() for a, b in zip(r.fx, r.fy))
         assert differ <= r.least and (differ - r.least) % 2 == 0
+
+
+def test_one_row_of_each_component_stays_where_ids_repeat(docs):
+    base = " ".join(f"w{n}" for n in range(60))
+    rows = docs((1, base), (5, base + " extra"), (5, "another text of its own with words"), (7, base + " extra"), (7, base + " extra"), (8, None), (8, ""), (8, None), (None, "yet another text with words of its own"), (9, "repeated words stay once"), (9, "repeated words stay once"))
+    named = rows.withColumn("a.b", F.lit(1))
+    got = one_of_each(named)
+    assert got.columns == named.columns
+    assert sorted((str(r.doc_id), r.text or "") for r in got.collect()) == sorted([("1", base), ("5", "another text of its own with words"), ("8", ""), ("8", ""), ("None", "yet another text with words of its own"), ("9", "repeated words stay once")])
+    assert one_of_each(named.where("false")).count() == 0

@@ -1,15 +1,19 @@
 import hashlib
+import re
 from collections import Counter
 
 import corpus_pipeline
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tallyspan.llm import registry
 from tallyspan.llm.mixing import BLOCK_ROWS, period, temperature_weights
+from tallyspan.llm.quality_rules import LEAST_LEFT_PERCENT
 from tests.llm.test_ngram_join import shingle_set
 from tests.llm.test_quality_rules import brute as measures_of
+from tests.llm.test_quality_rules import brute_line
 
 SF = "/root/testdata/sf0.001"
 
@@ -24,12 +28,17 @@ def stages(spark):
     return out
 
 
+def cleaned(text):
+    """What the quality rules leave of a text, in plain Python; None if it is rejected."""
+    n_words, word_chars, *_, failed = measures_of(text)
+    left = list(dict.fromkeys(x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x) and brute_line(x)))
+    chars = len(re.sub(r"[\x20\x09-\x0D]", "", "".join(left)))
+    return None if failed or 100 * chars < LEAST_LEFT_PERCENT * word_chars else "\n".join(left)
+
+
 def test_stages_keep_what_they_should(stages):
     rules, exact, near, mixing, bpe = stages
-    base = {r.doc_id: measures_of(r.text)[5] for r in rules[1]}
-    kept = {r.doc_id for r in rules[2]}
-    assert not any(base[i] for i in kept)
-    assert sum(not failed for failed in base.values()) - len(kept) < 0.2 * len(base)
+    assert {r.doc_id: r.text for r in rules[2]} == {r.doc_id: clean for r in rules[1] if (clean := cleaned(r.text)) is not None}
 
     strip = lambda t: "".join(c for c in t if c not in " \t\n\x0b\x0c\r")
     best = {}
@@ -96,5 +105,17 @@ def test_columns(stages):
 
 def test_registry():
     names = list(registry.queries())
-    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10
+    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)] == [1] * 13
     assert set(registry.oracle_sql()) <= set(names)
+
+
+def test_stages_take_nulls_repeats_and_other_columns(spark, docs, tmp_path):
+    """Through all stages: null and empty texts, repeated ids and rows, columns with a dot or of the operators' names."""
+    good = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect() if not measures_of(r.text)[5]][:40]
+    rows = docs(*enumerate(good), (3, good[5]), (3, good[3]), (None, good[7] + " and more"), (50, None), (51, ""))
+    rows.withColumns({"a.b": F.lit(1), "row": F.lit("x"), "file": F.lit("y")}).write.parquet(str(tmp_path / "documents.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert sorted(r.position for r in out.collect()) == list(range(out.count()))
+    assert 20 < out.count() <= 41
+    rows.where("false").write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
