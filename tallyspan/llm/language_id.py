@@ -34,9 +34,14 @@ UNDETERMINED = "und"
 #: Codes a worker remembers the scores of.
 CACHED = 1 << 20
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+#: Letters and some number signs.
 LETTER = re.compile(r"[^\W\d_]")
 
 
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in LETTER.finditer(text))
+
+
 def symbols(text: str) -> np.ndarray:
     """The text's characters as numbers: lower case, each run of what is no letter as one space, a space around it."""
     points = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), "<u4")
@@ -162,7 +167,7 @@ class Identifier:
         """Language, probability among the languages, bits a character, and whether the text is unlike its language."""
         n = len(texts)
         langs, probability, bits, rejected = [UNDETERMINED] * n, [0.0] * n, [None] * n, [True] * n
-        with_letter = [k for k, t in enumerate(texts) if t and LETTER.search(t)]
+        with_letter = [k for k, t in enumerate(texts) if t and has_letter(t)]
         if not with_letter or not self.models:
             return langs, probability, bits, rejected
         h = self.entropies([texts[k] for k in with_letter])
@@ -214,7 +219,7 @@ def fit(labelled: DataFrame) -> Identifier:
         models.append(KneserNey(np.frombuffer(b"".join(own["run"]), "<u4").reshape(-1, ORDER), own["n"].to_numpy()))
     found = Identifier(languages, models)
     held = sample.where(f"held between 1 and {HELD_ROWS}").select("text", "lang").collect()  # at most HELD_ROWS texts and SAMPLE_CHARS a language
-    _calibrate(found, [(r.text, r.lang) for r in held if LETTER.search(r.text) and r.lang in languages])
+    _calibrate(found, [(r.text, r.lang) for r in held if has_letter(r.text) and r.lang in languages])
     return found
 
 

@@ -105,3 +105,7 @@ def test_no_language_is_lost(spark):
 def test_without_training_text(docs):
     none = L.fit(docs("x").where("false"))
     assert [r.lang_pred for r in L.identify(docs("some text"), none).collect()] == ["und"]
+
+
+def test_number_signs_are_no_letters():
+    assert [L.has_letter(t) for t in ("½ ①", "٣ 12 _", "", "½ x", "ж", "ª")] == [False, False, False, True, True, True]
