@@ -316,10 +316,10 @@ class LanguageModel:
 
 
 def fit(training: DataFrame) -> LanguageModel:
-    """Learns from all rows of training (a column text; null counts as empty)."""
+    """Learns from all rows of training (doc_id, text; a null text counts as empty)."""
     spark = training.sparkSession
-    training = training.select("text")
-    counted = training.mapInArrow(_count_words, "word binary, rare int, n long")
+    training = training.select("doc_id", "text")
+    counted = training.select("text").mapInArrow(_count_words, "word binary, rare int, n long")
     counts = written(counted.groupBy("word").agg(F.first("rare").alias("rare"), F.sum("n").alias("n")), "lm-counts")
     per_class = {r.rare: (r.n, r.v) for r in counts.groupBy("rare").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
     # words by the power of two in their count: a few dozen rows say which counts the most frequent words have
@@ -335,8 +335,10 @@ def fit(training: DataFrame) -> LanguageModel:
     shared = spark.sparkContext.broadcast(vocabulary)
     start = Model.first(vocabulary).flat()
     share = min(1.0, WARM_TOKENS / max(1, vocabulary.tokens))
-    band = F.xxhash64("text").cast("double") / float(2**64) + 0.5 < share
-    start = _trained(training.where(band).coalesce(1), shared, start)
+    # ids and texts in a range of their hash, brought to one task after the rest is filtered out where it is read
+    band = F.xxhash64("doc_id", "text").cast("double") / float(2**64) + 0.5 < share
+    start = _trained(training.where(band).select("text").repartition(1), shared, start)
+    training = training.select("text")
     return LanguageModel(vocabulary, _trained(training, shared, start), counts.select("word", "n"))
 
 
