@@ -1,141 +1,187 @@
 """Mixing sources to target weights by Pfair scheduling with earliest deadline first.
 
-The rows of each source are dealt into blocks. With integer weights w of sum D, block k of a source may not come
-before slot floor(k D / w) and must come before slot ceil((k + 1) D / w); giving each slot to the released block
-with the earliest deadline keeps every source less than one block away from its share w / D at every slot. The
-schedule repeats every D slots, so one period (D rows at most MOST_SLOTS, made from the weights alone) is joined
-to the blocks; no schedule over all blocks is ever held anywhere. When a source has no block left, a new phase
-begins with the weights of those that remain, so that every row is placed exactly once.
+The rows of each source are dealt into blocks. In virtual time v a source of weight w has had its share of w v blocks,
+until it has none left; T(v), the blocks all sources have had by then, is the slot that v falls on. Block k of a source
+may not come before slot floor(T(k / w)) and must come before slot ceil(T((k + 1) / w)). Giving each slot to the
+released block with the earliest deadline keeps every source less than one block away from its share at every slot,
+also where sources end and the others go on with their weights.
+
+At whole v every share is a whole number of blocks, so each unit of virtual time (a period) is scheduled by itself. All
+periods between two that see a source end have one schedule: a run is such periods and the one that ends them. Sources,
+runs, schedules and blocks are tables: nothing of them is held on the driver, and a schedule has at most as many rows as
+there are blocks. A task holds one period, whose slots are at most the sum of the weights; the runs, at most one a
+source, are numbered by one task, as a stream.
 
 A row's place among its source's rows is its rank in hash order: counts by (source, bucket) give each bucket's
 first rank, and ranks inside a bucket (some BUCKET_ROWS rows, whatever the source's size) are numbered by a window.
-The first ranks are prefix sums in two steps, of STRIDE buckets and of the strides.
+The first ranks are prefix sums in two steps, of STRIDE buckets and of the strides. Slots come to the rows by their
+buckets.
 """
 
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_left
 from fractions import Fraction
-from math import ceil, floor
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyspan.llm.common import all_columns, table
+from tallyspan.llm.common import all_columns, table, written
 
 BLOCK_ROWS = 16
 BUCKET_ROWS, STRIDE = 500, 1000
-#: Bounds of the period and of the number of sources; more is refused, as they are held on the driver.
-MOST_SLOTS, MOST_SOURCES = 10_000, 1_000
-#: Sum of the weights that temperature_weights gives, and its exponent.
+#: Periods of a run that one task writes out for a block of the schedule.
+SPAN = 4096
+#: Sum of the default weights (each is at least 1), and their exponent.
 TOTAL, EXPONENT = 1000, 0.7
 
 
-def temperature_weights(counts: dict[str | None, int], exponent: float = EXPONENT, total: int = TOTAL) -> dict[str | None, int]:
-    """Integer weights in proportion to count ** exponent: large sources get less than their share, small ones more."""
-    power = {s: n**exponent for s, n in counts.items()}
-    return {s: max(1, round(total * p / sum(power.values()))) for s, p in power.items()}
+def period(weights: list[int], blocks: list[int] | None = None) -> list[tuple[int, int]]:
+    """(source, block) of each slot of one period: earliest deadline first among the released blocks.
 
-
-def period(weights: dict[str | None, int]) -> list[str | None]:
-    """The source of each of the D slots of one period: earliest deadline first among the released blocks."""
-    total, order = sum(weights.values()), sorted(weights, key=lambda s: (s is not None, s))
-    waiting = [(0, n, 0) for n in range(len(order))]  # (release, source, block)
+    blocks: those that each source has left in the period, by default its weight; one with fewer ends in it.
+    """
+    blocks = weights if blocks is None else blocks
+    ends = sorted((Fraction(m, w), m, w) for m, w in zip(blocks, weights) if m < w)
+    at, had, live = [e for e, _, _ in ends], [0], [sum(weights)]
+    for _, m, w in ends:
+        had.append(had[-1] + m)
+        live.append(live[-1] - w)
+
+    def slots_by(n: int, k: int) -> tuple[int, int]:
+        """T(k / weight) rounded down and up."""
+        ended = bisect_left(at, Fraction(k, weights[n])) if at else 0
+        return had[ended] + live[ended] * k // weights[n], had[ended] - (-live[ended] * k // weights[n])
+
+    waiting = [(0, n, 0) for n, m in enumerate(blocks) if m]  # (release, source, block)
     released: list[tuple[int, int, int]] = []  # (deadline, source, block)
-    slots: list[str | None] = []
-    for slot in range(total):
+    out: list[tuple[int, int]] = []
+    for slot in range(sum(blocks)):
         while waiting and waiting[0][0] <= slot:
             _, n, k = heapq.heappop(waiting)
-            heapq.heappush(released, (ceil(Fraction((k + 1) * total, weights[order[n]])), n, k))
+            heapq.heappush(released, (slots_by(n, k + 1)[1], n, k))
         deadline, n, k = heapq.heappop(released)
         assert slot < deadline, "a feasible set of blocks misses no deadline"
-        slots.append(order[n])
-        if k + 1 < weights[order[n]]:
-            heapq.heappush(waiting, (floor(Fraction((k + 1) * total, weights[order[n]])), n, k + 1))
-    return slots
-
-
-def phases(blocks: dict[str | None, int], weights: dict[str | None, int]) -> list[dict]:
-    """Phases until all blocks are placed: first slot, blocks each source has had before, and its slots in a period."""
-    left = {s: n for s, n in blocks.items() if n > 0}
-    start, out = 0, []
-    while left:
-        slots = period({s: weights[s] for s in left})
-        places = {s: [t for t, x in enumerate(slots) if x == s] for s in left}
-        # the slot of a source's last block; the phase ends with the first of these
-        last = {s: (n - 1) // len(places[s]) * len(slots) + places[s][(n - 1) % len(places[s])] for s, n in left.items()}
-        end = min(last.values())
-        out.append({"start": start, "slots": len(slots), "places": places, "before": {s: blocks[s] - left[s] for s in left}})
-        whole, part = divmod(end + 1, len(slots))
-        left = {s: n - whole * len(places[s]) - sum(t < part for t in places[s]) for s, n in left.items()}
-        left = {s: n for s, n in left.items() if n > 0}
-        start += end + 1
+        out.append((n, k))
+        if k + 1 < blocks[n]:
+            heapq.heappush(waiting, (slots_by(n, k + 1)[0], n, k + 1))
     return out
 
 
+def _sources(rows: DataFrame, weights: dict | None, block_rows: int) -> DataFrame:
+    """Rows (source, rows, weight, blocks, last): last is the period that a source's last block is in; written."""
+    spark = rows.sparkSession
+    sized = written(rows.groupBy("source").agg(F.count("*").alias("rows")), "mix-sizes")
+    if weights is None:
+        power = F.pow(F.col("rows").cast("double"), F.lit(EXPONENT))
+        total = sized.agg(F.sum(power)).first()[0] or 1.0
+        weighted = sized.withColumn("weight", F.greatest(F.lit(1), F.rint(TOTAL * power / total)).cast("long"))
+    else:
+        kind = rows.schema["source"].dataType.simpleString()
+        given = spark.createDataFrame([((s,), w) for s, w in weights.items()], f"source {kind}, weight long")
+        weighted = sized.join(given, "source", "left")
+        if missing := weighted.where("weight is null or weight < 1").select("source.source").limit(5).collect():
+            raise ValueError(f"sources without a positive weight: {[r.source for r in missing]}")
+    blocks = F.expr(f"(rows + {block_rows - 1}) div {block_rows}")
+    return written(weighted.withColumn("blocks", blocks).withColumn("last", F.expr("(blocks - 1) div weight")), "mix-sources")
+
+
+def _runs(sources: DataFrame, block_rows: int) -> DataFrame:
+    """Rows (run, last, free, live, start, gone, missing), one for each period that sees a source end; written.
+
+    The run is free whole periods of live slots each, from slot start, and then period last. By start, gone sources
+    have ended, and their last blocks were missing so many rows.
+    """
+    ends = sources.groupBy("last").agg(
+        F.sum("weight").alias("weight"), F.sum(F.expr("blocks - last * weight")).alias("part"), F.count("*").alias("ended"), F.sum(F.expr(f"blocks * {block_rows} - rows")).alias("lack")
+    )
+    order = Window.orderBy("last")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("live", F.sum("weight").over(Window.orderBy(F.desc("last")).rowsBetween(Window.unboundedPreceding, 0)))
+    ends = ends.withColumn("free", F.col("last") - F.lag("last", 1, -1).over(order) - 1)
+    sums = {"start": F.expr("free * live + live - weight + part"), "gone": F.col("ended"), "missing": F.col("lack")}
+    runs = ends.withColumns(sums).withColumn("run", F.row_number().over(order).cast("long") - 1)
+    earlier = [F.coalesce(F.sum(c).over(before), F.lit(0)).cast("long").alias(c) for c in sums]
+    return written(runs.select("run", "last", "free", "live", *earlier), "mix-runs")
+
+
+def _scheduled(group: pa.Table) -> pa.Table:
+    """Rows (run, whole, name, weight, left, lack) of one period: its slots, and what ended in it before each."""
+    columns = group.to_pydict()
+    order = sorted(range(group.num_rows), key=lambda n: (columns["name"][n] is not None, columns["name"][n]))
+    weight, left, lack, ends = ([columns[c][n] for n in order] for c in ("weight", "left", "lack", "ends"))
+    slots = period(weight, left)
+    lacking, gone, missed, ended = [], [], 0, 0
+    for n, k in slots:
+        lacking.append(missed)
+        gone.append(ended)
+        if ends[n] and k + 1 == left[n]:
+            missed, ended = missed + lack[n], ended + 1
+    rows = pa.array([order[n] for n, _ in slots], pa.int64())
+    named = group.select(["run", "whole", "name", "weight"]).take(rows)
+    for name, values in (("k", [k for _, k in slots]), ("place", range(len(slots))), ("lacking", lacking), ("ended", gone)):
+        named = named.append_column(name, pa.array(values, pa.int64()))
+    return named
+
+
+def _blocks(sources: DataFrame, runs: DataFrame, block_rows: int) -> DataFrame:
+    """Rows (source, block, weight, phase, slot, first), one a block: first is the position of its first row."""
+    numbered = sources.join(runs.select("run", "last"), "last").select("source", "weight", "rows", "blocks", "last", F.col("run").alias("own"))
+    shared = numbered.withColumn("run", F.explode(F.sequence(F.lit(0), "own"))).join(runs.select("run", "free"), "run")
+    # a run's whole periods, where it has any, and its last one
+    shared = shared.withColumn("whole", F.explode(F.when(F.col("free") > 0, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))))
+    shared = shared.withColumn("ends", (F.col("run") == F.col("own")) & ~F.col("whole"))
+    left = F.when(F.col("ends"), F.expr("blocks - last * weight")).otherwise(F.col("weight"))
+    shared = shared.select("run", "whole", F.col("source.source").alias("name"), "weight", left.alias("left"), "ends", F.expr(f"blocks * {block_rows} - rows").alias("lack"))
+    kind = shared.schema["name"].dataType.simpleString()
+    slots = shared.groupBy("run", "whole").applyInArrow(_scheduled, f"run long, whole boolean, name {kind}, weight long, k long, place long, lacking long, ended long")
+    slots = written(slots, "mix-slots").join(runs, "run").withColumn("times", F.when(F.col("whole"), F.col("free")).otherwise(F.lit(1)))
+    # a run of any length in parts of SPAN periods
+    parts = slots.withColumn("from", F.explode(F.expr(f"sequence(0L, times - 1, {SPAN}L)"))).repartition("run", "whole", "name", "k", "from")
+    each = parts.withColumn("turn", F.explode(F.expr(f"sequence(`from`, least(`from` + {SPAN}L, times) - 1)")))
+    turn = F.when(F.col("whole"), F.col("turn")).otherwise(F.col("free"))
+    each = each.withColumn("turn", turn).withColumn("slot", F.expr("start + turn * live + place"))
+    first = F.col("slot") * block_rows - F.col("missing") - F.col("lacking")
+    return each.select(F.struct(F.col("name").alias("source")).alias("source"), F.expr("(last - free + turn) * weight + k").alias("block"), "weight", (F.col("gone") + F.col("ended")).alias("phase"), "slot", first.alias("first"))
+
+
 def mix(docs: DataFrame, weights: dict[str | None, int] | None = None, block_rows: int = BLOCK_ROWS, id_col: str = "doc_id", source_col: str = "source", carry: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, source, weight, block, phase, slot, position. Every row is placed once.
     With carry, also row: a struct of all columns of docs.
 
-    weights: positive integers by source (null is a source of its own); by default temperature_weights of the row
-    counts. slot is the block's place in the mix and (slot, place in the block) gives position, from 0. Rows that
-    repeat an id are rows of their own; which of them comes first is not defined, as they cannot be told apart.
-    Other columns are not read. An empty table gives no rows.
+    weights: positive integers by source (null is a source of its own); by default in proportion to the row counts to
+    the power EXPONENT, so that large sources get less than their share and small ones more. There may be any number
+    of sources. slot is the block's place in the mix and (slot, place in the block) gives position, from 0; phase is the
+    number of sources that had their last block before. Rows that repeat an id are rows of their own; which of them comes first
+    is not defined, as they cannot be told apart. Other columns are not read. An empty table gives no rows.
     """
-    spark = docs.sparkSession
     more = ["row"] if carry else []
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), *([all_columns(docs).alias("row")] if carry else []))
-    sized = rows.groupBy("source").count()
-    found = sized.limit(MOST_SOURCES + 1).collect()
-    if len(found) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    counts = {r["source"]: r["count"] for r in found}
-    weights = temperature_weights(counts) if weights is None else weights
-    if missing := [s for s in counts if weights.get(s, 0) < 1]:
-        raise ValueError(f"sources without a positive weight: {missing[:5]}")
-    if sum(weights[s] for s in counts) > MOST_SLOTS:
-        raise ValueError(f"weights sum to more than {MOST_SLOTS}")
-    blocks = {s: -(-n // block_rows) for s, n in counts.items()}
-    plan = phases(blocks, weights)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.struct(F.col(source_col).alias("source")).alias("source"), *([all_columns(docs).alias("row")] if carry else []))
+    sources = _sources(rows, weights, block_rows)
+    blocks = _blocks(sources, _runs(sources, block_rows), block_rows)
 
     order = F.xxhash64("doc_id")
-    # a source's number of buckets goes by its size: at most MOST_SOURCES literals
-    sizes = F.coalesce(*(F.when(F.col("source").eqNullSafe(F.lit(s)), F.lit(max(1, -(-n // BUCKET_ROWS)))) for s, n in counts.items()), F.lit(1)).cast("long")
-    keyed = rows.withColumns({"bucket": F.pmod(order, sizes), "source": F.struct("source")})
+    buckets = sources.select("source", F.expr(f"(rows + {BUCKET_ROWS - 1}) div {BUCKET_ROWS}").alias("buckets"))
+    keyed = rows.join(buckets, "source").withColumn("bucket", F.pmod(order, "buckets")).drop("buckets")
     strides = keyed.groupBy("source", "bucket").count().withColumn("stride", F.expr(f"bucket div {STRIDE}"))
     earlier = lambda *by: F.coalesce(F.sum("count").over(Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     before = strides.groupBy("source", "stride").agg(F.sum("count").alias("count")).select("source", "stride", earlier("source", "stride").alias("before"))
-    offsets = strides.withColumn("inside", earlier("source", "stride", "bucket")).join(before, ["source", "stride"]).select("source", "bucket", (F.col("before") + F.col("inside")).alias("offset"))
+    offsets = strides.withColumn("inside", earlier("source", "stride", "bucket")).join(before, ["source", "stride"])
+    offsets = offsets.select("source", "bucket", "count", (F.col("before") + F.col("inside")).alias("offset"))
+    # the blocks that a bucket's ranks fall in: some BUCKET_ROWS / block_rows
+    spans = offsets.withColumn("block", F.explode(F.expr(f"sequence(offset div {block_rows}, (offset + count - 1) div {block_rows})")))
+    taken = spans.join(blocks, ["source", "block"]).groupBy("source", "bucket").agg(F.first("offset").alias("offset"), F.first("weight").alias("weight"), F.sort_array(F.collect_list(F.struct("block", "phase", "slot", "first"))).alias("taken"))
+    taken = written(taken, "mix-buckets")
+
     rank = F.row_number().over(Window.partitionBy("source", "bucket").orderBy(order, "doc_id")) - 1
-    ranked = keyed.withColumn("rank", rank).join(offsets, ["source", "bucket"]).select("doc_id", "source", (F.col("rank") + F.col("offset")).alias("rank"), *more)
-    ranked = ranked.withColumns({"block": F.expr(f"rank div {block_rows}"), "within": F.col("rank") % block_rows})
-
-    # two small tables, at most MOST_SLOTS rows a phase: when each phase takes over a source, and a period's places
-    shares = [(n, p["start"], p["slots"], s, p["before"][s], len(p["places"][s]), weights[s], p["places"][s]) for n, p in enumerate(plan) for s in p["places"]]
-    schema = "phase int, start long, slots long, source string, before long, share long, weight long, places array<long>"
-    shares_df = spark.createDataFrame(shares, schema).withColumn("source", F.struct(F.col("source").cast(rows.schema["source"].dataType)))
-    lists = shares_df.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("before", "phase", "start", "slots", "share", "weight", "places")), asc=False).alias("turns"))
-    mixed = ranked.join(F.broadcast(lists), "source").withColumn("turn", F.filter("turns", lambda t: t["before"] <= F.col("block"))[0])
-    turn = F.col("turn")
-    k = F.col("block") - turn["before"]
-    slot = turn["start"] + F.expr("(block - turn.before) div turn.share") * turn["slots"] + F.get(turn["places"], (k % turn["share"]).cast("int"))
-    mixed = mixed.select("doc_id", F.col("source.source").alias("source"), turn["weight"].alias("weight"), "block", turn["phase"].alias("phase"), slot.alias("slot"), "within", *more)
-    return _positions(mixed, block_rows, blocks, counts, plan)
-
-
-def _positions(mixed: DataFrame, block_rows: int, blocks: dict, counts: dict, plan: list[dict]) -> DataFrame:
-    """position = rows before: every block is full but each source's last one, whose slot is known from the plan."""
-    short = []
-    for s, n in counts.items():
-        if lack := blocks[s] * block_rows - n:
-            p = next(p for p in reversed(plan) if s in p["places"] and p["before"][s] < blocks[s])
-            k, places = blocks[s] - 1 - p["before"][s], p["places"][s]
-            short.append((p["start"] + k // len(places) * p["slots"] + places[k % len(places)], lack))
-    # at most one entry per source
-    lacking = F.array(*(F.struct(F.lit(a).cast("long").alias("slot"), F.lit(b).cast("long").alias("lack")) for a, b in sorted(short))) if short else None
-    before = F.aggregate(F.filter(lacking, lambda x: x["slot"] < F.col("slot")), F.lit(0).cast("long"), lambda a, x: a + x["lack"]) if short else F.lit(0)
-    return mixed.withColumn("position", F.col("slot") * block_rows + F.col("within") - before).drop("within")
+    ranked = keyed.withColumn("rank", rank).join(taken, ["source", "bucket"]).withColumn("rank", F.col("rank") + F.col("offset"))
+    at = F.get("taken", (F.expr(f"rank div {block_rows}") - F.col("taken")[0]["block"]).cast("int"))
+    placed = ranked.withColumn("at", at)
+    position = F.col("at.first") + F.col("rank") % block_rows
+    return placed.select("doc_id", F.col("source.source").alias("source"), "weight", "at.block", "at.phase", "at.slot", *more, position.alias("position"))
 
 
 def mixed_documents(docs: DataFrame, weights: dict[str | None, int] | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:

@@ -1,37 +1,44 @@
 import random
+from bisect import bisect_left
 from collections import Counter
 from fractions import Fraction
 
 import pytest
+from pyspark.sql import functions as F
 
-from tallyspan.llm.mixing import mix, mixed_documents, period, phases, temperature_weights
+from tallyspan.llm.mixing import mix, mixed_documents, period
+
+
+def shares(v, blocks, weights):
+    """Blocks that each source has had by virtual time v in a schedule without rounding."""
+    return {s: min(Fraction(n), v * weights[s]) for s, n in blocks.items()}
+
+
+def slot_of(v, blocks, weights):
+    return sum(shares(v, blocks, weights).values())
 
 
 def test_every_prefix_of_a_period_is_within_one_block():
     random.seed(1)
     for _ in range(100):
-        weights = {f"s{n}": random.randint(1, 15) for n in range(random.randint(1, 7))}
-        total, seen = sum(weights.values()), Counter()
-        for slot, source in enumerate(period(weights)):
+        weights = [random.randint(1, 15) for _ in range(random.randint(1, 7))]
+        total, seen = sum(weights), Counter()
+        for slot, (source, block) in enumerate(period(weights)):
+            assert block == seen[source]
             seen[source] += 1
-            assert all(abs(seen[s] - Fraction((slot + 1) * w, total)) < 1 for s, w in weights.items())
-        assert seen == weights
+            assert all(abs(seen[s] - Fraction((slot + 1) * w, total)) < 1 for s, w in enumerate(weights))
+        assert seen == Counter(dict(enumerate(weights)))
 
 
-def test_phases_place_every_block_once():
+def test_a_period_in_which_sources_end_places_every_block_in_its_window():
     random.seed(2)
-    for _ in range(100):
-        weights = {f"s{n}": random.randint(1, 9) for n in range(random.randint(1, 5))}
-        blocks = {s: random.randint(0, 50) for s in weights}
-        plan = phases(blocks, weights)
-        assert [p["start"] for p in plan] == sorted(p["start"] for p in plan)
-        slots = []
-        for s, n in blocks.items():
-            for k in range(n):
-                p = max((p for p in plan if s in p["places"] and p["before"][s] <= k), key=lambda p: (p["before"][s], p["start"]))
-                turn, place = divmod(k - p["before"][s], len(p["places"][s]))
-                slots.append(p["start"] + turn * p["slots"] + p["places"][s][place])
-        assert sorted(slots) == list(range(sum(blocks.values())))
+    for _ in range(200):
+        weights = {s: random.randint(1, 9) for s in range(random.randint(1, 6))}
+        blocks = {s: random.randint(0, w) for s, w in weights.items()}
+        got = period(list(weights.values()), list(blocks.values()))
+        assert sorted(got) == [(s, k) for s, n in blocks.items() for k in range(n)]
+        for slot, (s, k) in enumerate(got):
+            assert slot_of(Fraction(k, weights[s]), blocks, weights) // 1 <= slot < -(-slot_of(Fraction(k + 1, weights[s]), blocks, weights) // 1)
 
 
 def test_rows_take_all_positions_and_keep_their_share(docs, clashing):
@@ -64,24 +71,25 @@ def test_null_sources_empty_tables_and_bad_weights(spark, docs):
     assert mixed_documents(docs("x").where("false")).count() == 0
     with pytest.raises(ValueError, match="without a positive weight"):
         mix(rows, {"a": 1})
-    assert temperature_weights({"a": 1, "b": 10**9}) == {"a": 1, "b": 1000}
+    assert {r.source: r.weight for r in mix(rows).collect()} == {None: 500, "a": 500}
 
 
 def plain_schedule(counts, weights, block_rows):
-    """The source of every position: slot by slot the released block with the earliest deadline, by fractions."""
-    out, left = [], {s: n for s, n in counts.items() if n}
-    while left:
-        total, k, slot, live = sum(weights[s] for s in left), dict.fromkeys(left, 0), 0, len(left)
-        while len(left) == live:
-            released = [s for s in left if slot >= Fraction(k[s] * total, weights[s]) // 1]
-            source = min(released, key=lambda s: (-(-Fraction((k[s] + 1) * total, weights[s]) // 1), s))
-            k[source] += 1
-            take = min(block_rows, left[source])
-            out += [source] * take
-            left[source] -= take
-            if not left[source]:
-                del left[source]
-            slot += 1
+    """The source of every position: of all blocks, slot by slot, the released one with the earliest deadline, by fractions."""
+    blocks = {s: -(-n // block_rows) for s, n in counts.items()}
+    windows, out, left = {}, [], dict(counts)
+    for s, n in blocks.items():
+        at = [slot_of(Fraction(k, weights[s]), blocks, weights) for k in range(n + 1)]
+        windows[s] = [(at[k] // 1, -(-at[k + 1] // 1)) for k in range(n)]
+    done = dict.fromkeys(blocks, 0)
+    for slot in range(sum(blocks.values())):
+        ready = [s for s, n in blocks.items() if done[s] < n and windows[s][done[s]][0] <= slot]
+        source = min(ready, key=lambda s: (windows[s][done[s]][1], s))
+        assert slot < windows[source][done[source]][1]
+        done[source] += 1
+        take = min(block_rows, left[source])
+        out += [source] * take
+        left[source] -= take
     return out
 
 
@@ -96,3 +104,42 @@ def test_rows_follow_the_plain_schedule(spark, monkeypatch):
     assert [r.position for r in got] == list(range(len(rows)))
     assert sorted((r.doc_id, r.source) for r in got) == rows
     assert [r.source for r in got] == plain_schedule(counts, weights, 8)
+
+
+def test_many_sources_of_any_weight(spark):
+    """5,000 sources, each with an end of its own: all positions taken, every prefix within one block of the shares."""
+    random.seed(3)
+    counts = {f"s{n:04}": random.randint(1, 9) for n in range(5_000)}
+    weights = {s: random.randint(1, 20) for s in counts}
+    rows = [(n, s) for n, s in enumerate(s for s, c in counts.items() for _ in range(c))]
+    got = mix(spark.createDataFrame(rows, "doc_id long, source string").repartition(8), weights, 1).select("doc_id", "source", "position", "slot", "phase").collect()
+    assert sorted(r.position for r in got) == list(range(len(rows)))
+    assert sorted((r.doc_id, r.source) for r in got) == rows
+    order = [r.source for r in sorted(got, key=lambda r: r.position)]
+    # each row in its window: floor(T(k / w)) <= slot < ceil(T((k + 1) / w)), T by sums over the sources' ends
+    ends = sorted((Fraction(n, weights[s]), n, weights[s]) for s, n in counts.items())
+    at, had, live = [e for e, _, _ in ends], [0], [sum(weights.values())]
+    for _, n, w in ends:
+        had.append(had[-1] + n)
+        live.append(live[-1] - w)
+
+    def slot_at(v):
+        i = bisect_left(at, v)
+        return had[i] + live[i] * v
+
+    seen = Counter()
+    for slot, s in enumerate(order):
+        assert slot_at(Fraction(seen[s], weights[s])) // 1 <= slot < -(-slot_at(Fraction(seen[s] + 1, weights[s])) // 1)
+        seen[s] += 1
+    last = {s: slot for slot, s in enumerate(order)}
+    ended = sorted(last.values())
+    assert all(r.phase == bisect_left(ended, r.slot) for r in got)
+
+
+def test_weights_of_any_size_and_long_runs(spark, monkeypatch):
+    monkeypatch.setattr("tallyspan.llm.mixing.SPAN", 7)
+    rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("source"))
+    got = sorted(mix(rows, {"a": 1, "b": 3}, 2).collect(), key=lambda r: r.position)
+    assert [r.source for r in got] == plain_schedule({"a": 1000, "b": 2000}, {"a": 1, "b": 3}, 2)
+    got = sorted(mix(rows, {"a": 20_000, "b": 30_001}, 2).collect(), key=lambda r: r.position)
+    assert [r.source for r in got] == plain_schedule({"a": 1000, "b": 2000}, {"a": 20_000, "b": 30_001}, 2)

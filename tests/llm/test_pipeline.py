@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tallyspan.llm import registry
-from tallyspan.llm.mixing import BLOCK_ROWS, period, temperature_weights
+from tallyspan.llm.mixing import BLOCK_ROWS, EXPONENT, TOTAL
 from tallyspan.llm.quality_rules import LEAST_LEFT_PERCENT
+from tests.llm.test_mixing import plain_schedule
 from tests.llm.test_ngram_join import shingle_set
 from tests.llm.test_quality_rules import brute as measures_of
 from tests.llm.test_quality_rules import brute_line
@@ -67,18 +68,9 @@ def test_stages_keep_what_they_should(stages):
 
 
 def schedule(counts):
-    """The source of every position, block after block, by the Pfair schedule of the sources that are left."""
-    weights, left, out = temperature_weights(counts), dict(counts), []
-    while left:
-        slots, n, live = period({s: weights[s] for s in left}), 0, len(left)
-        while len(left) == live:
-            source, n = slots[n % len(slots)], n + 1
-            take = min(BLOCK_ROWS, left[source])
-            out += [source] * take
-            left[source] -= take
-            if not left[source]:
-                del left[source]
-    return out
+    """The source of every position, by the plain schedule with the default weights."""
+    power = {s: n**EXPONENT for s, n in counts.items()}
+    return plain_schedule(counts, {s: max(1, round(TOTAL * p / sum(power.values()))) for s, p in power.items()}, BLOCK_ROWS)
 
 
 def test_the_result_has_the_order_of_the_mix(stages):
