@@ -5,7 +5,9 @@ inside the content, learned from labelled pages: those that mark it themselves w
 Words inside an element that is no content (a menu, a footer, an advert, a notice) are items of the sequence with a
 score below zero. Which elements those are is learned too: each landmark element and each word of a class, id or role
 is a context with log odds of its own. A list of usual names is only where the counts of a context start from, and
-the page's own mark, where it has one, is a context like the others (UNMARKED).
+the page's own mark, where it has one, is a context like the others (UNMARKED). What stands inside the mark is
+article text, hidden or not and whatever its names, unless it is a menu, header, footer, sidebar, notice, advert, form
+or a reader's comment (OF_KIND); the names of what surrounds a page's only mark say nothing of the words in it.
 
 One linear scan finds the contiguous run with the highest sum. Words of negative contexts inside it, such as an
 advert between two paragraphs, are left out of the text like the tags.
@@ -32,16 +34,17 @@ LABELLED_PAGES = 5_000
 LEAST, WORD_MOST, TAG_MOST, MOST, TELLING, ITEM_WORDS = 0.05, 1.0, 1.0, 4.0, -1.0, 4
 #: Words outside the content that a usual name is taken to have been seen with before any page.
 PRIOR_WORDS = 30
-WORD, LINKED, OTHER, UNMARKED = "#word", "#linked", "#tag", "#unmarked"
+WORD, LINKED, OTHER, UNMARKED, HIDDEN = "#word", "#linked", "#tag", "#unmarked", "#hidden"
 CONTENT = {"article", "main"}
-RAW = ("script", "style", "noscript", "template", "iframe", "svg", "math", "object", "canvas", "video", "audio", "title", "textarea", "select", "head")
+RAW = ("script", "style", "noscript", "template", "iframe", "title", "textarea", "select")
 #: Elements that are contexts by their name.
 LANDMARKS = {"nav", "header", "footer", "aside", "form", "button", "menu", "dialog", "label", "fieldset", "datalist", "section", "figure", "figcaption", "details", "address"}
-USUAL = {"@nav", "@header", "@footer", "@aside", "@form", "@button", "@menu", "@dialog", "@label", "@fieldset", "@datalist", UNMARKED}
+USUAL = {"@nav", "@header", "@footer", "@aside", "@form", "@button", "@menu", "@dialog", "@label", "@fieldset", "@datalist", UNMARKED, HIDDEN}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "rp", "rt", "ruby",
     "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr",
+    "svg", "object", "canvas", "video", "audio", "math", "mi", "mn", "mo", "ms", "mrow", "msub", "msup", "msubsup", "mfrac", "msqrt", "mroot", "mover", "munder", "semantics",
 }
 #: Usual names in class, id or role of what is not article text, as whole words of the name.
 NAMES = re.compile(
@@ -49,12 +52,18 @@ NAMES = re.compile(
     r"|headers?|masthead|topbar|footers?|contentinfo|cookies?|consent|gdpr|notices?|notifications?|alerts?|popups?|modals?|overlays?|comments?|disqus|respond|replies|reply|discussion|share|sharing|social"
     r"|related|recommended|recommendations|newsletter|subscribe|subscription|signup|login|search|pagination|pager|widgets?|toolbar|copyright|legal|tags|metadata|byline)$"
 )
+#: Contexts that count inside the mark: the kinds of element that are no article text wherever they stand.
+OF_KIND = re.compile(
+    r"^(@(nav|footer|aside|form|button|menu|dialog|label|fieldset|datalist)"
+    r"|\.(ads?|adverts?|advertisements?|advertising|adsense|adbox|adunit|sponsors?|sponsored|promos?|promotions?|banners?|sidebars?|aside|complementary|navs?|navbars?|navigation|menus?|breadcrumbs?"
+    r"|masthead|topbar|footers?|contentinfo|cookies?|consent|gdpr|notices?|notifications?|popups?|modals?|overlays?|comments?|disqus|respond|replies|newsletter|subscribe|subscription|signup|login|pagination|pager|toolbar))$"
+)
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attributes>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)|<(?P<close2>/?)(?P<name2>[a-zA-Z][^\s/>]*+)[^>]*(?:>|\Z)",
     re.DOTALL,
 )
-ATTRIBUTE = re.compile(r"""(?:^|[\s"'])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""", re.IGNORECASE)
+ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
 END_OF_RAW = {name: re.compile(rf"</{name}(?=[\s/>])|\Z", re.IGNORECASE) for name in RAW}
 
 
@@ -76,18 +85,18 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
         yield "text", page[at:], ""
 
 
-def contexts_of(name: str, attributes: str, in_content: bool) -> tuple[list[str], bool]:
-    """What an element says of the words in it, and whether it is hidden."""
+def contexts_of(name: str, attributes: str, in_content: bool) -> list[str]:
+    """What an element says of the words in it; html, body and the outermost content element say nothing by their names."""
     found = [f"@{name}"] if name in LANDMARKS and not (name == "header" and in_content) else []
-    if not attributes or name in CONTENT or name in ("html", "body"):
-        return found, False
+    if not attributes or name in CONTENT and not in_content or name in ("html", "body"):
+        return found
     for key, value in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
-            return found, True
+            found.append(HIDDEN)
         if key in ("class", "id", "role"):
             found += [f".{word}" for word in re.split(r"[\s_-]+", value) if word]
-    return found, False
+    return found
 
 
 def is_usual(context: str) -> bool:
@@ -108,28 +117,36 @@ BLOCKS = {"address", "article", "aside", "blockquote", "details", "div", "dl", "
 SELF_ENDING = {"p", "li", "dd", "dt"}
 
 
-def items(page: str) -> tuple[list[Item], list[tuple[int, list[str]]]]:
-    """The page's sequence, references decoded, raw and hidden elements left out; and the frames: (parent, contexts)."""
+class Frame:
+    """An element that says something of its words: the frame around it, its contexts, whether it stands in content, and
+    whether it is an outermost content element."""
+
+    __slots__ = ("contexts", "outermost", "parent", "within")
+
+    def __init__(self, parent: int, contexts: list[str], within: bool = False, outermost: bool = False):
+        self.parent, self.contexts, self.within, self.outermost = parent, contexts, within, outermost
+
+
+def items(page: str) -> tuple[list[Item], list[Frame]]:
+    """The page's sequence, references decoded, raw elements left out; and the frames, outer ones first."""
     out: list[Item] = []
-    frames: list[tuple[int, list[str]]] = [(-1, [])]
-    opened: list[tuple[str, int, bool]] = []  # name, frame, hidden
+    frames = [Frame(-1, [])]
+    opened: list[tuple[str, int]] = []  # name, frame
     blocks: list[int] = []  # places in opened of what is not inline
     open_of: Counter = Counter()
-    hidden = 0
 
     def close_to(place: int):
-        nonlocal hidden
-        for name, _, hides in opened[place:]:
+        for name, _ in opened[place:]:
             open_of[name] -= 1
-            hidden -= hides
         del opened[place:]
         while blocks and blocks[-1] >= place:
             blocks.pop()
 
+    def in_content() -> bool:
+        return any(open_of[c] > 0 for c in CONTENT)
+
     def add(kind, name, words=0):
-        if not hidden:
-            marked = any(open_of[c] > 0 for c in CONTENT)
-            out.append(Item(kind, name, words, marked, open_of["a"] > 0, opened[-1][1] if opened else 0))
+        out.append(Item(kind, name, words, in_content(), open_of["a"] > 0, opened[-1][1] if opened else 0))
 
     for kind, name, attributes in tokens(page):
         if kind == "text":
@@ -143,16 +160,16 @@ def items(page: str) -> tuple[list[Item], list[tuple[int, list[str]]]]:
             add("tag", name)
             if name in VOID or attributes.endswith("/"):
                 continue
-            found, hides = contexts_of(name, attributes, any(open_of[c] > 0 for c in CONTENT))
+            within = in_content()
+            found, outermost = contexts_of(name, attributes, within), name in CONTENT and not within
             frame = opened[-1][1] if opened else 0
-            if found:
-                frames.append((frame, found))
+            if found or outermost:
+                frames.append(Frame(frame, found, within, outermost))
                 frame = len(frames) - 1
             if name not in INLINE:
                 blocks.append(len(opened))
-            opened.append((name, frame, hides))
+            opened.append((name, frame))
             open_of[name] += 1
-            hidden += hides
         elif name not in RAW:
             if open_of[name]:
                 close_to(next(k for k in range(len(opened) - 1, -1, -1) if opened[k][0] == name))
@@ -164,27 +181,35 @@ def has_mark(sequence: list[Item]) -> bool:
     return any(x.marked and x.words for x in sequence)
 
 
-def lows(frames: list[tuple[int, list[str]]], weights: dict[str, float]) -> list[float]:
+def has_only_mark(frames: list[Frame]) -> bool:
+    return sum(f.outermost for f in frames) == 1
+
+
+def lows(frames: list[Frame], weights: dict[str, float]) -> list[float]:
     """For each frame the most negative weight of a context that its words are in; 0 if none is telling."""
+    only = has_only_mark(frames)
     out: list[float] = []
-    for parent, found in frames:
+    for f in frames:
+        found = [c for c in f.contexts if OF_KIND.match(c)] if f.within else f.contexts
         least = min((w for c in found if (w := weights.get(c, -MOST if is_usual(c) else 0.0)) <= TELLING), default=0.0)
-        out.append(min(least, out[parent] if parent >= 0 else 0.0))
+        out.append(min(least, out[f.parent] if f.parent >= 0 and not (f.outermost and only) else 0.0))
     return out
 
 
-def scores(sequence: list[Item], frames: list[tuple[int, list[str]]], weights: dict[str, float]) -> tuple[list[float], list[bool]]:
-    """Each item's score, and whether its words are in a negative context."""
-    low, unmarked = lows(frames, weights), weights.get(UNMARKED, -MOST) if has_mark(sequence) else 0.0
+def scores(sequence: list[Item], frames: list[Frame], weights: dict[str, float]) -> tuple[list[float], list[bool]]:
+    """Each item's score, and whether its words are in a negative context. Inside a page's only mark none is below zero,
+    so that a table or an advert does not cut off the words behind it."""
+    low, unmarked, only = lows(frames, weights), weights.get(UNMARKED, -MOST) if has_mark(sequence) else 0.0, has_only_mark(frames)
     out, negative = [], []
     for x in sequence:
         context = min(low[x.frame], 0.0 if x.marked else unmarked)
         if x.kind == "tag":
-            out.append(weights.get(x.name, weights.get(OTHER, -0.5)))
+            score = weights.get(x.name, weights.get(OTHER, -0.5))
         elif context <= TELLING:
-            out.append(context / MOST * min(x.words, ITEM_WORDS))
+            score = context / MOST * min(x.words, ITEM_WORDS)
         else:
-            out.append(x.words * weights.get(LINKED if x.linked else WORD, WORD_MOST))
+            score = x.words * weights.get(LINKED if x.linked else WORD, WORD_MOST)
+        out.append(max(0.0, score) if only and x.marked else score)
         negative.append(context <= TELLING)
     return out, negative
 
@@ -249,12 +274,11 @@ def _count_contexts(sequence, frames, inside: Counter, outside: Counter) -> None
     inside[WORD] += sum(w[1] for w in words)
     outside[WORD] += sum(w[0] for w in words)
     for k in range(len(frames) - 1, 0, -1):  # inner frames come after outer ones
-        parent, found = frames[k]
-        for c in set(found):
+        for c in set(frames[k].contexts):
             outside[c] += words[k][0]
             inside[c] += words[k][1]
-        words[parent][0] += words[k][0]
-        words[parent][1] += words[k][1]
+        words[frames[k].parent][0] += words[k][0]
+        words[frames[k].parent][1] += words[k][1]
 
 
 def learn_weights(pages: DataFrame, id_col: str = "page_id", usual: bool = True) -> dict[str, float]:
@@ -292,7 +316,7 @@ def learn_weights(pages: DataFrame, id_col: str = "page_id", usual: bool = True)
 def _every_name() -> set[str]:
     """All usual names, as contexts."""
     words = re.findall(r"[a-z]+\??", NAMES.pattern)
-    return USUAL - {UNMARKED} | {f".{w.rstrip('?')}" for w in words} | {f".{w[:-2]}" for w in words if w.endswith("?")}
+    return USUAL - {UNMARKED, HIDDEN} | {f".{w.rstrip('?')}" for w in words} | {f".{w[:-2]}" for w in words if w.endswith("?")}
 
 
 def extract(pages: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:

@@ -1,10 +1,11 @@
 import html
+import random
 import re
 
 import pytest
 
 from tallyspan.llm import html_text
-from tallyspan.llm.html_text import best_run, extract, learn_weights, main_text
+from tallyspan.llm.html_text import _every_name, best_run, extract, learn_weights, main_text
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/a">One</a></li><li><a>Two</a></li></ul></nav>
 <div class="ad">Buy the cheap things now.</div><article><h1>Title &amp; more</h1><p>First  para with <b>bold</b>ed words,\n and enough of them to read.<br>Next line.</p><p>Second&nbsp;para closes the text &lt;here&gt;.</article><footer>&copy; someone, all the rights.</footer></body></html>"""
@@ -89,3 +90,41 @@ def test_deep_and_unclosed_pages_take_linear_time(weights):
     assert main_text("<div class=x>" * 50_000 + "end of it", weights) == "end of it"
     assert main_text("<p><b>word" * 50_000, weights).count("word") == 50_000
     assert main_text("</div>" * 50_000 + "<p>end of it", weights) == "end of it"
+
+
+MARKED = "<html><head><meta charset=utf-8><title>T</title><body><nav><a>Menu</a></nav><div class='page-with-sidebar'><article><h1>Heading</h1>{}</article></div><footer>Copyright of the site.</footer>"
+
+
+@pytest.mark.parametrize(
+    ("inner", "text"),
+    [
+        ("<p>The formula <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds always.</p>", "The formula x=1 holds always."),
+        ("<p>A picture:</p><svg><title>no</title><text>drawn label</text></svg><object>Shown instead.</object>", "A picture: drawn label Shown instead."),
+        ("<p hidden>Folded away at first.</p><p aria-hidden=true>Not read aloud.</p><p style='display: none'>Shown by a click.</p>", "Folded away at first. Not read aloud. Shown by a click."),
+        ("<div class=legal>This whole article on legal matters.</div><div class='related-work'>We discuss related work.</div>", "This whole article on legal matters. We discuss related work."),
+        ("<header class=byline>By someone.</header><p data-x='hidden' class=tags>Of tags.</p>", "By someone. Of tags."),
+        ("<table><tr><td>1</td><td>2</td></tr><tr><td></td><td>3</td></tr></table>" + "<br>" * 50 + "<p>End.", "1 2 3 End."),
+        ("<p>Long enough.</p><div class=ad>Buy these many cheap things now, please.</div><p>End.</p>", "Long enough. End."),
+        ("<p>Text.</p><nav>In this page</nav><aside>Beside it</aside><form>Your name</form><div class=cookie-notice>We use them.</div><article class=comment>Nice!</article><p>End.</p>", "Text. End."),
+    ],
+)
+def test_what_stands_inside_the_mark_is_kept(weights, inner, text):
+    assert main_text(MARKED.format(inner), weights) == f"Heading {text}"
+
+
+def test_any_name_around_paragraphs_of_an_article(weights):
+    random.seed(4)
+    names = [n for n in _every_name() if n[0] == "." and not html_text.OF_KIND.match(n)] + [f".name{n}" for n in range(30)]
+    for _ in range(200):
+        parts = [(random.choice(names)[1:], f"Sentence {n} of it.") for n in range(random.randint(1, 9))]
+        inner = "".join(f"<div class='{a} x'><p id={a}>{text}</p></div>" for a, text in parts)
+        assert main_text(MARKED.format(inner), weights) == " ".join(["Heading", *(text for _, text in parts)])
+
+
+def test_hidden_text_outside_the_mark_is_left_out(weights):
+    page = "<body><div hidden>Words that nobody sees on the page.</div><p>The text of the page with enough words in it.</p></body>"
+    assert main_text(page, weights) == "The text of the page with enough words in it."
+
+
+def test_long_attributes_take_linear_time(weights):
+    assert main_text("<p " + "a " * 200_000 + " " * 200_000 + ">words", weights) == "words"
