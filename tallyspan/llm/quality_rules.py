@@ -28,7 +28,8 @@ CAPITAL_WORDS = 4
 LEAST_LEFT_PERCENT = 50
 #: What a line of prose ends with; the last ones end lines that other rules judge.
 CLOSING = list(".!?:;,…。！？\"'”’»)]}|*#$%&")
-#: A phrase of boilerplate condemns a line of at most so many characters.
+#: A phrase of boilerplate condemns a line of at most so many characters. This is the rule, not a limit on what is judged:
+#: a longer line is a paragraph, in which such a phrase is mentioned; all other rules judge it.
 BOILERPLATE_CHARS = 300
 #: English, German, French and Spanish.
 BOILERPLATE = (
