@@ -10,15 +10,12 @@ from pyspark.sql import functions as F
 TRUE, FALSE = ["true", "t", "yes", "y", "on", "1"], ["false", "f", "no", "n", "off", "0"]
 
 
-def _field(row: Column, name: str, kind: str, least: int | None, required: bool) -> tuple[Column, Column]:
-    """(value or null, error or null) of a field of a variant row.
+def _field(raw: Column, text: Column, shape: Column, name: str, kind: str, least: int | None, required: bool) -> tuple[Column, Column]:
+    """(value or null, error or null) of a field, from its variant, that as text, and its schema (MISSING where there is none).
 
     Numbers may come as whole numbers, whole decimals, booleans or their text; booleans as 0, 1 or usual words; text
     only as text. A whole number beyond 64 bits is an error.
     """
-    raw = F.try_variant_get(row, f"$.{name}", "variant")
-    text = F.try_variant_get(row, f"$.{name}", "string")
-    shape = F.coalesce(F.schema_of_variant(raw), F.lit("MISSING"))
     is_text, is_bool = shape == "STRING", shape == "BOOLEAN"
     number = shape.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
     if kind == "string":
@@ -28,14 +25,14 @@ def _field(row: Column, name: str, kind: str, least: int | None, required: bool)
         ok = (is_bool | is_text | number) & word.isin(TRUE + FALSE) | number & text.isin("1.0", "0.0")
         value = word.isin([*TRUE, "1.0"])
     elif kind == "long":
-        exact = F.when(is_bool, F.try_variant_get(row, f"$.{name}", "int").cast("decimal(38,6)")).otherwise(F.trim(text).try_cast("decimal(38,6)"))
+        exact = F.when(is_bool, F.try_variant_get(raw, "$", "int").cast("decimal(38,6)")).otherwise(F.trim(text).try_cast("decimal(38,6)"))
         whole = F.when(is_text, F.trim(text).rlike(r"^[+-]?\d+(\.0*)?$")).otherwise(number | is_bool)
         ok = whole & (exact == F.floor(exact)) & exact.between(-(2**63), 2**63 - 1)
         value = exact.try_cast("long")
         if least is not None:
             ok = ok & (value >= least)
     else:
-        ok, value = shape.startswith("ARRAY"), F.try_variant_get(row, f"$.{name}", "array<variant>")
+        ok, value = shape.startswith("ARRAY"), F.try_variant_get(raw, "$", "array<variant>")
     ok = F.coalesce(ok, F.lit(False))
     if not required:
         ok = ok | (shape == "MISSING")
@@ -45,10 +42,19 @@ def _field(row: Column, name: str, kind: str, least: int | None, required: bool)
 
 
 def validate(rows: DataFrame, fields: dict[str, tuple[str, int | None, bool]], column: str = "value") -> DataFrame:
-    """rows with a column per field and errors, an array of text, in place of the variant column; other fields are ignored."""
-    found = {name: _field(F.col(column), name, *spec) for name, spec in fields.items()}
+    """rows with a column per field and errors, an array of text, in place of the variant column; other fields are ignored.
+
+    A field's variant, text and schema are columns first, so that each is read once a row however often it is looked at.
+    """
+    part = lambda what, name: f"_{what} of {name}"
+    picked = rows.withColumns({part("variant", n): F.try_variant_get(column, f"$.{n}", "variant") for n in fields})
+    seen = {part("text", n): F.try_variant_get(part("variant", n), "$", "string") for n in fields}
+    seen |= {part("schema", n): F.coalesce(F.schema_of_variant(part("variant", n)), F.lit("MISSING")) for n in fields}
+    parts = {n: [F.col(f"`{part(what, n)}`") for what in ("variant", "text", "schema")] for n in fields}
+    found = {n: _field(*parts[n], n, *spec) for n, spec in fields.items()}
     errors = F.filter(F.array(*(e for _, e in found.values())), lambda e: e.isNotNull())
-    return rows.withColumns({**{n: v for n, (v, _) in found.items()}, "errors": errors}).drop(column)
+    checked = picked.withColumns(seen).withColumns({**{n: v for n, (v, _) in found.items()}, "errors": errors})
+    return checked.drop(column, *(part(what, n) for n in fields for what in ("variant", "text", "schema")))
 
 
 def batch_gate(rows: DataFrame, batch: list[str]) -> tuple[DataFrame, DataFrame]:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tallyspan.functions import expressions as X
 from tallyspan.operators import features, integrity, lookups, usage, validation
 from tallyspan.plans import queries
+from tallyspan.plans.roles import Roles
 from tallyspan.sources import documents, schemas, sinks
 
 ENTRY = {"tier": "GOLD", "rank": "III", "queueType": "QUEUE_A", "puuid": "someone", "wins": 31, "losses": 28, "leaguePoints": 74, "hotStreak": False, "freshBlood": True, "inactive": False, "veteran": False}
@@ -208,3 +209,11 @@ def test_no_landed_document_holds_a_share_of_the_table(spark):
     found = validation.explode_objects(docs.select("path", "doc"), "turns").groupBy("path").agg(F.collect_list(F.try_variant_get("value", "$.conv_id", "long")).alias("ids")).collect()
     assert sorted(i for r in found for i in r.ids) == list(range(3, 4000, 10))
     assert max(len(r.ids) for r in found) <= 100
+
+
+def test_entries_in_one_file_are_dealt_and_their_fields_read_once(spark):
+    """A small file is one split, however many rows it has; a field is taken out of its variant once."""
+    rows = Roles(spark, "/root/testdata/sf0.001").entry_rows()
+    assert rows.rdd.getNumPartitions() == 4
+    plan = validation.validate(rows.withColumn("value", F.try_parse_json("entry")), schemas.SNAPSHOT_FIELDS)._jdf.queryExecution().optimizedPlan().toString()
+    assert all(plan.count(f"$.{name}") <= 2 for name in schemas.SNAPSHOT_FIELDS)
