@@ -4,33 +4,48 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspan.functions.expressions import is_blank, not_null, ratio
 
 
-def broken_documents(docs: DataFrame, list_field: str) -> DataFrame:
-    """Object documents whose list is missing, empty or no list; what is no object is passed over."""
+def is_broken(list_field: str) -> Column:
+    """Whether doc is an object whose list is missing, empty or no list; null or false for what is no object."""
     shape = F.schema_of_variant(F.try_variant_get("doc", f"$.{list_field}", "variant"))
     size = F.size(F.try_variant_get("doc", f"$.{list_field}", "array<variant>"))
-    return docs.where(F.schema_of_variant("doc").startswith("OBJECT") & (~F.coalesce(shape, F.lit("")).startswith("ARRAY") | (F.coalesce(size, F.lit(0)) == 0)))
+    return F.schema_of_variant("doc").startswith("OBJECT") & (~F.coalesce(shape, F.lit("")).startswith("ARRAY") | (F.coalesce(size, F.lit(0)) == 0))
 
 
-def snapshot_entries(docs: DataFrame, list_field: str, id_field: str) -> DataFrame:
-    """(path, entity_id) of list entries up to a document's first entry that is no object; entries without an id are left out."""
+def broken_documents(docs: DataFrame, list_field: str) -> DataFrame:
+    """Object documents whose list is missing, empty or no list; what is no object is passed over."""
+    return docs.where(is_broken(list_field))
+
+
+def leading_objects(list_field: str) -> Column:
+    """The entries of doc's list up to the first that is no object, as variants; null where doc is no object."""
     entries = F.try_variant_get("doc", f"$.{list_field}", "array<variant>")
     shapes = F.transform(entries, lambda e: ~F.schema_of_variant(e).startswith("OBJECT"))
     first_bad = F.array_position(shapes, True)
     whole = F.when(first_bad > 0, F.slice(entries, F.lit(1), (first_bad - 1).cast("int"))).otherwise(entries)
-    rows = docs.where(F.schema_of_variant("doc").startswith("OBJECT")).select("path", F.explode(whole).alias("e"))
+    return F.when(F.schema_of_variant("doc").startswith("OBJECT"), whole)
+
+
+def snapshot_entries(docs: DataFrame, list_field: str, id_field: str) -> DataFrame:
+    """(path, entity_id) of list entries up to a document's first entry that is no object; entries without an id are left out."""
+    rows = docs.select("path", F.explode(leading_objects(list_field)).alias("e"))
     return rows.select("path", F.try_variant_get("e", f"$.{id_field}", "string").alias("entity_id")).where(~is_blank(F.col("entity_id")))
 
 
+def first_entity(list_field: str, id_field: str) -> Column:
+    """The entity of a detail document: that of its first element."""
+    first = F.try_element_at(F.try_variant_get("doc", f"$.{list_field}", "array<variant>"), F.lit(1))
+    return F.try_variant_get(first, f"$.{id_field}", "string")
+
+
 def first_entities(docs: DataFrame, list_field: str, id_field: str) -> DataFrame:
     """(path, entity_id): the entity of a detail document is that of its first element."""
-    first = F.try_element_at(F.try_variant_get("doc", f"$.{list_field}", "array<variant>"), F.lit(1))
-    return docs.select("path", F.try_variant_get(first, f"$.{id_field}", "string").alias("entity_id")).where(~is_blank(F.col("entity_id")))
+    return docs.select("path", first_entity(list_field, id_field).alias("entity_id")).where(~is_blank(F.col("entity_id")))
 
 
 def first_detail_entity(docs: DataFrame, list_field: str, id_field: str) -> DataFrame:

@@ -284,6 +284,29 @@ def test_an_audit_reads_new_and_changed_files_only(spark, tmp_path):
     assert sorted(f.rsplit("/", 1)[1] for f in listed) == ["2.json", "3.json"] and audit.new_documents(spark, str(roots[0]), seen).count() == 0
 
 
+def test_packed_files_are_audited_like_files_of_their_own(spark, tmp_path):
+    """Forty documents lie in a few files; a path that comes again counts as it is now, and each is parsed in one pass."""
+    page = lambda *ids: '{"players": [%s]}' % ", ".join('{"puuid": "%s"}' % i for i in ids)
+    pages = [(f"/s/{n}", page(f"p{n}", f"p{n % 7}") if n % 5 else ['{"players": []}', '{"players": 1}', "[1]", "{no"][n // 5 % 4]) for n in range(40)]
+    details = [(f"/d/{n}", '{"masteries": [{"puuid": "%s"}, {"puuid": "other"}]}' % ("" if n % 9 == 0 else f"p{n}")) for n in range(45)]
+    later = [("/s/0", page("p4")), ("/s/41", page("p41", "p3"))]
+    roots, log = [str(tmp_path / "s"), str(tmp_path / "d")], Versions(spark, str(tmp_path / "log"))
+    frame = lambda rows: spark.createDataFrame(rows, documents.PACKED)
+    docs = lambda rows: frame(rows).select("path", F.try_parse_json("value").alias("doc"))
+    state = {**dict(pages), **dict(later)}
+    for step, (s, d, seen) in enumerate(((pages, details, pages), (later, [], list(state.items())))):
+        documents.pack_documents(frame(s), f"{roots[0]}/landing={step}")
+        documents.pack_documents(frame(d), f"{roots[1]}/landing={step}")
+        for n, root in enumerate(roots):
+            for f in Path(root, f"landing={step}").glob("*.parquet"):
+                os.utime(f, (1_700_000_000 + 60 * step, 1_700_000_000 + 60 * step))
+        rows = audit.audit(spark, log, step, *roots, packed=True)
+        assert audit.report(rows)["summary"].first() == integrity.file_integrity(docs(seen), docs(details))["summary"].first()
+    assert len(files_below(roots[0])) <= 8 and log.read_version(1).select("path").distinct().count() == 2
+    plan = audit.file_rows(documents.scan_packed(spark, roots[0]), "snapshot", "players", "puuid")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Relation") == 1
+
+
 # features
 
 
