@@ -14,6 +14,7 @@ from pyspark.sql.types import StructType
 
 from tallyspan.operators import recording, validation
 from tallyspan.operators.recording import RecordStore
+from tallyspan.sources import documents
 from tallyspan.sources.versions import Versions
 
 
@@ -30,22 +31,30 @@ def stream_ingest(spark: SparkSession, source: str, schema: StructType, sink: st
     return rows.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stream_documents(spark: SparkSession, root: str, list_field: str, fields: dict[str, tuple[str, int | None, bool]], sink: str, checkpoint: str, files_per_batch: int = 100) -> StreamingQuery:
-    """Validates newly landed JSON documents (a file each): rows of documents without an error are appended below
+def stream_documents(spark: SparkSession, root: str, list_field: str, fields: dict[str, tuple[str, int | None, bool]], sink: str, checkpoint: str, files_per_batch: int = 100, packed: bool = False) -> StreamingQuery:
+    """Validates newly landed JSON documents (a file each, or packed: see documents.pack_documents): rows of documents without an error are appended below
     sink/accepted, all rows of the others below sink/quarantine, with their path and errors.
 
     A micro-batch has a folder of its own, replaced when it is replayed, so nothing is written twice. Documents that
-    are no JSON or have no such list give no rows.
+    are no JSON or have no such list give no rows. The rows of a micro-batch are kept until both folders are written, so
+    that each is parsed and checked once. A packed document has to have a path of its own.
     """
 
     def append(batch: DataFrame, batch_id: int) -> None:
         objects = validation.explode_objects(batch.select("path", F.try_parse_json("value").alias("doc")), list_field)
-        good, bad = validation.batch_gate(validation.validate(objects, fields), ["path"])
-        good.write.mode("overwrite").parquet(f"{sink}/accepted/batch_id={batch_id}")
-        bad.write.mode("overwrite").parquet(f"{sink}/quarantine/batch_id={batch_id}")
-
-    texts = spark.readStream.format("text").option("wholetext", True).option("maxFilesPerTrigger", files_per_batch).load(root)
-    rows = texts.select(F.col("_metadata.file_path").alias("path"), "value")
+        checked = validation.validate(objects, fields).persist()
+        try:
+            good, bad = validation.batch_gate(checked, ["path"])
+            good.write.mode("overwrite").parquet(f"{sink}/accepted/batch_id={batch_id}")
+            bad.write.mode("overwrite").parquet(f"{sink}/quarantine/batch_id={batch_id}")
+        finally:
+            checked.unpersist()
+
+    arrivals = spark.readStream.option("maxFilesPerTrigger", files_per_batch)
+    if packed:
+        rows = arrivals.schema(documents.PACKED).parquet(root).select("path", "value")
+    else:
+        rows = arrivals.format("text").option("wholetext", True).load(root).select(F.col("_metadata.file_path").alias("path"), "value")
     return rows.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 

@@ -342,6 +342,17 @@ def test_many_items_give_the_same_pivot(spark, monkeypatch, how):
 # streams
 
 
+def test_packed_documents_are_judged_each_on_its_own(spark, tmp_path):
+    entry = lambda n: '{"k": %s}' % ('"x"' if n == 13 else n)
+    docs = [(f"/p/{p}", '{"list": [%s]}' % ", ".join(entry(n) for n in range(5 * p, 5 * p + 5))) for p in range(9)] + [("/p/none", "{no")]
+    documents.pack_documents(spark.createDataFrame(docs, documents.PACKED).coalesce(1), str(tmp_path / "in"))
+    assert len(files_below(tmp_path / "in")) == 1
+    incremental.stream_documents(spark, str(tmp_path / "in"), "list", {"k": ("long", 0, True)}, str(tmp_path / "out"), str(tmp_path / "cp"), packed=True).awaitTermination()
+    got = {v: sorted((r.path, 13 if r.k is None else r.k) for r in spark.read.parquet(str(tmp_path / "out" / v)).collect()) for v in ("accepted", "quarantine")}
+    assert got["accepted"] == sorted((f"/p/{n // 5}", n) for n in range(45) if n // 5 != 2)
+    assert got["quarantine"] == [("/p/2", n) for n in range(10, 15)]
+
+
 def test_a_cursor_goes_on_from_its_checkpoint(spark, tmp_path):
     random.seed(4)
     rows = [(random.choice("ab"), n, random.randrange(5)) for n in range(90)]
