@@ -339,6 +339,15 @@ def test_many_items_give_the_same_pivot(spark, monkeypatch, how):
             features.pivot_details(frame.union(frame), items, measures).collect()
 
 
+def test_a_wide_row_is_made_where_its_entity_is(spark, monkeypatch):
+    """No wide groups are begun before the rows of an entity are together: in a task they would be as many as its cells."""
+    monkeypatch.setattr(features, "MANY_ITEMS", 1)
+    frame = spark.range(90).selectExpr("id % 9 as entity_id", "concat('i', id % 10) as item_name", "id as points")
+    plan = features._wide(frame, [f"i{n}" for n in range(8)], {"": "points"}, totals={"total": "points"})._jdf.queryExecution().executedPlan().toString()
+    assert "pivotfirst" not in plan.lower()
+    assert plan.index("collect_list") < plan.index("Exchange hashpartitioning(entity_id") and "collect_list" not in plan[plan.index("Exchange hashpartitioning(entity_id") :]
+
+
 # streams
 
 
