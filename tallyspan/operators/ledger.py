@@ -279,10 +279,12 @@ def novel_entities(snapshots: DataFrame, records: DataFrame, keys: list[str]) ->
 
 
 def novelty_counts(snapshots: DataFrame, records: DataFrame, keys: list[str]) -> DataFrame:
-    """Per batch: unique_new and total distinct entities; batches without a new one stay, with 0."""
-    total = snapshots.groupBy("batch_id").agg(F.count_distinct("entity_id").alias("total"))
-    new = novel_entities(snapshots, records, keys).groupBy("batch_id").agg(F.count_distinct("entity_id").alias("unique_new"))
-    return total.join(new, "batch_id", "left").select("batch_id", F.coalesce("unique_new", F.lit(0).cast("long")).alias("unique_new"), "total")
+    """Per batch: unique_new and total distinct entities; batches without a new one stay, with 0. The snapshots are read once."""
+    known = records.select("entity_id", *keys).distinct().withColumn("_known", F.lit(True))
+    seen = snapshots.select("batch_id", "entity_id", *keys).distinct().join(known, ["entity_id", *keys], "left")
+    entities = seen.groupBy("batch_id", "entity_id").agg(F.bool_or(F.col("_known").isNull()).alias("_new"))
+    named = F.col("entity_id").isNotNull()
+    return entities.groupBy("batch_id").agg(F.count_if(named & F.col("_new")).alias("unique_new"), F.count_if(named).alias("total"))
 
 
 def record_snapshot_batch(snapshots: DataFrame, records: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -290,12 +292,17 @@ def record_snapshot_batch(snapshots: DataFrame, records: DataFrame, keys: list[s
 
     An entity that a batch names twice is sighted once, with its row of the greatest seq where rows have one.
     """
-    counts = novelty_counts(snapshots, records, keys)
-    accepted = snapshots.join(counts.where("unique_new > 0").select("batch_id"), "batch_id", "left_semi")
-    return accepted, counts.where("unique_new = 0"), _one_sighting(accepted)
+    accepted, discarded = accept_batches(snapshots, novelty_counts(snapshots, records, keys))
+    return accepted, discarded, one_sighting(accepted)
 
 
-def _one_sighting(rows: DataFrame) -> DataFrame:
+def accept_batches(snapshots: DataFrame, counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows of the batches with a new entity, discarded batches) by the batches' novelty counts."""
+    return snapshots.join(counts.where("unique_new > 0").select("batch_id"), "batch_id", "left_semi"), counts.where("unique_new = 0")
+
+
+def one_sighting(rows: DataFrame) -> DataFrame:
+    """A row of each batch and entity, that of the greatest seq where rows have one."""
     if "seq" not in rows.columns:
         return rows.dropDuplicates(["batch_id", "entity_id"])
     last = rows.groupBy("batch_id", "entity_id").agg(F.max_by(F.struct(*(c for c in rows.columns if c not in ("batch_id", "entity_id"))), "seq").alias("_row"))
@@ -308,11 +315,20 @@ def record_detail_batch(details: DataFrame, claims: DataFrame, records: DataFram
     details: entity_id, errors and fields. An entity fails when any of its rows does, when it has none, or when its
     record lacks a bracket value.
     """
+    ends = detail_ends(details, claims, records, keys)
+    return ended_well(details, ends), ends
+
+
+def ended_well(details: DataFrame, ends: DataFrame) -> DataFrame:
+    """The details of the entities whose tasks succeeded."""
+    return details.join(ends.where("status = 'success'").select("entity_id"), "entity_id", "left_semi").drop("errors")
+
+
+def detail_ends(details: DataFrame, claims: DataFrame, records: DataFrame, keys: list[str]) -> DataFrame:
+    """The ends of record_detail_batch alone."""
     judged = details.groupBy("entity_id").agg(F.bool_and(F.size("errors") == 0).alias("valid"))
     complete = records.select("entity_id", F.forall(F.array(*(F.coalesce(F.col(k), F.lit("")) != "" for k in keys)), lambda x: x).alias("complete"))
     ends = claims.join(judged, "entity_id", "left").join(complete, "entity_id", "left")
     # fixed values: the messages of failed detail tasks
     error = F.when(F.col("valid").isNull(), F.lit("Failed to fetch detail data.")).when(~F.col("valid"), F.lit("Invalid detail data.")).when(~F.coalesce("complete", F.lit(False)), F.lit("Failed to save mastery data."))
-    ends = ends.select("entity_id", error.alias("error")).withColumn("status", F.when(F.col("error").isNull(), F.lit("success")).otherwise(F.lit("failed")))
-    good = details.join(ends.where("status = 'success'").select("entity_id"), "entity_id", "left_semi").drop("errors")
-    return good, ends
+    return ends.select("entity_id", error.alias("error")).withColumn("status", F.when(F.col("error").isNull(), F.lit("success")).otherwise(F.lit("failed")))

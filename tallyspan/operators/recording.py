@@ -37,6 +37,10 @@ class RecordStore:
         """The buckets of rows (entity_id): as many numbers as there are buckets at most."""
         return sorted(r.bucket for r in rows.select(self.versions.bucket_of("entity_id").alias("bucket")).distinct().collect())
 
+    def beside(self, name: str) -> Versions:
+        """A table of what a batch's steps share, by its number: written once, so that no step works it out anew."""
+        return Versions(self.versions.spark, f"{self.versions.root}/{name}")
+
     def upsert(self, sightings: DataFrame, version: int) -> list[int]:
         """Adds a batch of sightings; gives the touched buckets. A version that is repeated starts from the state before it."""
         touched = self.touched(sightings)
@@ -91,13 +95,18 @@ def replace_buckets(table: Versions, rows: DataFrame, key: str, version: int, to
 def record_sightings(snapshots: DataFrame, store: RecordStore, version: int, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """(accepted rows, discarded batches) of snapshot pages against the records before a version, which the accepted ones then make.
 
-    Only the buckets of the pages' entities are read. Repeating the version gives the same records.
+    Only the buckets of the pages' entities are read. Repeating the version gives the same records. The batches' counts
+    and the accepted rows are kept beside the store, so the pages are read three times, whatever is done with the result.
     """
     prior = store.read(version, store.touched(snapshots))
     known = prior if prior is not None else snapshots.limit(0)
-    accepted, discarded, sightings = ledger.record_snapshot_batch(snapshots, known, keys)
-    store.upsert(sightings, version)
-    return accepted, discarded
+    counts, pages = store.beside("novelty"), store.beside("accepted")
+    counts.write(ledger.novelty_counts(snapshots, known, keys), version)
+    accepted, _ = ledger.accept_batches(snapshots, counts.read_version(version))
+    pages.write(accepted, version)
+    accepted = pages.read_version(version)
+    store.upsert(ledger.one_sighting(accepted), version)
+    return accepted, counts.read_version(version).where("unique_new = 0")
 
 
 def sweep_batch(swept: DataFrame, runs: Versions, records: RecordStore, snapshot_tasks: Versions, detail_tasks: Versions, version: int, as_of: Column) -> None:
@@ -149,6 +158,8 @@ def record_snapshots(snapshots: DataFrame, store: RecordStore, root: str, batch:
 def record_details(details: DataFrame, claims: DataFrame, store: RecordStore, root: str, batch: int, as_of: Column, patch: Column, keys: list[str], fmt: str = "parquet", log: Versions | None = None) -> DataFrame:
     """Lands the details of a batch of claims and mirrors the ends of their tasks into the records; gives those ends, which also go to the log.
 
+    Without a log they are kept beside the store: details are read twice, once for the verdicts and once to be landed.
+
     claims: entity_id, task_id. details: entity_id, errors and fields; an entity with an invalid row, without rows, or whose
     record lacks a bracket value fails, and none of its rows is written.
     """
@@ -156,13 +167,12 @@ def record_details(details: DataFrame, claims: DataFrame, store: RecordStore, ro
     prior = store.read(batch, touched)
     if prior is None:
         raise ValueError("no record is known for these claims")
-    good, ends = ledger.record_detail_batch(details, claims.select("entity_id"), prior, keys)
-    info = prior.join(claims.select("entity_id"), "entity_id", "left_semi")
-    sinks.write_details(good.withColumn("patch", patch), info, root, fmt, batch=batch)
+    log = store.beside("ends") if log is None else log
+    ends = ledger.detail_ends(details, claims.select("entity_id"), prior, keys)
     path = F.when(F.col("status") == "success", F.concat(F.lit(f"{root}/batch={batch}/"), "entity_id"))
-    events = ends.join(claims.select("entity_id", "task_id"), "entity_id").select("entity_id", "task_id", as_of.alias("ts"), F.lit(batch).cast("long").alias("seq"), "status", path.alias("file_path"), "error", patch.alias("patch"))
-    if log is not None:
-        log.write(events, batch)
-        events = log.read_version(batch)
+    log.write(ends.join(claims.select("entity_id", "task_id"), "entity_id").select("entity_id", "task_id", as_of.alias("ts"), F.lit(batch).cast("long").alias("seq"), "status", path.alias("file_path"), "error", patch.alias("patch")), batch)
+    events = log.read_version(batch)
+    info = prior.join(claims.select("entity_id"), "entity_id", "left_semi")
+    sinks.write_details(ledger.ended_well(details, events).withColumn("patch", patch), info, root, fmt, batch=batch)
     store.mirror(events, batch)
     return events

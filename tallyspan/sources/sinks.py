@@ -10,15 +10,18 @@ from tallyspan.functions.expressions import partition_keys, percent
 PARTITIONS = ["region", "queue", "tier", "patch", "date"]
 
 
-def _append(rows: DataFrame, root: str, fmt: str, mode: str, batch: int | None) -> None:
+def _append(rows: DataFrame, root: str, fmt: str, mode: str, batch: int | None, folders: list[str] = PARTITIONS) -> None:
     """Rows of one partition are brought together first; a large partition is split among tasks by adaptive execution.
 
     A batch has a partition level of its own, of which only what it writes itself is replaced when it is repeated.
+    PARTITIONS that are no folders are columns of the files, whose rows are in their order.
     """
-    by, writer = PARTITIONS, None
+    by, dealt = folders, rows.hint("rebalance", *folders)
     if batch is not None:
-        rows, by, mode = rows.withColumn("batch", F.lit(batch)), [*PARTITIONS, "batch"], "overwrite"
-    writer = rows.hint("rebalance", *PARTITIONS).write.mode(mode).partitionBy(*by).format(fmt)
+        dealt, by, mode = dealt.withColumn("batch", F.lit(batch)), [*folders, "batch"], "overwrite"
+    if folders != PARTITIONS:
+        dealt = dealt.sortWithinPartitions(*by, *(c for c in PARTITIONS if c not in folders))
+    writer = dealt.write.mode(mode).partitionBy(*by).format(fmt)
     (writer if batch is None else writer.option("partitionOverwriteMode", "dynamic")).save(root)
 
 
@@ -32,10 +35,14 @@ def write_snapshots(df: DataFrame, root: str, fetched_at: Column, fmt: str = "pa
 
 
 def write_details(details: DataFrame, info: DataFrame, root: str, fmt: str = "parquet", mode: str = "append", batch: int | None = None) -> None:
-    """Details with their entity's bracket; date and time come from the entity's latest sighting, not from the fetch."""
+    """Details with their entity's bracket; date and time come from the entity's latest sighting, not from the fetch.
+
+    A batch's details have nearly as many days as entities: a folder and file for each bracket and day would hold a few
+    rows. With a batch number the date is a column of the files of its bracket and patch, in whose order they are.
+    """
     date, time = partition_keys(F.col("latest_logged_at"))
     rows = details.join(info.select("entity_id", "region", "queue", "tier", "division", "latest_logged_at"), "entity_id")
-    _append(rows.withColumns({"date": date, "time": time}), root, fmt, mode, batch)
+    _append(rows.withColumns({"date": date, "time": time}), root, fmt, mode, batch, PARTITIONS if batch is None else PARTITIONS[:-1])
 
 
 def write_bundle(tables: dict[str, DataFrame], root: str, source: str, fetched_at: Column) -> None:

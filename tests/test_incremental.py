@@ -174,6 +174,36 @@ def test_snapshots_land_once_and_known_pages_do_not(spark, tmp_path):
     assert {r.entity_id: [h.task_id for h in r.history] for r in store.read().collect()} == {"a": [1, 4], "b": [1], "c": [2], "d": [5]}
 
 
+def test_a_batch_is_judged_once_and_its_days_are_no_folders(spark, tmp_path):
+    """Reads of the input are counted: pages thrice, details twice, whatever is done with the ends; days share the files of their bracket."""
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(df):
+        def go(batches):
+            for batch in batches:
+                reads.add(batch.num_rows)
+                yield batch
+
+        return df.coalesce(1).mapInArrow(go, df.schema)
+
+    store = recording.RecordStore(spark, str(tmp_path / "records"), 4)
+    days = [sightings(spark, (f"p{n}", n, "A")).withColumn("logged_at", F.lit(T0 + 24 * n * H)) for n in range(8)]
+    pages = days[0]
+    for day in days[1:]:
+        pages = pages.union(day)
+    recording.record_snapshots(counted(pages.withColumn("batch_id", F.col("task_id"))), store, str(tmp_path / "s"), 0, ["tier"], F.col("logged_at")).collect()
+    assert reads.value == 3 * 8
+    claims = spark.createDataFrame([(f"p{n}", n) for n in range(8)], "entity_id string, task_id long")
+    details = spark.createDataFrame([(f"p{n}", n, []) for n in range(8)], "entity_id string, points long, errors array<string>")
+    before = reads.value
+    recording.record_details(counted(details), claims, store, str(tmp_path / "d"), 1, F.lit(T0 + 9 * H), F.lit("15.10"), BRACKET).collect()
+    assert reads.value - before == 2 * 8
+    with documents.text_partitions(spark):
+        landed = spark.read.parquet(str(tmp_path / "d"))
+        assert sorted(r.points for r in landed.collect()) == list(range(8)) and landed.select("date").distinct().count() == 8
+    assert len(files_below(tmp_path / "d")) == 1
+
+
 def test_a_batch_written_twice_leaves_the_same_rows(spark, tmp_path):
     rows = sightings(spark, *((f"p{n}", n, "AB"[n % 2]) for n in range(60)))
     for batch in (0, 1, 1, 0):
