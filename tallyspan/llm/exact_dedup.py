@@ -5,6 +5,10 @@ its texts have ended (equal). Nothing is hashed to decide equality. The run at l
 each later one is three times what came before it, so a text of n bytes takes log4(n / FIRST) levels, and every
 byte of a text that still has company is compared exactly once; a text that is alone is never read further.
 
+Texts are never shuffled: which first runs occur twice goes to the tasks as a bounded filter of their hashes, and the
+runs of the rows that it lets through are written where the text is read. A row that it lets through for nothing is
+alone at level 0.
+
 One level is a groupBy on (group, run) with partial aggregation, so a group that holds a third of all rows sends
 one row per task, and a join of the group's new label to its rows, which adaptive execution splits when skewed.
 """
@@ -21,6 +25,9 @@ from tallyspan.llm.common import BLANKS, all_columns, table, written
 FIRST = 64
 #: Code points from which the first run is taken, where they hold enough that isn't white space.
 HEAD_CHARS = 512
+#: Bits for each first run that occurs twice, and in all at most (8 MB), of the filter of their hashes. It only saves
+#: work: beyond that size more rows have their runs written, and level 0 drops them.
+SHARED_BITS, MOST_SHARED_BITS = 16, 1 << 26
 
 
 def normalized(text: Column) -> Column:
@@ -40,6 +47,22 @@ def _head(text: Column) -> Column:
     return F.substring(F.when(enough, short).otherwise(normalized(text).cast("binary")), 1, FIRST)
 
 
+def _bit(bits: Column, position: Column) -> Column:
+    """Whether a bitmap (null: empty) has the bit at a position set."""
+    byte = F.conv(F.hex(F.substring(bits, F.floor(position / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.coalesce(F.getbit(byte, (position % 8).cast("int")) == 1, F.lit(False))
+
+
+def _shared_heads(rows: DataFrame) -> tuple[int, DataFrame]:
+    """Rows (page, bits): a filter of so many bits of the hashes of heads that occur twice or more."""
+    hashes = rows.select(F.xxhash64("head").alias("hash")).groupBy("hash").count().where("count > 1").select("hash")
+    hashes = written(hashes, "radix-heads")
+    bits = min(MOST_SHARED_BITS, 1 << max(15, (SHARED_BITS * hashes.count()).bit_length()))
+    place = F.pmod("hash", F.lit(bits))
+    places = hashes.select(F.bitmap_bucket_number(place).alias("page"), F.bitmap_bit_position(place).alias("position"))
+    return bits, places.groupBy("page").agg(F.bitmap_construct_agg("position").alias("bits"))
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -52,15 +75,15 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     number = F.monotonically_increasing_id() if row_col is None else F.col("rid")
     own = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *([] if row_col is None else [F.col(row_col).alias("rid")])]
     rows = docs.select(*own).withColumn("head", _head(F.col("text")))
-    # written, so that the join below has a plain shuffle on both sides and rows of a common head can be split
-    company = written(rows.groupBy("head").count().where("count > 1").select("head", F.lit(True).alias("company")), "radix-heads")
+    bits, pages = _shared_heads(rows)
+    place = F.pmod(F.xxhash64("head"), F.lit(bits))
     norm = normalized(F.col("text"))
     levels = F.filter(F.sequence(F.lit(1), F.lit(20)), lambda n: _start(n) <= F.octet_length("bytes"))
     runs = F.transform(levels, lambda n: F.struct(n.alias("level"), F.substring(F.col("bytes"), (_start(n) + 1).cast("int"), (3 * _start(n)).cast("int")).alias("run")))
     own = F.array(F.struct(F.lit(0).alias("level"), F.col("head").alias("run")))
     table_0 = (
-        rows.join(company, "head", "left")
-        .select("doc_id", "head", "company", number.alias("rid"), F.char_length(F.coalesce("text", F.lit(""))).alias("chars"), norm.alias("norm"))
+        rows.join(F.broadcast(pages), F.bitmap_bucket_number(place) == F.col("page"), "left")
+        .select("doc_id", "head", _bit(F.col("bits"), F.bitmap_bit_position(place)).alias("company"), number.alias("rid"), F.char_length(F.coalesce("text", F.lit(""))).alias("chars"), norm.alias("norm"))
         .withColumn("bytes", F.col("norm").cast("binary"))
         .withColumn("text_sha256", F.sha2("bytes", 256))
         .withColumn("piece", F.explode(F.concat(own, F.when(F.col("company"), runs).otherwise(F.slice(own, 1, 0)))))
@@ -72,10 +95,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     active = pieces.where("level = 0 and company").select("rid", F.lit(0).cast("long").alias("gid"))
     while True:
         width = FIRST if level == 0 else 3 * _start(level)
-        here = active.join(pieces.where(F.col("level") == level).select("rid", "run"), "rid")
+        # merged at every size: what is shuffled then grows as the input does
+        here = active.hint("merge").join(pieces.where(F.col("level") == level).select("rid", "run"), "rid")
         # written like company: the rows of a hot run are then dealt by a plain shuffle, which can be split
         split = written(here.groupBy("gid", "run").agg(F.count("*").alias("n"), F.min("rid").alias("new")).where("n > 1").drop("n"), f"radix-split-{level}")
-        found = written(here.join(split, ["gid", "run"]).select("rid", F.col("new").alias("gid"), (F.octet_length("run") < width).alias("ended")), f"radix-{level}")
+        found = written(here.join(split.hint("merge"), ["gid", "run"]).select("rid", F.col("new").alias("gid"), (F.octet_length("run") < width).alias("ended")), f"radix-{level}")
         members.append(found.where("ended").select("rid", "gid"))
         active, level = found.where("not ended").select("rid", "gid"), level + 1
         if active.isEmpty():
@@ -84,9 +108,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     grouped = reduce(DataFrame.unionByName, members)
     # the largest text, then the smallest id: ~id falls as id grows and cannot overflow, and a null is least of all
     order = F.struct(F.col("chars"), F.bitwise_not("doc_id"), F.bitwise_not("rid"))
-    best = written(grouped.join(info, "rid").groupBy("gid").agg(F.max_by(F.struct("doc_id", "rid"), order).alias("best"), F.count("*").alias("group_size")), "radix-best")
+    best = written(grouped.hint("merge").join(info, "rid").groupBy("gid").agg(F.max_by(F.struct("doc_id", "rid"), order).alias("best"), F.count("*").alias("group_size")), "radix-best")
     return (
-        info.join(grouped.join(best, "gid"), "rid", "left")
+        info.join(grouped.join(best.hint("merge"), "gid").hint("merge"), "rid", "left")
         .select("doc_id", F.when(F.col("gid").isNull(), F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
                 F.coalesce(F.col("best.rid") == F.col("rid"), F.lit(True)).alias("kept"), "text_sha256", *([] if row_col is None else ["rid"]))
     )

@@ -1,6 +1,9 @@
 import hashlib
 import random
 
+import pytest
+
+from tallyspan.llm import exact_dedup as module
 from tallyspan.llm.exact_dedup import exact_dedup, exact_groups
 
 
@@ -55,3 +58,23 @@ def test_the_stage_keeps_one_row_of_each_group(docs, clashing):
     assert got.columns == rows.columns
     assert sorted(((r.doc_id, len(r.text or "")) for r in got.collect()), key=str) == sorted([(7, 4), (3, 0), (6, 300_001), (None, 1)], key=str)
     assert exact_dedup(rows.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("most", [1 << 26, 8])
+def test_texts_are_not_shuffled_and_a_full_filter_loses_nothing(spark, docs, monkeypatch, most):
+    plans = {}
+
+    def written(df, label, *partition_by, plain=module.written):
+        plans[label] = df._jdf.queryExecution().optimizedPlan().toString()
+        return plain(df, label, *partition_by)
+
+    monkeypatch.setattr(module, "written", written)
+    monkeypatch.setattr(module, "MOST_SHARED_BITS", most, raising=False)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        check(docs, [(n, f"text {n % 40} " + "word " * (n % 40)) for n in range(60)] + [(None, None), (70, " ")])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    joins = [line for line in plans["radix-runs"].splitlines() if "Join" in line]
+    assert joins and all("strategy=broadcast" in line for line in joins)
