@@ -18,10 +18,10 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +36,8 @@ WARM_TOKENS = 400_000
 #: Documents scored side by side, distinct words a task counts before it sends them on, parameters in one row, and
 #: words whose outputs are worked out together.
 GROUP_DOCS, COUNTED, BLOCK, ROWS = 4_000, 500_000, 8_192, 8_192
+#: Documents whose words are in memory at a time while they are learned from.
+SLICE_DOCS = 2_000
 FOLDS, HELD_OUT = 7, 2
 #: The end of a document: no word is empty.
 END = b""
@@ -48,6 +50,14 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(ASCII_LOWER).split()
 
 
+def words_in(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts on end (binary), as words_of has them, and the number of the text of each."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words = parts.flatten()
+    held = pc.not_equal(pc.binary_length(words), 0)  # white space at either side leaves an empty word
+    return words.filter(held).cast(pa.binary()), pc.list_parent_indices(parts).filter(held).to_numpy(zero_copy_only=False)
+
+
 #: 8 for the bytes of ASCII marks, 0 for letters, digits and bytes beyond ASCII.
 _MARK = [0 if b >= 0x80 or chr(b).isalnum() else 8 for b in range(256)]
 
@@ -83,7 +93,7 @@ class Vocabulary:
     """Numbers of the common words, and what the counts say of all words."""
 
     def __init__(self, common: list[tuple[bytes, int]], tokens: int, distinct: int, rare: dict[int, tuple[int, int]]):
-        self.number = {w: n for n, (w, _) in enumerate(common)}
+        self.words = pa.array([w for w, _ in common], pa.binary())
         self.counts = np.array([n for _, n in common] or [0], np.float64)
         self.tokens, self.distinct = tokens, distinct
         # the symbol of a common word: its own up to WORDS, else that of its rare class
@@ -96,13 +106,22 @@ class Vocabulary:
         self.rare_tokens = totals[:, 0]
         self.rare_log10 = np.log10(np.maximum(totals, 0).sum(axis=1) + 1)  # of what a rare word's count + 1 is divided by
 
-    def numbers(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.number.get, words, repeat(-1)), np.int32, len(words))
-
-    def symbols(self, words: list[bytes], numbers: np.ndarray) -> np.ndarray:
+    def numbers(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+        """Numbers of the words of all texts, each text's end after them (-1: not common), where each text starts, and
+        the places and words that are not common."""
+        words, text = words_in(texts)
+        found = pc.fill_null(pc.index_in(words, self.words), -1).to_numpy(zero_copy_only=False)
+        out = np.full(len(found) + len(texts), 0 if len(self.words) else -1, np.int32)  # the end is word 0
+        places = np.arange(len(found)) + text
+        out[places] = found
+        other = np.flatnonzero(found < 0)
+        starts = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(texts)) + 1)[:-1]]).astype(np.int64)
+        return out, starts, places[other], words.take(pa.array(other)).to_pylist()
+
+    def symbols(self, numbers: np.ndarray, places: np.ndarray, words: list[bytes]) -> np.ndarray:
         out = self.symbol[numbers]
-        unknown = np.flatnonzero(numbers < 0)
-        out[unknown] = np.fromiter((WORDS + rare_class(words[k]) for k in unknown.tolist()), np.int32, len(unknown))
+        out[numbers < 0] = WORDS + rare_class(END)
+        out[places] = np.fromiter((WORDS + rare_class(w) for w in words), np.int32, len(words))
         return out
 
 
@@ -142,8 +161,11 @@ class Model:
         return cls(out)
 
     def step(self, symbols: np.ndarray, h: np.ndarray):
-        gx, gh = self.p["G"][symbols], h @ self.p["U"]
-        zr = 1 / (1 + np.exp(-(gx[:, : 2 * HIDDEN] + gh[:, : 2 * HIDDEN])))
+        gx, gh = self.p["G"].take(symbols, axis=0), h @ self.p["U"]
+        zr = gx[:, : 2 * HIDDEN] + gh[:, : 2 * HIDDEN]
+        np.exp(np.negative(zr, out=zr), out=zr)
+        zr += 1
+        np.reciprocal(zr, out=zr)
         z, r, inner = zr[:, :HIDDEN], zr[:, HIDDEN:], gh[:, 2 * HIDDEN :]
         n = np.tanh(gx[:, 2 * HIDDEN :] + r * inner)
         return n + z * (h - n), z, r, n, inner
@@ -152,7 +174,7 @@ class Model:
         """Natural log probability of each target symbol (its class alone, for a rare one); with grads, also d/d states."""
         p = self.p
         kind = np.where(targets < WORDS, targets // CLASS_SIZE, targets - WORDS + CLASSES)
-        logits = _safe(states @ p["C"] + p["c"])
+        logits = _logits(states, p["C"], p["c"])
         share = np.exp(logits)
         total = share.sum(axis=1, keepdims=True)
         rows = np.arange(len(targets))
@@ -171,7 +193,7 @@ class Model:
             if not len(own):
                 continue
             s, word = states[own], targets[own] - c * CLASS_SIZE
-            logits = _safe(s @ p["W"][c] + p["w"][c])
+            logits = _logits(s, p["W"][c], p["w"][c])
             share = np.exp(logits)
             total = share.sum(axis=1, keepdims=True)
             rows = np.arange(len(own))
@@ -185,6 +207,13 @@ class Model:
         return out, back
 
 
+def _logits(states: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Logits whose exponentials stay within range; as states are between -1 and 1, the parameters often say so for all."""
+    logits = states @ weights
+    logits += bias
+    return logits if float((np.abs(weights).sum(axis=0) + np.abs(bias)).max()) < 60 else _safe(logits)
+
+
 def _safe(logits: np.ndarray) -> np.ndarray:
     """Logits whose exponentials stay within range: rows are shifted only if one could overflow or vanish."""
     return logits if -60 < logits.max() < 60 and logits.min() > -80 else logits - logits.max(axis=1, keepdims=True)
@@ -227,8 +256,11 @@ class Trainer:
             new, z, r, n, inner = model.step(given[t], h)
             saved.append((h, z, r, n, inner))
             states[t] = h = new
-        back = np.zeros_like(states)
-        back[live] = model.outputs(states[live], target[live], grads)[1]
+        if live.all():
+            back = model.outputs(states.reshape(-1, HIDDEN), target.ravel(), grads)[1].reshape(states.shape)
+        else:
+            back = np.zeros_like(states)
+            back[live] = model.outputs(states[live], target[live], grads)[1]
         gates = np.empty((steps, lanes, 3 * HIDDEN), np.float32)
         recurrent = np.empty_like(gates)
         before = np.empty_like(states)
@@ -257,22 +289,20 @@ class Trainer:
         return h
 
     def _update(self, value, square, g, at=slice(None)):
-        norm = float(np.sqrt((g * g).sum()))
-        g = g * min(1.0, CLIP / norm) if norm > CLIP else g
-        square[at] += g * g * 1e3  # gradients are means over some thousand words
+        squared = g * g
+        norm = float(np.sqrt(squared.sum()))
+        if norm > CLIP:
+            g = g * (CLIP / norm)
+            squared = g * g
+        square[at] += squared * 1e3  # gradients are means over some thousand words
         value[at] -= RATE * g * 31.6 / np.sqrt(square[at])
 
 
-def _texts_to_symbols(vocabulary: Vocabulary, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    words, starts = [], []
-    for t in texts:
-        starts.append(len(words))
-        words += words_of(t)
-        words.append(END)
-    symbols = vocabulary.symbols(words, vocabulary.numbers(words))
-    fresh = np.zeros(len(words), bool)
+def _texts_to_symbols(vocabulary: Vocabulary, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    numbers, starts, *other = vocabulary.numbers(texts)
+    fresh = np.zeros(len(numbers), bool)
     fresh[starts] = True
-    return symbols, fresh
+    return vocabulary.symbols(numbers, *other), fresh
 
 
 def _train(vocabulary, start):
@@ -281,8 +311,8 @@ def _train(vocabulary, start):
     def run(batches):
         trainer = Trainer(Model.from_flat(start.value.copy()))
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                trainer.fit(*_texts_to_symbols(vocabulary.value, batch.column(0).slice(at, 2000).to_pylist()))
+            for at in range(0, batch.num_rows, SLICE_DOCS):
+                trainer.fit(*_texts_to_symbols(vocabulary.value, batch.column(0).slice(at, SLICE_DOCS)))
         if trainer.tokens:
             flat = trainer.model.flat()
             blocks = [flat[k : k + BLOCK] for k in range(0, len(flat), BLOCK)]
@@ -382,30 +412,24 @@ def _score(vocabulary, parameters):
         for batch in batches:
             for at in range(0, batch.num_rows, GROUP_DOCS):
                 part = batch.slice(at, GROUP_DOCS)
-                words, starts = [], []
-                for text in part.column("text"):
-                    starts.append(len(words))
-                    words += words_of(text.as_py())
-                    words.append(END)
-                numbers = v.numbers(words)
-                own = v.symbols(words, numbers)
+                numbers, starts, places, others = v.numbers(part.column("text"))
+                own = v.symbols(numbers, places, others)
                 common = numbers >= 0
                 in_training = common & (v.counts[numbers] > 0)
                 log = np.where(in_training, log_count[numbers], 0.0)  # what is still to come for the others is 0 here
                 rare = own >= WORDS
                 fixed = np.where(rare, log - v.rare_log10[np.where(rare, own - WORDS, 0)], 0.0)
                 sums = lambda x: np.add.reduceat(x, starts)
-                sizes = np.diff([*starts, len(words)])
+                sizes = np.diff([*starts, len(numbers)])
                 base = sums(log) - sizes * base_total
                 known = sums(in_training.astype(np.int64))
                 unknown: list[Counter] = [Counter() for _ in starts]
-                places = np.flatnonzero(~common)
-                for doc, k in zip((np.searchsorted(starts, places, "right") - 1).tolist(), places.tolist()):
-                    unknown[doc][words[k]] += 1
-                others, times = [list(c) for c in unknown], [list(c.values()) for c in unknown]
+                for doc, word in zip((np.searchsorted(starts, places, "right") - 1).tolist(), others):
+                    unknown[doc][word] += 1
+                rest, times = [list(c) for c in unknown], [list(c.values()) for c in unknown]
                 total = _log10(model, np.split(own, starts[1:])) + sums(fixed)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("rid"), part.column("kept"), pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(total), pa.array(others, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))],
+                    [part.column("rid"), part.column("kept"), pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(total), pa.array(rest, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))],
                     ["rid", "kept", "n_tokens", "known", "base", "total", "words", "times"],
                 )
 

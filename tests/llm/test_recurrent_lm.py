@@ -2,6 +2,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from tallyspan.llm import recurrent_lm as R
 
@@ -119,3 +120,17 @@ def test_without_training_rows(docs):
     r = R.score(docs("two words"), R.fit(docs("x").where("false"))).collect()[0]
     assert (r.n_tokens, r.n_known, r.train_tokens) == (3, 0, 0)
     assert r.base_score == 0.0
+
+
+def test_words_are_found_and_numbered_without_a_loop_over_them():
+    texts = ["The  cat\x0bsat", None, "", " \t\n", "\x1cÄ the\x85 \r", "CAT\x00 x\u00a0y"]
+    words, text = R.words_in(pa.array(texts))
+    assert words.to_pylist() == [w for t in texts for w in R.words_of(t)]
+    assert text.tolist() == [n for n, t in enumerate(texts) for _ in R.words_of(t)]
+    v = R.Vocabulary([(R.END, 9), (b"the", 5), (b"cat", 3)], 17, 3, {})
+    numbers, starts, places, others = v.numbers(pa.array(texts))
+    plain = [w for t in texts for w in [*R.words_of(t), R.END]]
+    known = {b"": 0, b"the": 1, b"cat": 2}
+    assert numbers.tolist() == [known.get(w, -1) for w in plain]
+    assert starts.tolist() == [0, 4, 5, 6, 7, 10] and [plain[k] for k in places] == others
+    assert v.symbols(numbers, places, others).tolist() == [known.get(w, R.WORDS + R.rare_class(w)) for w in plain]
