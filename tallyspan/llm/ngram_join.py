@@ -272,8 +272,8 @@ def _checked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, sketch, size
     known = written(classes.join(nodes, "node", "left_semi").select("node", "set_key", "min_id"), "join-known")
     wanted = spark.sparkContext.broadcast(_wanted_filter(known.select("min_id"), known.count()))
     sets = docs.select("doc_id", "text").mapInArrow(_wanted_sets(sketch, wanted, size), "set_key binary, set binary")
-    # several rows may have had the same set
-    sets = written(known.join(sets, "set_key").dropDuplicates(["node"]).select("node", "set"), "join-sets")
+    # several rows may have had the same set; a class has one key, so the sets lie together already
+    sets = written(known.hint("merge").join(sets, "set_key").dropDuplicates(["set_key"]).select("node", "set"), "join-sets")
     # the block of a pair is drawn by its own side: about BLOCK_ROWS rows for a hub of any size
     sizes = pairs.groupBy("b").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
     sized = pairs.join(sizes, "b").withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")))
@@ -342,7 +342,8 @@ def _hub_pairs(block: DataFrame, used: DataFrame, percent: int) -> DataFrame:
 def _alike(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose parities let them link. marks: (node, n, parity)."""
     side = lambda node, size, own: marks.select(F.col("node").alias(node), F.col("n").alias(size), F.col("parity").alias(own))
-    both = pairs.join(side("a", "n", "pa"), "a").join(side("b", "m", "pb"), "b")
+    # merged at every size: what is shuffled then grows as the input does
+    both = pairs.hint("merge").join(side("a", "n", "pa"), "a").hint("merge").join(side("b", "m", "pb"), "b")
     words = F.least(F.size("pa"), F.size("pb"))
     short = lambda c: F.when(F.size(c) == words, F.col(c)).otherwise(folded(F.col(c), words))
     differ = F.aggregate(F.zip_with(short("pa"), short("pb"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)

@@ -166,3 +166,20 @@ def test_one_row_of_each_component_stays_where_ids_repeat(docs):
     assert got.columns == named.columns
     assert sorted((str(r.doc_id), r.text or "") for r in got.collect()) == sorted([("1", base), ("5", "another text of its own with words"), ("8", ""), ("8", ""), ("None", "yet another text with words of its own"), ("9", "repeated words stay once")])
     assert one_of_each(named.where("false")).count() == 0
+
+
+def test_sets_are_shuffled_once_to_meet_their_classes(spark, docs, monkeypatch):
+    from tallyspan.llm import ngram_join as module
+
+    plans = []
+
+    def written(df, label, *partition_by, plain=module.written):
+        if label == "join-sets":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(df, label, *partition_by)
+
+    monkeypatch.setattr(module, "written", written)
+    base = [f"w{n}" for n in range(60)]
+    got = near_components(docs((3, " ".join(base)), (5, " ".join([*base, "more"])), (8, "something else is here")), percent=80).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(3, 3), (5, 3), (8, 8)]
+    assert plans and not any("hashpartitioning(node" in plan for plan in plans)
