@@ -5,7 +5,7 @@ its texts have ended (equal). Nothing is hashed to decide equality. The run at l
 each later one is three times what came before it, so a text of n bytes takes log4(n / FIRST) levels, and every
 byte of a text that still has company is compared exactly once; a text that is alone is never read further.
 
-Texts are never shuffled: which first runs occur twice goes to the tasks as a bounded filter of their hashes, and the
+Whole texts are never shuffled, only runs of those with company: which first runs occur twice goes to the tasks as a bounded filter of their hashes, and the
 runs of the rows that it lets through are written where the text is read. A row that it lets through for nothing is
 alone at level 0.
 
