@@ -17,7 +17,6 @@ are joined to the count table.
 from __future__ import annotations
 
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -71,21 +70,41 @@ def rare_class(word: bytes) -> int:
     return mark + 1 + found[1 if len(found) > 1 else 0] % 7
 
 
+def rare_classes(words: pa.Array) -> np.ndarray:
+    """rare_class of each of the words (binary)."""
+    out = np.zeros(len(words), np.int32)
+    full = np.flatnonzero(pc.binary_length(words).to_numpy(zero_copy_only=False))
+    if not len(full):
+        return out
+    at = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+    data = np.frombuffer(words.buffers()[2], np.uint8)[: at[-1]]
+    first, last = at[:-1][full], at[1:][full]
+    beyond = np.append(np.flatnonzero(data >= 0x80), len(data))
+    found = beyond[np.searchsorted(beyond, first)]  # the first byte beyond ASCII, if it is one of the word's
+    second = data[np.minimum(found + 1, last - 1)]
+    own = np.where(second >= 0x80, second, data[np.minimum(found, last - 1)])
+    out[full] = np.array(_MARK, np.int32)[data[last - 1]] + np.where(found < last, 1 + own % 7, 0)
+    return out
+
+
 def _count_words(batches):
-    counts: Counter = Counter()
+    words, counts = [], []
 
     def rows():
-        words = list(counts)
-        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(list(map(rare_class, words)), pa.int32()), pa.array(list(counts.values()), pa.int64())], ["word", "rare", "n"])
+        one = pa.concat_arrays(words).dictionary_encode()
+        n = np.bincount(one.indices.to_numpy(), weights=np.concatenate(counts), minlength=len(one.dictionary)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([one.dictionary, pa.array(rare_classes(one.dictionary)), pa.array(n)], ["word", "rare", "n"])
 
     for batch in batches:
-        for text in batch.column(0):
-            counts.update(words_of(text.as_py()))
-        counts[END] += batch.num_rows
-        if len(counts) > COUNTED:
-            yield rows()
-            counts.clear()
-    if counts:
+        for at in range(0, batch.num_rows, SLICE_DOCS):
+            texts = batch.column(0).slice(at, SLICE_DOCS)
+            found = words_in(texts)[0].value_counts()
+            words += [found.field("values"), pa.array([END], pa.binary())]
+            counts += [found.field("counts").to_numpy(), np.array([len(texts)])]
+            if sum(map(len, counts)) > COUNTED:
+                yield rows()
+                words, counts = [], []
+    if words:
         yield rows()
 
 
@@ -107,6 +126,11 @@ class Vocabulary:
         self.rare_log10 = np.log10(np.maximum(totals, 0).sum(axis=1) + 1)  # of what a rare word's count + 1 is divided by
 
     def numbers(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+        """As numbered, with the words as a list."""
+        *found, words = self.numbered(texts)
+        return *found, words.to_pylist()
+
+    def numbered(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
         """Numbers of the words of all texts, each text's end after them (-1: not common), where each text starts, and
         the places and words that are not common."""
         words, text = words_in(texts)
@@ -116,12 +140,12 @@ class Vocabulary:
         out[places] = found
         other = np.flatnonzero(found < 0)
         starts = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(texts)) + 1)[:-1]]).astype(np.int64)
-        return out, starts, places[other], words.take(pa.array(other)).to_pylist()
+        return out, starts, places[other], words.take(pa.array(other))
 
-    def symbols(self, numbers: np.ndarray, places: np.ndarray, words: list[bytes]) -> np.ndarray:
+    def symbols(self, numbers: np.ndarray, places: np.ndarray, words: list[bytes] | pa.Array) -> np.ndarray:
         out = self.symbol[numbers]
         out[numbers < 0] = WORDS + rare_class(END)
-        out[places] = np.fromiter((WORDS + rare_class(w) for w in words), np.int32, len(words))
+        out[places] = WORDS + rare_classes(words if isinstance(words, pa.Array) else pa.array(words, pa.binary()))
         return out
 
 
@@ -160,58 +184,95 @@ class Model:
             at += size
         return cls(out)
 
+    def gates(self) -> tuple[np.ndarray, np.ndarray]:
+        """Gates of the symbols and of the state, one gate after the other: what is worked on lies together."""
+        return tuple(np.ascontiguousarray(self.p[k].reshape(-1, 3, HIDDEN).swapaxes(0, 1)) for k in "GU")
+
     def step(self, symbols: np.ndarray, h: np.ndarray):
-        gx, gh = self.p["G"].take(symbols, axis=0), h @ self.p["U"]
-        zr = gx[:, : 2 * HIDDEN] + gh[:, : 2 * HIDDEN]
-        np.exp(np.negative(zr, out=zr), out=zr)
-        zr += 1
-        np.reciprocal(zr, out=zr)
-        z, r, inner = zr[:, :HIDDEN], zr[:, HIDDEN:], gh[:, 2 * HIDDEN :]
-        n = np.tanh(gx[:, 2 * HIDDEN :] + r * inner)
-        return n + z * (h - n), z, r, n, inner
+        given, state = self.gates()
+        return _step(given.take(symbols, axis=1), h, state)
 
     def outputs(self, states: np.ndarray, targets: np.ndarray, grads: dict | None = None):
         """Natural log probability of each target symbol (its class alone, for a rare one); with grads, also d/d states."""
         p = self.p
         kind = np.where(targets < WORDS, targets // CLASS_SIZE, targets - WORDS + CLASSES)
-        logits = _logits(states, p["C"], p["c"])
-        share = np.exp(logits)
-        total = share.sum(axis=1, keepdims=True)
-        rows = np.arange(len(targets))
-        out = logits[rows, kind] - np.log(total[:, 0])
+        # biases are weights of a last unit that is always 1
+        states = np.concatenate([states, np.ones((len(states), 1), states.dtype)], axis=1)
+        weights = np.concatenate([p["C"], p["c"][None]])
+        logits = states @ weights
+        if not _tame(weights):
+            logits = _safe(logits)
+        out, total = _chosen(logits, kind, grads is not None)
         back = None
         if grads is not None:
-            share /= total
-            share[rows, kind] -= 1
-            grads["C"] += states.T @ share
-            grads["c"] += share.sum(axis=0)
-            back = share @ p["C"].T
-        order = np.argsort(kind, kind="stable")
+            found = (states / total).T @ logits
+            grads["C"] += found[:HIDDEN]
+            grads["c"] += found[HIDDEN]
+            back = logits @ p["C"].T
+            back /= total
+        # words with outputs of their own, class by class
+        order = np.argsort(kind.astype(np.uint8), kind="stable")
         ends = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            own = order[ends[c] : ends[c + 1]]
-            if not len(own):
-                continue
-            s, word = states[own], targets[own] - c * CLASS_SIZE
-            logits = _logits(s, p["W"][c], p["w"][c])
-            share = np.exp(logits)
-            total = share.sum(axis=1, keepdims=True)
-            rows = np.arange(len(own))
-            out[own] += logits[rows, word] - np.log(total[:, 0])
-            if grads is not None:
-                share /= total
-                share[rows, word] -= 1
-                grads["W"][c] += s.T @ share
-                grads["w"][c] += share.sum(axis=0)
-                back[own] += share @ p["W"][c].T
+        own = order[: ends[-1]]
+        parts = [(c, slice(ends[c], ends[c + 1])) for c in range(CLASSES) if ends[c] < ends[c + 1]]
+        states, weights = states[own], np.concatenate([p["W"], p["w"][:, None]], axis=1)
+        tame = _tame(weights)
+        logits = np.empty((len(own), CLASS_SIZE), states.dtype)
+        for c, rows in parts:
+            np.matmul(states[rows], weights[c], out=logits[rows])
+            if not tame:
+                logits[rows] = _safe(logits[rows])
+        log, total = _chosen(logits, targets[own] % CLASS_SIZE, grads is not None)
+        out[own] += log
+        if grads is not None:
+            states /= total
+            more = np.empty((len(own), HIDDEN), states.dtype)
+            for c, rows in parts:
+                found = states[rows].T @ logits[rows]
+                grads["W"][c] += found[:HIDDEN]
+                grads["w"][c] += found[HIDDEN]
+                np.matmul(logits[rows], p["W"][c].T, out=more[rows])
+            more /= total
+            back[own] += more
         return out, back
 
 
-def _logits(states: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    """Logits whose exponentials stay within range; as states are between -1 and 1, the parameters often say so for all."""
-    logits = states @ weights
-    logits += bias
-    return logits if float((np.abs(weights).sum(axis=0) + np.abs(bias)).max()) < 60 else _safe(logits)
+def _step(given: np.ndarray, h: np.ndarray, state: np.ndarray):
+    """The next states; given: (3, rows, HIDDEN) gates of the symbols, state: (3, HIDDEN, HIDDEN) those of the state."""
+    gh = np.matmul(h, state)
+    zr = given[:2] + gh[:2]
+    np.exp(np.negative(zr, out=zr), out=zr)
+    zr += 1
+    np.reciprocal(zr, out=zr)
+    z, r, inner = zr[0], zr[1], gh[2]
+    n = r * inner
+    n += given[2]
+    np.tanh(n, out=n)
+    new = h - n
+    new *= z
+    new += n
+    return new, z, r, n, inner
+
+
+def _chosen(logits: np.ndarray, which: np.ndarray, less: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Log probability of the chosen column of each row, and the rows' sums; logits become their exponentials.
+
+    less: those of the chosen columns less the sums, so that a row over its sum is the gradient.
+    """
+    places = np.arange(len(which)) * logits.shape[1] + which
+    flat = logits.reshape(-1)
+    log = flat[places]
+    np.exp(logits, out=logits)
+    total = logits @ np.ones(logits.shape[1], logits.dtype)
+    log -= np.log(total)
+    if less:
+        flat[places] -= total
+    return log, total[:, None]
+
+
+def _tame(weights: np.ndarray) -> bool:
+    """Whether exponentials of all logits stay within range, as states are between -1 and 1."""
+    return float(np.abs(weights).sum(axis=-2).max()) < 60
 
 
 def _safe(logits: np.ndarray) -> np.ndarray:
@@ -249,39 +310,42 @@ class Trainer:
         grads = {k: np.zeros_like(v) for k, v in p.items() if k != "G"}
         steps, lanes = given.shape
         live = np.ones(given.shape, bool) if live is None else live
-        keep = (~fresh).astype(np.float32)[:, :, None]
-        states, saved = np.empty((steps, lanes, HIDDEN), np.float32), []
+        keep = (~fresh).astype(p["U"].dtype)[:, :, None]
+        _, state = model.gates()
+        gates = np.ascontiguousarray(p["G"].take(given, axis=0).reshape(steps, lanes, 3, HIDDEN).transpose(0, 2, 1, 3))
+        before, states, z, r, n, inner = np.empty((6, steps, lanes, HIDDEN), p["U"].dtype)
         for t in range(steps):
-            h = h * keep[t]
-            new, z, r, n, inner = model.step(given[t], h)
-            saved.append((h, z, r, n, inner))
-            states[t] = h = new
+            h = np.multiply(h, keep[t], out=before[t])
+            h, z[t], r[t], n[t], inner[t] = _step(gates[t], h, state)
+            states[t] = h
         if live.all():
             back = model.outputs(states.reshape(-1, HIDDEN), target.ravel(), grads)[1].reshape(states.shape)
         else:
             back = np.zeros_like(states)
             back[live] = model.outputs(states[live], target[live], grads)[1]
-        gates = np.empty((steps, lanes, 3 * HIDDEN), np.float32)
+        # what the gradient of a state is multiplied by for each of its gates
+        for_n = (1 - z) * (1 - n * n)
+        for_z = (before - n) * z * (1 - z)
+        for_r = for_n * inner * r * (1 - r)
+        transposed = np.ascontiguousarray(state.swapaxes(1, 2))
         recurrent = np.empty_like(gates)
-        before = np.empty_like(states)
-        dh = np.zeros((lanes, HIDDEN), np.float32)
+        dh = np.zeros((lanes, HIDDEN), p["U"].dtype)
         for t in range(steps - 1, -1, -1):
-            old, z, r, n, inner = saved[t]
-            dh = dh + back[t]
-            dn = dh * (1 - z) * (1 - n * n)
-            g = gates[t]
-            g[:, :HIDDEN] = dh * (old - n) * z * (1 - z)
-            g[:, HIDDEN : 2 * HIDDEN] = dn * inner * r * (1 - r)
-            g[:, 2 * HIDDEN :] = dn
-            recurrent[t] = g
-            recurrent[t, :, 2 * HIDDEN :] *= r
-            before[t] = old
-            dh = (dh * z + recurrent[t] @ p["U"].T) * keep[t]
-        grads["U"] = before.reshape(-1, HIDDEN).T @ recurrent.reshape(-1, 3 * HIDDEN)
+            dh += back[t]
+            g, to = gates[t], recurrent[t]
+            np.multiply(dh, for_z[t], out=g[0])
+            np.multiply(dh, for_r[t], out=g[1])
+            np.multiply(dh, for_n[t], out=g[2])
+            to[:2] = g[:2]
+            np.multiply(g[2], r[t], out=to[2])
+            dh *= z[t]
+            dh += np.matmul(to, transposed).sum(axis=0)
+            dh *= keep[t]
+        grads["U"] = np.matmul(before.swapaxes(1, 2)[:, None], recurrent).sum(axis=0).swapaxes(0, 1).reshape(HIDDEN, -1)
         flat = given.ravel()
-        order = np.argsort(flat, kind="stable")
+        order = np.argsort(flat.astype(np.int16), kind="stable")
         used, first = np.unique(flat[order], return_index=True)
-        rows = np.add.reduceat(gates.reshape(-1, 3 * HIDDEN)[order], first)
+        rows = np.add.reduceat(gates.transpose(0, 2, 1, 3).reshape(-1, 3 * HIDDEN)[order], first)
         scale = 1.0 / max(1, int(live.sum()))
         self._update(p["G"], self.squares["G"], rows * scale, used)
         for k, g in grads.items():
@@ -299,7 +363,7 @@ class Trainer:
 
 
 def _texts_to_symbols(vocabulary: Vocabulary, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    numbers, starts, *other = vocabulary.numbers(texts)
+    numbers, starts, *other = vocabulary.numbered(texts)
     fresh = np.zeros(len(numbers), bool)
     fresh[starts] = True
     return vocabulary.symbols(numbers, *other), fresh
@@ -374,29 +438,31 @@ def fit(training: DataFrame) -> LanguageModel:
 
 def _log10(model: Model, symbols: list[np.ndarray]) -> np.ndarray:
     """Log10 probability of each document's symbols, the end included; documents side by side, longest first."""
-    order = sorted(range(len(symbols)), key=lambda k: -len(symbols[k]))
-    sizes = np.array([len(symbols[k]) for k in order])
+    sizes = np.array([len(x) for x in symbols], np.int64)
+    order = np.argsort(-sizes, kind="stable")
+    flat = np.concatenate([np.empty(0, np.int32), *symbols])
+    starts, sizes = (np.cumsum(sizes) - sizes)[order], sizes[order]
+    given, state = model.gates()
     out = np.zeros(len(order))
     h = np.zeros((len(order), HIDDEN), np.float32)
     last = np.zeros(len(order), np.int32)
     for at in range(0, int(sizes[0]) if len(sizes) else 0, SCORE_STEPS):
         n = int((sizes > at).sum())
         steps = min(SCORE_STEPS, int(sizes[0]) - at)
-        target = np.zeros((steps, n), np.int32)
-        for k in range(n):
-            part = symbols[order[k]][at : at + steps]
-            target[: len(part), k] = part
         live = (sizes[:n] - at).clip(max=steps)
-        states = []
-        for t in range(steps):
-            m = int((live > t).sum())  # the longest come first, so the living ones are a prefix
-            h[:m] = model.step(last[:m], h[:m])[0]
-            states.append(h[:m].copy())
-            last[:m] = target[t, :m]
         alive = np.arange(steps)[:, None] < live[None, :]
-        flat, wanted = np.concatenate(states), target[alive]
-        found = np.concatenate([model.outputs(flat[k : k + ROWS], wanted[k : k + ROWS])[0] for k in range(0, len(wanted), ROWS)])
-        out[:n] += np.bincount(np.nonzero(alive)[1], weights=found, minlength=n) / LOG10
+        doc = np.nonzero(alive)[1]  # step by step; the longest come first, so the living ones are a prefix
+        ends = np.cumsum(alive.sum(axis=1))
+        wanted = flat[np.repeat(np.arange(steps), alive.sum(axis=1)) + at + starts[doc]]
+        states = np.empty((len(doc), HIDDEN), h.dtype)
+        begin = 0
+        for end in ends.tolist():
+            m = end - begin
+            h = states[begin:end] = _step(given.take(last[:m], axis=1), h[:m], state)[0]
+            last = wanted[begin:end]
+            begin = end
+        found = np.concatenate([model.outputs(states[k : k + ROWS], wanted[k : k + ROWS])[0] for k in range(0, len(wanted), ROWS)])
+        out[:n] += np.bincount(doc, weights=found, minlength=n) / LOG10
     back = np.zeros(len(order))
     back[order] = out
     return back
@@ -412,7 +478,7 @@ def _score(vocabulary, parameters):
         for batch in batches:
             for at in range(0, batch.num_rows, GROUP_DOCS):
                 part = batch.slice(at, GROUP_DOCS)
-                numbers, starts, places, others = v.numbers(part.column("text"))
+                numbers, starts, places, others = v.numbered(part.column("text"))
                 own = v.symbols(numbers, places, others)
                 common = numbers >= 0
                 in_training = common & (v.counts[numbers] > 0)
@@ -423,13 +489,13 @@ def _score(vocabulary, parameters):
                 sizes = np.diff([*starts, len(numbers)])
                 base = sums(log) - sizes * base_total
                 known = sums(in_training.astype(np.int64))
-                unknown: list[Counter] = [Counter() for _ in starts]
-                for doc, word in zip((np.searchsorted(starts, places, "right") - 1).tolist(), others):
-                    unknown[doc][word] += 1
-                rest, times = [list(c) for c in unknown], [list(c.values()) for c in unknown]
+                unknown = others.dictionary_encode()
+                several = max(1, len(unknown.dictionary))
+                pairs, times = np.unique((np.searchsorted(starts, places, "right") - 1) * several + unknown.indices.to_numpy(), return_counts=True)
+                listed = lambda x: pa.ListArray.from_arrays(np.searchsorted(pairs, np.arange(len(starts) + 1) * several).astype(np.int32), x)
                 total = _log10(model, np.split(own, starts[1:])) + sums(fixed)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("rid"), part.column("kept"), pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(total), pa.array(rest, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))],
+                    [part.column("rid"), part.column("kept"), pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(total), listed(unknown.dictionary.take(pa.array(pairs % several))), listed(pa.array(times, pa.int64()))],
                     ["rid", "kept", "n_tokens", "known", "base", "total", "words", "times"],
                 )
 

@@ -134,3 +134,46 @@ def test_words_are_found_and_numbered_without_a_loop_over_them():
     assert numbers.tolist() == [known.get(w, -1) for w in plain]
     assert starts.tolist() == [0, 4, 5, 6, 7, 10] and [plain[k] for k in places] == others
     assert v.symbols(numbers, places, others).tolist() == [known.get(w, R.WORDS + R.rare_class(w)) for w in plain]
+
+
+def test_words_are_counted_and_classed_without_a_loop_over_them(monkeypatch):
+    words = [b"", b"a", b"a.", b".", "ä".encode(), "xä".encode(), "жук,".encode(), "a ".encode(), "—".encode(), "q’s…".encode(), b"0", b"\x00"]
+    assert R.rare_classes(pa.array(words, pa.binary())).tolist() == [R.rare_class(w) for w in words]
+    assert R.rare_classes(pa.array(words, pa.binary())[3:9]).tolist() == [R.rare_class(w) for w in words[3:9]]
+    assert R.rare_classes(pa.array([], pa.binary())).tolist() == [] and R.rare_classes(pa.array([b"", b""], pa.binary())).tolist() == [0, 0]
+
+    texts = ["The  cat\x0bsat", None, "", "Ä the\x85 the. \r", *(f"w{k} the жук{k % 3}," for k in range(5000))]
+    counts = Counter(w for t in texts for w in [*R.words_of(t), R.END])
+    classes = {w: R.rare_class(w) for w in counts}
+    v, model = vocabulary(), R.Model.first(vocabulary())
+
+    class Shared:
+        def __init__(self, value):
+            self.value = value
+
+    rows = pa.array(range(len(texts)), pa.int64())
+    monkeypatch.setattr(R, "rare_class", lambda word: {R.END: 0}[word])
+    monkeypatch.setattr(R, "words_of", None)
+    for most in (R.COUNTED, 1000):
+        monkeypatch.setattr(R, "COUNTED", most)
+        got, parts = Counter(), list(R._count_words(pa.RecordBatch.from_arrays([pa.array(t)], ["text"]) for t in (texts[:1], texts[1:])))
+        for r in (r for p in parts for r in p.to_pylist()):
+            got[r["word"]] += r["n"]
+            assert r["rare"] == classes[r["word"]]
+        assert got == counts and (len(parts) > 1) == (most == 1000)
+    scored = pa.Table.from_batches(R._score(Shared(v), Shared(model.flat()))([pa.RecordBatch.from_arrays([rows, rows, pa.array(texts)], ["rid", "kept", "text"])])).to_pylist()
+    known = set(v.words.to_pylist())
+    for t, r in zip(texts, scored):
+        assert dict(zip(r["words"], r["times"])) == {w: n for w, n in Counter(w.lower() for w in (t or "").encode().split()).items() if w not in known}
+    assert len(scored) == len(texts) and len(list(R._train(Shared(v), Shared(model.flat()))([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])]))) == 1
+
+
+def test_logits_beyond_the_range_of_exponentials():
+    model = R.Model.first(vocabulary())
+    model.p["W"][3] *= 0
+    model.p["w"][3] += np.linspace(0, 500, R.CLASS_SIZE).astype(np.float32)
+    model.p["c"][:4] += 300
+    states = np.random.default_rng(2).normal(0, 0.5, (200, R.HIDDEN)).astype(np.float32)
+    targets = np.random.default_rng(3).integers(0, R.WORDS + R.RARE, 200).astype(np.int32)
+    log, back = model.outputs(states, targets, {k: np.zeros_like(x) for k, x in model.p.items()})
+    assert np.isfinite(log).all() and np.isfinite(back).all() and (log < 1e-3).all()
