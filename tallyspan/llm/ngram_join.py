@@ -51,7 +51,7 @@ BANDS = 1
 BLOCK_ROWS = 64
 #: Bits for each id, and in all at most, of the filter that tells a scan which documents' sets are wanted. It only
 #: saves work: beyond that size more sets pass, and the join that follows drops them.
-WANTED_BITS_A_ROW, MOST_WANTED_BITS, WANTED_PAGE = 16, 1 << 27, 1 << 19
+WANTED_BITS_A_ROW, MOST_WANTED_BITS, WANTED_PAGE = 64, 1 << 27, 1 << 19
 #: Characters of text whose sets a task holds at a time, and bytes of sets that it compares at a time.
 SLICE_CHARS, SLICE_BYTES = 1 << 21, 1 << 22
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -281,11 +281,18 @@ def _checked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, sketch, size
     hubs = sized.select("b", "block").distinct().join(sets, F.col("b") == sets["node"]).select("b", "block", F.lit(None).cast("long").alias("a"), "set")
     rows = members.unionByName(hubs).repartition("b", "block").sortWithinPartitions("b", "block", F.col("a").asc_nulls_first())
     links = written(rows.mapInArrow(_overlaps(percent), "a long, b long"), "join-links")
-    delete_path(spark, sets.inputFiles()[0].rpartition("/")[0]) if sets.inputFiles() else None
+    _removed(sets)
     wanted.destroy()
     return links
 
 
+def _removed(scratch: DataFrame) -> None:
+    """Removes the folder of a written table that is not read again."""
+    files = scratch.inputFiles()
+    if files:
+        delete_path(scratch.sparkSession, files[0].rpartition("/")[0])
+
+
 def components(links: DataFrame) -> DataFrame:
     """Rows (node, label) for every node of the links (a, b): label is the smallest node reachable; written.
 
@@ -326,9 +333,9 @@ def _several(postings: DataFrame, labels: DataFrame) -> DataFrame:
     return own.join(many, "gram", "left_semi")
 
 
-def _hub_pairs(block: DataFrame, used: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b): each class and the hub it shares most with, of those that it may link with."""
-    free = block.join(used, block["node"] == used["hub"], "left_anti")
+def _hub_pairs(block: DataFrame, used: DataFrame | None, percent: int) -> DataFrame:
+    """Pairs (a, b): each class and the hub it shares most with, of those that it may link with. used: earlier hubs."""
+    free = block.join(used, block["node"] == used["hub"], "left_anti") if used is not None else block
     rank = F.struct("i", "node")
     hubs = free.groupBy("gram", "band").agg(F.min(rank)["node"].alias("b"), F.min_by("n", rank).alias("m"), F.min("i").alias("j"), F.min_by("comp", rank).alias("other"))
     n, i, m, j = (F.col(c) for c in "nimj")
@@ -341,13 +348,15 @@ def _hub_pairs(block: DataFrame, used: DataFrame, percent: int) -> DataFrame:
 
 def _alike(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose parities let them link. marks: (node, n, parity)."""
+    # names that marks has not itself: a column that keeps its name makes another plan of the other side's shuffle, and
+    # the two sides are one shuffle read twice
     side = lambda node, size, own: marks.select(F.col("node").alias(node), F.col("n").alias(size), F.col("parity").alias(own))
     # merged at every size: what is shuffled then grows as the input does
-    both = pairs.hint("merge").join(side("a", "n", "pa"), "a").hint("merge").join(side("b", "m", "pb"), "b")
+    both = pairs.hint("merge").join(side("a", "na", "pa"), "a").hint("merge").join(side("b", "nb", "pb"), "b")
     words = F.least(F.size("pa"), F.size("pb"))
     short = lambda c: F.when(F.size(c) == words, F.col(c)).otherwise(folded(F.col(c), words))
     differ = F.aggregate(F.zip_with(short("pa"), short("pb"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
-    return both.where(_can_link(F.col("n"), F.col("m"), differ, percent)).select("a", "b")
+    return both.where(_can_link(F.col("na"), F.col("nb"), differ, percent)).select("a", "b")
 
 
 def _pairs_across(block: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
@@ -394,32 +403,36 @@ def near_components(docs: DataFrame, size: int = WORDS_A_SHINGLE, percent: int =
     classes = written(classes, "join-classes")
     marks = rows.select(F.col("rid").alias("node"), "n", "parity")
 
-    first = rows.where("n > 0").select(F.col("rid").alias("node"), "prefix").join(classes.select("node"), "node", "left_semi")
+    # merged at every size: what is shuffled then grows as the input does
+    first = rows.where("n > 0").select(F.col("rid").alias("node"), "prefix").join(classes.select("node").hint("merge"), "node", "left_semi")
     places = first.select(F.posexplode("prefix").alias("i", "gram"), "node")
     shared = places.groupBy("gram").count().where("count > 1").select("gram")
     band = F.floor(F.log(F.col("n").cast("double")) / float(-np.log(percent / 100)))
     postings = places.join(shared, "gram", "left_semi").join(marks.select("node", "n"), "node")
     postings = written(postings.select("gram", "node", "n", F.col("i").cast("long").alias("i"), band.alias("band")), "join-postings")
 
-    links = spark.createDataFrame([], "a long, b long")
+    # at first each class is a component, and all columns hold several; what is left of the columns is written once a round
+    block, links, used = postings.withColumn("comp", F.col("node")), None, None
     labels = spark.createDataFrame([], "node long, label long")
-    used = spark.createDataFrame([], "hub long")
     for _ in range(HUB_ROUNDS):
-        pairs = written(_alike(_hub_pairs(_several(postings, labels), used, percent), marks, percent), "join-pairs")
+        pairs = written(_alike(_hub_pairs(block, used, percent), marks, percent), "join-pairs")
         if pairs.isEmpty():
             break
-        used = written(used.union(pairs.select("b")).distinct(), "join-used")
         found = _checked(docs, classes, pairs, sketch, size, percent)
         if found.isEmpty():
             break
-        links = written(links.unionByName(found), "join-links")
+        hubs = pairs.select(F.col("b").alias("hub"))
+        used = written((used.union(hubs) if used is not None else hubs).distinct(), "join-used")
+        links = written(links.unionByName(found), "join-links") if links is not None else found
         labels = components(links)
+        before, block = block, written(_several(block.drop("comp"), labels), "join-block")
+        _removed(before)
 
-    block = written(_several(postings, labels).select("gram", "comp", "node", "n", "i"), "join-block")
     pairs = written(_alike(_pairs_across(block, marks, percent), marks, percent), "join-pairs")
-    delete_path(spark, block.inputFiles()[0].rpartition("/")[0]) if block.inputFiles() else None
+    _removed(block)
     if not pairs.isEmpty():
-        labels = components(links.unionByName(_checked(docs, classes, pairs, sketch, size, percent)))
+        found = _checked(docs, classes, pairs, sketch, size, percent)
+        labels = components(links.unionByName(found) if links is not None else found)
 
     joined = classes.join(labels, "node", "left").select("set_key", "min_id", "class_size", F.coalesce("label", "node").alias("label"))
     # written, so that the join below has a plain shuffle on both sides and a large component can be split

@@ -183,3 +183,31 @@ def test_sets_are_shuffled_once_to_meet_their_classes(spark, docs, monkeypatch):
     got = near_components(docs((3, " ".join(base)), (5, " ".join([*base, "more"])), (8, "something else is here")), percent=80).collect()
     assert sorted((r.doc_id, r.component_id) for r in got) == [(3, 3), (5, 3), (8, 8)]
     assert plans and not any("hashpartitioning(node" in plan for plan in plans)
+
+
+def test_parities_are_shuffled_once_for_both_sides(spark):
+    rows = [(k, 90, ngram_join.parity(np.arange(k, k + 90, dtype=np.uint64)).tolist()) for k in range(0, 400, 5)]
+    marks = ngram_join.written(spark.createDataFrame(rows, "rid long, n long, parity array<long>"), "test-marks")
+    pairs = spark.createDataFrame([(k, k + step) for k in range(0, 300, 5) for step in (5, 50)], "a long, b long")
+    found = ngram_join._alike(pairs, marks.select(F.col("rid").alias("node"), "n", "parity"), 85)
+    assert sorted((r.a, r.b) for r in found.collect()) == [(k, k + 5) for k in range(0, 300, 5)]
+    assert "ReusedExchange" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_columns_are_gathered_once_a_round_that_found_links(docs, monkeypatch):
+    base = [f"w{n}" for n in range(60)]
+    made, several = [], ngram_join._several
+    monkeypatch.setattr(ngram_join, "_several", lambda *args: made.append(1) or several(*args))
+    apart = [(k, " ".join([*base[:10], *(f"d{k}x{n}" for n in range(60))])) for k in range(4)]
+    check(docs(*apart), apart)
+    assert not made  # no round found a link
+    near = [*apart, (7, " ".join(base)), (9, " ".join([*base, "more"]))]
+    check(docs(*near), near)
+    assert 1 <= len(made) <= ngram_join.HUB_ROUNDS
+
+
+def test_few_sets_are_worked_out_that_no_pair_wants(spark):
+    bits = ngram_join._wanted_filter(spark.range(3000).withColumnRenamed("id", "doc_id"), 3000)
+    passes = lambda k: bool(bits[(p := ngram_join._place(k, 8 * len(bits))) >> 3] >> (p & 7) & 1)
+    assert all(map(passes, range(3000)))
+    assert sum(map(passes, range(10**6, 10**6 + 20000))) < 0.02 * 20000
