@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspan.llm.common import BLANKS, all_columns, table, written
+from tallyspan.llm.common import BLANKS, rows_of, table, written, written_alone
 
 FIRST = 64
 #: Code points from which the first run is taken, where they hold enough that isn't white space.
@@ -63,17 +63,21 @@ def _shared_heads(rows: DataFrame) -> tuple[int, DataFrame]:
     return bits, places.groupBy("page").agg(F.bitmap_construct_agg("position").alias("bits"))
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+def text_key(text: Column) -> Column:
+    """SHA-256 of a text as it is written; null counts as empty."""
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keyed: bool = False) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when they are identical after their white space is deleted; a null text is empty, and all
     empty texts are one group. The row with the most code points in its own text stays, then the smallest
     doc_id (null last). Rows that repeat a doc_id are rows of their own: exactly one row of a group stays.
-    Other columns are not read, whatever their names. An empty table gives no rows. row_col: a column of docs with a
-    number for each row, which then comes along as rid.
+    Other columns are not read, whatever their names. An empty table gives no rows. keyed: also text_key, of the row's
+    text.
     """
-    number = F.monotonically_increasing_id() if row_col is None else F.col("rid")
-    own = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *([] if row_col is None else [F.col(row_col).alias("rid")])]
+    own = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")]
     rows = docs.select(*own).withColumn("head", _head(F.col("text")))
     bits, pages = _shared_heads(rows)
     place = F.pmod(F.xxhash64("head"), F.lit(bits))
@@ -81,14 +85,15 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     levels = F.filter(F.sequence(F.lit(1), F.lit(20)), lambda n: _start(n) <= F.octet_length("bytes"))
     runs = F.transform(levels, lambda n: F.struct(n.alias("level"), F.substring(F.col("bytes"), (_start(n) + 1).cast("int"), (3 * _start(n)).cast("int")).alias("run")))
     own = F.array(F.struct(F.lit(0).alias("level"), F.col("head").alias("run")))
+    hashes = ["text_sha256", *(["text_key"] if keyed else [])]
     table_0 = (
         rows.join(F.broadcast(pages), F.bitmap_bucket_number(place) == F.col("page"), "left")
-        .select("doc_id", "head", _bit(F.col("bits"), F.bitmap_bit_position(place)).alias("company"), number.alias("rid"), F.char_length(F.coalesce("text", F.lit(""))).alias("chars"), norm.alias("norm"))
+        .select("doc_id", "head", _bit(F.col("bits"), F.bitmap_bit_position(place)).alias("company"), F.monotonically_increasing_id().alias("rid"), F.char_length(F.coalesce("text", F.lit(""))).alias("chars"), norm.alias("norm"), *([text_key(F.col("text")).alias("text_key")] if keyed else []))
         .withColumn("bytes", F.col("norm").cast("binary"))
         .withColumn("text_sha256", F.sha2("bytes", 256))
         .withColumn("piece", F.explode(F.concat(own, F.when(F.col("company"), runs).otherwise(F.slice(own, 1, 0)))))
         .select("rid", F.when(F.col("piece.level") == 0, F.col("doc_id")).alias("doc_id"), F.when(F.col("piece.level") == 0, F.col("chars")).alias("chars"),
-                F.when(F.col("piece.level") == 0, F.col("text_sha256")).alias("text_sha256"), "company", F.col("piece.run").alias("run"), F.col("piece.level").alias("level"))
+                *(F.when(F.col("piece.level") == 0, F.col(c)).alias(c) for c in hashes), "company", F.col("piece.run").alias("run"), F.col("piece.level").alias("level"))
     )
     pieces = written(table_0, "radix-runs", "level")
     members, level = [], 0
@@ -104,7 +109,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         active, level = found.where("not ended").select("rid", "gid"), level + 1
         if active.isEmpty():
             break
-    info = pieces.where("level = 0").select("rid", "doc_id", "chars", "text_sha256")
+    info = pieces.where("level = 0").select("rid", "doc_id", "chars", *hashes)
     grouped = reduce(DataFrame.unionByName, members)
     # the largest text, then the smallest id: ~id falls as id grows and cannot overflow, and a null is least of all
     order = F.struct(F.col("chars"), F.bitwise_not("doc_id"), F.bitwise_not("rid"))
@@ -112,20 +117,19 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return (
         info.join(grouped.join(best.hint("merge"), "gid").hint("merge"), "rid", "left")
         .select("doc_id", F.when(F.col("gid").isNull(), F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
-                F.coalesce(F.col("best.rid") == F.col("rid"), F.lit(True)).alias("kept"), "text_sha256", *([] if row_col is None else ["rid"]))
+                F.coalesce(F.col("best.rid") == F.col("rid"), F.lit(True)).alias("kept"), *hashes)
     )
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, all columns: of each group of equal texts the one that exact_groups keeps.
 
-    Null and empty texts are one group, of which one row stays; rows that repeat an id, or all their columns, are told
-    apart by their number. Columns of any name are carried along unread. An empty table gives no rows.
+    Null and empty texts are one group, of which one row stays; of rows that repeat id and text, one. Columns of any name are carried
+    along unread. What stays on disk is the id and the hash of the text of each row that stays. An empty table gives no rows.
     """
-    numbered = written(docs.select(all_columns(docs).alias("row"), F.monotonically_increasing_id().alias("number")), "radix-rows")
-    texts = numbered.select("number", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"))
-    kept = exact_groups(texts, row_col="number").where("kept").select(F.col("rid").alias("number"))
-    return numbered.join(kept, "number", "left_semi").select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+    key = [F.col("doc_id").alias("id"), F.col("text_key").alias("key")]
+    kept = written_alone(docs.sparkSession, "radix-kept", lambda: exact_groups(docs, keyed=True).where("kept").select(*key))
+    return rows_of(docs, kept, text_key, "radix-repeated")
 
 
 def op2_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -15,7 +15,8 @@ Components need no pair whose two sides are already joined, so the product is ta
    shingles of its own, and is checked against the hub it shares most with; each round takes hubs that were none
    before, until a round finds no link or HUB_ROUNDS are over; what they find is contracted to components;
  - last, the blocks of a column are the components in it: each is multiplied with the others, never with itself,
-   and only where a size band says that the places can be in both prefixes.
+   and only where a size band says that the places can be in both prefixes. Where blocks are many for
+   the number of classes, the columns are taken in several passes, so that no more is shuffled at once.
 No column or pair is capped. Pairs are checked in blocks of a hub's classes, so that a hub of a third of all rows is
 spread over tasks; a task passes over pairs that its earlier links already connect.
 """
@@ -25,6 +26,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspan.llm.common import ASCII_LOWER, all_columns, delete_path, table, written
+from tallyspan.llm.common import ASCII_LOWER, delete_path, rows_of, table, written, written_alone
 
 WORDS_A_SHINGLE, PERCENT = 4, 85
 #: What near duplicates are for the pipeline.
@@ -47,6 +49,8 @@ PARITY_WORDS = 8
 CROSS_WORDS = 2
 #: Size bands of the last product to each range from the smallest to the largest size that a set can link with.
 BANDS = 1
+#: Blocks, for each class, that one pass of the last product multiplies.
+BLOCKS_A_CLASS = 16
 #: Classes checked against one hub in one block.
 BLOCK_ROWS = 64
 #: Bits for each id, and in all at most, of the filter that tells a scan which documents' sets are wanted. It only
@@ -123,9 +127,11 @@ def count_sketch(docs: DataFrame, size: int = WORDS_A_SHINGLE) -> np.ndarray:
     # two steps, so that no task gathers a page from all tasks at once
     some = parts.withColumn("part", F.pmod(F.xxhash64("counts"), F.lit(64)))
     some = some.groupBy("page", "part").applyInArrow(lambda t: _sum_pages(t.select(["page", "counts"])), "page int, counts binary")
+    pages = written(some.groupBy("page").applyInArrow(_sum_pages, "page int, counts binary"), "join-sketch")
     out = np.zeros(SKETCH, np.uint64)
-    for row in some.groupBy("page").applyInArrow(_sum_pages, "page int, counts binary").toLocalIterator():
+    for row in pages.toLocalIterator():
         out[row.page * SKETCH_PAGE : (row.page + 1) * SKETCH_PAGE] = np.frombuffer(row.counts, "<u4")
+    _removed(pages)
     return out.astype(np.uint32)
 
 
@@ -213,8 +219,10 @@ def _wanted_filter(ids: DataFrame, n: int) -> np.ndarray:
     bits = min(MOST_WANTED_BITS, 1 << max(16, (WANTED_BITS_A_ROW * n - 1).bit_length()))
     out, page = np.zeros(bits // 8, np.uint8), min(WANTED_PAGE, bits) // 8
     pages = ids.mapInArrow(_filter_pages(bits), "page int, bits binary").groupBy("page").applyInArrow(_or_pages, "page int, bits binary")
+    pages = written(pages, "join-filter")
     for row in pages.toLocalIterator():
         out[row.page * page : (row.page + 1) * page] = np.frombuffer(row.bits, np.uint8)
+    _removed(pages)
     return out
 
 
@@ -281,16 +289,16 @@ def _checked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, sketch, size
     hubs = sized.select("b", "block").distinct().join(sets, F.col("b") == sets["node"]).select("b", "block", F.lit(None).cast("long").alias("a"), "set")
     rows = members.unionByName(hubs).repartition("b", "block").sortWithinPartitions("b", "block", F.col("a").asc_nulls_first())
     links = written(rows.mapInArrow(_overlaps(percent), "a long, b long"), "join-links")
-    _removed(sets)
+    _removed(sets, known)
     wanted.destroy()
     return links
 
 
-def _removed(scratch: DataFrame) -> None:
-    """Removes the folder of a written table that is not read again."""
-    files = scratch.inputFiles()
-    if files:
-        delete_path(scratch.sparkSession, files[0].rpartition("/")[0])
+def _removed(*scratch: DataFrame) -> None:
+    """Removes the folders of written tables that are not read again."""
+    for table in scratch:
+        if files := table.inputFiles():
+            delete_path(table.sparkSession, files[0].rpartition("/")[0])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -307,7 +315,9 @@ def components(links: DataFrame) -> DataFrame:
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
         new = lower.join(jump, "label", "left").select("node", "old", F.least("label", "further").alias("label"))
         new = written(new, "join-labels")
+        _removed(labels)
         if new.where("label != old").isEmpty():
+            _removed(edges)
             return new.drop("old")
         labels = new.drop("old")
 
@@ -359,8 +369,8 @@ def _alike(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
     return both.where(_can_link(F.col("na"), F.col("nb"), differ, percent)).select("a", "b")
 
 
-def _pairs_across(block: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes of different components that may link: a is the smaller set. marks: (node, n, parity)."""
+def _pairs_across(block: DataFrame, marks: DataFrame, percent: int, classes: int) -> DataFrame:
+    """Pairs (a, b) of classes of different components that may link: a is the smaller set; written. marks: (node, n, parity)."""
     n, i, m, j = (F.col(c) for c in "nimj")
     step = -np.log(percent / 100) / BANDS
     band = lambda size: F.floor(F.log(size.cast("double")) / float(step))
@@ -375,13 +385,23 @@ def _pairs_across(block: DataFrame, marks: DataFrame, percent: int) -> DataFrame
     words = range(CROSS_WORDS)
     parities = marks.select("node", folded(F.col("parity"), F.lit(CROSS_WORDS)).alias("parity"))
     with_parity = lambda rows, node, name: rows.join(parities, rows[node] == parities["node"]).select(*rows.columns, *(F.get("parity", F.lit(k)).alias(f"{name}{k}") for k in words))
-    small = with_parity(small.join(blocks, ["gram", "band", "one"], "left_semi"), "a", "p")
-    large = with_parity(large.join(blocks, ["gram", "band", "two"], "left_semi"), "b", "q")
+    small = written(with_parity(small.join(blocks, ["gram", "band", "one"], "left_semi"), "a", "p"), "join-small")
+    large = written(with_parity(large.join(blocks, ["gram", "band", "two"], "left_semi"), "b", "q"), "join-large")
     differ = sum((F.bit_count(F.col(f"p{k}").bitwiseXOR(F.col(f"q{k}"))) for k in words), F.lit(0))
-    met = blocks.join(small, ["gram", "band", "one"]).join(large, ["gram", "band", "two"])
-    met = met.where(_can_link(n, m, differ, percent) & _near_in_size(n, i, m, percent) & _near_in_size(m, j, n, percent) & ((m < n) | (m == n) & (F.col("a") < F.col("b"))))
-    met = met.groupBy("a", "b").agg(F.count("*").alias("count"), *(F.max(c).alias(c) for c in "nimj"))
-    return met.where(_reaches(n, i, m, j, F.col("count"), percent)).select("a", "b")
+    # so many columns at a time that what is shuffled at once follows the classes, not the blocks, which grow faster
+    passes, parts = 1 + blocks.count() // (BLOCKS_A_CLASS * classes + 1), []
+    for k in range(passes):
+        part = blocks.where(F.pmod(F.xxhash64("gram"), F.lit(passes)) == k)
+        met = part.join(small, ["gram", "band", "one"]).join(large, ["gram", "band", "two"])
+        met = met.where(_can_link(n, m, differ, percent) & _near_in_size(n, i, m, percent) & _near_in_size(m, j, n, percent) & ((m < n) | (m == n) & (F.col("a") < F.col("b"))))
+        parts.append(written(met.groupBy("a", "b").agg(F.count("*").alias("count"), *(F.max(c).alias(c) for c in "nimj")), "join-met"))
+    _removed(blocks, small, large)
+    met = reduce(DataFrame.unionByName, parts)
+    if passes > 1:
+        met = met.groupBy("a", "b").agg(F.sum("count").alias("count"), *(F.max(c).alias(c) for c in "nimj"))
+    pairs = written(met.where(_reaches(n, i, m, j, F.col("count"), percent)).select("a", "b"), "join-across")
+    _removed(*parts)
+    return pairs
 
 
 def near_components(docs: DataFrame, size: int = WORDS_A_SHINGLE, percent: int = PERCENT, text_key: bool = False) -> DataFrame:
@@ -406,10 +426,12 @@ def near_components(docs: DataFrame, size: int = WORDS_A_SHINGLE, percent: int =
     # merged at every size: what is shuffled then grows as the input does
     first = rows.where("n > 0").select(F.col("rid").alias("node"), "prefix").join(classes.select("node").hint("merge"), "node", "left_semi")
     places = first.select(F.posexplode("prefix").alias("i", "gram"), "node")
-    shared = places.groupBy("gram").count().where("count > 1").select("gram")
+    # written before the places meet it: the shuffles of the two are never on disk together
+    shared = written(places.groupBy("gram").count().where("count > 1").select("gram"), "join-shared")
     band = F.floor(F.log(F.col("n").cast("double")) / float(-np.log(percent / 100)))
     postings = places.join(shared, "gram", "left_semi").join(marks.select("node", "n"), "node")
     postings = written(postings.select("gram", "node", "n", F.col("i").cast("long").alias("i"), band.alias("band")), "join-postings")
+    _removed(shared)
 
     # at first each class is a component, and all columns hold several; what is left of the columns is written once a round
     block, links, used = postings.withColumn("comp", F.col("node")), None, None
@@ -426,10 +448,11 @@ def near_components(docs: DataFrame, size: int = WORDS_A_SHINGLE, percent: int =
         links = written(links.unionByName(found), "join-links") if links is not None else found
         labels = components(links)
         before, block = block, written(_several(block.drop("comp"), labels), "join-block")
-        _removed(before)
+        _removed(before, pairs)
 
-    pairs = written(_alike(_pairs_across(block, marks, percent), marks, percent), "join-pairs")
-    _removed(block)
+    across = _pairs_across(block, marks, percent, classes.count())
+    pairs = written(_alike(across, marks, percent), "join-pairs")
+    _removed(block, across)
     if not pairs.isEmpty():
         found = _checked(docs, classes, pairs, sketch, size, percent)
         labels = components(links.unionByName(found) if links is not None else found)
@@ -449,19 +472,16 @@ def one_of_each(docs: DataFrame, size: int = NEAR_WORDS, percent: int = NEAR_PER
     Rows without words, which link with nothing, all stay. Rows that repeat both id and text are one row, of which one
     stays; rows that repeat an id alone are rows of their own. An empty table gives no rows.
     """
-    found = near_components(docs, size, percent, text_key=True)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
-    best = found.where("label is not null").groupBy("label").agg(F.min(order).alias("b"), F.count("*").alias("n")).select("b.doc_id", "b.text_key")
-    kept = best.unionByName(found.where("label is null").select("doc_id", "text_key"))
-    kept = kept.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.count("*")).select("_id", "_key")
-    rows = docs.select(all_columns(docs).alias("row"))
-    key = [F.col("row.doc_id").alias("id"), F.xxhash64("row.text").alias("key")]
-    same = lambda other: F.col("row.doc_id").eqNullSafe(other[other.columns[0]]) & (F.xxhash64("row.text") == other[other.columns[1]])
-    # keys of rows that repeat id and text: seldom any; written, so that their number is known when they are joined
-    often = written(rows.groupBy(*key).count().where("count > 1").select("id", "key"), "join-repeated")
-    single = rows.join(often, same(often), "left_anti").join(kept, same(kept), "left_semi")
-    repeated = rows.join(often, same(often), "left_semi").join(kept, same(kept), "left_semi").groupBy(*key).agg(F.first("row").alias("row")).select("row")
-    return single.unionByName(repeated).select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+
+    def keys() -> DataFrame:
+        found = near_components(docs, size, percent, text_key=True)
+        best = found.where("label is not null").groupBy("label").agg(F.min(order).alias("b"), F.count("*").alias("n")).select("b.doc_id", "b.text_key")
+        kept = best.unionByName(found.where("label is null").select("doc_id", "text_key"))
+        return kept.groupBy(F.col("doc_id").alias("id"), F.col("text_key").alias("key")).agg(F.count("*")).select("id", "key")
+
+    kept = written_alone(docs.sparkSession, "join-kept", keys)
+    return rows_of(docs, kept, F.xxhash64, "join-repeated")
 
 
 def op6_ngram_join(spark, sf_dir: str) -> DataFrame:

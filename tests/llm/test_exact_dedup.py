@@ -1,8 +1,12 @@
 import hashlib
 import random
+import re
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
+from tallyspan.llm import common
 from tallyspan.llm import exact_dedup as module
 from tallyspan.llm.exact_dedup import exact_dedup, exact_groups
 
@@ -78,3 +82,22 @@ def test_texts_are_not_shuffled_and_a_full_filter_loses_nothing(spark, docs, mon
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     joins = [line for line in plans["radix-runs"].splitlines() if "Join" in line]
     assert joins and all("strategy=broadcast" in line for line in joins)
+
+
+def test_no_copy_of_the_texts_is_left_of_the_stage(docs, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_dir", lambda _: f"file://{tmp_path}")
+    rows = exact_dedup(docs((1, "a b"), (2, "a  b"), (3, "c"), (3, "c"), (4, None), (None, "c")))
+    assert sorted(p.name.rpartition("-")[0] for p in tmp_path.iterdir()) == ["radix-kept", "radix-repeated"]
+    assert sorted((r.doc_id, r.text) for r in rows.collect()) == [(2, "a  b"), (3, "c"), (4, None)]
+
+
+def test_shuffle_files_go_with_the_end_of_a_write(spark):
+    disks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: set(re.findall(r"shuffle_\d+_\d+_\d+\.data", disks.getAllFiles().mkString(" ")))
+    before = files()
+    out = module.written(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count().hint("merge").join(spark.range(9), F.col("k") == F.col("id")), "test-shuffles")
+    for _ in range(50):  # executors remove them in their own time
+        if not (left := files() - before):
+            break
+        time.sleep(0.1)
+    assert not left and out.count() == 7

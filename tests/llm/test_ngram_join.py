@@ -3,7 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from tallyspan.llm import ngram_join
+from tallyspan.llm import common, ngram_join
 from tallyspan.llm.ngram_join import near_components, one_of_each, prefix_length
 
 
@@ -211,3 +211,31 @@ def test_few_sets_are_worked_out_that_no_pair_wants(spark):
     passes = lambda k: bool(bits[(p := ngram_join._place(k, 8 * len(bits))) >> 3] >> (p & 7) & 1)
     assert all(map(passes, range(3000)))
     assert sum(map(passes, range(10**6, 10**6 + 20000))) < 0.02 * 20000
+
+
+def test_the_last_product_in_passes_finds_the_same(docs, monkeypatch):
+    """Columns in passes: each is multiplied once, and what the passes counted of a pair is added up."""
+    random.seed(7)
+    rows = []
+    for k in range(6):
+        shared = [f"b{k}y{n}" for n in range(88)]
+        rows += [" ".join(shared + [f"b{k}own{n}" for n in range(12)]), " ".join(shared + [f"b{k}two{n}" for n in range(2)])]
+        rows += [" ".join(shared + [f"b{k}far{d}x{n}" for n in range(90)]) for d in range(8)]
+    pairs, made = list(enumerate(rows)), []
+    monkeypatch.setattr(ngram_join, "written", lambda df, label, *by, plain=ngram_join.written: made.append(label) or plain(df, label, *by))
+    monkeypatch.setattr(ngram_join, "HUB_ROUNDS", 0)
+    for most, passes in ((10**6, 1), (16, 3)):
+        monkeypatch.setattr(ngram_join, "BLOCKS_A_CLASS", most)
+        made.clear()
+        check(docs(*pairs), pairs)
+        assert made.count("join-met") == passes
+
+
+def test_only_the_ids_that_stay_are_left_of_the_stage(docs, tmp_path, monkeypatch):
+    """Neither sets nor columns outlive the stage."""
+    monkeypatch.setattr(common, "shared_dir", lambda _: f"file://{tmp_path}")
+    random.seed(23)
+    pairs = near_group(40)
+    rows = one_of_each(docs(*pairs))
+    assert sorted(p.name.rpartition("-")[0] for p in tmp_path.iterdir()) == ["join-kept", "join-repeated"]
+    assert sorted(r.doc_id for r in rows.collect()) == sorted({least for _, _, least in brute(pairs, 5, 80)})
